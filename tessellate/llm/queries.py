@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpeg_audio, packing, piece_bpe, sharding, simhash, token_count
+from . import language_id, mpeg_audio, packing, piece_bpe, sharding, simhash, token_count, toxicity
 from .storage import table
 
 
@@ -32,6 +32,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), separator=2, capacity=4096)
 
 
+def remainder(doc_id: str, parts: int):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_segments")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.trained(docs, remainder("doc_id", 4) != 2)
+    return language_id.predicted(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
@@ -46,7 +63,9 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
