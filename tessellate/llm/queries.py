@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mpeg_audio, packing, piece_bpe, sharding, simhash, token_count, toxicity
+from . import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, simhash, site_tree, token_count, toxicity
 from .storage import table
 
 
@@ -49,6 +49,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_tree.extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(table(spark, sf_dir, "documents"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"),
+        (~quality.fails(quality.BASE) & ~quality.fails(quality.PRODUCTION)).alias("kept"), F.col("failed").alias("failed_rules"),
+    )
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
@@ -64,8 +77,28 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_site_tree": op6_site_tree,
+    "op7_quality": op7_quality,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT r, p, array_to_string(ws[p:p + 4], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) > 4)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, win) AS n FROM g) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, p + k AS q FROM twice, (SELECT unnest(range(0, 5)) AS k)) GROUP BY r),
+l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
+m AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(dup.n_lines, 0) AS n_lines
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+  + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_rules FROM f
+""",
+}
