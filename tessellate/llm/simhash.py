@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import bound_batches, stored
+from .storage import appended, bound_batches, stored
 
 SHINGLE, DISTANCE, BUCKET = 5, 3, 4096
 _CHUNK = 1 << 18
@@ -260,5 +260,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs less all but one row of each group of linked rows: the one with the smallest id (nulls last), one of them if it repeats."""
+
+    def compute(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
+
+    rows = stored(appended(docs, text, {"_fp": "long"}, compute).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row"))).alias("first")
+    one = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(first), "distinct")
+    parts = components(links(one.select("fp"), distance)).withColumnRenamed("node", "fp")
+    kept = one.join(parts, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
 def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ARROW_BYTES = 8 << 20
 ARROW_ROWS = 4096
@@ -42,6 +45,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(docs: DataFrame, text: str, new: dict[str, str], compute: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """docs with the columns ``new`` (name -> type) computed from a text column, batch by batch; all rows and columns stay."""
+    bound_batches(docs.sparkSession)
+    if set(new) & set(docs.columns):
+        raise ValueError(f"docs already has a column of {sorted(new)}")
+    at, names = docs.columns.index(text), [*docs.columns, *new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(at).to_pylist())], names)
+
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields])
+    return docs.mapInArrow(run, schema)
+
+
 def release(spark: SparkSession, df: DataFrame) -> None:
     """Delete the stored table behind df, once nothing reads it any more."""
     names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
