@@ -74,7 +74,7 @@ class Dialect:
     def distinct_sorted(self, a: str) -> str:
         return f"list_sort(list_distinct({a}))"
 
-    def explode(self, columns: str, source: str, array: str, value: str, at: str = "at") -> str:
+    def explode(self, columns: str, source: str, array: str, value: str, at: str = "idx") -> str:
         """columns, value and its place from 0, of the array's elements."""
         return f"SELECT {columns}, unnest({array}) AS {value}, CAST(unnest(range(0, len({array}))) AS INTEGER) AS {at} FROM {source}"
 
@@ -181,7 +181,7 @@ class SparkDialect(Dialect):
     def distinct_sorted(self, a: str) -> str:
         return f"sort_array(array_distinct({a}))"
 
-    def explode(self, columns: str, source: str, array: str, value: str, at: str = "at") -> str:
+    def explode(self, columns: str, source: str, array: str, value: str, at: str = "idx") -> str:
         return f"SELECT {columns}, {value}, {at} FROM {source} LATERAL VIEW posexplode({array}) _e AS {at}, {value}"
 
     def lists(self, value: str, order: str) -> str:
