@@ -104,11 +104,10 @@ def locale_region(d: Dialect, p: str) -> str:
     return f"lower({d.ext(p, LOCALE, 2)})"
 
 
-def locale_of(d: Dialect, p: str, promoted: str) -> str:
-    """The locale that a path opens with, null if none. promoted: the look-alike languages that the host's evidence lets through."""
-    lang, region = locale_lang(d, p), locale_region(d, p)
+def locale_of(d: Dialect, lang: str, region: str, promoted: str) -> str:
+    """The locale of a path's opening parts, null if they are none. promoted: the look-alike languages that the host's evidence lets through."""
     return (
-        f"CASE WHEN {lang} = '' THEN NULL WHEN NOT ({lang} IN ({d.strings(fixed.LANGUAGES)}) OR ({region} <> '' AND {region} = {lang})) THEN NULL "
+        f"CASE WHEN coalesce({lang}, '') = '' THEN NULL WHEN NOT ({lang} IN ({d.strings(fixed.LANGUAGES)}) OR ({region} <> '' AND {region} = {lang})) THEN NULL "
         f"WHEN {region} = '' AND {lang} IN ({d.strings(fixed.LOOKALIKES)}) AND NOT coalesce({d.has(promoted, lang)}, false) THEN NULL "
         f"WHEN {region} = '' THEN {lang} ELSE concat({lang}, '-', {region}) END"
     )

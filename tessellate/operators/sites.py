@@ -90,9 +90,11 @@ WHERE seen.definite >= 2 OR seen.bare_langs >= 3 OR {d.ext('bare.host', r'([^.]+
 
 @relation
 def url_paths(d):
+    """Paths without suffix, and what follows a wrapping first segment. Built in steps, so that each expression reads columns and stays small."""
     return f"""
-SELECT u.pos, u.loc, u.lastmod, u.host, u.path, {urls.bare_path(d, 'u.path')} AS bare, {urls.unwrapped(d, urls.bare_path(d, 'u.path'))} AS inner_path, p.langs
-FROM url_parsed u LEFT JOIN (SELECT host, {d.lists('lang', 'lang')} AS langs FROM promoted_locales GROUP BY host) p ON u.host = p.host"""
+SELECT *, {urls.unwrapped(d, 'bare')} AS inner_path FROM (
+  SELECT u.pos, u.loc, u.lastmod, u.host, u.path, {urls.bare_path(d, 'u.path')} AS bare, p.langs
+  FROM url_parsed u LEFT JOIN (SELECT host, {d.lists('lang', 'lang')} AS langs FROM promoted_locales GROUP BY host) p ON u.host = p.host)"""
 
 
 @relation
@@ -100,7 +102,8 @@ def url_located(d):
     return f"""
 SELECT pos, loc, lastmod, host, path, coalesce(inner_locale, bare_locale) AS locale,
   CASE WHEN inner_locale IS NOT NULL THEN {urls.after_locale(d, 'inner_path')} WHEN bare_locale IS NOT NULL THEN {urls.after_locale(d, 'bare')} ELSE bare END AS norm_path
-FROM (SELECT *, CASE WHEN inner_path IS NOT NULL THEN {urls.locale_of(d, 'inner_path', 'langs')} END AS inner_locale, {urls.locale_of(d, 'bare', 'langs')} AS bare_locale FROM url_paths)"""
+FROM (SELECT *, {urls.locale_of(d, 'inner_lang', 'inner_region', 'langs')} AS inner_locale, {urls.locale_of(d, 'bare_lang', 'bare_region', 'langs')} AS bare_locale FROM (
+  SELECT *, {urls.locale_lang(d, 'inner_path')} AS inner_lang, {urls.locale_region(d, 'inner_path')} AS inner_region, {urls.locale_lang(d, 'bare')} AS bare_lang, {urls.locale_region(d, 'bare')} AS bare_region FROM url_paths))"""
 
 
 @relation
@@ -271,3 +274,11 @@ def fnv1a(d):
 def xorshift32(d):
     seed = f"(SELECT c_custkey AS id, {numbers.fnv1a(d, 'c_name')} AS s0 FROM customer)"
     return f"SELECT id, s1, {numbers.xorshift32(d, 's1')} AS s2 FROM (SELECT id, {numbers.xorshift32(d, 's0')} AS s1 FROM {seed})"
+
+
+@relation
+def sample_pool(d):
+    """Shareable content, numbered within host and section by its key."""
+    return f"""
+SELECT host, section, url, row_number() OVER (PARTITION BY host, section ORDER BY canon_key) AS place FROM (
+  SELECT c.host, c.section, c.url, c.canon_key FROM canonical_content c JOIN junk_filter j ON c.canon_key = j.canon_key WHERE {urls.shareable(d, 'c.section')})"""

@@ -95,7 +95,7 @@ class Dialect:
         return f"strftime({ts}, '%Y-%m')"
 
     def seconds(self, ts: str) -> str:
-        return f"CAST(epoch({ts}) AS BIGINT)"
+        return f"CAST(floor(epoch({ts})) AS BIGINT)"
 
     def big(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"
