@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .storage import appended, bound_batches, stored
 
-SHINGLE, DISTANCE, BUCKET = 5, 3, 4096
+SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
+#: Of similar_groups: fingerprints of the set of words within CANDIDATE bits are compared, texts of SIMILARITY or more link.
+CANDIDATE, SIMILARITY, CANDIDATE_PAIRWISE = 5, 0.8, 48
 _CHUNK = 1 << 18
 
 
@@ -155,31 +157,31 @@ def spanning_edges(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(key: np.ndarray, fp: np.ndarray, distance: int, pairwise: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges within the runs of equal keys."""
     if not len(key):
         return fp, fp
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     left, right = [fp[:0]], [fp[:0]]
-    small = np.repeat(size <= 16, size) & np.repeat(size > 1, size)
+    small = np.repeat(size <= pairwise, size) & np.repeat(size > 1, size)
     k, f = key[small], fp[small]
-    for shift in range(1, 16):
+    for shift in range(1, pairwise):
         ok = (k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= distance)
         left.append(f[:-shift][ok]), right.append(f[shift:][ok])
         if len(k) <= shift + 1:
             break
-    for at in np.flatnonzero(size > 16):
+    for at in np.flatnonzero(size > pairwise):
         a, b = spanning_edges(fp[first[at] : first[at] + size[at]], distance)
         left.append(a), right.append(b)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linked(distance: int, bucket: int | None):
+def _linked(distance: int, bucket: int | None, pairwise: int):
     """Rows sorted by key -> edges (a, b), and the rows of buckets over ``bucket`` for another round."""
 
     def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = (x.view(np.int64) for x in _compare(key, fp, distance))
+        a, b = (x.view(np.int64) for x in _compare(key, fp, distance, pairwise))
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         none = pa.nulls(len(pair), pa.int64())
         short = pa.nulls(len(pair), pa.int16())
@@ -228,14 +230,17 @@ def _linked(distance: int, bucket: int | None):
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """distinct(fp) -> edges (a, b) that connect all fingerprints which links within ``distance`` bits connect."""
+def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, pairwise: int = PAIRWISE) -> DataFrame:
+    """distinct(fp) -> edges (a, b) that connect all fingerprints which links within ``distance`` bits connect.
+
+    An anchor of at most ``pairwise`` fingerprints gives all its links, a larger one spanning trees.
+    """
     todo = distinct.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("smallint").alias("start"), F.lit(64).cast("smallint").alias("width"), "fp")
     found = None
     for level in range(3):
         placed = todo.mapInArrow(_replicas(distance), "key long, start smallint, width smallint, fp long")
         sorted_ = placed.repartition("key").sortWithinPartitions("key")
-        out = stored(sorted_.mapInArrow(_linked(distance, bucket if level < 2 else None), "a long, b long, key long, start smallint, width smallint"), "links")
+        out = stored(sorted_.mapInArrow(_linked(distance, bucket if level < 2 else None, pairwise), "a long, b long, key long, start smallint, width smallint"), "links")
         edges = out.filter("b is not null").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         todo = out.filter("b is null").select("key", "start", "width", F.col("a").alias("fp")).distinct()
@@ -260,17 +265,79 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs less all but one row of each group of linked rows: the one with the smallest id (nulls last), one of them if it repeats."""
+def word_fingerprint(words: list[bytes]) -> int:
+    """SimHash of the set of words. Texts that share most five-word shingles differ in few of these bits."""
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    if not len(hashes):
+        return 0
+    ones = sum(np.unpackbits(hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(hashes), _CHUNK))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; of fewer words the whole sequence; of none nothing."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64).view(np.int64))
+
+
+def _described(texts: list[str | None]) -> list[pa.Array]:
+    fps, nodes = [], []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        fps.append(word_fingerprint(words))
+        nodes.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
+    return [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64))]
 
-    def compute(texts: list[str | None]) -> list[pa.Array]:
-        return [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
 
-    rows = stored(appended(docs, text, {"_fp": "long"}, compute).withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """edges(a, b) whose shingle sets have a Jaccard similarity of ``least`` or more. sets(node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            left, right = (batch.column(k) for k in (2, 3))
+            for x, y in zip(left, right):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = CANDIDATE) -> DataFrame:
+    """docs less all but one row of each group of similar texts: the one with the smallest id (nulls last), one of them if it repeats.
+
+    Texts of the same words (case of A-Z and white space aside) are one node. Nodes whose word
+    fingerprints are within ``distance`` bits are candidates, found by the anchors; candidates link if
+    their shingle sets have the similarity. Texts without a word form one group.
+    """
+    rows = stored(appended(docs, text, {"_fp": "long", "_node": "long"}, _described).withColumn("_row", F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row"))).alias("first")
-    one = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(first), "distinct")
-    parts = components(links(one.select("fp"), distance)).withColumnRenamed("node", "fp")
-    kept = one.join(parts, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    nodes = stored(rows.groupBy(F.col("_node").alias("node")).agg(F.min("_fp").alias("fp"), first), "nodes")
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+    pairs = links(heads.select("fp"), distance, pairwise=CANDIDATE_PAIRWISE)
+    by_fp = [heads.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
+    across = pairs.join(by_fp[0], "a").join(by_fp[1], "b").select("x", "y")
+    within = nodes.join(heads.filter("n > 1").select("fp", "head"), "fp").filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    edges = stored(across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    places = nodes.join(wanted, "node").select("node", F.col("first._row").alias("_row"))
+    texts = rows.select("_row", F.col(text).alias("text")).join(places, "_row").select("node", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([shingle_set(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found], ["node", "shingles"])
+
+    sets = stored(texts.mapInArrow(shingled, "node long, shingles array<long>"), "shingles")
+    parts = components(_similar(edges, sets, similarity))
+    kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
