@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANK_BUCKET = 20000
+RANK_BUCKET = 1000
 
 
 def ranked(rows: DataFrame, sizes: dict[int, int], by: str, order: list[str], bucket: int = RANK_BUCKET) -> DataFrame:
