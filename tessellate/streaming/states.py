@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,12 +101,12 @@ def job_stream(changes: DataFrame, watchdog: str = "150 seconds") -> DataFrame:
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return changes.withWatermark("ts", "10 minutes").groupBy("host").applyInPandasWithState(step, "host string, state string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes").groupBy("host").applyInPandasWithState(step, "host string, state string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly_activity(posts: DataFrame) -> DataFrame:
     """A stream posts(company, ts, is_post) in hours, an hour late at most: our own form of the trailing counts."""
-    return posts.withWatermark("ts", "1 hour").groupBy("company", F.window("ts", "1 hour")).agg(F.count("*").alias("events"), F.count_if("is_post").alias("posts"))
+    return posts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy("company", F.window("ts", "1 hour")).agg(F.count("*").alias("events"), F.count_if("is_post").alias("posts"))
 
 
 def append_leads(leads: DataFrame, path: str, checkpoint: str):
@@ -125,4 +127,17 @@ def credit_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_budget(calls, 2000)
 
 
-QUERIES = {"rate_limit": rate_limit, "credit_budget": credit_budget}
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job states that the stream of events gives, run to its end: (host, state), a row a change."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: the stream source takes no single file
+    state = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ready' ELSE 'error' END")
+    changes = events.select(F.concat(F.lit("site"), F.col("user_id") % 40, F.lit(".com")).alias("host"), state.alias("state"), "ts")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellate-")
+    place = f"{shared.rstrip('/')}/job-states-{uuid.uuid4().hex}"
+    out = job_stream(changes).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema("host string, state string").parquet(f"{place}/out")
+
+
+QUERIES = {"rate_limit": rate_limit, "credit_budget": credit_budget, "job_state_stream": job_state_stream}
