@@ -123,11 +123,17 @@ def is_cruft(d: Dialect, p: str) -> str:
     return f"({d.rx(p, fixed.CRUFT)} OR {d.size(words)} >= 2)"
 
 
+def section_steps(d: Dialect, p: str, size: int = 12) -> list[str]:
+    """The rules of sections in order, some at a time: each step gives a section or null."""
+    rules = [(name, "|".join(f"(?:{x})" for x in patterns)) for name, patterns in [*fixed.SECTIONS, *fixed.FOREIGN_SECTIONS, *fixed.CATALOG_SECTIONS]]
+    cases = [f"WHEN {is_cruft(d, p)} THEN 'cms_cruft' WHEN {d.rx(p, fixed.DATED_POST)} THEN 'blog' WHEN {d.rx(p, fixed.DATED_ARCHIVE)} THEN 'author_tag_taxonomy'"]
+    cases += [f"WHEN {d.rx(p, pattern)} THEN {d.lit(name)}" for name, pattern in rules]
+    return [f"CASE {' '.join(cases[k : k + size])} END" for k in range(0, len(cases), size)]
+
+
 def section(d: Dialect, p: str) -> str:
     """The section of a path: the first rule that matches. Each rule is one alternation, so a row tries few patterns."""
-    rules = [(name, "|".join(f"(?:{x})" for x in patterns)) for name, patterns in [*fixed.SECTIONS, *fixed.FOREIGN_SECTIONS, *fixed.CATALOG_SECTIONS]]
-    first = f"WHEN {is_cruft(d, p)} THEN 'cms_cruft' WHEN {d.rx(p, fixed.DATED_POST)} THEN 'blog' WHEN {d.rx(p, fixed.DATED_ARCHIVE)} THEN 'author_tag_taxonomy'"
-    return f"CASE {first} " + " ".join(f"WHEN {d.rx(p, pattern)} THEN {d.lit(name)}" for name, pattern in rules) + " ELSE 'unclassified' END"
+    return f"coalesce({', '.join(section_steps(d, p))}, 'unclassified')"
 
 
 def shareable(d: Dialect, s: str) -> str:

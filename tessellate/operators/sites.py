@@ -108,8 +108,13 @@ FROM (SELECT *, {urls.locale_of(d, 'inner_lang', 'inner_region', 'langs')} AS in
 
 @relation
 def classified_url(d):
+    """Located URLs with section and canonical key. The rules are tried in steps, each a projection of its own, which keeps generated code small enough to compile."""
+    first, *steps = urls.section_steps(d, "norm_path")
+    rows = f"SELECT *, {first} AS found FROM url_located"
+    for step in steps:
+        rows = f"SELECT pos, loc, lastmod, host, path, locale, norm_path, CASE WHEN found IS NOT NULL THEN found ELSE {step} END AS found FROM ({rows})"
     return f"""
-SELECT *, {urls.section(d, 'norm_path')} AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM url_located"""
+SELECT pos, loc, lastmod, host, path, locale, norm_path, CASE WHEN found IS NOT NULL THEN found ELSE 'unclassified' END AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM ({rows})"""
 
 
 @query
