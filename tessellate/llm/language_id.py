@@ -26,9 +26,11 @@ from .storage import bound_batches, stored
 ORDER = 4
 #: A language's tree is fitted on a hash sample of about so many of its documents, fewer if there are fewer.
 TRAINING_DOCUMENTS = 1200
+#: And on so many of all languages together, so that the model stays bounded however many languages are named.
+TRAINING_TOTAL = 24_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-_BLOCK = 1 << 21  # bytes of text at a time
+_BLOCK = 1 << 19  # bytes of text at a time
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +132,11 @@ def trained(docs: DataFrame, keep: Column | None = None, bound: int = TRAINING_D
     rows = rows.filter("doc_id is not null and lang is not null and text is not null")
     if keep is not None:
         rows = rows.filter(keep)
-    share = {r[0]: min(1.0, bound / r[1]) for r in rows.groupBy("lang").count().collect()}  # a row a language
-    if not share:
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if not sizes:
         return Model([], [])
+    bound = max(1, min(bound, TRAINING_TOTAL // len(sizes)))
+    share = {k: min(1.0, bound / n) for k, n in sizes.items()}
     spark = docs.sparkSession
     limits = spark.createDataFrame([(k, int(v * (1 << 30))) for k, v in share.items()], "lang string, _limit long")
     sample = rows.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_limit")).select("lang", "text")
