@@ -93,6 +93,7 @@ def anchors(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rotated(fp: np.ndarray, start: int) -> np.ndarray:
+    start %= 64  # a piece of a region that runs over the last bit
     return fp if start == 0 else (fp >> np.uint64(start)) | (fp << np.uint64(64 - start))
 
 

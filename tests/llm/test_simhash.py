@@ -86,6 +86,36 @@ def test_hot_buckets_are_dealt_again(spark):
         assert groups([tuple(r) for r in S.links(df, 3, bucket).collect()]) == groups(true)
 
 
+def test_hot_buckets_at_a_wider_distance(spark):
+    rng = np.random.default_rng(5)
+    fps = {int(rng.integers(0, 2**62))}
+    for _ in range(3):
+        x = min(fps)
+        for _ in range(60):
+            for bit in rng.integers(0, 64, 3):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    fps = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(v,) for v in fps], "fp long")
+
+    def groups(pairs):
+        root = {v: v for v in fps}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return [find(v) for v in fps]
+
+    true = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) % 2**64).bit_count() <= 5]
+    for bucket in (4, 4096):
+        assert groups([tuple(r) for r in S.links(df, 5, bucket).collect()]) == groups(true)
+
+
 def test_empty_nulls_and_repeats(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(none).collect() == []
