@@ -26,8 +26,10 @@ from .graph import components
 from .storage import appended, bound_batches, stored
 
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
-#: Of similar_groups: fingerprints of the set of words within CANDIDATE bits are compared, texts of SIMILARITY or more link.
-CANDIDATE, SIMILARITY, CANDIDATE_PAIRWISE = 5, 0.8, 48
+#: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most.
+SIMILARITY, HOT, CHUNK, LEADERS = 0.8, 48, 1024, 64
+#: Shingles that ORDER_LEAST of about ORDER_TEXTS sampled texts hold come last in the order, ORDER_MOST of them at most; any order is exact.
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 1 << 18
 _CHUNK = 1 << 18
 
 
@@ -266,15 +268,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """SimHash of the set of words. Texts that share most five-word shingles differ in few of these bits."""
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-    if not len(hashes):
-        return 0
-    ones = sum(np.unpackbits(hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(hashes), _CHUNK))
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; of fewer words the whole sequence; of none nothing."""
     words = (text or "").encode().lower().split()
@@ -285,12 +278,8 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _described(texts: list[str | None]) -> list[pa.Array]:
-    fps, nodes = [], []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        fps.append(word_fingerprint(words))
-        nodes.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
-    return [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64))]
+    nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts]
+    return [pa.array(np.array(nodes, np.uint64).view(np.int64))]
 
 
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -311,33 +300,234 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = CANDIDATE) -> DataFrame:
-    """docs less all but one row of each group of similar texts: the one with the smallest id (nulls last), one of them if it repeats.
+def _overlap(n, similarity: float):
+    """The least overlap of a set of n with a similar one: of the union's shares both hold ``similarity``, and the union is n at least."""
+    return np.ceil(similarity * n - 1e-9)
+
+
+def _near(n: np.ndarray, other, similarity: float) -> np.ndarray:
+    """How many shingles two similar sets of n and ``other`` may have apart, at most."""
+    return (1 - similarity) / (1 + similarity) * (n + other) + 1e-9
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles in 1,024 classes. Two sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount(shingles.view(np.uint64).astype(np.int64) & 1023, minlength=1024) & 1).tobytes()
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a hash sample of texts holds often, sorted, and their counts. They only order the others; any order is exact."""
+    share = max(1, texts.count() // ORDER_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            if found:
+                value, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["token", "n"])
+
+    counts = texts.filter(F.pmod("node", F.lit(share)) == 0).select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "token").limit(ORDER_MOST).collect()
+    rows = sorted((r.token, r.n) for r in rows)
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def _prefixes(common, shingle: int, similarity: float):
+    """(node, text) -> a row for each of the rarest n - overlap + 1 shingles: similar sets share one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, count = common.value
+        for b in batches:
+            nodes, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for low in range(0, len(texts), 512):
+                out = []
+                for node, text in zip(nodes[low : low + 512], texts[low : low + 512]):
+                    h = shingle_set(text, shingle)
+                    n = len(h)
+                    if not n:
+                        continue
+                    rank = np.zeros(n, np.int64)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                        rank = np.where(often[at] == h, count[at], 0)
+                    first = np.lexsort((h, rank))[: n - int(_overlap(n, similarity)) + 1]
+                    k = len(first)
+                    out.append((h[first], np.full(k, node), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), rank[first] > 0))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["token", "node", "n", "pos", "hot"])
+
+    return run
+
+
+def _met(similarity: float):
+    """Rows sorted by (hot, token) -> candidates (a, b) of tokens with at most HOT rows; the rows of others as (node, null) with token, n."""
+
+    def pairs(token, node, n, pos) -> pa.RecordBatch:
+        left, right = [node[:0]], [node[:0]]
+        for shift in range(1, min(HOT, len(token))):
+            same = token[shift:] == token[:-shift]
+            if not same.any():
+                break
+            # at the first shingle that they share, no more can be shared than stands behind it
+            can = np.minimum(n[shift:] - pos[shift:], n[:-shift] - pos[:-shift]) >= similarity / (1 + similarity) * (n[shift:].astype(float) + n[:-shift]) - 1e-9
+            ok = same & can
+            left.append(node[:-shift][ok]), right.append(node[shift:][ok])
+        a, b = np.concatenate(left), np.concatenate(right)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.nulls(len(pair), pa.int64()), pa.nulls(len(pair), pa.int32())], ["a", "b", "token", "n"])
+
+    def passed_on(token, node, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(token), pa.array(n)], ["a", "b", "token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over = None, None  # over: a token that is being passed on
+        for b in batches:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            hot = cols.pop()
+            if hot.any():
+                yield passed_on(*(c[hot] for c in cols[:3]))
+                cols = [c[~hot] for c in cols]
+            if over is not None and len(cols[0]):
+                same = cols[0] == over
+                if same.any():
+                    yield passed_on(*(c[same] for c in cols[:3]))
+                    cols = [c[~same] for c in cols]
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            first = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            size = np.diff(np.r_[first, len(cols[0])])
+            many, some = np.repeat(size > HOT, size), np.repeat((size > 1) & (size <= HOT), size)
+            over = cols[0][-1] if size[-1] > HOT else None
+            last = np.arange(len(many)) >= first[-1]
+            held = None if over is not None else [c[last] for c in cols]
+            if many.any():
+                yield passed_on(*(c[many] for c in cols[:3]))
+            if (ready := some & ~last).any():
+                yield pairs(*(c[ready] for c in cols))
+        if held is not None and len(held[0]) > 1:
+            yield pairs(*held)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of equal (token, salt), the sketches as rows of words."""
+    held: list[pa.RecordBatch] = []
+
+    def one() -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        out = {k: t[k].to_numpy() for k in names}
+        out["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, 16)
+        return out
+
+    now = None
+    for b in batches:
+        token, salt = b.column("token").to_numpy(), b.column("salt").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]) if len(token) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(token)]):
+            if held and (token[lo], salt[lo]) != now:
+                yield one()
+                held.clear()
+            now = token[lo], salt[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield one()
 
-    Texts of the same words (case of A-Z and white space aside) are one node. Nodes whose word
-    fingerprints are within ``distance`` bits are candidates, found by the anchors; candidates link if
-    their shingle sets have the similarity. Texts without a word form one group.
+
+def _led(similarity: float):
+    """Rows of hot tokens -> candidates (a, b) of up to LEADERS leaders and the rows near them, and the leaders' rows with b null.
+
+    These only bring the large groups together early; _crossed misses nothing that they leave.
     """
-    rows = stored(appended(docs, text, {"_fp": "long", "_node": "long"}, _described).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row"))).alias("first")
-    nodes = stored(rows.groupBy(F.col("_node").alias("node")).agg(F.min("_fp").alias("fp"), first), "nodes")
-    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
-    pairs = links(heads.select("fp"), distance, pairwise=CANDIDATE_PAIRWISE)
-    by_fp = [heads.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "x"), ("b", "y"))]
-    across = pairs.join(by_fp[0], "a").join(by_fp[1], "b").select("x", "y")
-    within = nodes.join(heads.filter("n > 1").select("fp", "head"), "fp").filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-    edges = stored(across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", F.col("first._row").alias("_row"))
-    texts = rows.select("_row", F.col(text).alias("text")).join(places, "_row").select("node", "text")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["token", "node", "n"]):
+            rest, lead, edges = np.arange(len(g["node"])), [], []
+            while len(rest) and len(lead) < LEADERS:
+                x, rest = rest[0], rest[1:]
+                lead.append(x)
+                near = np.bitwise_count(g["sketch"][rest] ^ g["sketch"][x]).sum(axis=1) <= _near(g["n"][rest], g["n"][x], similarity)
+                edges += [(g["node"][x], y) for y in g["node"][rest[near]]]
+                rest = rest[~near]
+            a = [g["node"][x] for x in lead] + [e[0] for e in edges]
+            m, none = len(lead), [None] * len(edges)
+            cols = [pa.array(a, pa.int64()), pa.array([None] * m + [e[1] for e in edges], pa.int64())]
+            cols += [pa.array([*(int(g[k][x]) for x in lead), *none], kind) for k, kind in (("token", pa.int64()), ("n", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([*(g["sketch"][x].tobytes() for x in lead), *none], pa.binary())], ["a", "b", "token", "n", "sketch"])
+
+    return run
+
+
+def _crossed(similarity: float):
+    """Rows of hot tokens with their groups so far, asking or asked -> all candidates of different groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["node", "n", "comp", "asks"]):
+            asked, left, right = np.flatnonzero(g["asks"] == 0), [], []
+            for x in np.flatnonzero(g["asks"] == 1):
+                near = (g["comp"][asked] != g["comp"][x]) & (np.bitwise_count(g["sketch"][asked] ^ g["sketch"][x]).sum(axis=1) <= _near(g["n"][asked], g["n"][x], similarity))
+                y = g["node"][asked[near]]
+                left.append(np.minimum(y, g["node"][x])), right.append(np.maximum(y, g["node"][x]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return run
+
+
+def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """texts(node, text), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
+
+    Prefix filter: of each set the rarest shingles, so many that similar sets share one. A shingle of few texts gives all
+    its pairs. A hot one is dealt out in chunks: leaders first link its large groups, then all that is outside a shingle's
+    largest group meets every text of another group. Every link is a similarity computed on the whole sets.
+    """
+    spark = texts.sparkSession
+    bound_batches(spark)
+    common = spark.sparkContext.broadcast(_common(texts, shingle))
+    placed = texts.select("node", "text").mapInArrow(_prefixes(common, shingle, similarity), "token long, node long, n int, pos int, hot boolean")
+    dealt = placed.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token")
+    met = stored(dealt.mapInArrow(_met(similarity), "a long, b long, token long, n int"), "met")
+    small = met.filter("b is not null").select("a", "b").distinct()
+    counts = met.filter("b is null").groupBy("token").count().filter("count > 1").select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    hot = met.filter("b is null").select(F.col("a").alias("node"), "token", "n").join(counts, "token")
+    wanted = small.select(F.col("a").alias("node")).unionByName(small.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([shingle_set(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), found], ["node", "shingles"])
+            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([sketch(x) for x in found], pa.binary())], ["node", "shingles", "sketch"])
+
+    sets = stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(described, "node long, shingles array<long>, sketch binary"), "shingles")
+    hot = stored(hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(sets.select("node", "sketch"), "node"), "hot")
+    kind = "a long, b long, token long, n int, sketch binary"
+    led = stored(hot.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "node", "n", "sketch").mapInArrow(_led(similarity), kind), "led")
+    leaders = led.filter("b is null").select("token", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "sketch")
+    again = leaders.repartition("token").sortWithinPartitions("token").mapInArrow(_led(similarity), kind)
+    early = small.unionByName(led.unionByName(again).filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    linked = stored(_similar(early, sets, similarity), "linked")
+    grouped = stored(hot.join(components(linked), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "grouped")
+    largest = grouped.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    open_ = grouped.join(largest, "token")
+    columns = ["token", "salt", "node", "n", "comp", "asks", "sketch"]
+    asks = open_.filter("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(1))
+    both = open_.withColumn("asks", F.lit(0)).select(columns).unionByName(asks.select(columns))
+    crossed = both.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_crossed(similarity), "a long, b long").distinct()
+    return components(linked.unionByName(_similar(stored(crossed, "crossed"), sets, similarity)))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs less all but one row of each group of similar texts: the one with the smallest id (nulls last), one of them if it repeats.
 
-    sets = stored(texts.mapInArrow(shingled, "node long, shingles array<long>"), "shingles")
-    parts = components(_similar(edges, sets, similarity))
+    Texts of the same words (case of A-Z and white space aside) are one node. Nodes link if their
+    shingle sets have the similarity. Texts without a word form one group.
+    """
+    rows = stored(appended(docs, text, {"_node": "long"}, _described).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row"))).alias("first")
+    nodes = stored(rows.groupBy(F.col("_node").alias("node")).agg(first), "nodes")
+    texts = rows.select("_row", F.col("_node").alias("node"), F.col(text).alias("text")).join(nodes.select(F.col("first._row").alias("_row")), "_row", "left_semi")
+    parts = similar_links(texts.select("node", "text"), shingle, similarity)
     kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 

@@ -52,6 +52,37 @@ def test_one_of_each_against_brute_force(spark):
     assert want <= kept and len(kept - want) <= 0.05 * len(texts)  # no text without a similar one goes; candidates have a recall
 
 
+def kept_by(spark, texts):
+    return {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_short_near_copies_link(spark):
+    texts = []
+    for n in (20, 25, 30, 40, 60):
+        for k in range(20):
+            w = [f"t{n}x{k}y{i}" for i in range(n)]
+            texts += [" ".join(w), " ".join([*w[:-1], "changed"])]
+    assert kept_by(spark, texts) == brute_kept(texts) == set(range(0, len(texts), 2))
+
+
+def test_large_families_are_exact(spark, monkeypatch):
+    rnd = random.Random(21)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(120):  # some within reach of many, some of a few, some of none
+            w = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 3, 4])):
+                w[rnd.randrange(len(w))] = f"r{rnd.randrange(10**9)}"
+            texts.append(" ".join(w))
+    rnd.shuffle(texts)
+    want = brute_kept(texts)
+    assert kept_by(spark, texts) == want
+    for name, value in (("HOT", 4), ("CHUNK", 16), ("LEADERS", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    assert kept_by(spark, texts) == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b"), (4, None), (None, "c")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=str) == sorted([(3, "a b"), (4, None), (None, "c")], key=str)
