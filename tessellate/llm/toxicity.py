@@ -29,7 +29,7 @@ from .storage import bound_batches, stored
 
 #: The classifier is fitted on a hash sample of about so many labelled rows, fewer if there are fewer.
 TRAINING_ROWS = 40_000
-DRIFT, STRENGTH, LEAST_DOCS, LEAST_SCORE = 0.05, 4.0, 3, 1.5
+DRIFT, STRENGTH, LEAST_DOCS, LEAST_ODDS, LEAST_SCORE = 0.05, 4.0, 3, 3.0, 1.5
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -140,7 +140,7 @@ def fit(training: DataFrame) -> Model:
     if not yes or not no:
         return Model({}, {}, {}, rate, 1.0, _logit(rate), 0.0)
     # at most as many rows as the sample's toxic documents have features of their own
-    kept = counted.filter((F.col("feature") != "#") & (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) > 3 * rate)).collect()
+    kept = counted.filter((F.col("feature") != "#") & (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * no > LEAST_ODDS * F.col("clean") * yes)).collect()
     theta: dict[str, float] = {}
     tables: dict[str, dict[str, float]] = {"4": {}, "5": {}, "w": {}}
     mass: list[tuple[float, float]] = []
@@ -205,7 +205,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column, bound: int =
 
 
 def trained(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = TRAINING_ROWS, text: str = "text", doc_id: str = "doc_id") -> Model:
-    return fit(stored(training_rows(docs, labels, keep, bound, text, doc_id), "training"))
+    """The model of the sample; equal texts count once, with the label that most of them have."""
+    once = training_rows(docs, labels, keep, bound, text, doc_id).groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    return fit(stored(once, "training"))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

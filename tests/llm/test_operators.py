@@ -261,6 +261,24 @@ def test_code_lengths_by_hand():
                 counts[k][padded[i - k : i]][padded[i]] += 1
 
     def bits(context, byte):
+def common_toxicity(share, copies):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("bcdfgklmnprst", k=6)) for _ in range(200)]
+    texts = [(" ".join([*rnd.choices(words, k=30), *(rnd.choices(["vilest", "vileness"], k=3) if k < share * 300 else []), *rnd.choices(words, k=30)]), int(k < share * 300)) for k in range(300)]
+    return texts + [next(t for t in texts if t[1])] * copies
+
+
+@pytest.mark.parametrize(("share", "copies"), [(0.4, 0), (0.6, 0), (0.1, 400)])
+def test_toxicity_at_a_high_rate(spark, share, copies):
+    rows = [(i, *r) for i, r in enumerate(common_toxicity(share, copies))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    from pyspark.sql import functions as F
+
+    model = toxicity.trained(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    assert [int(model.probability(model.evidence(t)[0]) >= 0.5) for _, t, _ in rows] == [x for _, _, x in rows]
+    assert abs(model.rate - share) < 0.01
+
+
         out = 0.0
         for k in range(language_id.ORDER, -1, -1):
             seen = counts[k].get(context[len(context) - k :])
