@@ -157,20 +157,22 @@ def parse(data: bytes | None) -> Index:
     """Index of a stream. Null, empty or foreign bytes give an index without frames; whatever is no frame is skipped."""
     data = data or b""
     out, at, end = Index(), 0, len(data)
-    if data[-128:-125] == b"TAG" and end >= 128:
-        end -= 128
-        out.tags["TAG"] = data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").rstrip()
+    last = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end  # a tag only if no frame runs over it
     kbits, first = set(), True
     while at < end:
         if (after := _id3(data, at, out.tags)) > at:
             at = min(after, end)
             continue
+        if at == last:
+            out.tags["TAG"] = data[at + 3 : at + 33].split(b"\0")[0].decode("latin-1").rstrip()
+            break
         h = header(data[at : at + 4])
         stop = at + h.size if h else 0
-        follows = h and stop <= end and (stop == end or data[stop : stop + 3] == b"ID3" or (n := header(data[stop : stop + 4])) is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate))
+        follows = h and stop <= end and (stop in (last, end) or data[stop : stop + 3] == b"ID3" or (n := header(data[stop : stop + 4])) is not None and (n.version, n.layer, n.rate) == (h.version, h.layer, h.rate))
         if not follows:
             found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found
+            found = last if at < last < found else found
             if (tag := data.find(b"ID3", at + 1, found)) >= 0:
                 found = tag
             out.skipped += found - at

@@ -192,6 +192,20 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def test_audio_tag_letters_in_the_payload():
+    for n in range(129, 193):
+        for k in range(0, n - 3):
+            raw = mpeg_audio.padded("x" * k + "TAG" + "y" * (n - k - 3))
+            media = mpeg_audio.carry(raw)
+            x = mpeg_audio.parse(media)
+            assert mpeg_audio.payload(media, x) == raw and x.skipped == 0 and "TAG" not in x.tags
+    media = mpeg_audio.carry(b"payload " * 100)
+    tagged = mpeg_audio.parse(media + b"TAG" + b"A title".ljust(125, b"\0"))
+    assert tagged.tags["TAG"] == "A title" and tagged.frames == mpeg_audio.parse(media).frames
+    cut = mpeg_audio.parse(media[:-9] + b"TAG" + b"A title".ljust(125, b"\0"))
+    assert cut.tags["TAG"] == "A title" and cut.frames == tagged.frames[:-1]
+
+
 def test_quality_ledger(spark):
     rnd = random.Random(6)
     texts = odd_texts(100) + [" ".join(rnd.choice("abc") for _ in range(n)) for n in range(0, 60, 2)] + ["x y\nx y\n \nx y\n"]
