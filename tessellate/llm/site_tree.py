@@ -119,10 +119,11 @@ def blocks(page: str | None) -> list[Block]:
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m["attrs"])} if m["attrs"].strip(" /") else {}
         marks = [x for k in ("class", "id", "role") for x in _PART.findall(attrs.get(k, "").lower())]
         _, style, main, low = stack[-1] if stack else ("", "", False, False)
-        low = low or name in PLAIN_LOW or (name == "header" and not main) or any(x in MARKED_LOW for x in marks) or bool(m["attrs"] and _HIDDEN.search(m["attrs"]))
-        main = main or name in MAIN or attrs.get("role") == "main"
+        hidden, role = bool(m["attrs"] and _HIDDEN.search(m["attrs"])), attrs.get("role") == "main"
+        low = low or name in PLAIN_LOW or (name == "header" and not main) or any(x in MARKED_LOW for x in marks) or hidden
+        main = main or name in MAIN or role
         if not m["attrs"].endswith("/"):
-            stack.append((name, f"{style}/{name}" + "".join(f".{x}" for x in sorted(set(marks))), main, low))
+            stack.append((name, f"{style}/{name}" + "".join(f".{x}" for x in sorted(set(marks))) + "@" * role + "!" * hidden, main, low))
     close_block()
     return out
 
@@ -136,7 +137,7 @@ def _host(url: str):
 
 
 def site_trees(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """A row a host and style: (host, style_id, style, n_blocks, n_contents, diversity, linked, importance).
+    """A row a host and style, of which being hidden and being the main role are a part: (host, style_id, style, n_blocks, n_contents, diversity, linked, importance).
 
     A style seen once has diversity 1: nothing speaks against it.
     """

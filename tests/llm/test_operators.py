@@ -336,6 +336,14 @@ def test_main_text(spark):
     assert (got[50], got[51], got[52], got[53], got[54]) == ("", "", "plain text", "deep", "")
 
 
+def test_hidden_blocks_go_alone(spark):
+    for order in (1, -1):
+        parts = ["<p hidden>secret {0}</p>", "<p>seen {0}</p>", "<p style='display:none'>dark {0}</p>", "<p>read {0}</p>"][::order]
+        pages = spark.createDataFrame([(i, f"https://h.example/{i}", "<article>" + "".join(parts).format(i) + "</article>") for i in range(6)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in site_tree.extracted(pages).collect()}
+        assert got == {i: " ".join([f"seen {i}", f"read {i}"][::order]) for i in range(6)}
+
+
 def test_style_without_variety_goes(spark):
     page = "<html><body><div class='box'>Same on every page</div><div class='story'>Text %d here</div></body></html>"
     pages = spark.createDataFrame([(i, f"http://a.com/{i}", page % i) for i in range(12)], "page_id long, url string, html string")
