@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import released, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select("a", "b"), "edges")
     seen = None
     while True:
-        now = stored(_star(_star(now, True), False), "edges")
+        now = released(stored(_star(_star(now, True), False), "edges"), now)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

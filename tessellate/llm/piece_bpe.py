@@ -75,6 +75,7 @@ class PieceCodec:
         for v, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([v])
         self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.passing: list[str] = []
 
     @cached_property
     def spaces(self) -> tuple[int, int]:
@@ -180,16 +181,15 @@ class PieceCodec:
 
     def known(self, texts: list[list[str]]) -> dict[str, tuple[int, str, bytes]]:
         """word -> (number of ids, decimal ids joined, decoded bytes) for all words of a batch."""
+        for w in self.passing:  # long words are known for their own batch only
+            self.memo.pop(w, None)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         new = list({w for words in texts for w in words} - self.memo.keys())
-        found = dict(self.memo) if any(len(w) > MEMO_CHARS for w in new) else self.memo
+        self.passing = [w for w in new if len(w) > MEMO_CHARS]
         for w, ids in zip(new, self.encode_words(new)):
-            entry = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
-            found[w] = entry
-            if found is not self.memo and len(w) <= MEMO_CHARS:
-                self.memo[w] = entry
-        return found
+            self.memo[w] = len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids))
+        return self.memo
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, as the library gives them; null and empty: none."""

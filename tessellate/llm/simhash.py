@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import appended, bound_batches, stored
+from .storage import appended, bound_batches, fresh, stored
 
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
 #: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most.
@@ -180,7 +180,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, distance: int, pairwise: int) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linked(distance: int, bucket: int | None, pairwise: int):
+def _linked(distance: int, bucket: int, pairwise: int = PAIRWISE):
     """Rows sorted by key -> edges (a, b), and the rows of buckets over ``bucket`` for another round."""
 
     def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -215,16 +215,16 @@ def _linked(distance: int, bucket: int | None, pairwise: int):
                 cols = tuple(np.concatenate(x) for x in zip(*held, cols))
             last = int(np.flatnonzero(cols[0] == cols[0][-1])[0])
             ready, held = tuple(c[:last] for c in cols), [tuple(c[last:] for c in cols)]
-            if bucket and len(ready[0]):
+            if len(ready[0]):
                 first = np.flatnonzero(np.r_[True, ready[0][1:] != ready[0][:-1]])
                 size = np.diff(np.r_[first, len(ready[0])])
-                many = np.repeat((size > bucket), size) & (ready[2] > 0)
+                many = np.repeat(size > bucket, size)
                 if many.any():
                     yield passed_on(*(c[many] for c in ready))
                     ready = tuple(c[~many] for c in ready)
             if len(ready[0]):
                 yield edges(ready[0], ready[3])
-            if bucket and len(held[0][0]) > bucket and held[0][2][0] > 0:
+            if len(held[0][0]) > bucket:
                 yield passed_on(*held[0])
                 over, held = held[0][0][0], []
         if held:
@@ -233,22 +233,40 @@ def _linked(distance: int, bucket: int | None, pairwise: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, pairwise: int = PAIRWISE) -> DataFrame:
+def _tiled(over: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """over(key, fp): anchors that no bits are left to part. Each is cut into chunks, and every two chunks meet in a task of their own.
+
+    A linked pair lies in some tile, whose spanning forest connects it; so the forests together connect all that is linked.
+    """
+    chunks = over.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("chunks"))
+    dealt = over.join(chunks, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    placed = dealt.select(tile.alias("key"), F.lit(0).cast("smallint").alias("start"), F.lit(0).cast("smallint").alias("width"), "fp")
+    kind = "a long, b long, key long, start smallint, width smallint"
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(distance, 1 << 62), kind).select("a", "b")
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """distinct(fp) -> edges (a, b) that connect all fingerprints which links within ``distance`` bits connect.
 
-    An anchor of at most ``pairwise`` fingerprints gives all its links, a larger one spanning trees.
+    An anchor of at most PAIRWISE fingerprints gives all its links, a larger one spanning trees. One over ``bucket`` is
+    dealt again over the bits that are left, twice at most, and then in tiles: no task compares more than two chunks.
     """
     todo = distinct.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("smallint").alias("start"), F.lit(64).cast("smallint").alias("width"), "fp")
     found = None
     for level in range(3):
         placed = todo.mapInArrow(_replicas(distance), "key long, start smallint, width smallint, fp long")
         sorted_ = placed.repartition("key").sortWithinPartitions("key")
-        out = stored(sorted_.mapInArrow(_linked(distance, bucket if level < 2 else None, pairwise), "a long, b long, key long, start smallint, width smallint"), "links")
+        out = stored(sorted_.mapInArrow(_linked(distance, bucket), "a long, b long, key long, start smallint, width smallint"), "links")
         edges = out.filter("b is not null").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
-        todo = out.filter("b is null").select("key", "start", "width", F.col("a").alias("fp")).distinct()
-        if level == 2 or todo.isEmpty():
+        over = out.filter("b is null").select("key", "start", "width", F.col("a").alias("fp")).distinct()
+        if over.isEmpty():
             break
+        left = over if level == 2 else over.filter("width = 0")
+        found = found.unionByName(_tiled(left.select("key", "fp"), distance, bucket))
+        todo = over.filter("width > 0")
     return found.distinct()
 
 
@@ -277,15 +295,45 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64).view(np.int64))
 
 
-def _described(texts: list[str | None]) -> list[pa.Array]:
-    nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts]
-    return [pa.array(np.array(nodes, np.uint64).view(np.int64))]
+def _described(shingle: int):
+    """Texts -> the hash of their words (case of A-Z and white space aside) and their fingerprints."""
+
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts]
+        return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, [fingerprint(t, shingle) for t in texts])]
 
+    return run
 
-def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """edges(a, b) whose shingle sets have a Jaccard similarity of ``least`` or more. sets(node, shingles)."""
+
+def _sets(texts: DataFrame, edges: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, sketch, shingles) of the nodes in edges(a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "sketch", "shingles"])
+
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, n int, sketch binary, shingles array<long>"), "shingles")
+
+
+def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """edges(a, b) whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Sizes and sketches, some 130 bytes a node, reject most of the others before the sets move.
+    """
+    edges = stored(edges, "candidates")
+    sets = _sets(texts, edges, shingle)
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in (4, 5))
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = (np.bitwise_count(x ^ y).sum(axis=1) <= _near(n, m, least)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             left, right = (batch.column(k) for k in (2, 3))
@@ -295,9 +343,26 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    side = lambda key, **cols: sets.select(F.col("node").alias(key), *(F.col(v).alias(k) for k, v in cols.items()))
+    likely = edges.join(side("a", na="n", ka="sketch"), "a").join(side("b", nb="n", kb="sketch"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(plausible, "a long, b long")
+    return likely.join(side("a", sa="shingles"), "a").join(side("b", sb="shingles"), "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+
+
+def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Distinct edges(a, b) whose ends are in different groups so far. parts(node, root)."""
+    root = lambda key: parts.select(F.col("node").alias(key), F.col("root").alias(f"root_{key}"))
+    joined = edges.distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def anchored(texts: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """texts(node, fp) -> candidates (a, b): trees over the texts whose fingerprints the anchors bring together."""
+    heads = stored(texts.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    edges = links(heads.select("fp"), distance)
+    head = lambda key: heads.select(F.col("fp").alias(key), F.col("head").alias(f"head_{key}"))
+    across = edges.join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    same = texts.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(same)
 
 
 def _overlap(n, similarity: float):
@@ -443,19 +508,20 @@ def _led(similarity: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["token", "node", "n"]):
+        for g in _groups(batches, ["token", "node", "n", "comp"]):
             rest, lead, edges = np.arange(len(g["node"])), [], []
             while len(rest) and len(lead) < LEADERS:
                 x, rest = rest[0], rest[1:]
                 lead.append(x)
+                same = g["comp"][rest] == g["comp"][x]
                 near = np.bitwise_count(g["sketch"][rest] ^ g["sketch"][x]).sum(axis=1) <= _near(g["n"][rest], g["n"][x], similarity)
-                edges += [(g["node"][x], y) for y in g["node"][rest[near]]]
-                rest = rest[~near]
+                edges += [(g["node"][x], y) for y in g["node"][rest[near & ~same]]]
+                rest = rest[~near & ~same]
             a = [g["node"][x] for x in lead] + [e[0] for e in edges]
             m, none = len(lead), [None] * len(edges)
             cols = [pa.array(a, pa.int64()), pa.array([None] * m + [e[1] for e in edges], pa.int64())]
-            cols += [pa.array([*(int(g[k][x]) for x in lead), *none], kind) for k, kind in (("token", pa.int64()), ("n", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([*(g["sketch"][x].tobytes() for x in lead), *none], pa.binary())], ["a", "b", "token", "n", "sketch"])
+            cols += [pa.array([*(int(g[k][x]) for x in lead), *none], kind) for k, kind in (("token", pa.int64()), ("n", pa.int32()), ("comp", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([*(g["sketch"][x].tobytes() for x in lead), *none], pa.binary())], ["a", "b", "token", "n", "comp", "sketch"])
 
     return run
 
@@ -477,59 +543,65 @@ def _crossed(similarity: float):
 
 
 def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """texts(node, text), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
+    """texts(node, text, fp), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
 
-    Prefix filter: of each set the rarest shingles, so many that similar sets share one. A shingle of few texts gives all
-    its pairs. A hot one is dealt out in chunks: leaders first link its large groups, then all that is outside a shingle's
-    largest group meets every text of another group. Every link is a similarity computed on the whole sets.
+    Anchor-point covering comes first: texts whose fingerprints meet at an anchor are candidates, and the exact similarity
+    decides. That links most of what is alike. What fingerprints cannot see (a similarity of 0.8 may lie ten bits apart) is
+    completed by a prefix filter between the groups so far: of each set the rarest shingles, so many that similar sets share
+    one. A shingle of few texts gives all its pairs of different groups. A hot one is dealt out in chunks: leaders first
+    link its large groups, then all that is outside a shingle's largest group meets every text of another group.
     """
     spark = texts.sparkSession
     bound_batches(spark)
+    sure = stored(_similar(anchored(texts), texts, shingle, similarity), "linked")
+    parts = stored(components(sure), "parts")
     common = spark.sparkContext.broadcast(_common(texts, shingle))
     placed = texts.select("node", "text").mapInArrow(_prefixes(common, shingle, similarity), "token long, node long, n int, pos int, hot boolean")
     dealt = placed.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token")
     met = stored(dealt.mapInArrow(_met(similarity), "a long, b long, token long, n int"), "met")
-    small = met.filter("b is not null").select("a", "b").distinct()
+    small = _apart(met.filter("b is not null").select("a", "b"), parts)
     counts = met.filter("b is null").groupBy("token").count().filter("count > 1").select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     hot = met.filter("b is null").select(F.col("a").alias("node"), "token", "n").join(counts, "token")
-    wanted = small.select(F.col("a").alias("node")).unionByName(small.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([sketch(x) for x in found], pa.binary())], ["node", "shingles", "sketch"])
-
-    sets = stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(described, "node long, shingles array<long>, sketch binary"), "shingles")
-    hot = stored(hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(sets.select("node", "sketch"), "node"), "hot")
-    kind = "a long, b long, token long, n int, sketch binary"
-    led = stored(hot.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "node", "n", "sketch").mapInArrow(_led(similarity), kind), "led")
-    leaders = led.filter("b is null").select("token", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "sketch")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingle_set(t, shingle)) for t in b.column(1).to_pylist()], pa.binary())], ["node", "sketch"])
+
+    sketches = texts.join(hot.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sketched, "node long, sketch binary")
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(sketches, "node").join(parts, "node", "left")
+    hot = stored(hot.withColumn("comp", F.coalesce("root", "node")).drop("root"), "hot")
+    kind = "a long, b long, token long, n int, comp long, sketch binary"
+    led = stored(hot.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "node", "n", "comp", "sketch").mapInArrow(_led(similarity), kind), "led")
+    leaders = led.filter("b is null").select("token", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "comp", "sketch")
     again = leaders.repartition("token").sortWithinPartitions("token").mapInArrow(_led(similarity), kind)
-    early = small.unionByName(led.unionByName(again).filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    linked = stored(_similar(early, sets, similarity), "linked")
-    grouped = stored(hot.join(components(linked), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "grouped")
+    early = small.unionByName(_apart(led.unionByName(again).filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), parts)).distinct()
+    linked = stored(sure.unionByName(_similar(early, texts, shingle, similarity)), "linked")
+    now = stored(components(linked), "parts")
+    grouped = stored(hot.drop("comp").join(now, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "grouped")
     largest = grouped.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = grouped.join(largest, "token")
     columns = ["token", "salt", "node", "n", "comp", "asks", "sketch"]
     asks = open_.filter("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(1))
     both = open_.withColumn("asks", F.lit(0)).select(columns).unionByName(asks.select(columns))
     crossed = both.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_crossed(similarity), "a long, b long").distinct()
-    return components(linked.unionByName(_similar(stored(crossed, "crossed"), sets, similarity)))
+    return components(linked.unionByName(_similar(crossed, texts, shingle, similarity)))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs less all but one row of each group of similar texts: the one with the smallest id (nulls last), one of them if it repeats.
 
     Texts of the same words (case of A-Z and white space aside) are one node. Nodes link if their
-    shingle sets have the similarity. Texts without a word form one group.
+    shingle sets have the similarity. Texts without a word, null and empty ones, form one group.
+    An empty table gives an empty table. All columns of docs come back, whatever their names.
     """
-    rows = stored(appended(docs, text, {"_node": "long"}, _described).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row"))).alias("first")
-    nodes = stored(rows.groupBy(F.col("_node").alias("node")).agg(first), "nodes")
-    texts = rows.select("_row", F.col("_node").alias("node"), F.col(text).alias("text")).join(nodes.select(F.col("first._row").alias("_row")), "_row", "left_semi")
-    parts = similar_links(texts.select("node", "text"), shingle, similarity)
-    kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    node, fp, row = (fresh(docs, c) for c in ("_node", "_fp", "_row"))
+    rows = stored(appended(docs, text, {node: "long", fp: "long"}, _described(shingle)).withColumn(row, F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row"))).alias("first")
+    nodes = stored(rows.groupBy(F.col(node).alias("node")).agg(first), "nodes")
+    texts = rows.select(F.col(row).alias("row"), F.col(node).alias("node"), F.col(fp).alias("fp"), F.col(text).alias("text")).join(nodes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    parts = similar_links(texts.select("node", "text", "fp"), shingle, similarity)
+    kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hex16(fp: str = "fp"):

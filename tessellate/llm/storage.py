@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded in bytes, so that very long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Arrow batches are bounded in bytes, so that very long texts do not add up in a worker. A session's own smaller bounds stay.
+
+    Spark reads these settings when a plan starts, which is after the operator has returned, so they stay set.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+@lru_cache(maxsize=8)
+def _local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tessellate-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a folder of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessellate-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, upper and lower case alike: the name, with as many underscores as it takes."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -46,7 +66,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def appended(docs: DataFrame, text: str, new: dict[str, str], compute: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
-    """docs with the columns ``new`` (name -> type) computed from a text column, batch by batch; all rows and columns stay."""
+    """docs with the columns ``new`` (name -> type) computed from a text column, batch by batch; all rows and columns stay.
+
+    The names must be new to docs: take them from fresh().
+    """
     bound_batches(docs.sparkSession)
     if set(new) & set(docs.columns):
         raise ValueError(f"docs already has a column of {sorted(new)}")
@@ -60,13 +83,14 @@ def appended(docs: DataFrame, text: str, new: dict[str, str], compute: Callable[
     return docs.mapInArrow(run, schema)
 
 
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the stored table behind df, once nothing reads it any more."""
-    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+def released(out: DataFrame, *used: DataFrame) -> DataFrame:
+    """out, which is a stored table of its own, after the stored tables that went into it are deleted."""
+    ends = {f.rsplit("/", 2)[-2] for df in used for f in df.inputFiles()}
     for entry in list(_written):
-        if any(n.endswith(entry[1].rsplit("/", 1)[-1]) for n in names):
+        if entry[1].rsplit("/", 1)[-1] in ends:
             _delete(*entry)
             _written.remove(entry)
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -82,7 +82,7 @@ def test_hot_buckets_are_dealt_again(spark):
         return [find(r, int(v)) for v in fps.view(np.int64)]
 
     true = [(int(a), int(b)) for i, a in enumerate(fps.view(np.int64)) for b in fps.view(np.int64)[:i] if bin((int(a) ^ int(b)) % 2**64).count("1") <= 3]
-    for bucket in (4, 4096):
+    for bucket in (2, 4, 4096):
         assert groups([tuple(r) for r in S.links(df, 3, bucket).collect()]) == groups(true)
 
 
@@ -112,7 +112,7 @@ def test_hot_buckets_at_a_wider_distance(spark):
         return [find(v) for v in fps]
 
     true = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) % 2**64).bit_count() <= 5]
-    for bucket in (4, 4096):
+    for bucket in (2, 4, 4096):
         assert groups([tuple(r) for r in S.links(df, 5, bucket).collect()]) == groups(true)
 
 
