@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessellate.llm import language_id, packing, simhash, toxicity
 from tessellate.llm.queries import tokenizer_file
-from tessellate.llm.storage import appended, stored, table
+from tessellate.llm.storage import appended, fresh, stored, table
 
 TOXIC, SURE = 0.5, 0.5
 
@@ -24,7 +24,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def compute(texts: list[str | None]) -> list[pa.Array]:
         return [pa.array([held.value.probability(held.value.evidence(t)[0]) for t in texts], pa.float64())]
 
-    return appended(docs, "text", {"_toxicity": "double"}, compute).filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    score = fresh(docs, "_toxicity")
+    return appended(docs, "text", {score: "double"}, compute).filter(F.col(score) < TOXIC).drop(score)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         found = held.value.predict(texts)
         return [pa.array([name != language_id.UNDETERMINED and score >= SURE for name, score in found], pa.bool_())]
 
-    return appended(docs, "text", {"_speaks": "boolean"}, compute).filter("_speaks").drop("_speaks")
+    speaks = fresh(docs, "_speaks")
+    return appended(docs, "text", {speaks: "boolean"}, compute).filter(F.col(speaks)).drop(speaks)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
