@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 
@@ -325,14 +327,14 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.predicted(docs, none).collect()} == {"und"}
 
 
-PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><a href='/x'>Menu %d</a></nav><div class=\"ad\">Buy %d</div><article><h1>Head &amp; <b>bold</b></h1><p>One&nbsp;%d<br>two<p>three</p><div class='comments'>spam</div></article><div class='box'>All rights here</div><footer>&copy; x</footer></body></html>"
+PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><a href='/x'>Menu %d</a></nav><div class=\"ad\">Buy %d</div><article><h1>Head %d &amp; <b>bold</b></h1><p>One&nbsp;%d<br>two<p>three</p><div class='comments'>spam</div></article><div class='box'>All rights here</div><footer>&copy; x</footer></body></html>"
 
 
 def test_main_text(spark):
-    rows = [(i, f"https://h{i % 2}.com/{i}", PAGE % (i, i, i)) for i in range(20)] + [(50, None, None), (51, "nohost", ""), (52, "http://z.io", "plain <b>te</b>xt"), (53, "http://z.io/a", "<p>" * 3000 + "deep"), (54, "http://z.io/b", "<script>x")]
+    rows = [(i, f"https://h{i % 2}.com/{i}", PAGE % (i, i, i, i)) for i in range(20)] + [(50, None, None), (51, "nohost", ""), (52, "http://z.io", "plain <b>te</b>xt"), (53, "http://z.io/a", "<p>" * 3000 + "deep"), (54, "http://z.io/b", "<script>x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS host", "'z' AS text")
     got = {r.page_id: r.text for r in site_tree.extracted(pages).collect()}
-    assert all(got[i] == f"Head & bold One {i} two three" for i in range(20))
+    assert all(got[i] == f"Head {i} & bold One {i} two three" for i in range(20))
     assert (got[50], got[51], got[52], got[53], got[54]) == ("", "", "plain text", "deep", "")
 
 
@@ -344,10 +346,77 @@ def test_hidden_blocks_go_alone(spark):
         assert got == {i: " ".join([f"seen {i}", f"read {i}"][::order]) for i in range(6)}
 
 
-def test_style_without_variety_goes(spark):
-    page = "<html><body><div class='box'>Same on every page</div><div class='story'>Text %d here</div></body></html>"
-    pages = spark.createDataFrame([(i, f"http://a.com/{i}", page % i) for i in range(12)], "page_id long, url string, html string")
-    assert {r.text for r in site_tree.extracted(pages).collect()} == {f"Text {i} here" for i in range(12)}
+def pages_of(spark, pages, host="h.example"):
+    return spark.createDataFrame([(i, f"https://{host}/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+
+
+def texts_of(spark, pages):
+    return [r.text for r in sorted(site_tree.extracted(pages_of(spark, pages)).collect(), key=lambda r: r.page_id)]
+
+
+def test_branch_without_variety_goes(spark):
+    page = "<html><body><div class='box'>Same on every page<p>and <b>this</b></p></div><div class='story'>Text %d here</div></body></html>"
+    assert texts_of(spark, [page % i for i in range(12)]) == [f"Text {i} here" for i in range(12)]
+
+
+def test_entropy_overturns_class_words(spark):
+    rnd = random.Random(31)
+    story = lambda i: "".join(f"<p>Words {i} {k} {rnd.random()}</p>" for k in range(rnd.randint(2, 6)))
+    pages = [f"<body><div class='top'>Welcome to us<p>Menu of the house</p></div><div class='sidebar-note'>{story(i)}</div></body>" for i in range(10)]
+    want = [" ".join(re.findall("<p>(Words.*?)</p>", p)) for p in pages]
+    assert texts_of(spark, pages) == want  # the neutral branch is alike and goes, the marked one varies and stays
+    aside = [p.replace("<div class='sidebar-note'>", "<article><h1>T %d</h1></article><aside>" % i).replace("</p></div></body>", "</p></aside></body>") for i, p in enumerate(pages)]
+    long = [p.replace("<h1>", "<h1>" + " ".join(f"long{i}x{k}" for k in range(60))) for i, p in enumerate(aside)]
+    assert all("Words" not in t and "long" in t for t in texts_of(spark, long))  # with an article of its own the aside is one
+
+
+def test_repeated_branches_of_articles_go(spark):
+    pages = [f"<article><h1>Head {i}</h1><p>Body {i} says</p><div class='box'>Follow us for more</div></article>" for i in range(8)]
+    assert texts_of(spark, pages) == [f"Head {i} Body {i} says" for i in range(8)]
+    copies = ["<nav>x</nav><article><h1>One</h1><p>and the same</p></article>"] * 6
+    assert texts_of(spark, copies) == ["One and the same"] * 6
+    shell = [f"<main><p>Loading, please wait</p></main><div class='story'><p>The story {i}</p><p>goes on and on {i}</p></div>" for i in range(6)]
+    assert texts_of(spark, shell) == [f"The story {i} goes on and on {i}" for i in range(6)]
+
+
+def test_layout_words_and_wrappers(spark):
+    for wrap in ("<body class='has-sidebar'>{}</body>", "<body><div id='search-results'>{}</div></body>", "<div class='with-comments'>{}</div>", "<div class='notice'><main>{}</main></div>"):
+        pages = [wrap.format(f"<article><p>Text {i}</p></article>") for i in range(4)]
+        assert texts_of(spark, pages) == [f"Text {i}" for i in range(4)], wrap
+
+
+def test_importances_by_hand(spark):
+    rnd = random.Random(32)
+    pages = ["<div class='a'>" + "".join(f"<{t}>{rnd.choice('xyz')}{'<a href=q>link</a>' * rnd.randint(0, 1)}</{t}>" for t in rnd.choices(["p", "h2"], k=rnd.randint(1, 3))) + "</div>" for _ in range(20)]
+    got = {r.path: r for r in site_tree.site_trees(pages_of(spark, pages)).collect()}
+
+    def entropy(pages_with):  # value -> number of pages, as the definition has it
+        m = len(set().union(*pages_with.values())) if pages_with else 0
+        n = [len(p) for p in pages_with.values()]
+        return 1.0 if m <= 1 else -sum(x * (math.log(x) - math.log(m)) for x in n) / (sum(n) * math.log(m))
+
+    styles, contents, chars = {}, {}, {}
+    for k, p in enumerate(pages):
+        inner = re.findall(r"<(p|h2)>(.*?)</\1>", p)
+        if inner:
+            styles.setdefault("/div.a", {}).setdefault(tuple(t for t, _ in inner), set()).add(k)
+        for t, text in inner:
+            plain = text.replace("<a href=q>", "").replace("</a>", "")
+            contents.setdefault(f"/div.a/{t}", {}).setdefault(plain, set()).add(k)
+            c = chars.setdefault(f"/div.a/{t}", [0, 0])
+            c[0], c[1] = c[0] + len(plain), c[1] + len(plain) - 1
+            styles.setdefault(f"/div.a/{t}", {}).setdefault("#", set()).add(k)
+    presentation = {x: entropy(v) for x, v in styles.items()}
+    content = {x: entropy(v) * (1 - chars[x][1] / chars[x][0]) for x, v in contents.items()}
+    told = {x: 1 - site_tree.GAMMA ** len(v) for x, v in styles.items()}
+    for x in styles:
+        assert got[x].presentation == pytest.approx(presentation[x])
+    for x in contents:
+        assert got[x].content == pytest.approx(content[x])
+        assert got[x].importance == pytest.approx((told[x] * presentation[x] + content[x]) / (told[x] + 1))
+    n = {x: got[x].pages for x in got}
+    top = [(n["/div.a"], told["/div.a"], told["/div.a"] * presentation["/div.a"])] + [(n[x] * site_tree.GAMMA, told[x] + 1, told[x] * presentation[x] + content[x]) for x in contents]
+    assert got["/div.a"].importance == pytest.approx(sum(w * v for w, _, v in top) / sum(w * a for w, a, _ in top))
 
 
 def test_empty_tables(spark):
