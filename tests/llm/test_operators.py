@@ -233,10 +233,9 @@ def test_segments_are_all_maximal():
         return brute(x[:i]) + [(i, j - 1)] + [(a + j, b + j) for a, b in brute(x[j:])]
 
     for _ in range(150):
-        n, drift = rnd.randint(1, 24), 0.7
-        hits = [(i, round(rnd.uniform(0.8, 3), 3)) for i in range(n) if rnd.random() < 0.4]
-        x = [dict(hits).get(i, 0) - drift for i in range(n)]
-        assert [(hits[a][0], hits[b][0]) for a, b, _ in toxicity.segments(hits, drift)] == brute(x)
+        x = [round(rnd.uniform(0.1, 3) if rnd.random() < 0.4 else -rnd.uniform(0.1, 2), 3) for _ in range(rnd.randint(0, 24))]
+        assert [(a, b) for a, b, _ in toxicity.segments(x)] == brute(x)
+        assert all(s == pytest.approx(sum(x[a : b + 1])) for a, b, s in toxicity.segments(x))
 
 
 def test_toxicity_learns_and_finds(spark):
