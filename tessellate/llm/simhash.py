@@ -26,31 +26,44 @@ from .graph import components
 from .storage import appended, bound_batches, fresh, stored
 
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
-#: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most.
-SIMILARITY, HOT, CHUNK, LEADERS = 0.8, 48, 1024, 64
+#: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most;
+#: a text that FAN or more are compared with is sent to several tasks.
+SIMILARITY, HOT, CHUNK, LEADERS, FAN = 0.8, 48, 1024, 64, 512
 #: Shingles that ORDER_LEAST of about ORDER_TEXTS sampled texts hold come last in the order, ORDER_MOST of them at most; any order is exact.
 ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 1 << 18
 _CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text, repeats included; no word: 0."""
-    words = (text or "").encode().lower().split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of fewer words the whole sequence; of none nothing."""
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[shingle - 1 :].tolist()
     starts = starts[: len(ends)].tolist()
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; of none 0."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(ends), _CHUNK):
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(ends), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text, repeats included; no word: 0."""
+    return _majority(_hashes(_words(text), shingle, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -288,64 +301,94 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; of fewer words the whole sequence; of none nothing."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    return np.sort(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64).view(np.int64))
+    return np.unique(_hashes(_words(text), shingle).view(np.int64))
 
 
 def _described(shingle: int):
-    """Texts -> the hash of their words (case of A-Z and white space aside) and their fingerprints."""
+    """Texts -> the hash of their words (case of A-Z and white space aside), their fingerprints, shingles and sketches."""
 
     def run(texts: list[str | None]) -> list[pa.Array]:
-        nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts]
-        return [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, [fingerprint(t, shingle) for t in texts])]
+        node, fp, n, sketches = [], [], [], []
+        for t in texts:
+            words = _words(t)
+            hashes = _hashes(words, shingle)
+            distinct = np.unique(hashes)
+            node.append(xxhash.xxh64_intdigest(b" ".join(words), 7)), fp.append(_majority(hashes)), n.append(len(distinct)), sketches.append(sketch(distinct))
+        return [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array(n, pa.int32()), pa.array(sketches, pa.binary())]
 
     return run
 
 
-def _sets(texts: DataFrame, edges: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, sketch, shingles) of the nodes in edges(a, b)."""
+def _plausible(least: float):
+    """Rows (a, b, na, nb, ka, kb) -> the edges that sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "sketch", "shingles"])
-
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return stored(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, n int, sketch binary, shingles array<long>"), "shingles")
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in (4, 5))
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = (np.bitwise_count(x ^ y).sum(axis=1) <= _near(n, m, least)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
 
+    return run
 
-def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """edges(a, b) whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-    Sizes and sketches, some 130 bytes a node, reject most of the others before the sets move.
-    """
-    edges = stored(edges, "candidates")
-    sets = _sets(texts, edges, shingle)
+def _packed(shingle: int):
+    """Rows (a, salt, hub, node, text) -> the same with the shingle set in place of the text, five bytes a shingle."""
 
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, packed = None, b""
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in (4, 5))
-            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ok = (np.bitwise_count(x ^ y).sum(axis=1) <= _near(n, m, least)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
+            out = []
+            for node, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if node != last:
+                    last, packed = node, np.unique(_hashes(_words(text), shingle) & np.uint64(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                out.append(packed)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], ["a", "salt", "hub", "node", "shingles"])
+
+    return run
+
+
+def _confirmed(least: float):
+    """Rows sorted by (a, salt), the hub first -> edges (a, node) of the similarity or more."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return out.view(np.uint64).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for batch in batches:
-            keep = []
-            left, right = (batch.column(k) for k in (2, 3))
-            for x, y in zip(left, right):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for a, is_hub, node, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                x = unpacked(raw)
+                if is_hub:
+                    hub = x
+                    continue
+                both = len(np.intersect1d(hub, x, assume_unique=True))
+                if both >= least * (len(hub) + len(x) - both):
+                    left.append(a), right.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    side = lambda key, **cols: sets.select(F.col("node").alias(key), *(F.col(v).alias(k) for k, v in cols.items()))
-    likely = edges.join(side("a", na="n", ka="sketch"), "a").join(side("b", nb="n", kb="sketch"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(plausible, "a long, b long")
-    return likely.join(side("a", sa="shingles"), "a").join(side("b", sb="shingles"), "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return run
+
+
+def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """edges(a, b) of the nodes of texts(node, text, n, sketch) whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Sizes and sketches, some 130 bytes a node, reject most of the others. Of the rest each b travels to its a once, and
+    a's with over FAN of them are dealt out. Shingles are compared by 40 bits of their hash, which texts of under a million words
+    tell apart to less than one in each comparison.
+    """
+    side = lambda key: texts.select(F.col("node").alias(key), F.col("n").alias(f"n{key}"), F.col("sketch").alias(f"k{key}"))
+    rough = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_plausible(least), "a long, b long")
+    likely = stored(rough, "likely")
+    fans = likely.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts"))
+    dealt = likely.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"), F.col("b").alias("node"))
+    hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"), F.col("a").alias("node"))
+    asked = stored(dealt.unionByName(hubs), "asked")
+    sent = texts.select("node", "text").join(asked, "node").select("a", "salt", "hub", "node", "text").mapInArrow(_packed(shingle), "a long, salt int, hub boolean, node long, shingles binary")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub")).mapInArrow(_confirmed(least), "a long, b long")
 
 
 def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -543,7 +586,7 @@ def _crossed(similarity: float):
 
 
 def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """texts(node, text, fp), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
+    """texts(node, text, fp, n, sketch), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
 
     Anchor-point covering comes first: texts whose fingerprints meet at an anchor are candidates, and the exact similarity
     decides. That links most of what is alike. What fingerprints cannot see (a similarity of 0.8 may lie ten bits apart) is
@@ -563,12 +606,7 @@ def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     counts = met.filter("b is null").groupBy("token").count().filter("count > 1").select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     hot = met.filter("b is null").select(F.col("a").alias("node"), "token", "n").join(counts, "token")
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingle_set(t, shingle)) for t in b.column(1).to_pylist()], pa.binary())], ["node", "sketch"])
-
-    sketches = texts.join(hot.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sketched, "node long, sketch binary")
-    hot = hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(sketches, "node").join(parts, "node", "left")
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(texts.select("node", "sketch"), "node").join(parts, "node", "left")
     hot = stored(hot.withColumn("comp", F.coalesce("root", "node")).drop("root"), "hot")
     kind = "a long, b long, token long, n int, comp long, sketch binary"
     led = stored(hot.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "node", "n", "comp", "sketch").mapInArrow(_led(similarity), kind), "led")
@@ -594,12 +632,14 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     shingle sets have the similarity. Texts without a word, null and empty ones, form one group.
     An empty table gives an empty table. All columns of docs come back, whatever their names.
     """
-    node, fp, row = (fresh(docs, c) for c in ("_node", "_fp", "_row"))
-    rows = stored(appended(docs, text, {node: "long", fp: "long"}, _described(shingle)).withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = {c: fresh(docs, f"_{c}") for c in ("node", "fp", "n", "sketch", "row")}
+    node, row = own["node"], own["row"]
+    new = {own["node"]: "long", own["fp"]: "long", own["n"]: "int", own["sketch"]: "binary"}
+    rows = stored(appended(docs, text, new, _described(shingle)).withColumn(row, F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row"))).alias("first")
     nodes = stored(rows.groupBy(F.col(node).alias("node")).agg(first), "nodes")
-    texts = rows.select(F.col(row).alias("row"), F.col(node).alias("node"), F.col(fp).alias("fp"), F.col(text).alias("text")).join(nodes.select(F.col("first.row").alias("row")), "row", "left_semi")
-    parts = similar_links(texts.select("node", "text", "fp"), shingle, similarity)
+    texts = rows.select(*(F.col(v).alias(k) for k, v in own.items()), F.col(text).alias("text")).join(nodes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    parts = similar_links(texts.drop("row"), shingle, similarity)
     kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
