@@ -13,12 +13,9 @@ and rank decide sequence and offset by a binary search in the plan.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +24,9 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked
 from .storage import bound_batches, stored
-from .token_count import WHITE
+from .word_bpe import word_ids
 
 CAPACITY = 4096
-MEMO, MEMO_CHARS, AT_ONCE = 1 << 19, 48, 4096
-_ODD = re.compile("[\x1c-\x1f]")
-_WORD = re.compile(f"[^{WHITE}]+")
-
-
-class WordIds:
-    """Ids of a tokenizer that drops white space: the ids of a text are those of its words."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation(), self.model.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.passing: list[str] = []
-        special = [(i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
-        self.mark_id, self.mark = max(special, default=(-1, None))
-
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        memo, held = self.memo, [_WORD.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        for w in self.passing:  # long words are known for their own batch only
-            memo.pop(w, None)
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for words in held for w in words} - memo.keys())
-        self.passing = [w for w in new if len(w) > MEMO_CHARS]
-        for low in range(0, len(new), AT_ONCE):
-            part = new[low : low + AT_ONCE]
-            memo.update(zip(part, self.encoded(part)))
-        return (b"".join([memo[w] for w in words]) for words in held)
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. One call for all: the words are joined by a special string, whose id parts them again."""
-        if self.mark is None or any(self.mark in w for w in words):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array(self.model.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
-        at, raw = np.flatnonzero(ids == self.mark_id), ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)])]
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, separator: int = 2, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tessellate.llm import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, site_tree, token_count, toxicity  # noqa: E402
+from tessellate.llm import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, site_tree, token_count, toxicity, word_bpe  # noqa: E402
 
 ODD = [None, "", " ", "\n\n", "a", "a", "  two  spaces\tand\ttabs \n", "ﬁ Å é 　x ▁y", "日本語🎉" * 50, "a\x00b\x1cc\x85d\xa0e", "<s>x</s><unk><|endoftext|> y \n<|endoftext|>", " " * 700 + "the", "x" * 3000, "the idiot " * 2000, "don't we'll ΣΑΣ 12 345"]
 
@@ -73,6 +73,26 @@ def test_token_counts(spark, name):
     assert [got[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
 
 
+def test_word_ids_are_the_librarys(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(41)
+    lib, own = Tokenizer.from_file(path), word_bpe.WordIds(path)
+    monkeypatch.setattr(word_bpe, "MEMO", 400)
+    letters = "aaeeinrstthoüéñÇßİĀſµª0129.,;!?<>|-_&''"
+    entries = [t.removesuffix("</w>") for t in lib.get_vocab()]
+    words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(3000)] + [rnd.choice(entries) + rnd.choice(entries) for _ in range(3000)]
+    words += ["don't", "WE'LL", "'S", "x'Sy", "<|endoftext|>", "a<|endoftext|>b", "<|endof", "\x01", "a\x01b", "ΣΑΣ", "Å", "e\u0301", "long" * 40]
+    assert own.encoded(words) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(words, add_special_tokens=False)]
+    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(40)] + odd_texts(100)
+    for low in range(0, len(texts), 7):
+        part = texts[low : low + 7]
+        assert list(own.packed([t or "" for t in part])) == [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+    assert not word_bpe.reached(["a", "b"], {}) and word_bpe.reached(["a", "b", "c"], {("b", "c"): 0, ("a", "bc"): 1})
+    with pytest.raises(ValueError):
+        word_bpe.PlainWords({"a": 0}, [])
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
