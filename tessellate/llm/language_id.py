@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ ORDER = 4
 TRAINING_DOCUMENTS = 1200
 #: And on so many of all languages together, so that the model stays bounded however many languages are named.
 TRAINING_TOTAL = 24_000
+#: So many bytes of text of all languages together, and so many different strings of ORDER + 1 bytes.
+TRAINING_BYTES, MODEL_STRINGS = 64 << 20, 4_000_000
 UNDETERMINED = "und"
+_SHARE = 1 << 30
 _LETTER = regex.compile(r"\p{L}")
 _BLOCK = 1 << 19  # bytes of text at a time
 
@@ -121,25 +125,27 @@ class Model:
         return out
 
 
-def trained(docs: DataFrame, keep: Column | None = None, bound: int = TRAINING_DOCUMENTS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """A model of the languages named in docs, from the rows for which ``keep`` holds.
+def trained(docs: DataFrame, keep: Column | None = None, bound: int = TRAINING_DOCUMENTS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = MODEL_STRINGS) -> Model:
+    """A model of the languages named in docs, from the rows for which ``keep`` holds; every one of them with a text in the sample is learned.
 
-    Rows without text, language or id teach nothing. The strings that occur once in a language's sample are
-    dropped, unless that leaves none. Counts, one row a string, are all that reaches the driver; the sample bounds them.
+    Rows without text, language or id teach nothing. The sample is bounded in documents and in bytes, and so are the strings
+    of ORDER + 1 bytes: a language with more than its share of ``most`` leaves out its rarest counts, but never all.
+    A language whose documents the sample misses takes its smallest document by hash. An empty table gives a model of no language.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("doc_id is not null and lang is not null and text is not null")
     if keep is not None:
         rows = rows.filter(keep)
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_SHARE))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(place).alias("first")).collect()  # a row a language
     if not sizes:
         return Model([], [])
-    bound = max(1, min(bound, TRAINING_TOTAL // len(sizes)))
-    share = {k: min(1.0, bound / n) for k, n in sizes.items()}
+    bound, size = max(1, min(bound, TRAINING_TOTAL // len(sizes))), max(1, TRAINING_BYTES // len(sizes))
+    limit = {r.lang: max(int(_SHARE * min(1.0, bound / r.n, size / max(r.bytes, 1))), r["first"] + 1) for r in sizes}
     spark = docs.sparkSession
-    limits = spark.createDataFrame([(k, int(v * (1 << 30))) for k, v in share.items()], "lang string, _limit long")
-    sample = rows.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_limit")).select("lang", "text")
+    limits = spark.createDataFrame(list(limit.items()), "lang string, _limit long")
+    sample = rows.join(F.broadcast(limits), "lang").filter(place < F.col("_limit")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,12 +157,30 @@ def trained(docs: DataFrame, keep: Column | None = None, bound: int = TRAINING_D
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
 
     counted = stored(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    found = counted.filter("n > 1").toPandas()
-    if not len(found):
-        found = counted.toPandas()
-    names = sorted(found["lang"].unique())
-    parts = dict(list(found.groupby("lang")))
-    return Model(names, [Tree.of(parts[x]["gram"].to_numpy(np.int64), parts[x]["n"].to_numpy(float)) for x in names])
+    least = _least_counts(counted.groupBy("lang", "n").count().collect(), max(1, most // len(sizes)))
+    cuts = spark.createDataFrame(list(least.items()), "lang string, _least long")
+    found = counted.join(F.broadcast(cuts), "lang").filter("n >= _least").select("lang", "gram", "n").toArrow() if least else None
+    trees = {}
+    for name in sorted(least):
+        part = found.filter(pc.equal(found["lang"], name))
+        trees[name] = Tree.of(part["gram"].to_numpy(), part["n"].to_numpy().astype(float))
+    return Model(list(trees), list(trees.values()))
+
+
+def _least_counts(rows: list, most: int) -> dict[str, int]:
+    """Rows (lang, n, count) -> by language the least n with at most ``most`` strings of n or more; the largest n if all are too many."""
+    by: dict[str, list[tuple[int, int]]] = {}
+    for lang, n, count in rows:
+        by.setdefault(lang, []).append((n, count))
+    out = {}
+    for lang, counts in by.items():
+        total, out[lang] = 0, max(counts)[0]
+        for n, count in sorted(counts, reverse=True):
+            total += count
+            if total > most:
+                break
+            out[lang] = n
+    return out
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

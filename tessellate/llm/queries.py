@@ -16,45 +16,59 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: (doc_id, fingerprint, component_id). Null and empty texts share fingerprint 0 and one group; repeated rows stay."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents: (doc_id, n_tokens, ids_sha256, decoded_sha256). A null text is an empty one: no ids; repeated rows stay."""
     return piece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards under the law ``bytes``; equal texts stay together, null and empty ones are equal; repeated rows get slots of their own."""
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4,096 tokens: a row a piece. A null or empty text is the separator alone; repeated rows are packed as often as they stand."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), separator=2, capacity=4096)
 
 
 def remainder(doc_id: str, parts: int):
+    """The fold of a document: the CRC-32 of its id as text; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
 
 
+def held_out(parts: int, fold: int):
+    """Is a document kept from training? One without an id is never trained on, and is in no fold: false."""
+    return F.coalesce(remainder("doc_id", parts) == fold, F.lit(False)).alias("held_out")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: (doc_id, held_out, score, predicted, n_segments). Null and empty texts get the lowest score; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     found = toxicity.scored(docs, model)
-    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_segments")
+    return found.select("doc_id", held_out(5, 0), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_segments")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents: (doc_id, held_out, lang_pred, score). Texts without a letter are ``und``; ties go to the first name; a null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.trained(docs, remainder("doc_id", 4) != 2)
-    return language_id.predicted(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.predicted(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages: (page_id, url, text, n_chars). Null and empty pages have no text; repeated rows stay."""
     found = site_tree.extracted(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents. A null text measures like an empty one and fails the base rules; repeated rows stay."""
     book = quality.ledger(table(spark, sf_dir, "documents"))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"),
@@ -63,10 +77,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as MPEG audio and read back. A null text is an empty one: 64 zero bytes; repeated rows stay."""
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents: (doc_id, n_bytes, n_tokens, over_limit). A null text counts 0 and 0; repeated rows stay."""
     found = token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 

@@ -10,9 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tessellate.llm import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, site_tree, token_count, toxicity, word_bpe  # noqa: E402
+from tessellate.llm import language_id, mpeg_audio, packing, piece_bpe, quality, queries, sharding, site_tree, token_count, toxicity, word_bpe  # noqa: E402
 
 ODD = [None, "", " ", "\n\n", "a", "a", "  two  spaces\tand\ttabs \n", "ﬁ Å é 　x ▁y", "日本語🎉" * 50, "a\x00b\x1cc\x85d\xa0e", "<s>x</s><unk><|endoftext|> y \n<|endoftext|>", " " * 700 + "the", "x" * 3000, "the idiot " * 2000, "don't we'll ΣΑΣ 12 345"]
 
@@ -269,8 +270,6 @@ def test_toxicity_learns_and_finds(spark):
         rows.append((i, " ".join(text), int(i % 4 == 0)))
     docs = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(None, None), (900, None), (901, ""), (902, "vilesome vilest vile")], "doc_id long, text string")
     labels = spark.createDataFrame([(a, c) for a, _, c in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
-    from pyspark.sql import functions as F
-
     model = toxicity.trained(docs, labels, F.col("doc_id") % 5 != 0)
     got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
     assert all((got[a].score >= 0.5) == bool(c) for a, _, c in rows)
@@ -293,11 +292,9 @@ def common_toxicity(share, copies):
 def test_toxicity_at_a_high_rate(spark, share, copies):
     rows = [(i, *r) for i, r in enumerate(common_toxicity(share, copies))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    from pyspark.sql import functions as F
-
     model = toxicity.trained(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
     assert [int(model.probability(model.evidence(t)[0]) >= 0.5) for _, t, _ in rows] == [x for _, _, x in rows]
-    assert abs(model.rate - share) < 0.01
+    assert abs(model.rate - share) < 0.03  # of the three quarters that the scores are counted on
 
 
 def test_code_lengths_by_hand():
@@ -346,6 +343,22 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.predicted(docs, none).collect()} == {"und"}
 
 
+def test_a_language_of_one_short_text_is_learned(spark):
+    rows = [(i, f"some english words again {i}", "en") for i in range(30)] + [(50, "abcdefgh", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.trained(docs).languages == ["en", "zz"]
+    assert language_id.trained(docs, bound=1, most=20).languages == ["en", "zz"]  # however small the bounds
+    same = spark.createDataFrame([(1, "abc", "y"), (2, "abc", "x")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.predicted(same, language_id.trained(same)).collect()] == ["x", "x"]  # a tie
+    none = language_id.trained(docs.limit(0))
+    assert none.languages == [] and language_id.predicted(docs.limit(0), none).collect() == []
+
+
+def test_least_counts():
+    rows = [("a", 1, 100), ("a", 2, 30), ("a", 5, 3), ("b", 1, 4), ("c", 7, 50)]
+    assert language_id._least_counts(rows, 40) == {"a": 2, "b": 1, "c": 7}
+
+
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><a href='/x'>Menu %d</a></nav><div class=\"ad\">Buy %d</div><article><h1>Head %d &amp; <b>bold</b></h1><p>One&nbsp;%d<br>two<p>three</p><div class='comments'>spam</div></article><div class='box'>All rights here</div><footer>&copy; x</footer></body></html>"
 
 
@@ -438,12 +451,44 @@ def test_importances_by_hand(spark):
     assert got["/div.a"].importance == pytest.approx(sum(w * v for w, _, v in top) / sum(w * a for w, a, _ in top))
 
 
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "one two words"), (None, None), (5, "one two words"), (5, "one two words"), (5, ""), (7, "ünï code<|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS rest", "3 AS n", "4 AS pretoken", "5 AS node", "6 AS host")
+    ids = sorted((r[0] for r in rows), key=str)
+    found = {
+        "pieces": piece_bpe.digests(docs, public_tokenizers.path("piece_bpe_32k.model")), "shards": sharding.sharded(docs), "quality": quality.ledger(docs), "audio": mpeg_audio.digests(docs),
+        "tokens": token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), frequent=1), "packed": packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")),
+        "toxic": toxicity.scored(docs, toxicity.Model({}, {}, {}, 0.5, 1.0)), "languages": language_id.predicted(docs, language_id.trained(docs.withColumn("lang", F.lit("q")))),
+    }
+    for name, df in found.items():
+        assert sorted((r.doc_id for r in df.collect()), key=str) == ids, name
+    counts = {(r.doc_id, r.n_bytes): r.n_tokens for r in found["tokens"].collect()}
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(counts[k, len((t or "").encode())] == len(lib.encode(t or "", add_special_tokens=False).ids) for k, t in rows)
+    pages = spark.createDataFrame([(None, None, "<p>x</p>"), (None, None, "<p>x</p>"), (1, "https://a.b/", None)], "page_id long, url string, html string")
+    assert sorted(((r.page_id, r.text) for r in site_tree.extracted(pages).collect()), key=str) == sorted([(None, "x"), (None, "x"), (1, "")], key=str)
+
+
+def test_queries_without_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "some text here", "en"), (1, "more text there", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op5_toxicity", "op9_language_id"):
+        found = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(found) == 3 and all(r.held_out is not None for r in found)
+
+
 def test_empty_tables(spark):
     docs = table(spark, ["x"]).limit(0)
     assert piece_bpe.digests(docs, public_tokenizers.path("piece_bpe_32k.model")).collect() == []
     assert packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).collect() == []
     assert sharding.sharded(docs).collect() == []
     assert mpeg_audio.digests(docs).collect() == []
+    assert token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
+    model = toxicity.trained(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.scored(docs, model).collect() == [] and language_id.trained(docs.withColumn("lang", F.lit("q"))).languages == []
     assert quality.ledger(docs).collect() == [] and language_id.predicted(docs, language_id.Model([], [])).collect() == []
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert site_tree.extracted(pages).collect() == []
