@@ -39,7 +39,7 @@ TRAINING_ROWS = 40_000
 FOLDS, LEAST_FOLD = 4, 20
 DRIFT, STRENGTH, LEAST_DOCS, LEAST_ODDS, LEAST_SCORE, SURE, SIGNIFICANT = 0.05, 4.0, 3, 3.0, 1.5, 2.0, 0.01
 _TOKEN = re.compile(r"[^\W\d_]+")
-_CACHED = 1 << 18
+_CACHED = 1 << 16
 
 
 class Scores(dict):
