@@ -28,7 +28,7 @@ from .storage import appended, bound_batches, fresh, stored
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
 #: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most;
 #: a text that FAN or more are compared with is sent to several tasks.
-SIMILARITY, HOT, CHUNK, LEADERS, FAN = 0.8, 48, 1024, 64, 512
+SIMILARITY, HOT, CHUNK, LEADERS, FAN, SEEN, BITMAP = 0.8, 48, 1024, 64, 512, 1 << 19, 1 << 17
 #: Shingles that ORDER_LEAST of about ORDER_TEXTS sampled texts hold come last in the order, ORDER_MOST of them at most; any order is exact.
 ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 1 << 18
 _CHUNK = 1 << 18
@@ -324,9 +324,13 @@ def _plausible(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 16) for k in (4, 5))
             n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ok = (np.bitwise_count(x ^ y).sum(axis=1) <= _near(n, m, least)) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
+            ok = np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9
+            most = _near(n, m, least)
+            left, right = b.column(4).to_pylist(), b.column(5).to_pylist()
+            for k in np.flatnonzero(ok):
+                size = min(len(left[k]), len(right[k]))
+                ok[k] = np.bitwise_count(folded(left[k], size) ^ folded(right[k], size)).sum() <= most[k]
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -373,22 +377,31 @@ def _confirmed(least: float):
     return run
 
 
-def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """edges(a, b) of the nodes of texts(node, text, n, sketch) whose shingle sets have a Jaccard similarity of ``least`` or more.
+def _only(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """texts whose row may be one of asked(row): by a bitmap of BITMAP words of 64 bits, which is what is broadcast at any size."""
+    word = lambda row: F.pmod(F.shiftright(F.xxhash64(row), 6), F.lit(BITMAP))
+    bits = asked.groupBy(word("row").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(row), 64) as int)))").alias("bits"))
+    held = texts.withColumn("word", word("row")).join(F.broadcast(bits), "word")
+    return held.filter(F.expr("shiftright(bits, cast(pmod(xxhash64(row), 64) as int)) & 1 = 1")).drop("word", "bits")
+
+
+def _similar(edges: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """edges(a, b) between nodes whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     Sizes and sketches, some 130 bytes a node, reject most of the others. Of the rest each b travels to its a once, and
-    a's with over FAN of them are dealt out. Shingles are compared by 40 bits of their hash, which texts of under a million words
-    tell apart to less than one in each comparison.
+    a's with over FAN of them are dealt out; no other text moves. Shingles are compared by 40 bits of their hash, which
+    for texts of under a million words is wrong by less than one shingle a comparison.
     """
-    side = lambda key: texts.select(F.col("node").alias(key), F.col("n").alias(f"n{key}"), F.col("sketch").alias(f"k{key}"))
+    side = lambda key: nodes.select(F.col("node").alias(key), F.col("n").alias(f"n{key}"), F.col("sketch").alias(f"k{key}"))
     rough = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_plausible(least), "a long, b long")
     likely = stored(rough, "likely")
     fans = likely.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts"))
     dealt = likely.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(False).alias("hub"), F.col("b").alias("node"))
     hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("hub"), F.col("a").alias("node"))
-    asked = stored(dealt.unionByName(hubs), "asked")
-    sent = texts.select("node", "text").join(asked, "node").select("a", "salt", "hub", "node", "text").mapInArrow(_packed(shingle), "a long, salt int, hub boolean, node long, shingles binary")
-    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub")).mapInArrow(_confirmed(least), "a long, b long")
+    asked = stored(dealt.unionByName(hubs).join(nodes.select("node", "row"), "node"), "asked")
+    sent = _only(texts.select("row", "text"), asked).join(asked, "row").select("a", "salt", "hub", "node", "text")
+    sets = sent.mapInArrow(_packed(shingle), "a long, salt int, hub boolean, node long, shingles binary")
+    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub")).mapInArrow(_confirmed(least), "a long, b long")
 
 
 def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -398,13 +411,13 @@ def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def anchored(texts: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """texts(node, fp) -> candidates (a, b): trees over the texts whose fingerprints the anchors bring together."""
-    heads = stored(texts.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+def anchored(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """nodes(node, fp) -> candidates (a, b): trees over the texts whose fingerprints the anchors bring together."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     edges = links(heads.select("fp"), distance)
     head = lambda key: heads.select(F.col("fp").alias(key), F.col("head").alias(f"head_{key}"))
     across = edges.join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    same = texts.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    same = nodes.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     return across.unionByName(same)
 
 
@@ -419,13 +432,25 @@ def _near(n: np.ndarray, other, similarity: float) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles in 1,024 classes. Two sketches differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount(shingles.view(np.uint64).astype(np.int64) & 1023, minlength=1024) & 1).tobytes()
+    """Parities of the shingles in 1,024 classes, or as many as there are shingles, up to the next power of two.
+
+    Two sketches differ in no more bits than the sets in shingles, after folding the longer one, too.
+    """
+    classes = max(1024, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount(shingles.view(np.uint64).astype(np.int64) & classes - 1, minlength=classes) & 1).tobytes()
+
 
+def folded(raw: bytes, size: int = 128) -> np.ndarray:
+    """A sketch over fewer classes, as words: each half onto the other."""
+    x = np.frombuffer(raw, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
-def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _common(texts: DataFrame, nodes: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a hash sample of texts holds often, sorted, and their counts. They only order the others; any order is exact."""
-    share = max(1, texts.count() // ORDER_TEXTS)
+    share = max(1, nodes.count() // ORDER_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -441,15 +466,23 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(common, shingle: int, similarity: float):
-    """(node, text) -> a row for each of the rarest n - overlap + 1 shingles: similar sets share one of these."""
+    """(node, text) -> a row for each of the rarest n - overlap + 1 shingles: similar sets share one of these.
+
+    A task gives those of equal texts once, as long as it remembers them; _met tells the rest from links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = common.value
+        seen: set[int] = set()
         for b in batches:
             nodes, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for low in range(0, len(texts), 512):
                 out = []
-                for node, text in zip(nodes[low : low + 512], texts[low : low + 512]):
+                for node, text in zip(nodes[low : low + 512].tolist(), texts[low : low + 512]):
+                    if node in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(node)
                     h = shingle_set(text, shingle)
                     n = len(h)
                     if not n:
@@ -488,9 +521,14 @@ def _met(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(token), pa.array(n)], ["a", "b", "token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, over = None, None  # over: a token that is being passed on
+        held, over, last_row = None, None, None  # over: a token that is being passed on
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if len(cols[0]):  # equal texts from several tasks stand together
+                again = np.r_[False, (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])]
+                again[0] = (cols[0][0], cols[1][0]) == last_row
+                last_row = cols[0][-1], cols[1][-1]
+                cols = [c[~again] for c in cols]
             hot = cols.pop()
             if hot.any():
                 yield passed_on(*(c[hot] for c in cols[:3]))
@@ -527,7 +565,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
     def one() -> dict[str, np.ndarray]:
         t = pa.Table.from_batches(held).combine_chunks()
         out = {k: t[k].to_numpy() for k in names}
-        out["sketch"] = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, 16)
+        out["sketch"] = np.stack([folded(x) for x in t["sketch"].to_pylist()])
         return out
 
     now = None
@@ -585,8 +623,8 @@ def _crossed(similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """texts(node, text, fp, n, sketch), a row a node -> (node, root) of the groups that pairs of the similarity link, exactly.
+def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """texts(row, node, text) and nodes(node, row, fp, n, sketch), a row a node with one of its rows -> (node, root) of the groups that pairs of the similarity link, exactly.
 
     Anchor-point covering comes first: texts whose fingerprints meet at an anchor are candidates, and the exact similarity
     decides. That links most of what is alike. What fingerprints cannot see (a similarity of 0.8 may lie ten bits apart) is
@@ -596,24 +634,24 @@ def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     """
     spark = texts.sparkSession
     bound_batches(spark)
-    sure = stored(_similar(anchored(texts), texts, shingle, similarity), "linked")
+    sure = stored(_similar(anchored(nodes), texts, nodes, shingle, similarity), "linked")
     parts = stored(components(sure), "parts")
-    common = spark.sparkContext.broadcast(_common(texts, shingle))
+    common = spark.sparkContext.broadcast(_common(texts, nodes, shingle))
     placed = texts.select("node", "text").mapInArrow(_prefixes(common, shingle, similarity), "token long, node long, n int, pos int, hot boolean")
-    dealt = placed.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token")
+    dealt = placed.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("token"))).sortWithinPartitions("hot", "token", "node")
     met = stored(dealt.mapInArrow(_met(similarity), "a long, b long, token long, n int"), "met")
     small = _apart(met.filter("b is not null").select("a", "b"), parts)
     counts = met.filter("b is null").groupBy("token").count().filter("count > 1").select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     hot = met.filter("b is null").select(F.col("a").alias("node"), "token", "n").join(counts, "token")
 
-    hot = hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(texts.select("node", "sketch"), "node").join(parts, "node", "left")
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(nodes.select("node", "sketch"), "node").join(parts, "node", "left")
     hot = stored(hot.withColumn("comp", F.coalesce("root", "node")).drop("root"), "hot")
     kind = "a long, b long, token long, n int, comp long, sketch binary"
     led = stored(hot.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "node", "n", "comp", "sketch").mapInArrow(_led(similarity), kind), "led")
     leaders = led.filter("b is null").select("token", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "comp", "sketch")
     again = leaders.repartition("token").sortWithinPartitions("token").mapInArrow(_led(similarity), kind)
     early = small.unionByName(_apart(led.unionByName(again).filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), parts)).distinct()
-    linked = stored(sure.unionByName(_similar(early, texts, shingle, similarity)), "linked")
+    linked = stored(sure.unionByName(_similar(early, texts, nodes, shingle, similarity)), "linked")
     now = stored(components(linked), "parts")
     grouped = stored(hot.drop("comp").join(now, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "grouped")
     largest = grouped.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
@@ -622,7 +660,7 @@ def similar_links(texts: DataFrame, shingle: int = SHINGLE, similarity: float =
     asks = open_.filter("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(1))
     both = open_.withColumn("asks", F.lit(0)).select(columns).unionByName(asks.select(columns))
     crossed = both.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_crossed(similarity), "a long, b long").distinct()
-    return components(linked.unionByName(_similar(crossed, texts, shingle, similarity)))
+    return components(linked.unionByName(_similar(crossed, texts, nodes, shingle, similarity)))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -637,9 +675,10 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     new = {own["node"]: "long", own["fp"]: "long", own["n"]: "int", own["sketch"]: "binary"}
     rows = stored(appended(docs, text, new, _described(shingle)).withColumn(row, F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row).alias("row"))).alias("first")
-    nodes = stored(rows.groupBy(F.col(node).alias("node")).agg(first), "nodes")
-    texts = rows.select(*(F.col(v).alias(k) for k, v in own.items()), F.col(text).alias("text")).join(nodes.select(F.col("first.row").alias("row")), "row", "left_semi")
-    parts = similar_links(texts.drop("row"), shingle, similarity)
+    nodes = rows.groupBy(F.col(node).alias("node")).agg(first, *(F.max(own[c]).alias(c) for c in ("fp", "n", "sketch")))
+    nodes = stored(nodes.withColumn("row", F.col("first.row")), "nodes")
+    texts = rows.select(F.col(row).alias("row"), F.col(node).alias("node"), F.col(text).alias("text"))
+    parts = similar_links(texts, nodes, shingle, similarity)
     kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -122,3 +122,13 @@ def test_empty_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, None), (None, "x y z"), (5, ""), (5, ""), (7, "a" * 50000)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.fp == 0, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, True, 5), (None, False, None), (5, True, 5), (5, True, 5), (7, False, 7)], key=str)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n, m, both in ((10, 12, 5), (900, 1000, 850), (3000, 3100, 2900), (5000, 900, 300), (0, 5, 0)):
+        x = rng.integers(0, 1 << 63, n + m - both).astype(np.int64)
+        a, b = S.sketch(np.sort(x[:n])), S.sketch(np.sort(x[n - both :]))
+        size = min(len(a), len(b))
+        for s in {size, 128}:
+            assert np.bitwise_count(S.folded(a, s) ^ S.folded(b, s)).sum() <= n + m - 2 * both
