@@ -145,3 +145,7 @@ BUNDLE_NOISE = "cb app apps ios android appstore mobile engage prod production r
 NON_CUSTOMER_HOSTS = "apple.com apps.apple.com itunes.apple.com play.google.com google.com facebook.com linkedin.com twitter.com x.com instagram.com youtube.com wordpress.com wixsite.com squarespace.com godaddy.com github.io sites.google.com notion.site example.com localhost".split()
 PARKED = r"(?i)(domain\s+(is\s+)?for\s+sale|buy\s+this\s+domain|parked\s+(free\s+)?at|godaddy|sedo|namecheap\s+parking|under\s+construction)"
 CONFIDENCE = {"confirmed": 90, "probable": 70, "possible": 40}
+
+# Visible bylines, and types of structured data that are articles.
+BYLINE = r"(?is)<[^>]+(?:rel=[\x22\x27]author[\x22\x27]|itemprop=[\x22\x27]author[\x22\x27]|class=[\x22\x27][^\x22\x27]*\b(?:author|byline|post-author)\b[^\x22\x27]*[\x22\x27])[^>]*>(.{0,160}?)</[a-z]+>"
+ARTICLE_TYPES = r"(?i)^(Article|BlogPosting|NewsArticle|TechArticle|Report)\z"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed, markup, numbers
-from ..plans.adapters import NOW_EVENTS, NOW_ORDERS, picked
+from ..plans.adapters import NOW_ACTIVITY, NOW_ORDERS
 from ..plans.dialect import Dialect
 from ..plans.registry import query, relation
 
@@ -13,32 +13,19 @@ def triggers(d: Dialect, title: str) -> str:
     return d.join(d.filt(d.array(*(f"CASE WHEN {d.rx(title, p)} THEN '{k}' ELSE '' END" for k, p in fixed.BUYER_TITLES)), "x", "x <> ''"), " ")
 
 
-@relation
-def board_reply(d):
-    """Replies of three job-board interfaces as they come: JSON of three shapes."""
-    t = lambda x: d.text(x)
-    green = f"concat('{{\"title\":\"', title, '\",\"location\":{{\"name\":\"', coalesce(location, ''), '\"}},\"dept\":\"', department, '\",\"updated_at\":\"', coalesce({d.day('posted_at')}, ''), '\"}}')"
-    lever = f"concat('{{\"text\":\"', title, '\",\"categories\":{{\"location\":\"', coalesce(location, ''), '\",\"team\":\"', department, '\"}},\"createdAt\":', coalesce({t(d.seconds('posted_at'))}, 'null'), '}}')"
-    ashby = f"concat('{{\"title\":\"', title, '\",\"isRemote\":', CASE WHEN location IS NULL THEN 'true' ELSE 'false' END, ',\"department\":\"', department, '\",\"publishedAt\":\"', coalesce({d.day('posted_at')}, ''), '\"}}')"
-    return f"SELECT site, ord, ats, CASE ats WHEN 'greenhouse' THEN {green} WHEN 'lever' THEN {lever} ELSE {ashby} END AS reply FROM job WHERE ats <> 'workday'".replace("{{", "{").replace("}}", "}")
-
-
 @query
 def jobs_normalize(d):
-    """One schema for the three interfaces."""
+    """One schema for the three interfaces: Greenhouse lists departments, Lever counts milliseconds, Ashby has a location or is remote."""
     g = (lambda p: f"get_json_object(reply, '$.{p}')") if d.spark else (lambda p: f"json_extract_string(reply, '$.{p}')")
-    day = f"date_format(timestamp_seconds(CAST({g('createdAt')} AS BIGINT)), 'yyyy-MM-dd')" if d.spark else f"strftime(to_timestamp(CAST({g('createdAt')} AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%d')"
-    return f"""
-SELECT site, ord, ats, CASE ats WHEN 'lever' THEN {g('text')} ELSE {g('title')} END AS title, CASE ats WHEN 'greenhouse' THEN nullif({g('location.name')}, '') WHEN 'lever' THEN nullif({g('categories.location')}, '') ELSE CASE WHEN {g('isRemote')} = 'true' THEN 'Remote' END END AS location,
-  CASE ats WHEN 'greenhouse' THEN {g('dept')} WHEN 'lever' THEN {g('categories.team')} ELSE {g('department')} END AS department, CASE ats WHEN 'greenhouse' THEN nullif({g('updated_at')}, '') WHEN 'lever' THEN {day} ELSE nullif({g('publishedAt')}, '') END AS posted FROM board_reply"""
-
-
-@relation
-def board_hint(d):
-    """Boards that a site's pages point to, in order; a board answers with some jobs or none."""
+    day = f"date_format(timestamp_millis(CAST({g('createdAt')} AS BIGINT)), 'yyyy-MM-dd')" if d.spark else f"strftime(make_timestamp(CAST({g('createdAt')} AS BIGINT) * 1000), '%Y-%m-%d')"
+    names = "from_json(reply, 'departments array<struct<name: string>>').departments.name" if d.spark else "json_extract_string(reply, '$.departments[*].name')"
+    both = lambda one, two: f"CASE WHEN coalesce({g(one)}, '') = '' THEN nullif({g(two)}, '') WHEN coalesce({g(two)}, '') = '' THEN {g(one)} ELSE concat({g(one)}, ' / ', {g(two)}) END"
     return f"""
-SELECT c_custkey AS site, idx AS ord, {picked(d, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'], '(c_custkey + idx) % 5')} AS ats, CASE WHEN (c_custkey + idx) % 3 = 0 THEN 0 ELSE (c_custkey * 7 + idx) % 40 END AS jobs
-FROM ({d.explode('c_custkey', 'customer', d.array("'a'", "'b'", "'c'"), 'hint', 'idx')})"""
+SELECT site, ord, ats, nullif(CASE ats WHEN 'lever' THEN {g('text')} ELSE {g('title')} END, '') AS title,
+  CASE ats WHEN 'greenhouse' THEN nullif({g('location.name')}, '') WHEN 'lever' THEN nullif({g('categories.location')}, '') ELSE coalesce(nullif({g('location')}, ''), CASE WHEN {g('isRemote')} = 'true' THEN 'Remote' END) END AS location,
+  CASE ats WHEN 'greenhouse' THEN nullif({d.join(d.filt(names, 'x', "x <> ''"), ', ')}, '') WHEN 'lever' THEN {both('categories.department', 'categories.team')} ELSE {both('department', 'team')} END AS department,
+  substring(CASE ats WHEN 'greenhouse' THEN coalesce(nullif({g('first_published')}, ''), nullif({g('updated_at')}, '')) WHEN 'lever' THEN {day} ELSE nullif({g('publishedAt')}, '') END, 1, 10) AS posted,
+  CASE ats WHEN 'greenhouse' THEN {g('absolute_url')} WHEN 'lever' THEN {g('hostedUrl')} ELSE {g('jobUrl')} END AS url FROM board_reply"""
 
 
 @query
@@ -64,10 +51,23 @@ def buyer_roles(d):
 
 @query
 def competitor_mentions(d):
-    """Vendors whose name stands in a job's text, as a word, with the jobs of a site that name them."""
-    word = "concat('(?i)(^|[^A-Za-z0-9_])', replace(v.name, '#', '[#]'), '([^A-Za-z0-9_]|$)')"
-    hit = f"(j.description RLIKE {word})" if d.spark else f"regexp_matches(j.description, {word})"
-    return f"SELECT j.site, v.name AS vendor, CAST(count(*) AS BIGINT) AS jobs, min(j.ord) AS first_job FROM job j JOIN (SELECT s_name AS name FROM supplier WHERE s_suppkey < 20) v ON {hit} GROUP BY j.site, v.name"
+    """Vendors whose name stands in a job's text or title, as words, with the jobs of a site that name them and the first three.
+
+    Spark joins a name's longest word to the words of a job, and looks for the whole name only where that is found.
+    """
+    if not d.spark:
+        word = "concat('(?i)(^|[^A-Za-z0-9_])', replace(v.name, '#', '[#]'), '([^A-Za-z0-9_]|$)')"
+        hits = f"SELECT j.site, v.name AS vendor, j.ord, j.title FROM job j JOIN competitor v ON regexp_matches(j.description, {word}) OR regexp_matches(j.title, {word})"
+    else:
+        words = "array_distinct(regexp_extract_all(lower(concat(title, ' ', description)), '[a-z0-9_]+', 0))"
+        longest = "max_by(w, length(w)) AS word"
+        whole = "concat('(?i)(^|[^A-Za-z0-9_])\\\\Q', v.name, '\\\\E([^A-Za-z0-9_]|$)')"
+        hits = f"""SELECT j.site, v.name AS vendor, j.ord, j.title FROM (SELECT site, ord, title, description, word FROM job LATERAL VIEW explode({words}) _w AS word) j
+JOIN (SELECT name, {longest} FROM competitor LATERAL VIEW explode(regexp_extract_all(lower(name), '[a-z0-9_]+', 0)) _x AS w GROUP BY name) v ON j.word = v.word
+WHERE j.description RLIKE {whole} OR j.title RLIKE {whole}"""
+    return f"""
+SELECT site, vendor, CAST(count(*) AS BIGINT) AS jobs, {d.join(d.lists('CASE WHEN nth <= 3 THEN title END', 'ord'), ' | ')} AS example_jobs
+FROM (SELECT *, row_number() OVER (PARTITION BY site, vendor ORDER BY ord) AS nth FROM ({hits})) GROUP BY site, vendor"""
 
 
 @query
@@ -81,20 +81,24 @@ SELECT site, CAST(count(*) AS BIGINT) AS open_reqs, {d.count_if('length(descript
 
 @query
 def jobs_departments(d):
-    """The twelve most frequent departments and locations of the jobs of a segment."""
-    each = lambda kind, col: f"SELECT department AS segment, '{kind}' AS kind, coalesce({col}, 'unspecified') AS name, CAST(count(*) AS BIGINT) AS n, min(ord) AS first_ord FROM job GROUP BY department, coalesce({col}, 'unspecified')"
-    return f"SELECT segment, kind, name, n, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment, kind ORDER BY n DESC, first_ord) AS INTEGER) AS nth FROM ({each('title', 'title')} UNION ALL {each('location', 'location')})) WHERE nth <= 12"
+    """The twelve most frequent departments, and locations, of a site's jobs; among equals the first seen."""
+    each = lambda col: f"SELECT site, '{col}' AS kind, coalesce(nullif({col}, ''), 'unspecified') AS name, CAST(count(*) AS BIGINT) AS n, min(ord) AS first_ord FROM job GROUP BY site, coalesce(nullif({col}, ''), 'unspecified')"
+    return f"SELECT site, kind, name, n, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site, kind ORDER BY n DESC, first_ord) AS INTEGER) AS nth FROM ({each('department')} UNION ALL {each('location')})) WHERE nth <= 12"
 
 
-@relation
-def company_counts(d):
-    """Seven counts over ninety days in one pass; employees who never posted count as indexed."""
-    since = f"{d.seconds('ts')} >= {d.seconds(f'TIMESTAMP {chr(39)}{NOW_EVENTS}{chr(39)}')} - 14 * 86400"
+def counts_since(d: Dialect, days: int = 90, now: str = NOW_ACTIVITY) -> str:
+    """Seven counts of a company over the days before now, from the start of the first of them, in one pass; employees who never posted count as indexed."""
+    since = f"{d.seconds('ts')} >= {d.idiv(f'{d.seconds(f"TIMESTAMP {chr(39)}{now}{chr(39)}")} - {days} * 86400', 86400)} * 86400"
     return f"""
 SELECT company, CAST(count(DISTINCT employee) AS BIGINT) AS employees_indexed, CAST(count(DISTINCT CASE WHEN is_post AND {since} THEN employee END) AS BIGINT) AS employees_posted, CAST(count(DISTINCT CASE WHEN is_post AND is_decision_maker AND {since} THEN employee END) AS BIGINT) AS makers_posted,
   {d.count_if("event_type = 'purchase'")} AS company_posts_all, {d.count_if(f"event_type = 'purchase' AND {since}")} AS company_posts, {d.count_if(f"event_type = 'click' AND {since}")} AS reshares FROM company_post GROUP BY company"""
 
 
+@relation
+def company_counts(d):
+    return counts_since(d)
+
+
 @query
 def activity_counts(d):
     return f"SELECT c.*, coalesce(f.frequent, 0) AS frequent_posters, {numbers.pct(d, 'c.employees_posted', 'c.employees_indexed')} AS active_rate_pct FROM company_counts c LEFT JOIN (SELECT company, CAST(count(*) AS BIGINT) AS frequent FROM (SELECT company, employee FROM company_post WHERE is_post GROUP BY company, employee HAVING count(*) >= 12) GROUP BY company) f ON c.company = f.company"
@@ -106,15 +110,6 @@ def index_selftest(d):
     return "SELECT company, employees_indexed > 0 AND company_posts_all > 0 AND reshares > 0 AS ok FROM company_counts"
 
 
-@relation
-def company_candidate(d):
-    k = "c_custkey"
-    return f"""
-SELECT {k} AS site, concat('site', {d.text(k)}, '.com') AS domain, CASE WHEN {k} % 13 = 0 THEN NULL ELSE {k} END AS record_id, CASE {k} % 4 WHEN 0 THEN concat('https://www.site', {d.text(k)}, '.com/') WHEN 1 THEN 'other.de' ELSE concat('http://site', {d.text(k)}, '.com') END AS website,
-  CASE WHEN {k} % 6 = 5 THEN 0 ELSE {k} % 700 END AS headcount, CASE WHEN {k} % 3 = 0 THEN NULL ELSE '501-1000' END AS size_range, CASE WHEN {k} % 8 = 7 THEN NULL ELSE {k} % 40 END AS indexed, CASE WHEN {k} % 2 = 0 THEN 'enrich_by_website' ELSE 'homepage_link' END AS method,
-  concat(CASE WHEN {k} % 5 = 0 THEN 'Global Services ' ELSE 'Acme ' END, 'Site', {d.text(k)}) AS company_name, concat('Welcome to ', CASE WHEN {k} % 3 = 1 THEN 'Acme' ELSE 'us' END) AS title FROM customer"""
-
-
 def name_fits(d: Dialect, name: str, hay: str) -> str:
     """Does a telling word of a company's name stand in the site's address or title?"""
     words = d.filt(d.split(d.sub(f"lower({name})", "[^a-z0-9]+", " "), " "), "w", f"length(w) >= 4 AND w NOT IN ({d.strings(fixed.GENERIC_NAME_WORDS)})")
@@ -132,9 +127,9 @@ def assessed(d):
     from ..functions import urls
 
     return f"""
-SELECT site, company_name, indexed, website_matches, has_headcount, consistent, verifiable, declared, fits, CASE WHEN record_id IS NULL THEN 'none' WHEN NOT verifiable THEN 'low' WHEN website_matches AND has_headcount AND consistent THEN 'high' WHEN declared AND has_headcount AND consistent AND fits THEN 'medium' ELSE 'low' END AS confidence,
+SELECT site, looked_up, company_name, indexed, website_matches, has_headcount, consistent, verifiable, declared, fits, CASE WHEN record_id IS NULL THEN 'none' WHEN NOT verifiable THEN 'low' WHEN website_matches AND has_headcount AND consistent THEN 'high' WHEN declared AND has_headcount AND consistent AND fits THEN 'medium' ELSE 'low' END AS confidence,
   CASE WHEN indexed IS NULL THEN 'unknown' WHEN indexed = 0 THEN 'none' WHEN indexed < 20 THEN 'thin' ELSE 'ok' END AS coverage FROM (
-  SELECT c.site, c.record_id, c.company_name, c.indexed, coalesce({urls.registrable_domain(d, 'c.website')} = c.domain, false) AS website_matches, c.headcount > 0 OR c.size_range IS NOT NULL AS has_headcount, NOT (c.headcount = 0 AND c.size_range IS NOT NULL) AS consistent,
+  SELECT c.site, c.looked_up, c.record_id, c.company_name, c.indexed, coalesce({urls.registrable_domain(d, 'c.website')} = c.domain, false) AS website_matches, c.headcount > 0 OR c.size_range IS NOT NULL AS has_headcount, NOT (c.headcount = 0 AND c.size_range IS NOT NULL) AS consistent,
     c.indexed IS NULL OR c.indexed > 0 AS verifiable, c.method = 'homepage_link' AS declared, n.fits FROM company_candidate c JOIN name_matches_site n ON c.site = n.site)"""
 
 
@@ -153,10 +148,12 @@ def rejection_reason(d):
 @query
 def attach_activity(d):
     """A site's activity block from the cache; without one it was not looked up, which is no zero."""
-    return "SELECT e.site, coalesce(a.confidence, 'not_looked_up') AS status, a.coverage, CASE WHEN a.confidence IN ('high', 'medium') THEN a.indexed END AS indexed FROM evidence e LEFT JOIN (SELECT * FROM assessed WHERE site % 3 <> 1) a ON e.site = a.site"
+    return "SELECT e.site, coalesce(a.confidence, 'not_looked_up') AS status, a.coverage, CASE WHEN a.confidence IN ('high', 'medium') THEN a.indexed END AS indexed FROM evidence e LEFT JOIN (SELECT * FROM assessed WHERE looked_up) a ON e.site = a.site"
 
 
 @query
 def evidence_block(d):
     """What is kept of a matched company: a summary without the record, with at most eight competitors."""
-    return f"SELECT a.site, a.confidence, a.coverage, CASE WHEN a.confidence IN ('high', 'medium') THEN a.company_name END AS company_name, {d.join(d.slice(d.array(*(d.lit(f'Rival {k}') for k in range(12))), 1, 8), ', ')} AS competitors FROM assessed a"
+    return f"""
+SELECT a.site, a.confidence, a.coverage, CASE WHEN a.confidence IN ('high', 'medium') THEN a.company_name END AS company_name, CASE WHEN a.confidence IN ('high', 'medium') THEN r.rivals END AS competitors
+FROM assessed a LEFT JOIN (SELECT site, {d.join(d.lists('name', 'ord'), ', ')} AS rivals FROM rival WHERE ord < 8 GROUP BY site) r ON a.site = r.site"""

@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from ..functions import fixed, markup, numbers, urls
-from ..plans.adapters import NOW_ORDERS, picked
+from ..plans.adapters import NOW_ORDERS
 from ..plans.dialect import Dialect
 from ..plans.registry import query, relation
 
-NAMES = [
-    "Acme Corp logo", "acme-industries_300x86.png", "The Story of Beta", "Beta &amp; Sons", "How Gamma improved reach", "Delta case study", "star", "J. Smith", "Epsilon Employee App", "Zeta 2012", "microsoft", "eta holding gmbh", "2560px-Theta-logo", "Iota with", "Kappa Customer Story", "one two three four five six seven", "404", "lambda", "G2", "Xi Logo White",
-]
-BUNDLES = ["com.vendor{v}.customer.acme{n}.engage", "com.vendor{v}.app", "de.other.vendor{v}.beta{n}", "com.vendor{v}.customer.gamma{n}.ios", "org.unrelated.thing{n}", "com.vendor{v}.delta{n}.appstore.v2"]
-
 
 def title_cased(d: Dialect, x: str) -> str:
     return f"initcap({x})" if d.spark else f"array_to_string(list_transform(string_split({x}, ' '), lambda w: concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))), ' ')"
@@ -21,11 +16,6 @@ def normalized_company(d: Dialect, x: str) -> str:
     return d.sub(d.sub(f"replace(lower({x}), '&', ' and ')", fixed.COMPANY_SUFFIXES), "[^a-z0-9]")
 
 
-@relation
-def raw_name(d):
-    return f"SELECT p_partkey AS id, {picked(d, NAMES, f'p_partkey % {len(NAMES)}')} AS raw FROM part"
-
-
 @relation
 def cleaned_name(d):
     """A published customer name without file names, sizes, marketing words; null if it names no company."""
@@ -80,13 +70,6 @@ SELECT id, candidate, nth FROM (SELECT id, concat(stem, tld) AS candidate, CAST(
 FROM (SELECT id, stem, min(idx) AS idx FROM ({stems}) WHERE length(stem) BETWEEN 3 AND 40 GROUP BY id, stem) s CROSS JOIN (SELECT * FROM (VALUES {tlds}) AS _t(ord, tld)) t) WHERE nth <= 30"""
 
 
-@relation
-def app(d):
-    """Apps of vendors as several storefronts list them."""
-    bundle = f"replace(replace({picked(d, BUNDLES, 'l_partkey % 6')}, '{{v}}', {d.text('l_suppkey')}), '{{n}}', {d.text('l_partkey % 50')})"
-    return f"SELECT l_suppkey AS vendor, l_orderkey % 12 AS store, {bundle} AS bundle, concat('Seller ', {d.text('l_suppkey')}) AS seller, concat('https://www.site', {d.text('l_partkey % 300')}, '.com') AS seller_url, l_orderkey AS row_id FROM lineitem"
-
-
 @query
 def app_catalog_dedupe(d):
     """An app once, from the first storefront that lists it; a storefront with many rows may be cut off."""
@@ -97,8 +80,8 @@ JOIN (SELECT vendor, max(n) >= 200 AS truncated FROM (SELECT vendor, store, coun
 
 @query
 def pkg_extract(d):
-    html = "concat('<a href=\"/store/apps/details?id=com.vendor', vendor_text, '.app', CAST(l_partkey % 9 AS {0}), '\">x</a><a href=\"/store/apps/details?id=org.x', CAST(l_partkey % 7 AS {0}), '&hl=en\">')".format("STRING" if d.spark else "VARCHAR")
-    return f"SELECT DISTINCT vendor, package FROM ({d.explode('vendor', f'(SELECT l_suppkey AS vendor, {html} AS html FROM (SELECT *, {d.text(chr(108) + chr(95) + chr(115) + chr(117) + chr(112) + chr(112) + chr(107) + chr(101) + chr(121))} AS vendor_text FROM lineitem))', d.exta('html', r'details[?]id=([A-Za-z0-9_.]+)', 1), 'package', 'idx')})"
+    """Packages that a vendor's page in a store links."""
+    return f"SELECT DISTINCT vendor, package FROM ({d.explode('vendor', 'store_page', d.exta('html', r'details[?]id=([A-Za-z0-9_.]+)', 1), 'package', 'idx')})"
 
 
 @query
@@ -111,20 +94,19 @@ def bundle_token(d):
 @query
 def prefix_token(d):
     """What follows the longest prefix of the vendor in an app's id, else what follows its name there."""
-    prefixes = f"(SELECT s_suppkey AS vendor, concat('com.vendor', {d.text('s_suppkey')}, '.customer.') AS prefix FROM supplier UNION ALL SELECT s_suppkey AS vendor, concat('com.vendor', {d.text('s_suppkey')}, '.') AS prefix FROM supplier UNION ALL SELECT s_suppkey AS vendor, concat('vendor', {d.text('s_suppkey')}, '.') AS prefix FROM supplier)"
     after = d.ext("a.bundle", r"[.]vendor[0-9]+[.](.+)\z")
     return f"""
 SELECT a.vendor, a.bundle, coalesce(max_by(substring(a.bundle, length(p.prefix) + 1), CASE WHEN p.prefix IS NOT NULL THEN length(p.prefix) END), nullif({after}, '')) AS token
-FROM (SELECT DISTINCT vendor, bundle FROM app) a LEFT JOIN {prefixes} p ON a.vendor = p.vendor AND {d.starts('a.bundle', 'p.prefix')} GROUP BY a.vendor, a.bundle"""
+FROM (SELECT DISTINCT vendor, bundle FROM app) a LEFT JOIN vendor_prefix p ON a.vendor = p.vendor AND {d.starts('a.bundle', 'p.prefix')} GROUP BY a.vendor, a.bundle"""
 
 
 @query
 def vendor_match(d):
-    """Apps that a vendor's prefix or name claims."""
+    """Apps that a vendor's prefix or, where it is given, its seller name claims."""
     squashed = d.sub("lower(a.seller)", "[^a-z0-9]")
     return f"""
-SELECT DISTINCT a.bundle, v.s_suppkey AS vendor FROM (SELECT DISTINCT vendor, bundle, seller FROM app) a JOIN supplier v ON a.vendor = v.s_suppkey
-WHERE {d.starts('a.bundle', f"concat('com.vendor', {d.text('v.s_suppkey')}, '.')")} OR {d.contains(squashed, f"concat('seller', {d.text('v.s_suppkey')})")} AND v.s_suppkey % 3 = 0"""
+SELECT DISTINCT a.bundle, v.vendor FROM (SELECT DISTINCT vendor, bundle, seller FROM app) a JOIN vendor_rule v ON a.vendor = v.vendor
+WHERE {d.starts('a.bundle', 'v.prefix')} OR {d.contains(squashed, 'v.seller_part')}"""
 
 
 @query
@@ -136,19 +118,10 @@ def customer_rows(d):
 
 @query
 def logo_wall_extract(d):
-    html = "concat('<img src=\"https://cdn.refs.com/Company.logo/', slug, '_12.png\" class=\"l\" alt=\"', raw, '\"><img src=\"/x.png\">')"
-    source = f"(SELECT id, {html} AS html FROM (SELECT id, raw, {d.sub('lower(raw)', '[^a-z0-9]+', '-')} AS slug FROM raw_name))"
-    tags = d.explode("id", source, d.exta("html", r"(?i)<img[^>]*>", 0), "tag", "idx")
+    tags = d.explode("id", "logo_page", d.exta("html", r"(?i)<img[^>]*>", 0), "tag", "idx")
     return f"SELECT id, {d.ext('tag', r'/([a-z0-9-]+)_[0-9]+[.][a-z]+')} AS slug, {markup.attribute(d, 'tag', 'alt')} AS alt FROM ({tags}) WHERE {d.rx('tag', r'Company[.]logo')}"
 
 
-@relation
-def story(d):
-    """Story pages that an archive knows, and whether the live site still lists them."""
-    slug = picked(d, ["case-study-acme-corp", "how-beta-grew", "gamma-employee-advocacy", "page", "delta-success-story-2020", "category"], "p_partkey % 6")
-    return f"SELECT p_partkey AS id, concat('https://vendor.com/customers/', {slug}, '-', {d.text('p_partkey % 40')}, CASE WHEN p_partkey % 5 = 0 THEN '.html' ELSE '/' END) AS url, p_partkey % 3 = 0 AS live FROM part"
-
-
 @query
 def story_url_name(d):
     last = d.sub(d.at(urls.segments(d, "path"), -1), r"(?i)\.(html?|php|aspx)\z")
@@ -162,16 +135,6 @@ def former_claims(d):
     return f"SELECT a.id, a.path, l.path IS NULL AS historical FROM (SELECT id, {d.sub(urls.path(d, 'url'), r'/\z')} AS path FROM story) a LEFT JOIN (SELECT DISTINCT {d.sub(urls.path(d, 'url'), r'/\z')} AS path FROM story WHERE live) l ON a.path = l.path"
 
 
-@relation
-def probe(d):
-    """What a candidate address answered."""
-    k = "p_partkey"
-    return f"""
-SELECT {k} AS id, {picked(d, ['social', 'acmecorp', 'betaworks', 'gammatools', 'deltagroup', 'zeta'], f'{k} % 6')} AS token, {picked(d, ['Acme App', 'Beta Works', 'Gamma', 'Other'], f'{k} % 4')} AS app_name, {k} % 11 <> 3 AS robots_ok,
-  CASE {k} % 7 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN NULL ELSE 200 END AS status, ({k} * 997) % 9000 AS body_len, {picked(d, ['Acmecorp home', 'This domain is for sale', 'Beta Works - welcome', 'Something'], f'{k} % 4')} AS title, {picked(d, ['', 'hugedomains.com', 'owner.de'], f'{k} % 3')} AS redirected,
-  {k} % 20 AS name_id, {k} AS ord FROM part"""
-
-
 @relation
 def resolved_probe(d):
     token, words = d.sub("token", "[^a-z0-9]"), d.sub("lower(app_name)", "[^a-z0-9]")
@@ -190,7 +153,7 @@ def resolution_signal(d):
 @query
 def resolve_name(d):
     """The address of a name among its first four live candidates: a title match anywhere, else the first under a generic suffix, else the first."""
-    suffix = picked(d, [".com", ".de", ".io", ".fr"], "ord % 4")
+    suffix = "suffix"
     return f"""
 SELECT name_id, domain, signal FROM (SELECT name_id, concat(token, {suffix}) AS domain, signal, row_number() OVER (PARTITION BY name_id ORDER BY CASE WHEN signal = 'title_match' THEN 0 ELSE 1 END, CASE WHEN {suffix} IN ('.com', '.io') THEN 0 ELSE 1 END, ord) AS nth FROM (
   SELECT *, row_number() OVER (PARTITION BY name_id ORDER BY ord) AS tried FROM resolved_probe WHERE status IS NOT NULL) WHERE tried <= 4 AND signal NOT IN ('no_site', 'parked', 'generic_word')) WHERE nth = 1"""
@@ -198,10 +161,18 @@ SELECT name_id, domain, signal FROM (SELECT name_id, concat(token, {suffix}) AS
 
 @query
 def drop_vendor_names(d):
-    """Names that are a vendor's own, or of an asset, are no customers."""
+    """Names that are a vendor's own, hold one of five letters or more, or are those of an asset, are no customers."""
+    vendor = normalized_company(d, d.trim(d.ext("v.name", "^([^(]*)")))
+    keep = f"length(c.company_key) >= 2 AND NOT {d.rx('c.name', r'(?i)\b(website|client|template|example|sample|placeholder|asset|mockup|screenshot)\b')}"
+    names = f"SELECT id, name, {normalized_company(d, 'name')} AS company_key FROM cleaned_name WHERE name IS NOT NULL"
+    if d.spark:  # each distinct name once against the vendors; every part of five letters or more of it that a vendor's name could be
+        vendors = f"SELECT DISTINCT vk FROM (SELECT {vendor} AS vk FROM vendor_name v) WHERE vk <> ''"
+        parts = "flatten(transform(sequence(1, length(company_key)), i -> transform(sequence(1, length(company_key) - i + 1), n -> substring(company_key, i, n))))"
+        hit = f"SELECT DISTINCT company_key AS k FROM (SELECT company_key, part FROM (SELECT DISTINCT company_key FROM ({names}) WHERE company_key <> '') LATERAL VIEW explode({parts}) _p AS part) JOIN ({vendors}) ON part = vk WHERE part = company_key OR length(part) >= 5"
+        return f"SELECT c.id, c.name FROM ({names}) c LEFT ANTI JOIN ({hit}) h ON c.company_key = h.k WHERE {keep}"
     return f"""
-SELECT c.id, c.name FROM cleaned_name c LEFT JOIN (SELECT DISTINCT lower(p_name) AS vendor FROM part WHERE p_partkey < 40) v ON {normalized_company(d, 'c.name')} = {normalized_company(d, 'v.vendor')}
-WHERE c.name IS NOT NULL AND v.vendor IS NULL AND NOT {d.rx('c.name', r'(?i)\b(website|client|template|example|sample|placeholder|asset|mockup|screenshot)\b')}"""
+SELECT c.id, c.name FROM ({names}) c WHERE {keep}
+AND NOT EXISTS (SELECT 1 FROM vendor_name v WHERE {vendor} <> '' AND ({vendor} = c.company_key OR length({vendor}) >= 5 AND {d.contains('c.company_key', vendor)}))"""
 
 
 @query
@@ -219,7 +190,7 @@ def fold_sources(d):
 @query
 def resolve_todo(d):
     """Claims whose address is not in the cache yet."""
-    return "SELECT DISTINCT c.part FROM claim c LEFT JOIN (SELECT id FROM resolved_probe WHERE id % 3 <> 0) k ON c.part = k.id WHERE c.domain IS NULL AND k.id IS NULL"
+    return "SELECT DISTINCT c.part FROM claim c LEFT JOIN resolved_cache k ON c.part = k.id WHERE c.domain IS NULL AND k.id IS NULL"
 
 
 @query
@@ -228,17 +199,25 @@ def incumbent_lookup(d):
     score = "CASE c.confidence " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CONFIDENCE.items()) + " ELSE 0 END"
     return f"""
 SELECT q.domain, c.vendor_name, c.vendor_tier, c.confidence, {score} AS confidence_score, CAST(row_number() OVER (PARTITION BY q.domain ORDER BY {score} DESC, c.vendor_name, c.claim_id) AS INTEGER) AS nth, c.claim_id IS NOT NULL AS found
-FROM (SELECT concat('site', {d.text('c_custkey')}, '.com') AS domain FROM customer WHERE c_custkey % 10 = 0) q LEFT JOIN (SELECT * FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) c ON q.domain = c.domain"""
+FROM (SELECT concat('site', {d.text('c_custkey')}, '.com') AS domain FROM customer) q LEFT JOIN (SELECT * FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) c ON q.domain = c.domain"""
 
 
 @query
 def incumbent_profile(d):
-    """A domain's vendors by tier, what is current and former, and the surest claim."""
+    """A domain's vendors by tier, the surest first, what is current and former, the surest claim, and what that means for a sale."""
     score = "CASE confidence " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CONFIDENCE.items()) + " ELSE 0 END"
-    stack = lambda tier: f"CAST(count(DISTINCT CASE WHEN vendor_tier = '{tier}' AND NOT is_client_vendor THEN vendor_key END) AS BIGINT) AS {tier}_vendors"
+    # a vendor stands where its surest claim stands; its place among the others decides the order of names
+    vendors = f"SELECT domain, vendor_tier, vendor_name, max({score}) AS best, max(CASE WHEN historical THEN 1 ELSE 0 END) AS former FROM claim WHERE domain IS NOT NULL AND NOT is_client_vendor GROUP BY domain, vendor_tier, vendor_name"
+    place = "concat(CAST(1000 - best AS {0}), vendor_name)".format("STRING" if d.spark else "VARCHAR")
+    stack = lambda tier: d.join(d.filt(d.lists(f"CASE WHEN vendor_tier = '{tier}' THEN vendor_name ELSE '' END", place), "x", "x <> ''"), ", ")
     return f"""
-SELECT domain, {stack('advocacy')}, {stack('comms')}, {stack('social')}, {d.count_if('historical AND NOT is_client_vendor')} AS former, {d.count_if('NOT historical AND NOT is_client_vendor')} AS current_claims, {d.count_if('is_client_vendor')} > 0 AS already_client, max(CASE WHEN NOT is_client_vendor THEN {score} ELSE 0 END) AS best_score,
-  CASE WHEN {d.count_if("vendor_tier = 'advocacy' AND NOT is_client_vendor")} > 0 THEN 'displacement' WHEN {d.count_if('NOT is_client_vendor')} > 0 THEN 'adjacent_platform' ELSE 'unknown' END AS motion FROM claim WHERE domain IS NOT NULL GROUP BY domain"""
+SELECT c.domain, CASE WHEN c.claims > 0 THEN 'evidence_found' ELSE 'no_evidence_in_index' END AS status, c.already_client, c.best_score, v.best_match,
+  CASE WHEN v.advocacy <> '' THEN 'displacement' WHEN c.claims > 0 THEN 'adjacent_platform' ELSE 'unknown' END AS motion, coalesce(v.advocacy, '') AS advocacy_vendors, coalesce(v.comms, '') AS comms_vendors, coalesce(v.social, '') AS social_vendors,
+  CASE WHEN v.n_advocacy > 1 THEN v.advocacy END AS competing_vendors, coalesce(v.formers, '') AS former_vendors, c.former, c.current_claims
+FROM (SELECT domain, {d.count_if('NOT is_client_vendor')} AS claims, {d.count_if('is_client_vendor')} > 0 AS already_client, max(CASE WHEN NOT is_client_vendor THEN {score} ELSE 0 END) AS best_score,
+  {d.count_if('historical AND NOT is_client_vendor')} AS former, {d.count_if('NOT historical AND NOT is_client_vendor')} AS current_claims FROM claim WHERE domain IS NOT NULL GROUP BY domain) c
+LEFT JOIN (SELECT domain, min_by(vendor_name, {place}) AS best_match, {stack('advocacy')} AS advocacy, {stack('comms')} AS comms, {stack('social')} AS social, {d.count_if("vendor_tier = 'advocacy'")} AS n_advocacy,
+  {d.join(d.filt(d.lists("CASE WHEN former = 1 THEN vendor_name ELSE '' END", place), "x", "x <> ''"), ', ')} AS formers FROM ({vendors}) GROUP BY domain) v ON c.domain = v.domain"""
 
 
 @query

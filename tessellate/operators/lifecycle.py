@@ -3,20 +3,12 @@
 from __future__ import annotations
 
 from ..functions import numbers, urls
-from ..plans.adapters import NOW_EVENTS, picked
+from ..plans.adapters import NOW_EVENTS
 from ..plans.registry import query, relation
 
 NOW = f"TIMESTAMP '{NOW_EVENTS}'"
 
 
-@relation
-def request(d):
-    """One request a row: who, when, what it cost and how it went."""
-    return f"""
-SELECT event_id AS id, ts, {d.seconds('ts')} AS t, user_id AS client, concat('site', {d.text('user_id % 40')}, '.com') AS host, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'signup' THEN 10 ELSE 20 END AS cost,
-  CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, CAST(floor(value * 100) AS BIGINT) AS bytes, (event_id * 37) % 4000 AS ms, event_type FROM events"""
-
-
 @query
 def fetch_log_rollup(d):
     return f"SELECT host, CAST(count(*) AS BIGINT) AS requests_made, CAST(sum(bytes) AS BIGINT) AS bytes_downloaded, {d.count_if('status <> 200')} AS failed, CAST(max(ms) AS BIGINT) AS slowest_ms FROM request GROUP BY host"
@@ -39,12 +31,6 @@ def rate_window(d):
     return "SELECT id, client, CAST(count(*) OVER (PARTITION BY client ORDER BY t RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_hour FROM request"
 
 
-@relation
-def cache_entry(d):
-    """Evidence files: a writable cache (0) and seeds (1, 2), written at some time, some of them failures."""
-    return f"SELECT id, {urls.cache_key(d, "host")} AS cache_key, id % 3 AS source_ord, t AS started, status <> 200 AS failure FROM request"
-
-
 @query
 def cache_lookup(d):
     """The entry that answers for a key: fresh by its own start, failures in the writable cache only for an hour; writable first, then seeds."""
@@ -62,7 +48,7 @@ def activity_cache(d):
 def prewarm_todo(d):
     """Requested sites without a fresh entry, and those whose entry is a failure."""
     return f"""
-SELECT q.host, CASE WHEN k.cache_key IS NULL THEN 'missing' ELSE 'failed' END AS why FROM (SELECT DISTINCT concat('site', {d.text('c_custkey % 60')}, '.com') AS host FROM customer) q
+SELECT q.host, CASE WHEN k.cache_key IS NULL THEN 'missing' ELSE 'failed' END AS why FROM (SELECT DISTINCT host FROM wanted_site) q
 LEFT JOIN (SELECT l.cache_key, e.failure FROM cache_lookup l JOIN cache_entry e ON l.id = e.id) k ON {urls.cache_key(d, 'q.host')} = k.cache_key WHERE k.cache_key IS NULL OR k.failure"""
 
 
@@ -79,11 +65,6 @@ def leads_append(d):
     return f"SELECT id, host AS domain, substring(concat('Visitor ', {d.text('client')}), 1, 200) AS name, {d.day('ts')} AS received, event_type AS challenge FROM request WHERE event_type IN ('signup', 'purchase')"
 
 
-@relation
-def origin_attempt(d):
-    return f"SELECT id, host, client, CASE WHEN id % 2 = 0 THEN concat('https://', host) ELSE concat('https://www.', host) END AS origin, status = 200 AS ok, t FROM request"
-
-
 @query
 def origin_resolve(d):
     """The first address that answered a client, of a site's two, and how often it was tried."""
@@ -93,15 +74,15 @@ def origin_resolve(d):
 @query
 def language_resolution(d):
     """Which page is read in English: a declared alternate, else a path that answers, of at most eight tries."""
-    return f"""
-SELECT host, how, candidate FROM (SELECT host, how, candidate, row_number() OVER (PARTITION BY host ORDER BY rank_no, id) AS nth FROM (
-  SELECT host, id, status, CASE WHEN event_type = 'view' THEN 'hreflang' ELSE 'path' END AS how, {picked(d, ['/en/', '/en-us/', '/en-gb/'], 'id % 3')} AS candidate, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS rank_no, row_number() OVER (PARTITION BY host ORDER BY id) AS tried FROM request) WHERE tried <= 8 AND status = 200) WHERE nth = 1"""
+    return """
+SELECT host, how, candidate FROM (SELECT host, how, candidate, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN how = 'hreflang' THEN 0 ELSE 1 END, id) AS nth FROM (
+  SELECT host, id, status, how, candidate, row_number() OVER (PARTITION BY host ORDER BY id) AS tried FROM language_try) WHERE tried <= 8 AND status = 200) WHERE nth = 1"""
 
 
 @query
 def evidence_scan(d):
     """What a scan of evidence finds: one record a site, files that cannot be read left out and counted."""
-    return f"SELECT segment, CAST(count(*) AS BIGINT) AS files, {d.count_if('canonical_urls IS NULL')} AS unreadable, {d.count_if('robots_present')} AS with_robots FROM evidence GROUP BY segment"
+    return f"SELECT segment, CAST(count(*) AS BIGINT) AS files, {d.count_if('canonical_urls IS NULL')} AS unreadable, {d.count_if('robots_fetched')} AS with_robots FROM evidence GROUP BY segment"
 
 
 @query

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from ..functions import fixed, markup, numbers
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation
-
-BYLINE = r"(?is)<[^>]+(?:rel=[\x22\x27]author[\x22\x27]|itemprop=[\x22\x27]author[\x22\x27]|class=[\x22\x27][^\x22\x27]*\b(?:author|byline|post-author)\b[^\x22\x27]*[\x22\x27])[^>]*>(.{0,160}?)</[a-z]+>"
-ARTICLE_TYPES = r"(?i)^(Article|BlogPosting|NewsArticle|TechArticle|Report)\z"
+from ..plans.registry import frame, query, relation
 
 
 @relation
@@ -28,7 +31,7 @@ def meta_attrs(d):
 @relation
 def page_meta(d):
     """The last content of each name that is read; empty is none."""
-    names = {"og_title": "og:title", "og_description": "og:description", "og_image": "og:image", "og_type": "og:type", "og_site_name": "og:site_name", "twitter_card": "twitter:card", "twitter_image": "twitter:image", "meta_author": "author", "meta_description": "description"}
+    names = {"og_title": "og:title", "og_description": "og:description", "og_image": "og:image", "og_type": "og:type", "og_site_name": "og:site_name", "twitter_card": "twitter:card", "twitter_image": "twitter:image", "meta_author": "author", "meta_description": "description", "meta_published": "article:published_time", "meta_modified": "article:modified_time"}
     cols = ", ".join(f"nullif(max_by(content, CASE WHEN name = '{v}' THEN idx END), '') AS {k}" for k, v in names.items())
     return f"SELECT page_id, {cols} FROM meta_tag GROUP BY page_id"
 
@@ -73,52 +76,82 @@ def jsonld_block(d):
     return d.explode("page_id", source, inner, "block", "idx")
 
 
-@relation
-def jsonld_node(d):
-    """Every scalar of every block, with the key it stands under and the key around that; array places count as their array."""
-    if d.spark:
-        return """/*WITH_RECURSION*/
-SELECT page_id, idx, 0 AS depth, CAST('' AS STRING) AS name, CAST('' AS STRING) AS around, try_parse_json(trim(block)) AS node FROM jsonld_block
-UNION ALL
-SELECT j.page_id, j.idx, j.depth + 1, coalesce(e.key, j.name), CASE WHEN e.key IS NULL THEN j.around ELSE j.name END, e.value FROM jsonld_node j, LATERAL variant_explode(j.node) e
-WHERE j.depth < 20 AND schema_of_variant(j.node) RLIKE '^(ARRAY|OBJECT)'"""
-    steps = "list_filter(string_split(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '', 'g'), '.'), lambda x: x <> '$')"
-    clean = "regexp_replace(coalesce(list_extract({0}, {1}), ''), '\"', '', 'g')"
-    return f"""
-SELECT page_id, idx, CAST(len({steps}) AS INTEGER) AS depth, {clean.format(steps, -1)} AS name, {clean.format(steps, -2)} AS around, t.atom AS node, t.type AS kind
-FROM (SELECT page_id, idx, CASE WHEN json_valid(trim(block)) THEN trim(block) ELSE 'null' END AS block FROM jsonld_block) b, json_tree(b.block) t"""
+JSONLD = "page_id long, idx int, place int, name string, said string"
+
+
+def jsonld_facts(text: str) -> list[tuple[str, str]] | None:
+    """What the nodes of a block say, in the order of a walk that takes a node before what it holds: types, authors, dates, headlines. None if it is no JSON."""
+    try:
+        todo = [json.loads(text.strip())]
+    except (ValueError, RecursionError):
+        return None
+    found: list[tuple[str, str]] = []
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo.extend(reversed(node))
+        elif isinstance(node, dict):
+            listed = lambda x: x if isinstance(x, list) else [x]
+            found += [("@type", t) for t in listed(node.get("@type")) if isinstance(t, str)]
+            for a in listed(node.get("author")):
+                name = a.get("name") if isinstance(a, dict) else a
+                if isinstance(name, str) and name.strip():
+                    found.append(("author", name.strip()))
+            found += [(k, node[k]) for k in ("datePublished", "dateModified", "headline") if isinstance(node.get(k), str) and node[k]]
+            todo.extend(reversed(node.values()))
+    return found
+
+
+@frame("jsonld_fact", "jsonld_block")
+def jsonld_walked(blocks: DataFrame) -> DataFrame:
+    """(page_id, idx, place, name, said) of blocks(page_id, idx, block), of any depth; a block that is no JSON has one row with a null name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page, idx, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                found = jsonld_facts(text or "")
+                rows += [(page, idx, k, *f) for k, f in enumerate(found)] if found is not None else [(page, idx, 0, None, None)]
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["page_id", "idx", "place", "name", "said"])
+
+    return blocks.select("page_id", "idx", "block").mapInArrow(run, JSONLD)
 
 
 @relation
 def jsonld_fact(d):
-    if d.spark:
-        scalar = "CASE WHEN schema_of_variant(node) = 'STRING' THEN variant_get(node, '$', 'string') END"
-    else:
-        scalar = "CASE WHEN kind = 'VARCHAR' THEN node ->> '$' END"
-    return f"SELECT page_id, name, around, {scalar} AS said FROM jsonld_node WHERE {scalar} IS NOT NULL"
+    """DuckDB's form: every scalar of a block's tree with the key it stands under and the key around that; array places count as their array."""
+    steps = "list_filter(string_split(regexp_replace(t.fullkey, '\\[[0-9]+\\]', '', 'g'), '.'), lambda x: x <> '$')"
+    clean = "regexp_replace(coalesce(list_extract({0}, {1}), ''), '\"', '', 'g')"
+    return f"""
+SELECT page_id, idx, place, CASE WHEN key = 'name' AND around = 'author' THEN 'author' ELSE key END AS name, CASE WHEN key = 'author' OR around = 'author' THEN trim(said) ELSE said END AS said FROM (
+  SELECT page_id, idx, t.id AS place, {clean.format(steps, -1)} AS key, {clean.format(steps, -2)} AS around, t.atom ->> '$' AS said
+  FROM (SELECT page_id, idx, trim(block) AS block FROM jsonld_block WHERE json_valid(trim(block))) b, json_tree(b.block) t WHERE t.type = 'VARCHAR')
+WHERE key IN ('@type', 'author', 'datePublished', 'dateModified', 'headline') OR key = 'name' AND around = 'author'
+UNION ALL SELECT page_id, idx, 0 AS place, NULL AS name, NULL AS said FROM jsonld_block WHERE NOT json_valid(trim(block))"""
 
 
 @relation
 def page_jsonld(d):
-    people = "CASE WHEN name = 'author' OR (name = 'name' AND around = 'author') THEN trim(said) END"
-    types = f"SELECT page_id, {d.join(d.lists('said', 'said'), ' ')} AS types, max(CASE WHEN {d.rx('said', ARTICLE_TYPES)} THEN 1 ELSE 0 END) = 1 AS has_article, CAST(count(*) AS BIGINT) AS n_types FROM (SELECT DISTINCT page_id, said FROM jsonld_fact WHERE name = '@type') GROUP BY page_id"
-    authors = f"SELECT page_id, {d.join(d.lists('person', 'person'), ', ')} AS authors FROM (SELECT DISTINCT page_id, {people} AS person FROM jsonld_fact) WHERE coalesce(person, '') <> '' GROUP BY page_id"
-    first = "SELECT page_id, min(CASE WHEN name = 'datePublished' THEN said END) AS published, min(CASE WHEN name = 'headline' THEN said END) AS headline FROM jsonld_fact GROUP BY page_id"
-    bad = "try_parse_json(trim(block)) IS NULL" if d.spark else "NOT json_valid(trim(block))"
+    """Of each page with structured data: its types and authors in the order they come, and the first dates and headline."""
+    at = "idx * 1000000 + place"
+    once = lambda name, out, by: f"SELECT page_id, {d.join(d.lists('said', 'spot'), by)} AS {out}, max(CASE WHEN {d.rx('said', fixed.ARTICLE_TYPES)} THEN 1 ELSE 0 END) = 1 AS article, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, said, min({at}) AS spot FROM jsonld_fact WHERE name = '{name}' AND coalesce(said, '') <> '' GROUP BY page_id, said) GROUP BY page_id"
+    first = lambda name: f"min_by(said, CASE WHEN name = '{name}' AND said <> '' THEN {at} END)"
     return f"""
-SELECT b.page_id, b.blocks, b.unparseable, t.types, coalesce(t.has_article, false) AS has_article, coalesce(t.n_types, 0) AS n_types, a.authors, f.published, f.headline
-FROM (SELECT page_id, CAST(count(*) AS BIGINT) AS blocks, {d.count_if(bad)} AS unparseable FROM jsonld_block GROUP BY page_id) b
-LEFT JOIN ({types}) t ON b.page_id = t.page_id LEFT JOIN ({authors}) a ON b.page_id = a.page_id LEFT JOIN ({first}) f ON b.page_id = f.page_id"""
+SELECT b.page_id, b.blocks, coalesce(f.unparseable, 0) AS unparseable, t.types, coalesce(t.article, false) AS has_article, coalesce(t.n, 0) AS n_types, a.authors, f.published, f.modified, f.headline
+FROM (SELECT page_id, CAST(count(*) AS BIGINT) AS blocks FROM jsonld_block GROUP BY page_id) b
+LEFT JOIN ({once('@type', 'types', ' ')}) t ON b.page_id = t.page_id LEFT JOIN ({once('author', 'authors', ', ')}) a ON b.page_id = a.page_id
+LEFT JOIN (SELECT page_id, {d.count_if('name IS NULL')} AS unparseable, {first('datePublished')} AS published, {first('dateModified')} AS modified, {first('headline')} AS headline FROM jsonld_fact GROUP BY page_id) f ON b.page_id = f.page_id"""
 
 
 @query
 def jsonld_walk(d):
-    return "SELECT page_id, blocks, unparseable, types, has_article, authors, published, headline FROM page_jsonld"
+    return "SELECT page_id, blocks, unparseable, types, has_article, authors, published, modified, headline FROM page_jsonld"
 
 
 @relation
 def page_byline(d):
-    hits = d.explode("page_id", "page_html", d.exta("html", BYLINE, 1), "raw", "idx")
+    hits = d.explode("page_id", "page_html", d.exta("html", fixed.BYLINE, 1), "raw", "idx")
     return f"SELECT page_id, idx, who FROM (SELECT page_id, idx, {markup.text_of(d, 'raw')} AS who FROM ({hits})) WHERE length(who) > 1 AND length(who) < 80"
 
 
@@ -173,9 +206,11 @@ def page_record(d):
     return f"""
 SELECT p.page_id, p.url, m.og_title, m.og_description, m.og_image, coalesce(m.og_title, '') <> '' AS has_og_title, coalesce(m.og_description, '') <> '' AS has_og_description, coalesce(m.og_image, '') <> '' AS has_og_image,
   m.twitter_card, m.twitter_card IS NOT NULL AS has_twitter_card, coalesce(m.twitter_image, m.og_image) IS NOT NULL AS has_twitter_image, c.page_canonical AS canonical, c.page_canonical IS NOT NULL AS has_canonical,
-  coalesce(j.has_article, false) AS has_article_schema, j.types AS schema_types, coalesce(j.unparseable, 0) AS json_ld_unparseable, a.authors, a.source AS author_source, j.published, s.controls, s.controls <> '' AS has_share_affordance, t.words, t.looks_empty
+  coalesce(j.has_article, false) AS has_article_schema, j.types AS schema_types, coalesce(j.unparseable, 0) AS json_ld_unparseable, m.og_type, m.og_site_name, a.authors, a.source AS author_source, coalesce(l.rel_authors, 0) AS rel_author_links, coalesce(j.published, m.meta_published) AS published, coalesce(j.modified, m.meta_modified) AS modified,
+  CASE WHEN j.published IS NOT NULL THEN 'json-ld' WHEN m.meta_published IS NOT NULL THEN 'meta[article:published_time]' END AS date_source, nullif(h.h1, '') AS h1, s.controls, s.controls <> '' AS has_share_affordance, t.words, t.looks_empty
 FROM page_html p LEFT JOIN page_meta m ON p.page_id = m.page_id LEFT JOIN canonical_link c ON p.page_id = c.page_id LEFT JOIN page_jsonld j ON p.page_id = j.page_id
-LEFT JOIN page_authors a ON p.page_id = a.page_id LEFT JOIN share_affordances s ON p.page_id = s.page_id LEFT JOIN page_text t ON p.page_id = t.page_id"""
+LEFT JOIN page_authors a ON p.page_id = a.page_id LEFT JOIN share_affordances s ON p.page_id = s.page_id LEFT JOIN page_text t ON p.page_id = t.page_id
+LEFT JOIN (SELECT page_id, CAST(count(*) AS BIGINT) AS rel_authors FROM link_tag WHERE rel = 'author' AND href <> '' GROUP BY page_id) l ON p.page_id = l.page_id LEFT JOIN html_to_text h ON p.page_id = h.page_id"""
 
 
 @query
@@ -185,11 +220,16 @@ def page_evidence(d):
 
 @query
 def homepage_evidence(d):
+    """What a homepage tells: head, links to careers pages and job boards, feeds, structured data, and whether there is text without scripts."""
     title = d.trim(markup.spaced(d, d.ext("substring(html, 1, 400000)", r"(?is)<title[^>]*>(.*?)</title>")))
+    generator = "SELECT page_id, nullif(max_by(content, CASE WHEN name = 'generator' THEN idx END), '') AS generator FROM meta_tag GROUP BY page_id"
     return f"""
-SELECT p.page_id, nullif({title}, '') AS title, nullif(lower({d.ext('html', r'(?i)<html[^>]*\slang\s*=\s*[\x22\x27]?([a-zA-Z][a-zA-Z0-9-]*)')}), '') AS lang, {d.size(d.exta('html', r'(?i)<a\b[^>]*href\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27)', 0))} AS links,
-  c.home_canonical AS canonical, coalesce(j.n_types, 0) AS json_ld_types, t.chars AS text_chars, t.looks_empty AS likely_js_rendered
-FROM page_html p LEFT JOIN canonical_link c ON p.page_id = c.page_id LEFT JOIN page_jsonld j ON p.page_id = j.page_id LEFT JOIN page_text t ON p.page_id = t.page_id"""
+SELECT p.page_id, nullif({title}, '') AS title, m.meta_description AS description, g.generator, nullif(lower({d.ext('html', r'(?i)<html[^>]*\slang\s*=\s*[\x22\x27]?([a-zA-Z][a-zA-Z0-9-]*)')}), '') AS lang, {d.size(d.exta('html', r'(?i)<a\b[^>]*href\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27)', 0))} AS links,
+  c.home_canonical AS canonical, coalesce(j.n_types, 0) AS json_ld_types, k.careers AS career_links, b.boards AS board_hints, f.feeds, t.chars AS text_chars, t.looks_empty AS likely_js_rendered
+FROM page_html p LEFT JOIN canonical_link c ON p.page_id = c.page_id LEFT JOIN page_jsonld j ON p.page_id = j.page_id LEFT JOIN page_text t ON p.page_id = t.page_id LEFT JOIN page_meta m ON p.page_id = m.page_id LEFT JOIN ({generator}) g ON p.page_id = g.page_id
+LEFT JOIN (SELECT page_id, {d.join(d.lists('href', 'nth'), ' ')} AS careers FROM career_links GROUP BY page_id) k ON p.page_id = k.page_id
+LEFT JOIN (SELECT page_id, {d.join(d.lists("concat(ats, ':', token)", "concat(ats, ':', token)"), ' ')} AS boards FROM ats_detect GROUP BY page_id) b ON p.page_id = b.page_id
+LEFT JOIN (SELECT page_id, {d.join(d.lists('href', 'href'), ' ')} AS feeds FROM feeds_declared GROUP BY page_id) f ON p.page_id = f.page_id"""
 
 
 @query
@@ -197,7 +237,7 @@ def page_aggregates(d):
     """Of the pages of each language path: how many carry what, and the share to a tenth of a per cent."""
     flags = ["has_og_title", "has_og_description", "has_og_image", "has_twitter_card", "has_canonical", "has_article_schema", "has_share_affordance"]
     cols = ", ".join(f"{d.count_if(f)} AS n_{f[4:]}, {numbers.pct(d, d.count_if(f), 'count(*)')} AS pct_{f[4:]}" for f in flags)
-    return f"SELECT {d.ext('url', '^https?://[^/]+/([a-z]+)')} AS lang, CAST(count(*) AS BIGINT) AS pages, {cols}, {d.count_if('authors IS NOT NULL')} AS n_named_author, {d.count_if('looks_empty')} AS n_looks_empty FROM page_record GROUP BY {d.ext('url', '^https?://[^/]+/([a-z]+)')}"
+    return f"SELECT {d.ext('url', '^https?://[^/]+/([a-z]+)')} AS lang, CAST(count(*) AS BIGINT) AS pages, {cols}, {d.count_if('authors IS NOT NULL')} AS n_named_author, {numbers.pct(d, d.count_if('authors IS NOT NULL'), 'count(*)')} AS pct_named_author, {d.count_if('looks_empty')} AS n_looks_empty, {numbers.pct(d, d.count_if('looks_empty'), 'count(*)')} AS pct_looks_empty FROM page_record GROUP BY {d.ext('url', '^https?://[^/]+/([a-z]+)')}"
 
 
 @relation
@@ -222,10 +262,11 @@ def ats_detect(d):
 def job_subdomains(d):
     """Links to a host of the page's own name that is for jobs, at most three."""
     hrefs = d.explode("page_id, url", "page_html", d.exta("html", r"(?i)href=[\x22\x27](https?://[^\x22\x27]+)[\x22\x27]", 1), "href", "idx")
-    at = lambda h: f"lower({d.ext(h, '^https?://([^/?#:]+)')})"
+    at = lambda h: f"lower({d.ext(h, '^https?://(?:[^/?#@]*@)?([^/?#:]+)')})"
+    own, rest = d.ext(d.sub(at("url"), r"^www[.]"), "^([^.]*)"), d.sub(at("href"), "^[a-z]+[.]")
     link = d.sub(d.ext("href", "^(https?://[^?#]+)"), r"/\z")
     return f"""
-SELECT page_id, link, nth FROM (SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(idx)) AS INTEGER) AS nth FROM (SELECT page_id, idx, {link} AS link FROM ({hrefs}) WHERE {d.rx(at('href'), r'^(jobs|careers|apply|talent|hiring|work)[.]')}) GROUP BY page_id, link) WHERE nth <= 3"""
+SELECT page_id, link, nth FROM (SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(idx)) AS INTEGER) AS nth FROM (SELECT page_id, idx, {link} AS link FROM ({hrefs}) WHERE {d.rx(at('href'), r'^(jobs|careers|apply|talent|hiring|work)[.]')} AND {own} <> '' AND {d.starts(rest, own)}) GROUP BY page_id, link) WHERE nth <= 3"""
 
 
 @relation
@@ -277,9 +318,8 @@ def site_title(d):
 @query
 def llms_txt(d):
     """The first lines of a text file that is asked for by convention; a page of markup in its place is none."""
-    body = "CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN concat('# Site ', url, chr(10), 'line', chr(10), chr(10), 'more') ELSE '' END"
     markup_ = d.rx("body", r"(?i)^\s*<(!doctype|html)")
-    return f"SELECT page_id, body <> '' AND NOT {markup_} AS present, CASE WHEN body <> '' AND NOT {markup_} THEN {d.join(d.slice(d.split('body', chr(10)), 1, 8), ' | ')} END AS head FROM (SELECT page_id, {body} AS body FROM pages)"
+    return f"SELECT page_id, body <> '' AND NOT {markup_} AS present, CASE WHEN body <> '' AND NOT {markup_} THEN {d.join(d.slice(d.split('body', chr(10)), 1, 8), ' | ')} END AS head FROM llms_reply"
 
 
 @query

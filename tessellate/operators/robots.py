@@ -49,7 +49,17 @@ ON a.site = r.site AND a.grp = r.grp"""
 
 @query
 def robots_parse(d):
-    return "SELECT * FROM robots_group"
+    """Groups with their agents, and their rules as they stand, in order."""
+    rules = d.join(d.lists("concat(field, ': ', value)", "idx"), " | ")
+    return f"""
+SELECT g.site, g.grp, g.agents, g.rules, g.crawl_delay, g.content_signal, r.rule_list FROM robots_group g
+LEFT JOIN (SELECT site, grp, {rules} AS rule_list FROM robots_line WHERE field IN ('allow', 'disallow') GROUP BY site, grp) r ON g.site = r.site AND g.grp = r.grp"""
+
+
+@query
+def robots_unknown(d):
+    """Directives that are none of the grammar's, with their values."""
+    return "SELECT site, idx, field, value FROM robots_line WHERE field NOT IN ('user-agent', 'allow', 'disallow', 'crawl-delay', 'content-signal', 'sitemap')"
 
 
 @query
@@ -66,10 +76,16 @@ def crawl_delay(d):
 @relation
 def agent_group(d):
     """The groups whose rules hold for an agent: the one with its longest token, else all of everyone's."""
+    hit = f"a.token <> '*' AND {d.contains('lower(g.agent)', 'a.token')}"
+    if d.spark:  # one aggregate over a site's tokens and the agents
+        return f"""
+SELECT site, agent, kind, ord, grp FROM (
+  SELECT a.site, g.agent, g.kind, g.ord, max_by(a.grp, CASE WHEN {hit} THEN length(a.token) * 1000000 - a.grp END) AS own, collect_set(CASE WHEN a.token = '*' THEN a.grp END) AS everyones
+  FROM robots_agent a CROSS JOIN ai_agent g WHERE a.token = '*' OR {hit} GROUP BY a.site, g.agent, g.kind, g.ord)
+LATERAL VIEW explode(CASE WHEN own IS NULL THEN everyones ELSE array(own) END) _g AS grp"""
     return f"""
 SELECT site, agent, kind, ord, grp FROM (
-  SELECT a.site, g.agent, g.kind, g.ord, a.grp, row_number() OVER (PARTITION BY a.site, g.agent ORDER BY length(a.token) DESC, a.grp) AS nth
-  FROM robots_agent a CROSS JOIN ai_agent g WHERE a.token <> '*' AND {d.contains('lower(g.agent)', 'a.token')}) WHERE nth = 1
+  SELECT a.site, g.agent, g.kind, g.ord, a.grp, row_number() OVER (PARTITION BY a.site, g.agent ORDER BY length(a.token) DESC, a.grp) AS nth FROM robots_agent a CROSS JOIN ai_agent g WHERE {hit}) WHERE nth = 1
 UNION ALL
 SELECT DISTINCT a.site, g.agent, g.kind, g.ord, a.grp FROM robots_agent a CROSS JOIN ai_agent g
 LEFT JOIN (SELECT DISTINCT b.site, h.agent AS named FROM robots_agent b CROSS JOIN ai_agent h WHERE b.token <> '*' AND {d.contains('lower(h.agent)', 'b.token')}) n ON n.site = a.site AND n.named = g.agent
@@ -83,12 +99,12 @@ def robots_group_select(d):
 
 @relation
 def robots_rule(d):
-    return f"SELECT site, grp, field AS kind, value AS path, {rule_pattern(d, 'value')} AS pattern, length({d.sub('value', '[$]$')}) AS weight FROM robots_line WHERE field IN ('allow', 'disallow') AND value <> ''"
+    return f"SELECT site, grp, field AS kind, value AS path, {rule_pattern(d, 'value')} AS pattern, NOT {d.rx('value', '[*$]')} AS plain, length({d.sub('value', '[$]$')}) AS weight FROM robots_line WHERE field IN ('allow', 'disallow') AND value <> ''"
 
 
 def _allowed(d: Dialect, cases: str, keys: str, path: str) -> str:
     """Of each case (site, agent, path ...): the longest rule that matches decides, allow wins a tie."""
-    hit = f"regexp_matches({path}, r.pattern)" if not d.spark else f"({path} RLIKE r.pattern)"
+    hit = f"regexp_matches({path}, r.pattern)" if not d.spark else f"CASE WHEN r.plain THEN startswith({path}, r.path) ELSE {path} RLIKE r.pattern END"
     return f"""
 SELECT {keys}, coalesce(max(CASE WHEN r.kind = 'disallow' THEN r.weight END), -1) = -1 OR coalesce(max(CASE WHEN r.kind = 'allow' THEN r.weight END), -1) >= coalesce(max(CASE WHEN r.kind = 'disallow' THEN r.weight END), -1) AS allowed
 FROM {cases} LEFT JOIN robots_rule r ON c.site = r.site AND c.grp = r.grp AND {hit} GROUP BY {keys}"""
@@ -96,7 +112,7 @@ FROM {cases} LEFT JOIN robots_rule r ON c.site = r.site AND c.grp = r.grp AND {h
 
 @query
 def robots_allowed(d):
-    paths = d.explode("site, agent, grp", "(SELECT * FROM agent_group WHERE ord IN (0, 8))", d.array(*(d.lit(p) for p in PATHS)), "path", "idx")
+    paths = d.explode("site, agent, grp", "agent_group", d.array(*(d.lit(p) for p in PATHS)), "path", "idx")
     return _allowed(d, f"({paths}) c", "c.site, c.agent, c.path", "c.path")
 
 
@@ -118,7 +134,7 @@ def ai_posture(d):
 @query
 def robots_by_host(d):
     """May a page be fetched, by the robots file of its own host? Without a file it may."""
-    pages = "(SELECT page_id, page_id AS site, CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/private/x' ELSE '/search' END AS path FROM pages)"
+    pages = "(SELECT page_id, site, path FROM wanted_page)"
     known = _allowed(d, f"(SELECT p.page_id, p.path, g.site, g.grp FROM {pages} p JOIN (SELECT site, grp FROM agent_group WHERE ord = 8) g ON p.site = g.site) c", "c.page_id", "c.path")
     return f"SELECT p.page_id, p.path, coalesce(k.allowed, true) AS allowed FROM {pages} p LEFT JOIN ({known}) k ON p.page_id = k.page_id"
 
@@ -139,7 +155,7 @@ def content_signal_map(d):
 def signal_contradictions(d):
     """Signals that grant a use while agents of just the kind that serves it are blocked."""
     return f"""
-SELECT s.site, s.grp, s.content_signal, CAST(count(DISTINCT a.agent) AS BIGINT) AS n_blocked FROM (
+SELECT s.site, s.grp, s.content_signal, {d.join(d.lists('a.agent', 'a.ord'), ', ')} AS blocked_agents, CAST(count(*) AS BIGINT) AS n_blocked FROM (
   SELECT DISTINCT site, grp, content_signal, k.kind FROM content_signal JOIN (SELECT * FROM (VALUES ('search', 'yes', 'search'), ('ai-input', 'yes', 'search'), ('ai-input', 'yes', 'user-fetch'), ('use', 'reference', 'search'), ('use', 'reference', 'user-fetch'), ('use', 'excerpt', 'search'), ('use', 'excerpt', 'user-fetch'), ('use', 'full', 'search'), ('use', 'full', 'user-fetch')) AS _g(grant_name, grant_value, kind)) k ON name = k.grant_name AND setting = k.grant_value) s
 JOIN agent_access a ON a.site = s.site AND a.kind = s.kind AND NOT a.root_allowed GROUP BY s.site, s.grp, s.content_signal"""
 

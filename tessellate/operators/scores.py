@@ -8,20 +8,32 @@ from ..plans.dialect import Dialect
 from ..plans.registry import query, relation
 
 
+@relation
+def robots_facts(d):
+    """What a site's robots file says to agents, for the scores: the weighted share let in, agents kept out, signals, and whether they contradict that."""
+    weight = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in fixed.ACCESS_WEIGHTS.items()) + " END"
+    return f"""
+SELECT a.site, a.access, a.agents_blocked, coalesce(s.signals, 0) AS signals, c.site IS NOT NULL AS contradicted
+FROM (SELECT site, {d.dbl(f'sum(CASE WHEN root_allowed THEN {weight} ELSE 0 END)')} / {d.dbl(f'sum({weight})')} AS access, {d.count_if('NOT root_allowed')} AS agents_blocked FROM agent_access GROUP BY site) a
+LEFT JOIN (SELECT site, CAST(count(*) AS BIGINT) AS signals FROM robots_group WHERE content_signal IS NOT NULL AND content_signal <> '' GROUP BY site) s ON a.site = s.site
+LEFT JOIN (SELECT DISTINCT site FROM signal_contradictions) c ON a.site = c.site"""
+
+
 @relation
 def evidence_wide(d):
-    """evidence with its counts made consistent."""
+    """evidence with its counts made consistent, and what the robots file adds; without one, robots_present is false."""
     return f"""
+SELECT w.*, r.site IS NOT NULL AS robots_present, r.access, r.agents_blocked, r.signals, coalesce(r.contradicted, false) AS contradicted FROM (
 SELECT *, CASE WHEN sampler_pool IS NULL THEN shareable ELSE least(shareable, sampler_pool) END AS pool, {numbers.pct(d, 'shareable', 'canonical_urls')} AS share_pct, {numbers.pct(d, 'unclassified', 'total_urls')} AS unclassified_pct,
   {numbers.pct(d, 'employees_posted', 'employees_indexed')} AS posting_rate, {numbers.pct(d, 'makers_posted', 'employees_indexed')} AS maker_rate, CASE WHEN pages_retrieved > pages_attempted_raw THEN pages_retrieved ELSE pages_attempted_raw END AS pages_attempted,
   coalesce(ats_reqs, board_reqs) AS reqs FROM (
-  SELECT *, CASE WHEN canonical_urls IS NULL THEN NULL ELSE least(CAST(floor(shareable_raw) AS BIGINT), canonical_urls) END AS shareable, CAST(floor(unclassified_raw) AS BIGINT) AS unclassified FROM evidence)"""
+  SELECT *, CASE WHEN canonical_urls IS NULL THEN NULL ELSE least(CAST(floor(shareable_raw) AS BIGINT), canonical_urls) END AS shareable, CAST(floor(unclassified_raw) AS BIGINT) AS unclassified FROM evidence)) w LEFT JOIN robots_facts r ON w.site = r.site"""
 
 
 @query
 def piecewise_scale(d):
     """Bands at and between their points."""
-    return f"SELECT o_orderkey AS id, {piecewise(d, 'o_orderkey % 6000', fixed.VOLUME)} AS volume, {piecewise(d, 'o_orderkey % 101', fixed.RECENCY)} AS recency, {piecewise(d, 'o_orderkey % 70 / 10.0', fixed.DECISION_MAKERS)} AS makers FROM orders"
+    return f"SELECT id, {piecewise(d, 'pages', fixed.VOLUME)} AS volume, {piecewise(d, 'share', fixed.RECENCY)} AS recency, {piecewise(d, 'rate', fixed.DECISION_MAKERS)} AS makers FROM band_probe"
 
 
 @relation
@@ -87,7 +99,7 @@ def score_employee_culture(d):
 
 @relation
 def scored_ai(d):
-    total = f"{d.dbl('agents_allowed')} / {len(fixed.AGENTS)} * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'home_types', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
+    total = f"access * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'home_types', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
     return f"SELECT site, CASE WHEN robots_present THEN {d.r1(numbers.clamp(total))} END AS score, CASE WHEN article_schema IS NULL THEN 'reduced' ELSE 'full' END AS confidence FROM evidence_wide"
 
 
@@ -107,7 +119,7 @@ SELECT *, CASE WHEN gradeable THEN {d.r1('total')} END AS overall, {numbers.grad
     SELECT e.site, e.host, e.blocked_at_root AS blocked, e.total_urls > 0 AND (e.unclassified_pct >= 50 OR (coalesce(e.pool, 0) < {fixed.LEAST_POOL} AND e.unclassified_pct >= 30)) AS insufficient,
       s.score AS content_supply, h.score AS shareability, c.score AS employee_culture, a.score AS ai_discoverability, {total} AS total,
       CASE WHEN s.score IS NULL THEN 0 ELSE 1 END + CASE WHEN h.score IS NULL THEN 0 ELSE 1 END + CASE WHEN c.score IS NULL THEN 0 ELSE 1 END + CASE WHEN a.score IS NULL THEN 0 ELSE 1 END AS scorable,
-      CASE WHEN s.confidence = 'reduced' OR h.confidence = 'reduced' OR c.confidence = 'reduced' OR a.confidence = 'reduced' THEN 'reduced' ELSE 'full' END AS confidence
+      CASE WHEN e.total_urls > 0 AND (e.unclassified_pct >= 50 OR (coalesce(e.pool, 0) < {fixed.LEAST_POOL} AND e.unclassified_pct >= 30)) OR s.confidence = 'reduced' OR h.confidence = 'reduced' OR c.confidence = 'reduced' OR a.confidence = 'reduced' THEN 'reduced' ELSE 'full' END AS confidence
     FROM evidence_wide e JOIN scored_supply s ON e.site = s.site JOIN scored_sharing h ON e.site = h.site JOIN scored_culture c ON e.site = c.site JOIN scored_ai a ON e.site = a.site))"""
 
 
@@ -123,7 +135,7 @@ def lead(d):
     return f"""
 SELECT *, CASE WHEN gap IS NULL THEN 'unranked' WHEN reqs IS NULL THEN 'unqualified' WHEN gap >= 45 THEN 'hot' WHEN gap >= 28 THEN 'warm' WHEN gap >= 14 THEN 'watch' ELSE 'cold' END AS tier FROM (
   SELECT *, CASE WHEN overall IS NULL THEN NULL ELSE {d.r1(numbers.clamp('pressure * ((100 - overall) / 100)'))} END AS gap FROM (
-    SELECT g.site, g.host, g.overall, e.reqs, e.competitor_mentioned, {d.r1(numbers.clamp(' + '.join(parts)))} AS pressure FROM evidence_wide e JOIN graded g ON e.site = g.site))"""
+    SELECT g.site, g.host, g.overall, e.reqs, e.ats_reqs IS NULL AND e.board_reqs IS NOT NULL AS self_hosted, e.competitor_mentioned, {d.r1(numbers.clamp(' + '.join(parts)))} AS pressure FROM evidence_wide e JOIN graded g ON e.site = g.site))"""
 
 
 @query
@@ -143,7 +155,7 @@ SELECT site, CASE WHEN index_status <> 'resolved' THEN index_status WHEN {measur
 @query
 def employee_voice(d):
     """An alternative to the culture score, from bylines: diversity, spread, coverage."""
-    people, top, named = "site % 26", "CASE WHEN site % 26 = 0 THEN 0 ELSE 100 / (1 + site % 5) END", "coalesce(named_author, 0)"
+    people, top, named = "byline_people", "byline_top_share", "coalesce(named_author, 0)"
     parts = [
         piecewise(d, people, fixed.VOICE_DIVERSITY), f"CASE WHEN {people} = 0 THEN 0 ELSE {piecewise(d, f'100 - floor({top})', fixed.VOICE_SPREAD)} END", f"{d.dbl(named)} / 100 * 15", piecewise(d, "culture_urls", fixed.VOICE_CULTURE),
         f"CASE WHEN careers_ok THEN 8 ELSE 0 END + {piecewise(d, 'careers_urls', fixed.VOICE_CAREERS)}", piecewise(d, "author_urls", fixed.VOICE_AUTHORS),
@@ -158,35 +170,54 @@ def score_band(d):
 
 @query
 def component_groups(d):
-    """Components of a category with the maximum of their group."""
-    rows = [("What the site says", "Culture pages", 15), ("What the site says", "Careers page", 7.5), ("What the site says", "Careers depth", 7.5), ("What the site says", "Named authors", 12.5), ("What the site says", "Stories", 7.5), ("What employees do", "Posting", 25), ("What employees do", "Decision-makers", 15), ("What employees do", "Cadence", 10)]
-    values = ", ".join(f"({d.lit(g)}, {d.lit(n)}, {m}e0)" for g, n, m in rows)
-    return f"SELECT a.site, v.section, v.component, v.most, sum(v.most) OVER (PARTITION BY a.site, v.section) AS section_most FROM (SELECT site FROM activity_points WHERE usable) a CROSS JOIN (SELECT * FROM (VALUES {values}) AS _v(section, component, most)) v"
+    """Components of the culture category with their points, the most they could have, and both for their group. The website's count half where the index is usable."""
+    half = lambda x: f"({x}) / 2"
+    rows = [
+        ("What the site says", "Culture pages", 15, half(piecewise(d, "culture_urls", fixed.CULTURE))), ("What the site says", "Careers page", 7.5, half("CASE WHEN careers_ok THEN 15 ELSE 0 END")),
+        ("What the site says", "Careers depth", 7.5, half(piecewise(d, "careers_urls", fixed.CAREERS_DEPTH))), ("What the site says", "Named authors", 12.5, half(f"coalesce({d.dbl('named_author')}, 0) / 100 * 25")),
+        ("What the site says", "Stories", 7.5, half(piecewise(d, "story_urls", fixed.STORIES))), ("What employees do", "Posting", 25, piecewise(d, "coalesce(posting_rate, 0)", fixed.POSTING_RATE)),
+        ("What employees do", "Decision-makers", 15, f"coalesce({piecewise(d, 'maker_rate', fixed.DECISION_MAKERS)}, 0)"), ("What employees do", "Cadence", 10, f"coalesce({piecewise(d, 'company_posts', fixed.CADENCE)}, 0)"),
+    ]
+    each = " UNION ALL ".join(f"SELECT e.site, {d.lit(g)} AS section, {d.lit(n)} AS component, {m}e0 AS most, {d.r1(p)} AS points FROM evidence_wide e JOIN (SELECT site FROM activity_points WHERE usable) a ON e.site = a.site" for g, n, m, p in rows)
+    return f"SELECT site, section, component, points, most, {d.r1('sum(points) OVER (PARTITION BY site, section)')} AS section_points, sum(most) OVER (PARTITION BY site, section) AS section_most FROM ({each})"
 
 
 @query
 def lead_intel_row(d):
     """The fixed columns that go with a captured lead; without evidence they are null, never zero."""
-    return """
-SELECT e.site, l.site IS NOT NULL AS evidence_available, l.tier AS lead_tier, l.gap AS opportunity_gap, l.pressure AS hiring_pressure, g.grade, g.overall AS public_score, g.withheld_reason, t.finding AS top_fix_id, t.severity AS top_fix_severity
-FROM (SELECT c_custkey AS site FROM customer) e LEFT JOIN (SELECT * FROM lead WHERE site % 5 <> 4) l ON e.site = l.site LEFT JOIN (SELECT * FROM graded WHERE site % 5 <> 4) g ON e.site = g.site LEFT JOIN (SELECT * FROM ranked_finding WHERE kind = 'action' AND nth = 1 AND site % 5 <> 4) t ON e.site = t.site"""
+    held = "c.has_evidence"
+    return f"""
+SELECT c.site, {held} AS evidence_available, coalesce({held} AND g.gradeable, false) AS gradeable, CASE WHEN {held} THEN g.grade END AS grade, CASE WHEN {held} THEN g.overall END AS public_score, CASE WHEN {held} AND NOT g.gradeable THEN g.withheld_reason END AS withheld_reason,
+  CASE WHEN {held} THEN l.tier END AS lead_tier, CASE WHEN {held} THEN l.gap END AS opportunity_gap, CASE WHEN {held} THEN l.pressure END AS hiring_pressure,
+  CASE WHEN NOT {held} THEN NULL WHEN l.reqs IS NULL THEN 'no hiring data' WHEN l.self_hosted THEN 'self-hosted board: no job text to search' END AS lead_signal_note,
+  CASE WHEN {held} THEN CASE WHEN i.domain IS NULL THEN 'no_evidence_in_index' ELSE 'evidence_found' END END AS incumbent_status,
+  CASE WHEN {held} THEN b.status END AS advocacy_baseline_status, CASE WHEN {held} THEN b.rate_pct END AS advocacy_baseline_rate_pct, CASE WHEN {held} THEN b.indexed END AS advocacy_baseline_indexed, CASE WHEN {held} THEN b.reading END AS advocacy_baseline_note,
+  CASE WHEN {held} THEN t.finding END AS top_fix_id, CASE WHEN {held} THEN t.severity END AS top_fix_severity, concat('https://reports.example/report/', c.domain) AS report_url, CASE WHEN NOT {held} THEN 'no evidence in the cache: nothing here is estimated' END AS intel_note
+FROM captured_lead c LEFT JOIN lead l ON c.site = l.site LEFT JOIN graded g ON c.site = g.site LEFT JOIN advocacy_baseline b ON c.site = b.site
+LEFT JOIN (SELECT DISTINCT domain FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) i ON c.domain = i.domain LEFT JOIN (SELECT * FROM ranked_finding WHERE kind = 'action' AND nth = 1) t ON c.site = t.site"""
 
 
 @query
 def lead_validate(d):
-    mail = "concat(CASE c_custkey % 5 WHEN 0 THEN 'a@b.co' WHEN 1 THEN 'bad@' WHEN 2 THEN ' x@y.com ' WHEN 3 THEN '' ELSE 'no at.com' END)"
-    return f"SELECT id, mail, {d.rx('mail', r'^[^\s@]+@[^\s@]+[.][^\s@]+\z')} AS valid, substring(name, 1, 12) AS kept_name FROM (SELECT c_custkey AS id, {d.trim(mail)} AS mail, repeat(c_name, 2) AS name FROM customer)"
+    return f"SELECT id, mail, {d.rx('mail', r'^[^\s@]+@[^\s@]+[.][^\s@]+\z')} AS valid, substring(name, 1, 12) AS kept_name FROM (SELECT id, {d.trim('mail')} AS mail, name FROM contact_form)"
 
 
 @query
 def challenge_outcome(d):
-    return "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'not-enforced' WHEN c_custkey % 3 = 1 THEN 'unverified-outage' ELSE 'passed' END AS outcome FROM customer"
+    """What is recorded of a challenge: refused without a token or by the service, let in and said so where it is not set up or cannot be reached."""
+    return "SELECT id, CASE WHEN NOT configured THEN 'not-enforced' WHEN token IS NULL THEN 'refused: missing-token' WHEN NOT reachable THEN 'unverified-outage' WHEN NOT verified THEN 'refused: rejected' ELSE 'passed' END AS outcome FROM challenge"
 
 
 @query
 def strip_derived(d):
     """What is stored of a site: evidence without anything that is computed from it."""
-    return "SELECT site, host, canonical_urls, total_urls, sections, culture_urls, careers_urls, robots_present FROM evidence"
+    return f"SELECT * {'EXCEPT' if d.spark else 'EXCLUDE'} (scoring, lead_score) FROM evidence_bundle"
+
+
+@query
+def private_leaks(d):
+    """Findings that give away what only the lead score may know: there must be none."""
+    return f"SELECT site, finding FROM finding WHERE {d.rx('finding', 'hiring_pressure|opportunity_gap|buyer_in_seat|approximate_open_reqs')}"
 
 
 @query
@@ -216,8 +247,16 @@ SELECT CAST(max(total) AS BIGINT) AS n, {cols}, max(overall) AS p100 FROM (
 
 @query
 def leaderboard(d):
-    """The best hundred sites: by score, sites without one last, then by name."""
-    return "SELECT site, host, overall, grade, nth FROM (SELECT site, host, overall, grade, CAST(row_number() OVER (ORDER BY coalesce(overall, -1) DESC, host) AS INTEGER) AS nth FROM graded) WHERE nth <= 100"
+    """All sites: by score, sites without one last, then by name.
+
+    Names are ranked within score and first letters, and the counts in front are added, so no task sorts all sites.
+    """
+    return """
+SELECT r.site, r.host, r.overall, r.grade, CAST(r.inside + coalesce(f.before, 0) AS INTEGER) AS nth FROM (
+  SELECT site, host, overall, grade, coalesce(overall, -1) AS key, substring(host, 1, 6) AS part, row_number() OVER (PARTITION BY coalesce(overall, -1), substring(host, 1, 6) ORDER BY host) AS inside FROM graded) r
+JOIN (SELECT key, part, sum(n) OVER (ORDER BY key DESC, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+  SELECT coalesce(overall, -1) AS key, substring(host, 1, 6) AS part, count(*) AS n FROM graded GROUP BY coalesce(overall, -1), substring(host, 1, 6))) f ON r.key = f.key AND r.part = f.part""" if d.spark else """
+SELECT site, host, overall, grade, CAST(row_number() OVER (ORDER BY coalesce(overall, -1) DESC, host) AS INTEGER) AS nth FROM graded"""
 
 
 @query

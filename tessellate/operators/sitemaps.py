@@ -7,21 +7,6 @@ from ..plans.adapters import NOW_ORDERS
 from ..plans.registry import query, relation
 
 
-@relation
-def sitemap_doc(d):
-    """Documents of each host: an index, and its children with entries of several spellings."""
-    lastmod = f"CASE WHEN lastmod IS NULL THEN '' ELSE concat('<lastmod> ', {d.day('lastmod')}, ' </lastmod>') END"
-    loc = "CASE WHEN pos % 7 = 0 THEN concat(replace(loc, concat('https://', site_host), ''), '?a=1&amp;b=2') WHEN pos % 7 = 1 THEN concat(loc, '#top') ELSE loc END"
-    entry = f"CASE WHEN doc_no = 2 THEN concat('<loc>', {loc}, '</loc>') ELSE concat('<url><loc> ', {loc}, ' </loc>', {lastmod}, '</url>') END"
-    return f"""
-SELECT site_host, concat('https://', site_host, '/sitemap-', {d.text('doc_no')}, '.xml') AS url, doc_no + 1 AS doc_ord, concat('<urlset>', {d.join(d.lists(entry, 'pos'), '')}, '</urlset>') AS xml
-FROM (SELECT * FROM sitemap_url UNION ALL SELECT pos, site_host, loc, NULL AS lastmod, (doc_no + 1) % 3 AS doc_no FROM sitemap_url WHERE pos % 10 = 3) GROUP BY site_host, doc_no
-UNION ALL
-SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS doc_ord,
-  concat('<sitemapindex><sitemap><loc>https://', site_host, '/sitemap-0.xml</loc></sitemap><sitemap><loc>/sitemap-1.xml</loc></sitemap><sitemap><loc>https://', site_host, '/sitemap-2.xml</loc></sitemap><sitemap><loc>https://', site_host, '/gone.xml</loc></sitemap></sitemapindex>') AS xml
-FROM sitemap_url"""
-
-
 @relation
 def sitemap_entry(d):
     index = d.rx("xml", r"(?i)<sitemapindex[\s>]")

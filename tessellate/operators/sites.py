@@ -3,24 +3,9 @@
 from __future__ import annotations
 
 from ..functions import fixed, numbers, urls
-from ..plans.adapters import picked
 from ..plans.dialect import Dialect
 from ..plans.registry import query, relation
 
-TYPED = [
-    " HTTPS://WWW.Site{n}.com./path?q=1 ", "site{n}.co.uk", "{n}", "foo..com", "x{n}.test", "a.b{n}.example.org", "10.0.{n}.5", "0x7f0000{n}", "localhost", "my{n}.local", "nodot{n}", "www2.shop{n}.de/", "http://user@sub.site{n}.com.au:8080/x", "", "8.8.{n}.8", "::ffff:10.0.0.{n}",
-]
-ADDRESSES = ["10.1.2.{n}", "8.8.8.{n}", "172.20.0.{n}", "172.40.0.{n}", "192.168.{n}.1", "100.64.0.{n}", "169.254.0.{n}", "203.0.113.{n}", "198.51.100.{n}", "224.0.0.{n}", "1.2.3", "999.1.1.{n}", "192.0.2.{n}", "198.18.1.{n}", "text{n}", "0.0.0.{n}"]
-
-
-def _filled(d: Dialect, items: list[str], key: str) -> str:
-    return f"replace({picked(d, items, f'{key} % {len(items)}')}, '{{n}}', {d.text(key + ' % 250')})"
-
-
-@relation
-def typed_domain(d):
-    return f"SELECT c_custkey AS id, {_filled(d, TYPED, 'c_custkey')} AS typed FROM customer"
-
 
 @query
 def normalize_domain(d):
@@ -46,16 +31,15 @@ SELECT id, {urls.host_check(d, 'h', 'bare', 'four')} AS reason FROM (
 
 @query
 def ip_is_blocked(d):
-    return f"SELECT id, ip, {urls.ipv4_blocked(d, 'ip')} AS blocked FROM (SELECT c_custkey AS id, {_filled(d, ADDRESSES, 'c_custkey')} AS ip FROM customer)"
+    return f"SELECT id, ip, {urls.ipv4_blocked(d, 'ip')} AS blocked FROM address"
 
 
 @query
 def domain_list(d):
     """Lines of a domain file: comments go, names are normalised, the first of each cache key stays, the rest is rejected."""
-    line = f"CASE WHEN id % 10 = 9 THEN concat('# ', typed) ELSE typed END"
     return f"""
 SELECT cache_key, min(id) AS line, CAST(count(*) AS BIGINT) AS repeats FROM (
-  SELECT id, {urls.cache_key(d, 'domain')} AS cache_key FROM (SELECT id, {urls.normalized_domain(d, 'line')} AS domain FROM (SELECT id, {line} AS line FROM typed_domain) WHERE NOT {d.rx('line', r'^\s*#')} AND {d.trim('line')} <> '')
+  SELECT id, {urls.cache_key(d, 'domain')} AS cache_key FROM (SELECT id, {urls.normalized_domain(d, 'line')} AS domain FROM domain_line WHERE NOT {d.rx('line', r'^\s*#')} AND {d.trim('line')} <> '')
 ) GROUP BY cache_key"""
 
 

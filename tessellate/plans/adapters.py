@@ -6,6 +6,7 @@ derives one from keys and dates, by the same text in both engines.
 
 from __future__ import annotations
 
+from ..functions import urls
 from .dialect import Dialect
 from .registry import relation
 
@@ -15,7 +16,7 @@ WORDS = (
     "guides/start.html index.html shows/page/3 it no"
 ).split()
 LOCALES = ["", "en-us/", "de/", "fr/", "it/", "corp/en/", "cz-cz/", "se/"]
-NOW_ORDERS, NOW_EVENTS = "2001-08-02 00:00:00", "2024-01-31 00:00:00"
+NOW_ORDERS, NOW_EVENTS, NOW_ACTIVITY = "2001-08-02 00:00:00", "2024-01-31 00:00:00", "2024-04-15 12:00:00"
 
 
 def picked(d: Dialect, items: list[str], index: str) -> str:
@@ -58,7 +59,7 @@ def page_html(d):
         f"CASE WHEN {k} % 5 = 0 THEN '<span class=\"byline\">By Jane Doe</span>' ELSE '' END",
         f"CASE {k} % 8 WHEN 0 THEN '<a href=\"https://twitter.com/intent/tweet?x\">t</a>' WHEN 1 THEN '<a href=\"https://www.linkedin.com/sharing/share-offsite/?u\">l</a>' WHEN 2 THEN '<div class=\"box share\"></div>' WHEN 3 THEN '<a href=\"mailto:?subject=hi\">m</a>' ELSE '' END",
         f"CASE WHEN {k} % 3 = 1 THEN '<a href=\"/careers/open\">Careers</a><a href=\"https://jobs.lever.co/acme\">Jobs</a><a href=\"https://boards.greenhouse.io/embed/job_board?for=acme\">G</a>' ELSE '' END",
-        f"CASE WHEN {k} % 4 = 2 THEN concat('<a href=\"https://www.linkedin.com/company/acme-', {d.text(k + ' % 3')}, '/\">in</a><a href=\"https://www.linkedin.com/company/acme-0/about\">in</a><a href=\"https://jobs.site.com/x/\">j</a>') ELSE '' END",
+        f"CASE WHEN {k} % 4 = 2 THEN concat('<a href=\"https://www.linkedin.com/company/acme-', {d.text(k + ' % 3')}, '/\">in</a><a href=\"https://www.linkedin.com/company/acme-0/about\">in</a><a href=\"https://jobs.site.com/x/\">j</a><a href=\"https://careers.', {d.sub(d.ext('url', '^https?://([^/?#:]+)'), '^www[.]')}, '/open/\">c</a>') ELSE '' END",
         f"CASE WHEN {k} % 6 = 0 THEN '<h2>Senior Software Engineer</h2><h3>Head of Employer Brand</h3><a href=\"/jobs/social-media-manager\">Social Media Manager</a><h3>Our privacy manager policy</h3>' ELSE '' END",
     ]
     fragment = "concat(" + ", ".join(p.replace("{{", "{").replace("}}", "}") for p in parts) + ")"
@@ -131,8 +132,8 @@ def evidence(d):
     return f"""
 SELECT {k} AS site, concat('site', {d.text(k)}, '.com') AS host, {k} % 17 = 3 AS blocked_at_root,
   CASE WHEN {k} % 23 = 5 THEN NULL ELSE ({k} * 37) % 6100 END AS canonical_urls,
-  ({k} * 37) % 6100 + ({k} * 13) % 900 AS total_urls, (({k} * 37) % 6100 + ({k} * 13) % 900) * (({k} * 7) % 67) / 100.0 AS unclassified_raw,
-  ({k} * 37) % 6100 * (({k} * 11) % 101) / 100.0 AS shareable_raw, CASE WHEN {k} % 6 = 0 THEN NULL ELSE ({k} * 29) % 5200 END AS sampler_pool,
+  ({k} * 37) % 6100 + ({k} * 13) % 900 AS total_urls, (({k} * 37) % 6100 + ({k} * 13) % 900) * (({k} * 7) % 67) / 100e0 AS unclassified_raw,
+  ({k} * 37) % 6100 * (({k} * 11) % 101) / 100e0 AS shareable_raw, CASE WHEN {k} % 6 = 0 THEN NULL ELSE ({k} * 29) % 5200 END AS sampler_pool,
   {k} % 9 AS sections, {k} % 5 <> 1 AS recency_measurable, 50 + {k} % 400 AS dated, ({k} * 3) % 50 AS dated_fresh,
   {k} % 24 AS pages_attempted_raw, CASE WHEN {k} % 19 = 7 THEN 0 ELSE {d.idiv(f'({k} % 24) * (3 + {k} % 2)', 4)} END AS pages_retrieved,
   CASE WHEN {k} % 10 = 0 THEN NULL ELSE ({k} * 17) % 101 END AS og_image, ({k} * 19) % 101 AS og_title, ({k} * 23) % 101 AS og_description, ({k} * 31) % 101 AS share_affordance,
@@ -140,7 +141,243 @@ SELECT {k} AS site, concat('site', {d.text(k)}, '.com') AS host, {k} % 17 = 3 AS
   {k} % 34 AS culture_urls, {k} % 22 AS careers_urls, {k} % 3 <> 0 AS careers_ok, {k} % 4 AS story_urls, {k} % 60 AS author_urls,
   {picked(d, ['resolved', 'unresolved', 'disabled', 'resolved'], f'{k} % 4')} AS index_status, CASE WHEN {k} % 14 = 3 THEN NULL ELSE {k} % 300 END AS employees_indexed,
   CASE WHEN {k} % 15 = 2 THEN NULL ELSE {d.idiv(f'({k} % 300) * ({k} % 30)', 100)} END AS employees_posted, CASE WHEN {k} % 16 = 1 THEN NULL ELSE {d.idiv(f'{k} % 300', 40)} END AS makers_posted, CASE WHEN {k} % 18 = 3 THEN NULL ELSE {k} % 230 END AS company_posts,
-  {k} % 12 <> 5 AS robots_present, {k} % 24 + 1 AS agents_allowed, {k} % 3 AS signals, {k} % 7 = 2 AS contradicted, {k} % 12 AS home_types,
+  {k} % 4 <> 3 AS robots_fetched, {k} % 3 = 0 AS llms_checked, {k} % 11 <> 10 AS home, {k} % 5 <> 2 AS home_title, {k} % 7 <> 3 AS home_description, {k} % 13 = 1 AS js_rendered, {k} % 6 AS distinct_locales, {k} % 6 AS content_sections,
+  nullif({picked(d, ['ok', 'ok', 'broken', 'relative', 'placeholder', 'none'], f'{k} % 6')}, 'none') AS home_image, {picked(d, ['ok', 'broken', 'ok', 'relative', 'ok', 'ok'], f'({k} + 1) % 6')} AS sampled_image,
+  CASE WHEN {k} % 2 = 0 THEN 3 ELSE 0 END AS careers_tried, {k} % 7 = 6 AS careers_js_only, {k} % 26 AS byline_people, CASE WHEN {k} % 26 = 0 THEN 0 ELSE 100 / (1 + {k} % 5) END AS byline_top_share, {k} % 12 AS home_types,
   CASE WHEN {k} % 4 = 0 THEN NULL ELSE ({k} * 5) % 420 END AS ats_reqs, CASE WHEN {k} % 8 = 0 THEN ({k} * 3) % 60 END AS board_reqs, CASE WHEN {k} % 4 IN (0, 1) THEN NULL ELSE ({k} * 3) % 90 END AS posted_30d, {k} % 4 AS buyer_roles, {k} % 5 = 0 AS competitor_mentioned,
   c_acctbal AS balance, c_mktsegment AS segment
 FROM customer"""
+
+
+TYPED = [
+    " HTTPS://WWW.Site{n}.com./path?q=1 ", "site{n}.co.uk", "{n}", "foo..com", "x{n}.test", "a.b{n}.example.org", "10.0.{n}.5", "0x7f0000{n}", "localhost", "my{n}.local", "nodot{n}", "www2.shop{n}.de/", "http://user@sub.site{n}.com.au:8080/x", "", "8.8.{n}.8", "::ffff:10.0.0.{n}",
+]
+
+
+ADDRESSES = ["10.1.2.{n}", "8.8.8.{n}", "172.20.0.{n}", "172.40.0.{n}", "192.168.{n}.1", "100.64.0.{n}", "169.254.0.{n}", "203.0.113.{n}", "198.51.100.{n}", "224.0.0.{n}", "1.2.3", "999.1.1.{n}", "192.0.2.{n}", "198.18.1.{n}", "text{n}", "0.0.0.{n}"]
+
+
+def _filled(d: Dialect, items: list[str], key: str) -> str:
+    return f"replace({picked(d, items, f'{key} % {len(items)}')}, '{{n}}', {d.text(key + ' % 250')})"
+
+
+@relation
+def typed_domain(d):
+    return f"SELECT c_custkey AS id, {_filled(d, TYPED, 'c_custkey')} AS typed FROM customer"
+
+
+@relation
+def address(d):
+    return f"SELECT c_custkey AS id, {_filled(d, ADDRESSES, 'c_custkey')} AS ip FROM customer"
+
+
+@relation
+def domain_line(d):
+    """Lines of a domain file, some of them comments."""
+    return "SELECT id, CASE WHEN id % 10 = 9 THEN concat('# ', typed) ELSE typed END AS line FROM typed_domain"
+
+
+@relation
+def wanted_page(d):
+    """Pages that a crawl is about to ask for, each under the robots file of its own site."""
+    return "SELECT page_id, page_id AS site, CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/private/x' ELSE '/search' END AS path FROM pages"
+
+
+@relation
+def sitemap_doc(d):
+    """Documents of each host: an index, and its children with entries of several spellings."""
+    lastmod = f"CASE WHEN lastmod IS NULL THEN '' ELSE concat('<lastmod> ', {d.day('lastmod')}, ' </lastmod>') END"
+    loc = "CASE WHEN pos % 7 = 0 THEN concat(replace(loc, concat('https://', site_host), ''), '?a=1&amp;b=2') WHEN pos % 7 = 1 THEN concat(loc, '#top') ELSE loc END"
+    entry = f"CASE WHEN doc_no = 2 THEN concat('<loc>', {loc}, '</loc>') ELSE concat('<url><loc> ', {loc}, ' </loc>', {lastmod}, '</url>') END"
+    return f"""
+SELECT site_host, concat('https://', site_host, '/sitemap-', {d.text('doc_no')}, '.xml') AS url, doc_no + 1 AS doc_ord, concat('<urlset>', {d.join(d.lists(entry, 'pos'), '')}, '</urlset>') AS xml
+FROM (SELECT * FROM sitemap_url UNION ALL SELECT pos, site_host, loc, NULL AS lastmod, (doc_no + 1) % 3 AS doc_no FROM sitemap_url WHERE pos % 10 = 3) GROUP BY site_host, doc_no
+UNION ALL
+SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS doc_ord,
+  concat('<sitemapindex><sitemap><loc>https://', site_host, '/sitemap-0.xml</loc></sitemap><sitemap><loc>/sitemap-1.xml</loc></sitemap><sitemap><loc>https://', site_host, '/sitemap-2.xml</loc></sitemap><sitemap><loc>https://', site_host, '/gone.xml</loc></sitemap></sitemapindex>') AS xml
+FROM sitemap_url"""
+
+
+@relation
+def board_reply(d):
+    """Replies of three job-board interfaces as they come: JSON of three shapes."""
+    day, ms, url = f"coalesce({d.day('posted_at')}, '')", f"coalesce({d.text(d.seconds('posted_at') + ' * 1000')}, 'null')", f"concat('https://board.example/', {d.text('ord')})"
+    place = "coalesce(location, '')"
+    green = f"concat('{{\"title\":\"', title, '\",\"location\":{{\"name\":\"', {place}, '\"}},\"departments\":[{{\"name\":\"', department, '\"}},{{\"name\":\"\"}},{{\"name\":\"All\"}}],\"first_published\":\"', CASE WHEN ord % 2 = 0 THEN {day} ELSE '' END, '\",\"updated_at\":\"', {day}, '\",\"absolute_url\":\"', {url}, '\"}}')"
+    lever = f"concat('{{\"text\":\"', title, '\",\"categories\":{{\"location\":\"', {place}, '\",\"department\":\"', CASE WHEN ord % 3 = 0 THEN '' ELSE department END, '\",\"team\":\"', CASE WHEN ord % 5 = 0 THEN '' ELSE 'Team' END, '\"}},\"createdAt\":', {ms}, ',\"hostedUrl\":\"', {url}, '\"}}')"
+    ashby = f"concat('{{\"title\":\"', title, '\",\"isRemote\":', CASE WHEN location IS NULL THEN 'true' ELSE 'false' END, ',\"location\":\"', {place}, '\",\"department\":\"', department, '\",\"publishedAt\":\"', {day}, '\",\"jobUrl\":\"', {url}, '\"}}')"
+    return f"SELECT site, ord, ats, CASE ats WHEN 'greenhouse' THEN {green} WHEN 'lever' THEN {lever} ELSE {ashby} END AS reply FROM job WHERE ats <> 'workday'".replace("{{", "{").replace("}}", "}")
+
+
+@relation
+def board_hint(d):
+    """Boards that a site's pages point to, in order; a board answers with some jobs or none."""
+    return f"""
+SELECT c_custkey AS site, idx AS ord, {picked(d, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'], '(c_custkey + idx) % 5')} AS ats, CASE WHEN (c_custkey + idx) % 3 = 0 THEN 0 ELSE (c_custkey * 7 + idx) % 40 END AS jobs
+FROM ({d.explode('c_custkey', 'customer', d.array("'a'", "'b'", "'c'"), 'hint', 'idx')})"""
+
+
+@relation
+def company_candidate(d):
+    k = "c_custkey"
+    return f"""
+SELECT {k} AS site, {k} % 3 <> 1 AS looked_up, concat('site', {d.text(k)}, '.com') AS domain, CASE WHEN {k} % 13 = 0 THEN NULL ELSE {k} END AS record_id, CASE {k} % 4 WHEN 0 THEN concat('https://www.site', {d.text(k)}, '.com/') WHEN 1 THEN 'other.de' ELSE concat('http://site', {d.text(k)}, '.com') END AS website,
+  CASE WHEN {k} % 6 = 5 THEN 0 ELSE {k} % 700 END AS headcount, CASE WHEN {k} % 3 = 0 THEN NULL ELSE '501-1000' END AS size_range, CASE WHEN {k} % 8 = 7 THEN NULL ELSE {k} % 40 END AS indexed, CASE WHEN {k} % 2 = 0 THEN 'enrich_by_website' ELSE 'homepage_link' END AS method,
+  concat(CASE WHEN {k} % 5 = 0 THEN 'Global Services ' ELSE 'Acme ' END, 'Site', {d.text(k)}) AS company_name, concat('Welcome to ', CASE WHEN {k} % 3 = 1 THEN 'Acme' ELSE 'us' END) AS title FROM customer"""
+
+
+NAMES = [
+    "Acme Corp logo", "acme-industries_300x86.png", "The Story of Beta", "Beta &amp; Sons", "How Gamma improved reach", "Delta case study", "star", "J. Smith", "Epsilon Employee App", "Zeta 2012", "microsoft", "eta holding gmbh", "2560px-Theta-logo", "Iota with", "Kappa Customer Story", "one two three four five six seven", "404", "lambda", "G2", "Xi Logo White",
+]
+
+
+BUNDLES = ["com.vendor{v}.customer.acme{n}.engage", "com.vendor{v}.app", "de.other.vendor{v}.beta{n}", "com.vendor{v}.customer.gamma{n}.ios", "org.unrelated.thing{n}", "com.vendor{v}.delta{n}.appstore.v2"]
+
+
+@relation
+def raw_name(d):
+    return f"SELECT p_partkey AS id, {picked(d, NAMES, f'p_partkey % {len(NAMES)}')} AS raw FROM part"
+
+
+@relation
+def app(d):
+    """Apps of vendors as several storefronts list them."""
+    bundle = f"replace(replace({picked(d, BUNDLES, 'l_partkey % 6')}, '{{v}}', {d.text('l_suppkey')}), '{{n}}', {d.text('l_partkey % 50')})"
+    return f"SELECT l_suppkey AS vendor, l_orderkey % 12 AS store, {bundle} AS bundle, concat('Seller ', {d.text('l_suppkey')}) AS seller, concat('https://www.site', {d.text('l_partkey % 300')}, '.com') AS seller_url, l_orderkey AS row_id FROM lineitem"
+
+
+@relation
+def story(d):
+    """Story pages that an archive knows, and whether the live site still lists them."""
+    slug = picked(d, ["case-study-acme-corp", "how-beta-grew", "gamma-employee-advocacy", "page", "delta-success-story-2020", "category"], "p_partkey % 6")
+    return f"SELECT p_partkey AS id, concat('https://vendor.com/customers/', {slug}, '-', {d.text('p_partkey % 40')}, CASE WHEN p_partkey % 5 = 0 THEN '.html' ELSE '/' END) AS url, p_partkey % 3 = 0 AS live FROM part"
+
+
+@relation
+def probe(d):
+    """What a candidate address answered."""
+    k = "p_partkey"
+    return f"""
+SELECT {k} AS id, {picked(d, ['social', 'acmecorp', 'betaworks', 'gammatools', 'deltagroup', 'zeta'], f'{k} % 6')} AS token, {picked(d, ['Acme App', 'Beta Works', 'Gamma', 'Other'], f'{k} % 4')} AS app_name, {k} % 11 <> 3 AS robots_ok,
+  CASE {k} % 7 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN NULL ELSE 200 END AS status, ({k} * 997) % 9000 AS body_len, {picked(d, ['Acmecorp home', 'This domain is for sale', 'Beta Works - welcome', 'Something'], f'{k} % 4')} AS title, {picked(d, ['', 'hugedomains.com', 'owner.de'], f'{k} % 3')} AS redirected,
+  {picked(d, ['.com', '.de', '.io', '.fr'], f'{k} % 4')} AS suffix, {k} % 20 AS name_id, {k} AS ord FROM part"""
+
+
+@relation
+def request(d):
+    """One request a row: who, when, what it cost and how it went."""
+    return f"""
+SELECT event_id AS id, ts, {d.seconds('ts')} AS t, user_id AS client, concat('site', {d.text('user_id % 40')}, '.com') AS host, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'signup' THEN 10 ELSE 20 END AS cost,
+  CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, CAST(floor(value * 100) AS BIGINT) AS bytes, (event_id * 37) % 4000 AS ms, event_type FROM events"""
+
+
+@relation
+def cache_entry(d):
+    """Evidence files: a writable cache (0) and seeds (1, 2), written at some time, some of them failures."""
+    return f"SELECT id, {urls.cache_key(d, "host")} AS cache_key, id % 3 AS source_ord, t AS started, status <> 200 AS failure FROM request"
+
+
+@relation
+def origin_attempt(d):
+    return f"SELECT id, host, client, CASE WHEN id % 2 = 0 THEN concat('https://', host) ELSE concat('https://www.', host) END AS origin, status = 200 AS ok, t FROM request"
+
+
+@relation
+def evidence_bundle(d):
+    """Evidence with the scores that somebody stored next to it."""
+    return "SELECT *, concat('score of ', host) AS scoring, c.site * 2 AS lead_score FROM evidence c"
+
+
+@relation
+def narration(d):
+    """Sentences of findings, and how a model retold them."""
+    return f"SELECT site, 'llms_txt' AS finding, concat('Of 506 pages, ', {d.text('site % 50')}, ' had 1,200 links') AS source, concat('Only ', {d.text('site % 60')}, ' of 506 pages had 1,200 links') AS rewrite FROM evidence"
+
+
+@relation
+def band_probe(d):
+    """Values at and between the points of bands."""
+    return "SELECT o_orderkey AS id, o_orderkey % 6000 AS pages, o_orderkey % 101 AS share, o_orderkey % 70 / 10.0 AS rate FROM orders"
+
+
+@relation
+def captured_lead(d):
+    return f"SELECT c_custkey AS site, concat('site', {d.text('c_custkey')}, '.com') AS domain, c_custkey % 5 <> 4 AS has_evidence FROM customer"
+
+
+@relation
+def contact_form(d):
+    return "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'a@b.co' WHEN 1 THEN 'bad@' WHEN 2 THEN ' x@y.com ' WHEN 3 THEN '' ELSE 'no at.com' END AS mail, repeat(c_name, 2) AS name FROM customer"
+
+
+@relation
+def challenge(d):
+    """Challenges as they were answered: set up or not, the visitor's token, the service's reply."""
+    return "SELECT c_custkey AS id, c_custkey % 7 <> 0 AS configured, CASE WHEN c_custkey % 5 <> 1 THEN c_name END AS token, c_custkey % 6 <> 2 AS reachable, c_custkey % 4 <> 3 AS verified FROM customer"
+
+
+@relation
+def competitor(d):
+    """Vendors that compete with the client."""
+    return "SELECT s_name AS name FROM supplier"
+
+
+@relation
+def rival(d):
+    """The competitors that a company's record names, in order."""
+    return f"SELECT site, ord, concat('Rival ', {d.text('ord')}) AS name FROM ({d.explode('c_custkey AS site', 'customer', d.seq('1', '1 + c_custkey % 12'), 'n', 'ord')})"
+
+
+@relation
+def store_page(d):
+    """A vendor's page in an app store."""
+    return f"SELECT l_suppkey AS vendor, concat('<a href=\"/store/apps/details?id=com.vendor', {d.text('l_suppkey')}, '.app', {d.text('l_partkey % 9')}, '\">x</a><a href=\"/store/apps/details?id=org.x', {d.text('l_partkey % 7')}, '&hl=en\">') AS html FROM lineitem"
+
+
+@relation
+def vendor_prefix(d):
+    """Prefixes of app ids that a vendor uses, of several lengths."""
+    each = lambda x: f"SELECT s_suppkey AS vendor, {x} AS prefix FROM supplier"
+    n = d.text("s_suppkey")
+    return " UNION ALL ".join(each(x) for x in (f"concat('com.vendor', {n}, '.customer.')", f"concat('com.vendor', {n}, '.')", f"concat('vendor', {n}, '.')"))
+
+
+@relation
+def vendor_rule(d):
+    """By what a vendor's apps are known: the prefix of their ids, for some also a part of the seller's name."""
+    n = d.text("s_suppkey")
+    return f"SELECT s_suppkey AS vendor, concat('com.vendor', {n}, '.') AS prefix, CASE WHEN s_suppkey % 3 = 0 THEN concat('seller', {n}) END AS seller_part FROM supplier"
+
+
+@relation
+def vendor_name(d):
+    """Names of vendors, with what some of them add in brackets."""
+    return f"SELECT s_suppkey AS vendor, {picked(d, ['Delta', 'Gamma Improved (by Acme)', 'Lambda', 'G2', 'Kappa'], 's_suppkey % 5')} AS name FROM supplier"
+
+
+@relation
+def logo_page(d):
+    return f"SELECT id, concat('<img src=\"https://cdn.refs.com/Company.logo/', {d.sub('lower(raw)', '[^a-z0-9]+', '-')}, '_12.png\" class=\"l\" alt=\"', raw, '\"><img src=\"/x.png\">') AS html FROM raw_name"
+
+
+@relation
+def resolved_cache(d):
+    """Names that were resolved before."""
+    return "SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0"
+
+
+@relation
+def wanted_site(d):
+    return f"SELECT concat('site', {d.text('c_custkey % 60')}, '.com') AS host FROM customer"
+
+
+@relation
+def language_try(d):
+    """Tries for an English page: declared alternates, then paths by convention."""
+    return f"SELECT id, host, status, CASE WHEN event_type = 'view' THEN 'hreflang' ELSE 'path' END AS how, {picked(d, ['/en/', '/en-us/', '/en-gb/'], 'id % 3')} AS candidate FROM request"
+
+
+@relation
+def llms_reply(d):
+    """What a text file that is asked for by convention answers: a page, the file, nothing."""
+    return "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN concat('# Site ', url, chr(10), 'line', chr(10), chr(10), 'more') ELSE '' END AS body FROM pages"

@@ -1,8 +1,9 @@
-"""Named relations, and the queries that are registered from them."""
+"""Named relations, the queries that are registered from them, and how they run over files or a caller's DataFrames."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from .dialect import DUCK, SPARK, Dialect
 BASE = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 RELATIONS: dict[str, Callable[[Dialect], str]] = {}
 QUERIES: list[str] = []
+#: Relations that Spark builds with DataFrame code from other relations: name -> (names that it reads, function of those).
+FRAMES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {}
+#: Queries of DataFrame code with a DuckDB text of their own.
+CHECKS: dict[str, str] = {}
 _FROM = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_][a-z0-9_]*)")
 
 
@@ -27,34 +32,77 @@ def query(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return relation(build)
 
 
-def text(name: str, d: Dialect) -> tuple[str, set[str]]:
-    """One statement for a relation with all that it reads, and the base tables under it."""
+def frame(name: str, *reads: str):
+    """Registers DataFrame code as Spark's form of a relation; the relation's text remains DuckDB's."""
+
+    def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        FRAMES[name] = (reads, build)
+        return build
+
+    return register
+
+
+def text(name: str, d: Dialect, given: frozenset[str] = frozenset()) -> tuple[str, set[str]]:
+    """One statement for a relation with all that it reads, and what it reads from outside: base tables and relations in ``given``."""
     parts: dict[str, str] = {}
-    base: set[str] = set()
+    outside: set[str] = set()
 
     def visit(n: str) -> None:
         if n in parts:
             return
         body = RELATIONS[n](d)
         for dep in dict.fromkeys(_FROM.findall(body)):
-            if dep in RELATIONS and dep != n:
-                visit(dep)
+            if dep in given:
+                outside.add(dep)
+            elif dep in RELATIONS and dep != n:
+                if d.spark and dep in FRAMES:
+                    outside.add(dep)
+                else:
+                    visit(dep)
             elif dep in BASE:
-                base.add(dep)
+                outside.add(dep)
         parts[n] = body
 
     visit(name)
     recursive = any("WITH_RECURSION" in p for p in parts.values())
     ctes = ",\n".join(f"{n} AS ({p.replace('/*WITH_RECURSION*/', '')})" for n, p in parts.items())
-    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\nSELECT * FROM {name}", base
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\nSELECT * FROM {name}", outside
+
+
+def over(spark: SparkSession, name: str, sf_dir: str | None = None, **tables: DataFrame) -> DataFrame:
+    """A relation over the caller's DataFrames: over(spark, "graded", evidence=df) reads df wherever the relation reads ``evidence``.
+
+    What is not given comes from the files in sf_dir. Neither the session's views nor its time zone are left changed:
+    each input is a view of a name of its own for as long as the statement is analysed.
+    """
+    if name in tables:
+        return tables[name]
+    if name in FRAMES:
+        reads, build = FRAMES[name]
+        return build(*(over(spark, r, sf_dir, **tables) for r in reads))
+    statement, outside = text(name, SPARK, frozenset(tables))
+    views = {}
+    for t in sorted(outside):
+        if t in tables or t in FRAMES:
+            source = over(spark, t, sf_dir, **tables)
+        elif sf_dir is None:
+            raise ValueError(f"{name} reads {t}: give it as a DataFrame")
+        else:
+            source = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        views[t] = f"_{t}_{uuid.uuid4().hex}"
+        source.createOrReplaceTempView(views[t])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return spark.sql(re.sub(_FROM, lambda m: m[0].replace(m[1], views.get(m[1], m[1])), statement))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement, base = text(name, SPARK)
-    for t in sorted(base):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(statement)
+    return over(spark, name, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {n: text(n, DUCK)[0] for n in QUERIES}
+    return {n: text(n, DUCK)[0] for n in QUERIES} | CHECKS

@@ -123,7 +123,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def credit_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans import registry
 
-    calls = registry.run("request", spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM-dd"))
+    calls = registry.run("request", spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
     return within_budget(calls, 2000)
 
 
