@@ -123,17 +123,71 @@ def is_cruft(d: Dialect, p: str) -> str:
     return f"({d.rx(p, fixed.CRUFT)} OR {d.size(words)} >= 2)"
 
 
-def section_steps(d: Dialect, p: str, size: int = 12) -> list[str]:
-    """The rules of sections in order, some at a time: each step gives a section or null."""
-    rules = [(name, "|".join(f"(?:{x})" for x in patterns)) for name, patterns in [*fixed.SECTIONS, *fixed.FOREIGN_SECTIONS, *fixed.CATALOG_SECTIONS]]
-    cases = [f"WHEN {is_cruft(d, p)} THEN 'cms_cruft' WHEN {d.rx(p, fixed.DATED_POST)} THEN 'blog' WHEN {d.rx(p, fixed.DATED_ARCHIVE)} THEN 'author_tag_taxonomy'"]
-    cases += [f"WHEN {d.rx(p, pattern)} THEN {d.lit(name)}" for name, pattern in rules]
-    return [f"CASE {' '.join(cases[k : k + size])} END" for k in range(0, len(cases), size)]
+def rules() -> list[tuple[str, list[str]]]:
+    """Sections in the order in which they are tried, with their patterns."""
+    return [("blog", [fixed.DATED_POST]), ("author_tag_taxonomy", [fixed.DATED_ARCHIVE]), *fixed.SECTIONS, *fixed.FOREIGN_SECTIONS, *fixed.CATALOG_SECTIONS]
+
+
+def spelled(pattern: str) -> list[str] | None:
+    """All that a pattern of letters, groups of alternatives and optional parts can spell; None for any other pattern."""
+
+    def alternatives(at: int) -> tuple[list[str], int]:
+        found, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                found, now, at = found + now, [""], at + 1
+                continue
+            if c == "(":
+                part, at = alternatives(at + 1)
+            elif c.isalnum() or c in "-/":
+                part = [c]
+            else:
+                raise ValueError(c)
+            at += 1
+            if at < len(pattern) and pattern[at] == "?":
+                part, at = [*part, ""], at + 1
+            now = [x + y for x in now for y in part]
+        return found + now, at
+
+    try:
+        return alternatives(0)[0]
+    except ValueError:
+        return None
+
+
+def first_words() -> tuple[dict[str, int], list[tuple[int, str]]]:
+    """The rules as first segments of a path with the place of the first rule that has them, and the patterns that look at more than a first segment."""
+    words: dict[str, int] = {}
+    others: list[tuple[int, str]] = []
+    for place, (_, patterns) in enumerate(rules()):
+        for p in patterns:
+            found = spelled(p[2:-6]) if p.startswith("^/") and p.endswith(r"(/|\z)") else None
+            if found is None or any("/" in w for w in found):
+                others.append((place, p))
+            else:
+                for w in found:
+                    words.setdefault(w, place)
+    return words, others
 
 
 def section(d: Dialect, p: str) -> str:
-    """The section of a path: the first rule that matches. Each rule is one alternation, so a row tries few patterns."""
-    return f"coalesce({', '.join(section_steps(d, p))}, 'unclassified')"
+    """The section of a path: the first rule that matches.
+
+    Spark looks the first segment up, and tries the few other patterns only where one of them matches at all.
+    DuckDB's form tries all rules in their order.
+    """
+    if not d.spark:
+        cases = " ".join(f"WHEN {d.rx(p, '|'.join(f'(?:{x})' for x in patterns))} THEN {d.lit(name)}" for name, patterns in rules())
+        return f"CASE WHEN {is_cruft(d, p)} THEN 'cms_cruft' {cases} ELSE 'unclassified' END"
+    words, others = first_words()
+    names = [name for name, _ in rules()] + ["unclassified"]
+    last = len(names) - 1
+    known = f"coalesce(try_element_at(map({', '.join(f'{d.lit(w)}, {k}' for w, k in words.items())}), substring_index(substring({p}, 2), '/', 1)), {last})"
+    each = ", ".join(f"CASE WHEN {d.rx(p, x)} THEN {k} ELSE {last} END" for k, x in others)
+    place = f"CASE WHEN {d.rx(p, '|'.join(f'(?:{x})' for _, x in others))} THEN least({known}, {each}) ELSE {known} END"
+    lorem = f"lower({p}) RLIKE {d.lit('|'.join(fixed.LOREM))}"
+    return f"CASE WHEN {d.rx(p, fixed.CRUFT)} OR ({lorem} AND {is_cruft(d, p)}) THEN 'cms_cruft' ELSE element_at({d.array(*map(d.lit, names))}, 1 + {place}) END"
 
 
 def shareable(d: Dialect, s: str) -> str:

@@ -92,13 +92,8 @@ FROM (SELECT *, {urls.locale_of(d, 'inner_lang', 'inner_region', 'langs')} AS in
 
 @relation
 def classified_url(d):
-    """Located URLs with section and canonical key. The rules are tried in steps, each a projection of its own, which keeps generated code small enough to compile."""
-    first, *steps = urls.section_steps(d, "norm_path")
-    rows = f"SELECT *, {first} AS found FROM url_located"
-    for step in steps:
-        rows = f"SELECT pos, loc, lastmod, host, path, locale, norm_path, CASE WHEN found IS NOT NULL THEN found ELSE {step} END AS found FROM ({rows})"
-    return f"""
-SELECT pos, loc, lastmod, host, path, locale, norm_path, CASE WHEN found IS NOT NULL THEN found ELSE 'unclassified' END AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM ({rows})"""
+    """Located URLs with section and canonical key."""
+    return f"SELECT pos, loc, lastmod, host, path, locale, norm_path, {urls.section(d, 'norm_path')} AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM url_located"
 
 
 @query
@@ -126,9 +121,21 @@ def path_depth_hist(d):
     return f"SELECT host, {d.size(urls.segments(d, 'norm_path'))} AS depth, CAST(count(*) AS BIGINT) AS urls FROM url_located GROUP BY host, {d.size(urls.segments(d, 'norm_path'))}"
 
 
+@relation
+def content(d):
+    """One row a piece of content, from one pass over its URLs: its first-seen section, the URL that stands for it (an English one if there is one), and what a site's counts need."""
+    n = d.count_if
+    return f"""
+SELECT canon_key, host, rep.url AS url, rep.path AS rep_path, section, locales, urls, unclassified, shareable_urls, localized_urls, sections FROM (
+  SELECT canon_key, min({d.sub('host', r'^www[.]')}) AS host, min_by(struct(loc AS url, path), struct(CASE WHEN locale LIKE 'en%' THEN 0 ELSE 1 END AS foreign, pos)) AS rep, min_by(section, pos) AS section, collect_set(locale) AS locales, collect_set(section) AS sections,
+    count(*) AS urls, {n("section = 'unclassified'")} AS unclassified, {n(urls.shareable(d, 'section'))} AS shareable_urls, count(locale) AS localized_urls FROM classified_url GROUP BY canon_key)"""
+
+
 @relation
 def canonical_content(d):
     """One row a piece of content: its first-seen section, and the URL that stands for it, an English one if there is one."""
+    if d.spark:
+        return "SELECT canon_key, host, url, section, CAST(size(locales) AS BIGINT) AS locale_count, rep_path FROM content"
     return f"""
 SELECT canon_key, host, url, section, locale_count, rep_path FROM (
   SELECT canon_key, {d.sub('host', r'^www[.]')} AS host, loc AS url, path AS rep_path, first_value(section) OVER (PARTITION BY canon_key ORDER BY pos) AS section,
@@ -193,12 +200,19 @@ SELECT host, depth, prefix, n, n_distinct, n_distinct > 1000 AS truncated FROM (
 
 @relation
 def inventory(d):
+    """Counts of a host: raw URLs, pieces of content, and the pool that is left of the shareable ones without pages nobody would share."""
     n = d.count_if(urls.shareable(d, "section"))
+    pool = d.count_if(f"{urls.shareable(d, 'section')} AND NOT {d.rx('rep_path', fixed.NOT_SHARED)}")
+    if d.spark:
+        return f"""
+SELECT host, sum(urls) AS total_urls, sum(unclassified) AS unclassified, sum(shareable_urls) AS shareable_urls, sum(localized_urls) AS localized_urls, CAST(size(array_distinct(flatten(collect_set(locales)))) AS BIGINT) AS distinct_locales,
+  CAST(size(array_remove(array_distinct(flatten(collect_set(sections))), 'unclassified')) AS BIGINT) AS sections_present, count(*) AS canonical_urls, {n} AS canonical_shareable, count(DISTINCT CASE WHEN section <> 'unclassified' THEN section END) AS canonical_sections, {pool} AS shareable_pool
+FROM content GROUP BY host"""
     return f"""
-SELECT r.host, r.total_urls, r.unclassified, r.shareable_urls, r.localized_urls, r.distinct_locales, r.sections_present, c.canonical_urls, c.canonical_shareable, c.canonical_sections
+SELECT r.host, r.total_urls, r.unclassified, r.shareable_urls, r.localized_urls, r.distinct_locales, r.sections_present, c.canonical_urls, c.canonical_shareable, c.canonical_sections, c.shareable_pool
 FROM (SELECT {d.sub('host', r'^www[.]')} AS host, CAST(count(*) AS BIGINT) AS total_urls, {d.count_if("section = 'unclassified'")} AS unclassified, {n} AS shareable_urls, CAST(count(locale) AS BIGINT) AS localized_urls,
   CAST(count(DISTINCT locale) AS BIGINT) AS distinct_locales, CAST(count(DISTINCT CASE WHEN section <> 'unclassified' THEN section END) AS BIGINT) AS sections_present FROM classified_url GROUP BY {d.sub('host', r'^www[.]')}) r
-JOIN (SELECT host, CAST(count(*) AS BIGINT) AS canonical_urls, {n} AS canonical_shareable, CAST(count(DISTINCT CASE WHEN section <> 'unclassified' THEN section END) AS BIGINT) AS canonical_sections FROM canonical_content GROUP BY host) c ON r.host = c.host"""
+JOIN (SELECT host, CAST(count(*) AS BIGINT) AS canonical_urls, {n} AS canonical_shareable, CAST(count(DISTINCT CASE WHEN section <> 'unclassified' THEN section END) AS BIGINT) AS canonical_sections, {pool} AS shareable_pool FROM canonical_content GROUP BY host) c ON r.host = c.host"""
 
 
 @query
@@ -214,6 +228,12 @@ SELECT r.host, r.section, r.urls, coalesce(c.n, 0) AS canonical FROM (SELECT {d.
 LEFT JOIN (SELECT host, section, CAST(count(*) AS BIGINT) AS n FROM canonical_content GROUP BY host, section) c ON r.host = c.host AND r.section = c.section"""
 
 
+@query
+def locale_hist(d):
+    """Raw URLs and pieces of content of every locale of a host."""
+    return f"SELECT {d.sub('host', r'^www[.]')} AS host, locale, CAST(count(*) AS BIGINT) AS urls, CAST(count(DISTINCT canon_key) AS BIGINT) AS contents FROM classified_url WHERE locale IS NOT NULL GROUP BY {d.sub('host', r'^www[.]')}, locale"
+
+
 @query
 def cross_host(d):
     """Of each site, the host most of its URLs are on, and the number on others."""
@@ -227,7 +247,7 @@ SELECT site, host AS primary_host, n, total - n AS elsewhere FROM (
 def coverage_gate(d):
     """Can a site's structure be read? Not if half its URLs, or of a small pool three tenths, are unclassified."""
     share = numbers.pct(d, "unclassified", "total_urls")
-    return f"SELECT host, total_urls, canonical_shareable AS shareable_pool, unclassified_pct, unclassified_pct >= 50 OR (canonical_shareable < {fixed.LEAST_POOL} AND unclassified_pct >= 30) AS insufficient FROM (SELECT *, {share} AS unclassified_pct FROM inventory)"
+    return f"SELECT host, total_urls, shareable_pool, unclassified_pct, unclassified_pct >= 50 OR (shareable_pool < {fixed.LEAST_POOL} AND unclassified_pct >= 30) AS insufficient FROM (SELECT *, {share} AS unclassified_pct FROM inventory)"
 
 
 def quotas(d: Dialect, strata: str, size: int) -> str:
@@ -246,6 +266,8 @@ SELECT host, section, n, CAST(given + least(n - given, greatest(0, left_over - c
 
 @relation
 def stratum(d):
+    if d.spark:
+        return f"SELECT host, section, count(*) AS n FROM content WHERE NOT {d.rx('rep_path', fixed.NOT_SHARED)} AND {urls.shareable(d, 'section')} GROUP BY host, section"
     return f"SELECT host, section, CAST(count(*) AS BIGINT) AS n FROM junk_filter JOIN (SELECT canon_key AS k, host FROM canonical_content) ON canon_key = k WHERE {urls.shareable(d, 'section')} GROUP BY host, section"
 
 
@@ -270,4 +292,4 @@ def sample_pool(d):
     """Shareable content, numbered within host and section by its key."""
     return f"""
 SELECT host, section, url, row_number() OVER (PARTITION BY host, section ORDER BY canon_key) AS place FROM (
-  SELECT c.host, c.section, c.url, c.canon_key FROM canonical_content c JOIN junk_filter j ON c.canon_key = j.canon_key WHERE {urls.shareable(d, 'c.section')})"""
+  SELECT host, section, url, canon_key FROM canonical_content WHERE NOT {d.rx('rep_path', fixed.NOT_SHARED)} AND {urls.shareable(d, 'section')})"""
