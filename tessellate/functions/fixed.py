@@ -149,3 +149,30 @@ CONFIDENCE = {"confirmed": 90, "probable": 70, "possible": 40}
 # Visible bylines, and types of structured data that are articles.
 BYLINE = r"(?is)<[^>]+(?:rel=[\x22\x27]author[\x22\x27]|itemprop=[\x22\x27]author[\x22\x27]|class=[\x22\x27][^\x22\x27]*\b(?:author|byline|post-author)\b[^\x22\x27]*[\x22\x27])[^>]*>(.{0,160}?)</[a-z]+>"
 ARTICLE_TYPES = r"(?i)^(Article|BlogPosting|NewsArticle|TechArticle|Report)\z"
+
+# Names of platforms, which stand on vendors' pages without being customers; words that are no company; words of sentences.
+PLATFORMS = (
+    "salesforce,sharepoint,microsoft,microsoft teams,teams,slack,google,gmail,google workspace,workday,okta,zoom,outlook,office 365,microsoft 365,sap successfactors,servicenow platform,"
+    "instagram,youtube,facebook,linkedin,twitter,x,tiktok,pinterest,threads,whatsapp,snapchat,g2,capterra,trustpilot,trustradius,gartner,forrester,getapp,softwareadvice,"
+    "apple,android,app store,google play,aws,azure,sso,saml,okta verify,screencloud,copilot,microsoft copilot,sap,oracle netsuite,dropbox,box,onedrive,jira,confluence"
+).split(",")
+NO_COMPANY = (
+    "logo,logos,client,clients,customer,customers,partner,partners,brand,brands,star,stars,5 stars,4 stars,rating,review,reviews,quote,avatar,photo,image,icon,"
+    "home,about,about us,pricing,blog,contact,contact us,careers,login,sign in,sign up,menu,search,close,next,previous,arrow,read more,learn more,case study,case studies,"
+    "customer story,customer stories,success story,success stories,testimonial,testimonials,employee advocacy,employee communication,social media,internal communications,intranet,"
+    "privacy policy,terms,cookie,cookies,demo,book a demo,free trial,get started,download,faq,vip,header,footer,banner,hero,background,placeholder,thumbnail,video,webinar,"
+    "ebook,guide,report,whitepaper,blog post,news,press,events,event,resources,product,solutions,platform,company,team,people,culture,story,stories,overview,features"
+).split(",")
+SENTENCE_START = r"(?i)^(how|why|what|when|where|the story|creating|building|making|meet|introducing|inside|discover|see how|watch|read|learn|case|customer|a |an )\b"
+DANGLING_END = r"(?i)\s(with|through|and|to|for|by|at|in|of|on|from|using|helped|enables?|enabled|boosted|leveraged|drove|drives|improves?|improved|increases?|increased|builds?|built|turns?|turned|gets?|got|wins?|won)\z"
+HAS_VERB = r"(?i)\b(helped|enables?|enabled|boosted|leveraged|drove|drives|improves?|improved|increases?|increased|builds?|built|turns?|turned|achieves?|achieved|reduces?|reduced|scales?|scaled|launches?|launched|delivers?|delivered|creates?|created|uses?|used|chose|chooses|partners?|partnered)\b"
+PERSON = r"(\b[A-Z]\.\s)|(\s[A-Z]\.?\z)|(\b(van|von|der|den|del|della|bin|ibn)\s)"
+RATING = r"^[0-9]+(\.[0-9]+)?\s*(stars?|%)?\z"
+NAME_TAIL = r"(?i)\s*[-–|:]?\s*(customer ?story|customer ?stories|case ?study|case ?studies|success ?story|testimonial|employee app|employee communication app|employee communication|communication app|mitarbeiter[- ]?app|intranet|app)\s*\z"
+NAME_HEAD = r"(?i)^(case study|customer story|success story|how)\s*[:–-]?\s*"
+LOGO_WORDS = r"(?i)\b(logo|logos|logotype|wordmark|icon|image|img|photo|picture|header|footer|white|black|colour|color|rgb|cmyk|transparent|final|copy|scaled|full|small|large|new|old|v[0-9]+|logo[0-9]+|png|svg|jpe?g|webp)\b"
+# Story addresses of vendors, and what their last segments are cut of.
+STORY_FOLDER = r"(?i)^(case-stud(y|ies)|customer-stor(y|ies)|success-stor(y|ies)|customers?|clients?|portfolio|testimonials?)\z"
+STORY_NONE = r"(?i)^(page|p|[0-9]+|index|all|category|tag|feed|amp)\z"
+STORY_HEAD = r"(?i)^(case-study|customer-story|success-story|how)-"
+STORY_TAIL = r"(?i)-(employee-advocacy|employee-influencers|social-selling|case-study|customer-story|success-story|personal-brands|advocacy|intranet|internal-comms|enterprise|story|testimonial)(-.*)?\z"

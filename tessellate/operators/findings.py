@@ -46,6 +46,8 @@ RULES = [
 
 @relation
 def finding_input(d):
+    if d.spark:
+        return "SELECT *, canonical_urls IS NOT NULL AS mapped, pages_retrieved > 0 AS read FROM graded_evidence"
     return """
 SELECT e.*, coalesce(g.insufficient, false) AS insufficient, e.canonical_urls IS NOT NULL AS mapped, e.pages_retrieved > 0 AS read
 FROM evidence_wide e JOIN graded g ON e.site = g.site"""

@@ -16,30 +16,30 @@ def normalized_company(d: Dialect, x: str) -> str:
     return d.sub(d.sub(f"replace(lower({x}), '&', ' and ')", fixed.COMPANY_SUFFIXES), "[^a-z0-9]")
 
 
-@relation
-def cleaned_name(d):
-    """A published customer name without file names, sizes, marketing words; null if it names no company."""
-    # What is cut from a name, step by step.
-    entity = markup.decoded(d, d.sub("raw", "&rsquo;|&#x27;", "'"))
+def cleaned(d: Dialect, source: str, columns: str) -> str:
+    """source(raw, columns) with ``name``: a published customer name without file names, sizes and marketing words; null if it names no company."""
+    ends = r"^[-–—|,.]+|[-–—|,.]+\z"
     steps = [
-        (r"(?i)\.(svg|png|jpe?g|webp|gif|avif|ico|pdf)\z", ""), (r"^\*+\.?", ""), (r"(?i)\b[0-9]{2,5}px[-_ ]?", ""), (r"(?i)[-_ ][0-9]{2,5}x[0-9]{2,5}\b", ""), (r"(?i)[-_ ]seeklogo[-_ ]?[0-9]*", ""), (r"[-_ ]?\b[0-9]{6,}\b", ""), (r"_+", " "), (r"([A-Za-z0-9])-", d.group(1) + " "),
-        (r"(?i)\b(logo|logos|logotype|wordmark|icon|image|img|photo|picture|header|footer|white|black|colour|color|rgb|cmyk|transparent|final|copy|scaled|full|small|large|new|old|v[0-9]+|logo[0-9]+|png|svg|jpe?g|webp)\b", " "),
-        (r"(?i)^\s*(ticker|carousel|slider|marquee|strip|grid|row|item|slide)[-_ ]+", ""), (r"[-_ ]+[0-9]{1,2}\z", ""), (r"\s(19|20)[0-9]{2}\s*\z", ""), (r"\s+", " "), (r"^[\s,.|-]+|[\s,.|-]+\z", ""),
-        (r"(?i)\s*[-|:]?\s*(customer ?story|customer ?stories|case ?study|case ?studies|success ?story|testimonial|employee app|employee communication app|employee communication|communication app|intranet|app)\s*\z", ""), (r"(?i)^(case study|customer story|success story|how)\s*[:-]?\s*", ""), (r"^\s+|\s+\z", ""),
+        (r"(?i)\.(svg|png|jpe?g|webp|gif|avif|ico|pdf)\z", ""), (r"^\*+\.?", ""), (r"(?i)\b[0-9]{2,5}px[-_ ]?", ""), (r"(?i)[-_ ][0-9]{2,5}x[0-9]{2,5}\b", ""), (r"(?i)[-_ ]seeklogo[-_ ]?[0-9]*", ""), (r"[-_ ]?\b[0-9]{6,}\b", ""), (r"_+", " "),
+        *[(r"([A-Za-z0-9])-([A-Za-z0-9])", d.group(1) + " " + d.group(2))] * 2, (fixed.LOGO_WORDS, " "), (r"(?i)^\s*(ticker|carousel|slider|marquee|strip|grid|row|item|slide)[-_ ]+", ""), (r"[-_ ]+[0-9]{1,2}\z", ""), (r"\s(19|20)[0-9]{2}\z", ""),
+        (r"\s+", " "), (r"^ | \z", ""), (ends, ""), (r"^ | \z", ""), (fixed.NAME_TAIL, ""), (r"^\s+|\s+\z", ""), (fixed.NAME_HEAD, ""), (r"^\s+|\s+\z", ""),
     ]
     e = "entity"
     for p, by in steps:
         e = d.sub(e, p, by)
-    words = d.size(d.split("n", " "))
-    platforms = "salesforce sharepoint microsoft teams slack google workday okta zoom outlook instagram youtube facebook linkedin twitter x tiktok pinterest g2 capterra trustpilot gartner forrester apple android aws azure sap dropbox box jira".split()
-    stop = "logo client clients customer customers partner partners brand brands star stars rating review reviews quote avatar photo image icon home about pricing blog contact careers login menu search close next previous arrow testimonial testimonials intranet terms cookie cookies demo download faq vip header footer banner hero background placeholder thumbnail video webinar ebook guide report whitepaper news press events event resources product solutions platform company team people culture story stories overview features".split()
+    words = d.size(d.split(d.sub("n", r"\s+", " "), " "))
     drop = [
-        "length(n) < 2 OR length(n) > 60", d.rx("n", r"(?i)\b(helped|enables?|enabled|boosted|leveraged|drove|drives|improves?|improved|increases?|increased|builds?|built|turns?|turned|achieves?|achieved|reduces?|reduced|scales?|scaled|launches?|launched|delivers?|delivered|creates?|created|uses?|used|chose|chooses|partners?|partnered)\b"),
-        d.rx("n", r"(?i)\s(with|through|and|to|for|by|at|in|of|on|from|using)\z"), f"{d.rx('n', r'(?i)^(how|why|what|when|where|the story|creating|building|making|meet|introducing|inside|discover|see how|watch|read|learn|case|customer|a |an )')} AND {words} > 2", f"{words} > 6", f"NOT {d.rx('n', '[a-zA-Z]')}",
-        d.rx("n", r"(\b[A-Z]\.\s)|(\s[A-Z]\.?\z)"), f"lower(n) IN ({d.strings(stop)})", f"{d.ext('lower(n)', '^([^ ]*)')} IN ({d.strings(platforms)}) AND {words} <= 3",
+        "length(n) < 2 OR length(n) > 60", d.rx("n", fixed.HAS_VERB), d.rx("n", fixed.DANGLING_END), f"{d.rx('n', fixed.SENTENCE_START)} AND {words} > 2", f"{words} > 6", f"NOT {d.rx('n', '[a-zA-Z]')}", d.rx("n", fixed.PERSON),
+        f"lower(n) IN ({d.strings([*fixed.NO_COMPANY, *fixed.PLATFORMS])})", f"{d.ext('lower(n)', '^([^ ]*)')} IN ({d.strings(fixed.PLATFORMS)}) AND {words} <= 3", d.rx("lower(n)", fixed.RATING),
     ]
+    entity = markup.decoded(d, d.sub("raw", "&rsquo;|&#x27;", "'"))
     return f"""
-SELECT id, raw, CASE WHEN {' OR '.join(f'({x})' for x in drop)} THEN NULL WHEN n = lower(n) THEN {title_cased(d, 'n')} ELSE n END AS name FROM (SELECT id, raw, {e} AS n FROM (SELECT id, raw, {entity} AS entity FROM raw_name))"""
+SELECT {columns}, raw, CASE WHEN {' OR '.join(f'({x})' for x in drop)} THEN NULL WHEN n = lower(n) AND {d.rx('n', r"^[a-z0-9 &'.-]+$")} THEN {title_cased(d, 'n')} ELSE n END AS name FROM (SELECT {columns}, raw, {e} AS n FROM (SELECT {columns}, raw, {entity} AS entity FROM {source}))"""
+
+
+@relation
+def cleaned_name(d):
+    return cleaned(d, "raw_name", "id")
 
 
 @query
@@ -124,9 +124,11 @@ def logo_wall_extract(d):
 
 @query
 def story_url_name(d):
-    last = d.sub(d.at(urls.segments(d, "path"), -1), r"(?i)\.(html?|php|aspx)\z")
-    cut = d.sub(d.sub("slug", r"(?i)^(case-study|customer-story|success-story|how)-"), r"(?i)-(employee-advocacy|employee-influencers|social-selling|case-study|customer-story|success-story|personal-brands|advocacy|intranet|internal-comms|enterprise|story|testimonial)(-.*)?\z")
-    return f"SELECT id, CASE WHEN {d.rx('slug', r'(?i)^(page|p|[0-9]+|index|all|category|tag|feed|amp)(-[0-9]+)?\z')} OR length(cut) < 3 OR length(cut) > 45 THEN NULL ELSE {title_cased(d, d.sub('cut', '[-_]+', ' '))} END AS name FROM (SELECT id, slug, {cut} AS cut FROM (SELECT id, {last} AS slug FROM (SELECT id, {urls.path(d, 'url')} AS path FROM story)))"
+    """The company that a story's address names: its last segment without what stories are called, cleaned like a published name. Folders of stories name none."""
+    last = d.sub(f"coalesce({d.at(urls.segments(d, 'path'), -1)}, '')", r"(?i)\.(html?|php|aspx)\z")
+    cut = d.sub(d.sub("slug", fixed.STORY_HEAD), fixed.STORY_TAIL)
+    source = f"(SELECT id, CASE WHEN slug = '' OR {d.rx('slug', fixed.STORY_FOLDER)} OR {d.rx('slug', fixed.STORY_NONE)} OR length(cut) < 3 OR length(cut) > 45 THEN '' ELSE {title_cased(d, d.sub('cut', '[-_]+', ' '))} END AS raw FROM (SELECT id, slug, {cut} AS cut FROM (SELECT id, {last} AS slug FROM (SELECT id, {urls.path(d, 'url')} AS path FROM story))))"
+    return f"SELECT id, name FROM ({cleaned(d, source, 'id')})"
 
 
 @query

@@ -36,13 +36,62 @@ def piecewise_scale(d):
     return f"SELECT id, {piecewise(d, 'pages', fixed.VOLUME)} AS volume, {piecewise(d, 'share', fixed.RECENCY)} AS recency, {piecewise(d, 'rate', fixed.DECISION_MAKERS)} AS makers FROM band_probe"
 
 
-@relation
-def scored_supply(d):
+def supply_score(d: Dialect) -> dict[str, str]:
     fresh = f"CASE WHEN recency_measurable AND dated > 0 THEN {d.dbl('dated_fresh')} / dated * 100 END"
-    base = f"{piecewise(d, 'pool', fixed.VOLUME)} + {piecewise(d, 'sections', fixed.DIVERSITY)} + {piecewise(d, 'share_pct', fixed.SHARE)} + coalesce({piecewise(d, fresh, fixed.RECENCY)}, 0)"
+    base = numbers.clamp(f"{piecewise(d, 'pool', fixed.VOLUME)} + {piecewise(d, 'sections', fixed.DIVERSITY)} + {piecewise(d, 'share_pct', fixed.SHARE)} + coalesce({piecewise(d, fresh, fixed.RECENCY)}, 0)")
+    score = f"CASE WHEN canonical_urls IS NULL THEN NULL WHEN pool < {fixed.LEAST_POOL} THEN {d.r1(f'least(25, {base})')} ELSE {d.r1(base)} END"
+    return {"score": score, "floor_failed": f"coalesce(pool < {fixed.LEAST_POOL}, false)", "confidence": "CASE WHEN recency_measurable THEN 'full' ELSE 'reduced' END"}
+
+
+def sharing_score(d: Dialect) -> dict[str, str]:
+    total = " + ".join(f"{d.dbl(f'coalesce({k}, 0)')} / 100 * {w}" for k, w in fixed.SHARE_WEIGHTS.items())
+    return {"score": f"CASE WHEN pages_retrieved > 0 AND canonical_urls IS NOT NULL THEN {d.r1(numbers.clamp(total))} END", "confidence": "CASE WHEN pages_retrieved < pages_attempted THEN 'reduced' ELSE 'full' END"}
+
+
+def website_points(d: Dialect) -> str:
+    parts = [piecewise(d, "culture_urls", fixed.CULTURE), "CASE WHEN careers_ok THEN 15 ELSE 0 END", piecewise(d, "careers_urls", fixed.CAREERS_DEPTH), f"coalesce({d.dbl('named_author')}, 0) / 100 * 25", piecewise(d, "story_urls", fixed.STORIES)]
+    return d.dbl(numbers.clamp(" + ".join(parts)))
+
+
+def activity_score(d: Dialect) -> dict[str, str]:
+    usable = f"(index_status = 'resolved' AND employees_indexed IS NOT NULL AND employees_posted IS NOT NULL AND employees_indexed >= {fixed.LEAST_INDEXED})"
+    why = f"CASE WHEN index_status <> 'resolved' THEN 'no record' WHEN employees_indexed IS NULL OR employees_posted IS NULL THEN 'not answered' WHEN employees_indexed < {fixed.LEAST_INDEXED} THEN 'too few indexed' END"
+    points = f"{piecewise(d, 'coalesce(posting_rate, 0)', fixed.POSTING_RATE)} + coalesce({piecewise(d, 'maker_rate', fixed.DECISION_MAKERS)}, 0) + coalesce({piecewise(d, 'company_posts', fixed.CADENCE)}, 0)"
+    return {"usable": usable, "why": why, "points": f"CASE WHEN {usable} THEN {points} END"}
+
+
+def ai_score(d: Dialect) -> dict[str, str]:
+    total = f"access * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'home_types', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
+    return {"score": f"CASE WHEN robots_present THEN {d.r1(numbers.clamp(total))} END", "confidence": "CASE WHEN article_schema IS NULL THEN 'reduced' ELSE 'full' END"}
+
+
+def _named(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in columns.items())
+
+
+INSUFFICIENT = f"(total_urls > 0 AND (unclassified_pct >= 50 OR (coalesce(pool, 0) < {fixed.LEAST_POOL} AND unclassified_pct >= 30)))"
+
+
+@relation
+def graded_evidence(d):
+    """Evidence with everything of a site's score, in one pass. Scores are derived on reading, never stored with evidence."""
+    w = fixed.CATEGORY_WEIGHTS
+    each = {f"supply_{k}": v for k, v in supply_score(d).items()} | {f"sharing_{k}": v for k, v in sharing_score(d).items()} | {f"activity_{k}": v for k, v in activity_score(d).items()} | {f"ai_{k}": v for k, v in ai_score(d).items()}
+    each |= {"website_points": website_points(d), "insufficient": INSUFFICIENT, "culture_confidence": "CASE WHEN named_author IS NULL THEN 'reduced' ELSE 'full' END"}
+    culture = f"CASE WHEN canonical_urls IS NOT NULL THEN {d.r1(numbers.clamp('CASE WHEN activity_usable THEN website_points / 2 + activity_points ELSE website_points END'))} END"
+    scores = ["supply_score", "sharing_score", "culture_score", "ai_score"]
+    reduced = " OR ".join(f"{c}_confidence = 'reduced'" for c in ("supply", "sharing", "culture", "ai"))
+    total = f"supply_score * {w['content_supply']}e0 + sharing_score * {w['shareability']}e0 + culture_score * {w['employee_culture']}e0 + ai_score * {w['ai_discoverability']}e0"
     return f"""
-SELECT site, CASE WHEN canonical_urls IS NULL THEN NULL WHEN pool < {fixed.LEAST_POOL} THEN {d.r1('least(25, base)')} ELSE {d.r1('base')} END AS score, coalesce(pool < {fixed.LEAST_POOL}, false) AS floor_failed, CASE WHEN recency_measurable THEN 'full' ELSE 'reduced' END AS confidence
-FROM (SELECT *, {numbers.clamp(base)} AS base FROM evidence_wide)"""
+SELECT *, CASE WHEN gradeable THEN {d.r1('total')} END AS overall, {numbers.grade(f'CASE WHEN gradeable THEN {d.r1("total")} END', fixed.GRADES)} AS grade FROM (
+  SELECT *, NOT blocked_at_root AND NOT insufficient AND scorable = 4 AS gradeable, CASE WHEN blocked_at_root THEN 'blocked at the root' WHEN insufficient THEN 'structure not readable' WHEN scorable < 4 THEN 'categories not observed' END AS withheld_reason FROM (
+    SELECT *, {' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE 1 END' for x in scores)} AS scorable, CASE WHEN insufficient OR {reduced} THEN 'reduced' ELSE 'full' END AS confidence, {total} AS total FROM (
+      SELECT *, {culture} AS culture_score FROM (SELECT *, {_named(each)} FROM evidence_wide))))"""
+
+
+@relation
+def scored_supply(d):
+    return f"SELECT site, {_named(supply_score(d))} FROM evidence_wide"
 
 
 @query
@@ -52,8 +101,7 @@ def score_content_supply(d):
 
 @relation
 def scored_sharing(d):
-    total = " + ".join(f"{d.dbl(f'coalesce({k}, 0)')} / 100 * {w}" for k, w in fixed.SHARE_WEIGHTS.items())
-    return f"SELECT site, CASE WHEN pages_retrieved > 0 AND canonical_urls IS NOT NULL THEN {d.r1(numbers.clamp(total))} END AS score, CASE WHEN pages_retrieved < pages_attempted THEN 'reduced' ELSE 'full' END AS confidence FROM evidence_wide"
+    return f"SELECT site, {_named(sharing_score(d))} FROM evidence_wide"
 
 
 @query
@@ -63,8 +111,7 @@ def score_shareability(d):
 
 @relation
 def website_culture(d):
-    parts = [piecewise(d, "culture_urls", fixed.CULTURE), "CASE WHEN careers_ok THEN 15 ELSE 0 END", piecewise(d, "careers_urls", fixed.CAREERS_DEPTH), f"coalesce({d.dbl('named_author')}, 0) / 100 * 25", piecewise(d, "story_urls", fixed.STORIES)]
-    return f"SELECT site, canonical_urls IS NOT NULL AS scorable, named_author IS NULL AS unmeasured, {d.dbl(numbers.clamp(' + '.join(parts)))} AS points FROM evidence_wide"
+    return f"SELECT site, canonical_urls IS NOT NULL AS scorable, named_author IS NULL AS unmeasured, {website_points(d)} AS points FROM evidence_wide"
 
 
 @query
@@ -74,10 +121,7 @@ def score_culture_site(d):
 
 @relation
 def activity_points(d):
-    usable = f"index_status = 'resolved' AND employees_indexed IS NOT NULL AND employees_posted IS NOT NULL AND employees_indexed >= {fixed.LEAST_INDEXED}"
-    why = f"CASE WHEN index_status <> 'resolved' THEN 'no record' WHEN employees_indexed IS NULL OR employees_posted IS NULL THEN 'not answered' WHEN employees_indexed < {fixed.LEAST_INDEXED} THEN 'too few indexed' END"
-    points = f"{piecewise(d, 'coalesce(posting_rate, 0)', fixed.POSTING_RATE)} + coalesce({piecewise(d, 'maker_rate', fixed.DECISION_MAKERS)}, 0) + coalesce({piecewise(d, 'company_posts', fixed.CADENCE)}, 0)"
-    return f"SELECT site, {usable} AS usable, {why} AS why, CASE WHEN {usable} THEN {points} END AS points FROM evidence_wide"
+    return f"SELECT site, {_named(activity_score(d))} FROM evidence_wide"
 
 
 @query
@@ -87,6 +131,8 @@ def score_activity_half(d):
 
 @relation
 def scored_culture(d):
+    if d.spark:
+        return "SELECT site, culture_score AS score, CASE WHEN activity_usable THEN 'website+index' ELSE 'website' END AS basis, culture_confidence AS confidence FROM graded_evidence"
     return f"""
 SELECT w.site, CASE WHEN w.scorable THEN {d.r1(numbers.clamp('CASE WHEN a.usable THEN w.points / 2 + a.points ELSE w.points END'))} END AS score, CASE WHEN a.usable THEN 'website+index' ELSE 'website' END AS basis, CASE WHEN w.unmeasured THEN 'reduced' ELSE 'full' END AS confidence
 FROM website_culture w JOIN activity_points a ON w.site = a.site"""
@@ -99,8 +145,7 @@ def score_employee_culture(d):
 
 @relation
 def scored_ai(d):
-    total = f"access * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'home_types', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
-    return f"SELECT site, CASE WHEN robots_present THEN {d.r1(numbers.clamp(total))} END AS score, CASE WHEN article_schema IS NULL THEN 'reduced' ELSE 'full' END AS confidence FROM evidence_wide"
+    return f"SELECT site, {_named(ai_score(d))} FROM evidence_wide"
 
 
 @query
@@ -110,7 +155,9 @@ def score_ai(d):
 
 @relation
 def graded(d):
-    """Everything of a site's score. Derived from evidence on reading, never stored with it."""
+    """Everything of a site's score. DuckDB's form joins the categories."""
+    if d.spark:
+        return "SELECT site, host, blocked_at_root AS blocked, insufficient, supply_score AS content_supply, sharing_score AS shareability, culture_score AS employee_culture, ai_score AS ai_discoverability, scorable, confidence, gradeable, withheld_reason, overall, grade FROM graded_evidence"
     w = fixed.CATEGORY_WEIGHTS
     total = f"s.score * {w['content_supply']}e0 + h.score * {w['shareability']}e0 + c.score * {w['employee_culture']}e0 + a.score * {w['ai_discoverability']}e0"
     return f"""
@@ -131,11 +178,13 @@ def overall_grade(d):
 @relation
 def lead(d):
     """Hiring pressure, and the gap it leaves to the public score; null where there is no score or no count to rank by."""
+    source = "graded_evidence e" if d.spark else "evidence_wide e JOIN graded g ON e.site = g.site"
+    g = "e" if d.spark else "g"
     parts = [f"coalesce({piecewise(d, 'e.reqs', fixed.OPEN_REQS)}, 0)", f"coalesce({piecewise(d, 'e.posted_30d', fixed.VELOCITY)}, 0)", "CASE WHEN e.reqs IS NULL OR e.buyer_roles = 0 THEN 0 ELSE least(30, 20 + 5 * e.buyer_roles) END", piecewise(d, "coalesce(e.canonical_urls, 0)", fixed.SITE_SIZE)]
     return f"""
 SELECT *, CASE WHEN gap IS NULL THEN 'unranked' WHEN reqs IS NULL THEN 'unqualified' WHEN gap >= 45 THEN 'hot' WHEN gap >= 28 THEN 'warm' WHEN gap >= 14 THEN 'watch' ELSE 'cold' END AS tier FROM (
   SELECT *, CASE WHEN overall IS NULL THEN NULL ELSE {d.r1(numbers.clamp('pressure * ((100 - overall) / 100)'))} END AS gap FROM (
-    SELECT g.site, g.host, g.overall, e.reqs, e.ats_reqs IS NULL AND e.board_reqs IS NOT NULL AS self_hosted, e.competitor_mentioned, {d.r1(numbers.clamp(' + '.join(parts)))} AS pressure FROM evidence_wide e JOIN graded g ON e.site = g.site))"""
+    SELECT {g}.site, {g}.host, {g}.overall, e.reqs, e.ats_reqs IS NULL AND e.board_reqs IS NOT NULL AS self_hosted, e.competitor_mentioned, {d.r1(numbers.clamp(' + '.join(parts)))} AS pressure FROM {source}))"""
 
 
 @query
@@ -262,6 +311,7 @@ SELECT site, host, overall, grade, CAST(row_number() OVER (ORDER BY coalesce(ove
 @query
 def grade_movers(d):
     """Sites whose grade changes when employee activity is not counted."""
+    source = "(SELECT *, supply_score AS content_supply, sharing_score AS shareability, ai_score AS ai_discoverability FROM graded_evidence) g" if d.spark else "graded g JOIN website_culture c ON g.site = c.site"
     w = fixed.CATEGORY_WEIGHTS
-    total = f"g.content_supply * {w['content_supply']}e0 + g.shareability * {w['shareability']}e0 + {d.r1('c.points')} * {w['employee_culture']}e0 + g.ai_discoverability * {w['ai_discoverability']}e0"
-    return f"SELECT site, grade, overall, {numbers.grade('before', fixed.GRADES)} AS grade_before, before AS overall_before FROM (SELECT g.site, g.grade, g.overall, {d.r1(total)} AS before FROM graded g JOIN website_culture c ON g.site = c.site WHERE g.gradeable) WHERE {numbers.grade('before', fixed.GRADES)} <> grade"
+    total = f"g.content_supply * {w['content_supply']}e0 + g.shareability * {w['shareability']}e0 + {d.r1('g.website_points' if d.spark else 'c.points')} * {w['employee_culture']}e0 + g.ai_discoverability * {w['ai_discoverability']}e0"
+    return f"SELECT site, grade, overall, {numbers.grade('before', fixed.GRADES)} AS grade_before, before AS overall_before FROM (SELECT g.site, g.grade, g.overall, {d.r1(total)} AS before FROM {source} WHERE g.gradeable) WHERE {numbers.grade('before', fixed.GRADES)} <> grade"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..functions import numbers
 from ..plans.adapters import NOW_ORDERS
-from ..plans.registry import query, relation
+from ..plans.registry import frame, query, relation
+from ..sources.scratch import kept
 
 
 @relation
@@ -23,37 +27,89 @@ SELECT site_host, url, doc_ord, is_index, idx, {absolute} AS loc, lastmod FROM (
 
 @query
 def sitemap_parse(d):
-    return f"SELECT url, CASE WHEN is_index THEN 'index' ELSE 'urlset' END AS kind, CAST(count(*) AS BIGINT) AS entries, CAST(count(lastmod) AS BIGINT) AS entries_with_lastmod FROM sitemap_entry GROUP BY url, is_index"
+    """Documents by what they are: an index, a set of URLs, or neither if nothing can be read from them."""
+    return f"""
+SELECT x.url, CASE WHEN {d.rx('x.xml', r'(?i)<sitemapindex[\s>]')} THEN 'index' WHEN e.entries > 0 THEN 'urlset' ELSE 'unknown' END AS kind, coalesce(e.entries, 0) AS entries, coalesce(e.entries_with_lastmod, 0) AS entries_with_lastmod
+FROM sitemap_doc x LEFT JOIN (SELECT url, CAST(count(*) AS BIGINT) AS entries, CAST(count(lastmod) AS BIGINT) AS entries_with_lastmod FROM sitemap_entry GROUP BY url) e ON x.url = e.url"""
+
+
+MOST_DOCUMENTS, MOST_URLS = 60, 60_000
+
+
+@frame("sitemap_walk", "sitemap_seed", "sitemap_parse", "sitemap_entry", "sitemap_denied")
+def walked(seeds: DataFrame, documents: DataFrame, entries: DataFrame, denied: DataFrame, most: int = MOST_DOCUMENTS, most_urls: int = MOST_URLS) -> DataFrame:
+    """Documents in the order of a breadth-first walk from each host's seeds: (site_host, url, place, kind, new_urls).
+
+    seeds(site_host, url, ord), documents(url, kind), entries(url, is_index, idx, loc), denied(url). A document is visited
+    once, however many indexes name it, so cycles end. One that robots rules deny is skipped and does not count; one without
+    a body is an error. A host's walk ends after ``most`` documents or once it has ``most_urls`` URLs; what is left has no row
+    but the kind ``left``. Each level is a join of the level before and an anti-join with all that was seen; its size is that of the level.
+    """
+    kinds = documents.select("url", "kind").join(denied.select("url").distinct().withColumn("no", F.lit(True)), "url", "full").select("url", F.when(F.col("no"), "skipped").otherwise(F.col("kind")).alias("kind"))
+    links = entries.filter("is_index").select(F.col("url").alias("parent"), "loc", "idx")
+    by = Window.partitionBy("site_host")
+    level = seeds.groupBy("site_host", "url").agg(F.min(F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).alias("b"))).alias("key"))
+    seen, base = None, None
+    while True:
+        numbered = level.withColumn("nth", F.row_number().over(by.orderBy("key")))
+        if base is not None:
+            numbered = numbered.join(base, "site_host", "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0))).drop("before")
+        level = kept(numbered.join(kinds, "url", "left").select("site_host", "url", F.col("nth").cast("long").alias("place"), F.coalesce("kind", F.lit("error")).alias("kind")), "sitemaps")
+        seen = level if seen is None else seen.unionByName(level)
+        fetched = F.count_if(F.col("kind") != "skipped")
+        base = seen.groupBy("site_host").agg(F.count("*").alias("before"), fetched.alias("fetched"))
+        following = level.filter("kind = 'index'").join(base.filter(F.col("fetched") < most).select("site_host"), "site_host", "left_semi").join(links, F.col("url") == F.col("parent"))
+        following = following.groupBy("site_host", F.col("loc").alias("url")).agg(F.min(F.struct(F.col("place").alias("a"), F.col("idx").alias("b"))).alias("key"))
+        level = following.join(seen, ["site_host", "url"], "left_anti")
+        base = base.drop("fetched")
+        if level.isEmpty():
+            break
+    order = by.orderBy("place")
+    nth = F.sum(F.when(F.col("kind") != "skipped", 1).otherwise(0)).over(order)
+    inside = seen.withColumn("nth", nth).withColumn("kind", F.when(F.col("nth") <= most, F.col("kind")).otherwise("left")).drop("nth")
+    first = inside.filter("kind = 'urlset'").join(entries.filter("not is_index").select("url", F.regexp_replace("loc", "#.*", "").alias("loc")), "url")
+    fresh = first.groupBy("site_host", "loc").agg(F.min_by("url", "place").alias("url")).groupBy("site_host", "url").agg(F.count("*").alias("new_urls"))
+    counted = inside.join(fresh, ["site_host", "url"], "left").withColumn("new_urls", F.coalesce("new_urls", F.lit(0)))
+    so_far = F.coalesce(F.sum("new_urls").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.withColumn("kind", F.when(so_far < most_urls, F.col("kind")).otherwise("left")).select("site_host", "url", "place", "kind", F.when(F.col("kind") == "left", 0).otherwise(F.col("new_urls")).alias("new_urls"))
 
 
 @relation
-def sitemap_reached(d):
-    """/*WITH_RECURSION*/"""
-    return f"""/*WITH_RECURSION*/SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS depth, 0 AS place FROM sitemap_url
-UNION ALL
-SELECT r.site_host, e.loc AS url, r.depth + 1 AS depth, e.idx AS place FROM sitemap_reached r JOIN sitemap_entry e ON e.url = r.url WHERE e.is_index AND r.depth < 8"""
+def sitemap_walk(d):
+    """DuckDB's form, for hosts whose one index names no further index: the index, then its documents as it names them."""
+    return """
+SELECT w.site_host, w.url, w.place, CASE WHEN n.url IS NOT NULL THEN 'skipped' ELSE coalesce(x.kind, 'error') END AS kind, CAST(CASE WHEN n.url IS NULL AND x.kind = 'urlset' THEN coalesce(u.new_urls, 0) ELSE 0 END AS BIGINT) AS new_urls FROM (
+  SELECT site_host, url, CAST(1 AS BIGINT) AS place FROM sitemap_seed
+  UNION ALL SELECT s.site_host, e.loc AS url, 1 + row_number() OVER (PARTITION BY s.site_host ORDER BY e.idx) AS place FROM sitemap_seed s JOIN sitemap_entry e ON e.url = s.url WHERE e.is_index) w
+LEFT JOIN sitemap_parse x ON w.url = x.url LEFT JOIN sitemap_denied n ON w.url = n.url
+LEFT JOIN (SELECT url, count(*) AS new_urls FROM (
+  SELECT regexp_replace(e.loc, '#.*', '') AS loc, min_by(e.url, x.doc_ord) AS url FROM sitemap_entry e JOIN sitemap_doc x ON e.url = x.url
+  WHERE NOT e.is_index AND e.url NOT IN (SELECT url FROM sitemap_denied) GROUP BY e.site_host, regexp_replace(e.loc, '#.*', '')) GROUP BY url) u ON w.url = u.url"""
 
 
 @query
 def sitemap_traverse(d):
-    """Documents in the order of a breadth-first walk from each host's index, at most 60; those without a body are errors."""
-    return f"""
-SELECT site_host, url, nth, kind FROM (
-  SELECT w.site_host, w.url, CASE WHEN x.url IS NULL THEN 'error' WHEN x.doc_ord = 0 THEN 'index' ELSE 'urlset' END AS kind, CAST(row_number() OVER (PARTITION BY w.site_host ORDER BY w.depth, w.place, w.url) AS INTEGER) AS nth
-  FROM (SELECT site_host, url, min(depth) AS depth, min(place) AS place FROM sitemap_reached GROUP BY site_host, url) w LEFT JOIN sitemap_doc x ON w.url = x.url) WHERE nth <= 60"""
+    """The documents of each host's walk, in order."""
+    return "SELECT site_host, url, place, kind, new_urls FROM sitemap_walk"
+
+
+@query
+def sitemap_notes(d):
+    """What a walk has to say of itself: documents read, skipped, failed and left, and the URLs that came of it."""
+    return f"SELECT site_host, {d.count_if("kind NOT IN ('skipped', 'left')")} AS fetched, {d.count_if("kind = 'skipped'")} AS skipped, {d.count_if("kind = 'error'")} AS errors, {d.count_if("kind = 'left'")} AS left_unread, CAST(sum(new_urls) AS BIGINT) AS urls FROM sitemap_walk GROUP BY site_host"
 
 
 @relation
 def sitemap_unique(d):
     """Entries by location: the first document keeps it, a missing date is filled from later ones, the others are listed."""
     return f"""
-SELECT site_host, loc, min_by(url, ord) AS first_in, min_by(lastmod, CASE WHEN lastmod IS NOT NULL THEN ord END) AS lastmod, CAST(count(*) - 1 AS BIGINT) AS repeats, CAST(count(DISTINCT url) - 1 AS BIGINT) AS also_in
+SELECT site_host, loc, min_by(url, ord) AS first_in, min_by(lastmod, CASE WHEN lastmod IS NOT NULL THEN ord END) AS lastmod, CAST(count(*) - 1 AS BIGINT) AS repeats, {d.join(d.sorted('collect_set(url)') if d.spark else 'list_sort(list(DISTINCT url))', ' ')} AS found_in
 FROM (SELECT site_host, url, lastmod, {d.sub('loc', '#.*')} AS loc, doc_ord * 1000000000 + idx AS ord FROM sitemap_entry WHERE NOT is_index) GROUP BY site_host, loc"""
 
 
 @query
 def sitemap_dedupe(d):
-    return "SELECT loc, first_in, lastmod, repeats, also_in FROM sitemap_unique"
+    return "SELECT loc, first_in, lastmod, repeats, found_in FROM sitemap_unique"
 
 
 @relation

@@ -194,8 +194,20 @@ SELECT site_host, concat('https://', site_host, '/sitemap-', {d.text('doc_no')},
 FROM (SELECT * FROM sitemap_url UNION ALL SELECT pos, site_host, loc, NULL AS lastmod, (doc_no + 1) % 3 AS doc_no FROM sitemap_url WHERE pos % 10 = 3) GROUP BY site_host, doc_no
 UNION ALL
 SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS doc_ord,
-  concat('<sitemapindex><sitemap><loc>https://', site_host, '/sitemap-0.xml</loc></sitemap><sitemap><loc>/sitemap-1.xml</loc></sitemap><sitemap><loc>https://', site_host, '/sitemap-2.xml</loc></sitemap><sitemap><loc>https://', site_host, '/gone.xml</loc></sitemap></sitemapindex>') AS xml
-FROM sitemap_url"""
+  concat('<sitemapindex><sitemap><loc>https://', site_host, '/sitemap-0.xml</loc></sitemap><sitemap><loc>/sitemap-1.xml</loc></sitemap><sitemap><loc>https://', site_host, '/sitemap-2.xml</loc></sitemap><sitemap><loc>https://', site_host, '/gone.xml</loc></sitemap><sitemap><loc>/empty.xml</loc></sitemap></sitemapindex>') AS xml
+FROM sitemap_url
+UNION ALL SELECT DISTINCT site_host, concat('https://', site_host, '/empty.xml') AS url, 9 AS doc_ord, '<urlset></urlset>' AS xml FROM sitemap_url"""
+
+
+@relation
+def sitemap_seed(d):
+    return "SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS ord FROM sitemap_url"
+
+
+@relation
+def sitemap_denied(d):
+    """Documents that a host's robots rules deny to our agent."""
+    return f"SELECT DISTINCT concat('https://', site_host, '/sitemap-1.xml') AS url FROM sitemap_url WHERE {d.rx('site_host', '[.]it$')}"
 
 
 @relation

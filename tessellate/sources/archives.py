@@ -6,6 +6,7 @@ import base64
 import gzip
 import io
 import posixpath
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 8 << 20
+_GZ = re.compile(r"\.gz($|\?)", re.IGNORECASE)
+
+
 def inflated(data: bytes | None) -> bytes:
     """Bytes as they are, or unpacked if they open like gzip; what is broken stays as it is."""
     if not data or data[:2] != b"\x1f\x8b":
@@ -31,38 +36,53 @@ def compressed(name: str = "path", content: str = "content"):
 
 
 def _per_file(files: DataFrame, schema: str, rows) -> DataFrame:
+    """A row for each that rows(path, content) gives, in batches of about BATCH bytes of input."""
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for row in rows(path, data or b""):
-                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names)
+            out, size = [], 0
+            for path, data in zip(b.column(0), b.column(1)):
+                data = data.as_py() or b""
+                out += rows(path.as_py(), data)
+                size += len(data)
+                if size > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """(path, body): files of the binary source as text, unpacked where they are compressed."""
-    return _per_file(files, "path string, body string", lambda path, data: [(path, inflated(data).decode("utf-8", "replace"))])
+    """(path, gz, body): files of the binary source as text, unpacked where they are compressed."""
+    return _per_file(files, "path string, gz boolean, body string", lambda path, data: [(path, data[:2] == b"\x1f\x8b" or bool(_GZ.search(path)), inflated(data).decode("utf-8", "replace"))])
 
 
 def members(files: DataFrame) -> DataFrame:
-    """(path, name, body): the regular files of tar bundles, packed or not; names that leave the bundle are refused."""
+    """(path, name, body): the regular files of tar bundles, packed or not; names that leave the bundle are refused. A bundle that cannot be read has one row without a name."""
 
     def rows(path: str, data: bytes):
-        with tarfile.open(fileobj=io.BytesIO(inflated(data))) as tar:
-            for m in tar:
-                name = posixpath.normpath(m.name)
-                if m.isfile() and not name.startswith(("/", "..")):
-                    yield path, name, tar.extractfile(m).read()
+        found = []
+        try:
+            with tarfile.open(fileobj=io.BytesIO(inflated(data))) as tar:
+                for m in tar:
+                    name = posixpath.normpath(m.name)
+                    if m.isfile() and not name.startswith(("/", "..")):
+                        found.append((path, name, tar.extractfile(m).read()))
+        except (tarfile.TarError, OSError, EOFError):
+            found.append((path, None, None))
+        return found
 
     return _per_file(files, "path string, name string, body binary", rows)
 
 
 def extracted(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """Members that existing(name) does not have: nothing is overwritten."""
-    return members(files).join(existing.select("name"), "name", "left_anti")
+    """Members that existing(name) does not have: nothing is overwritten. Bundles that cannot be read give none."""
+    return members(files).filter("name is not null").join(existing.select("name"), "name", "left_anti")
 
 
 def encoded_text(path: str, data: bytes) -> str:

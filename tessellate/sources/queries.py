@@ -30,7 +30,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gzip_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _packed(_pages(spark, sf_dir), lambda k, t: (f"s{k}.xml", gzip.compress(t.encode(), 1, mtime=0) if k % 2 else t.encode()))
-    return archives.texts(files).join(files.withColumn("gz", archives.compressed()).select("path", "gz"), "path").select("path", "gz", F.length("body").alias("chars"))
+    return archives.texts(files).select("path", "gz", F.length("body").alias("chars"))
 
 
 def index_load_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,3 +57,9 @@ def seed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"gzip_sniff": gzip_sniff, "index_load_encodings": index_load_encodings, "seed_extract": seed_extract}
+#: What the queries give, as SQL over the tables that the files are made of.
+CHECKS = {
+    "gzip_sniff": "SELECT concat('s', page_id, '.xml') AS path, page_id % 2 = 1 AS gz, CAST(length(html) AS INTEGER) AS chars FROM pages",
+    "index_load_encodings": "SELECT concat('i', page_id, CASE page_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.json.gz' ELSE '.json.gz.b64' END) AS path, CAST(length(html) AS INTEGER) AS chars FROM pages",
+    "seed_extract": "SELECT concat('calib/', page_id, '.json') AS name, CAST(strlen(html) AS INTEGER) AS bytes FROM pages WHERE page_id % 4 <> 0",
+}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 WINDOW_S, MOST = 3600, 10
 
 
@@ -133,8 +134,7 @@ def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: the stream source takes no single file
     state = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ready' ELSE 'error' END")
     changes = events.select(F.concat(F.lit("site"), F.col("user_id") % 40, F.lit(".com")).alias("host"), state.alias("state"), "ts")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellate-")
-    place = f"{shared.rstrip('/')}/job-states-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/job-states-{uuid.uuid4().hex}"
     out = job_stream(changes).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.read.schema("host string, state string").parquet(f"{place}/out")
