@@ -28,7 +28,7 @@ from .storage import appended, bound_batches, fresh, stored
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
 #: Of one_of_each: texts of SIMILARITY or more link. A shingle of over HOT texts is dealt out in chunks of about CHUNK, of LEADERS at most;
 #: a text that FAN or more are compared with is sent to several tasks.
-SIMILARITY, HOT, CHUNK, LEADERS, FAN, SEEN, BITMAP = 0.8, 48, 1024, 64, 512, 1 << 19, 1 << 17
+SIMILARITY, HOT, CHUNK, LEADERS, FAN, SEEN, BITMAP = 0.8, 48, 1024, 64, 512, 1 << 17, 1 << 17
 #: Shingles that ORDER_LEAST of about ORDER_TEXTS sampled texts hold come last in the order, ORDER_MOST of them at most; any order is exact.
 ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 5_000, 3, 1 << 18
 _CHUNK = 1 << 18
@@ -565,7 +565,8 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
     def one() -> dict[str, np.ndarray]:
         t = pa.Table.from_batches(held).combine_chunks()
         out = {k: t[k].to_numpy() for k in names}
-        out["sketch"] = np.stack([folded(x) for x in t["sketch"].to_pylist()])
+        out["whole"] = t["sketch"].to_pylist()
+        out["sketch"] = np.stack([folded(x) for x in out["whole"]])
         return out
 
     now = None
@@ -582,6 +583,19 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
         yield one()
 
 
+def _alike(g: dict, x: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of a group's rows ``others`` may be similar to its row x: by sizes, short sketches, and for long sets the whole ones."""
+    n, m = g["n"][others], g["n"][x]
+    most = _near(n, m, similarity)
+    ok = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.bitwise_count(g["sketch"][others] ^ g["sketch"][x]).sum(axis=1) <= most)
+    if len(mine := g["whole"][x]) > 128:
+        for k in np.flatnonzero(ok):
+            other = g["whole"][others[k]]
+            size = min(len(mine), len(other))
+            ok[k] = size == 128 or np.bitwise_count(folded(mine, size) ^ folded(other, size)).sum() <= most[k]
+    return ok
+
+
 def _led(similarity: float):
     """Rows of hot tokens -> candidates (a, b) of up to LEADERS leaders and the rows near them, and the leaders' rows with b null.
 
@@ -595,14 +609,14 @@ def _led(similarity: float):
                 x, rest = rest[0], rest[1:]
                 lead.append(x)
                 same = g["comp"][rest] == g["comp"][x]
-                near = np.bitwise_count(g["sketch"][rest] ^ g["sketch"][x]).sum(axis=1) <= _near(g["n"][rest], g["n"][x], similarity)
+                near = _alike(g, x, rest, similarity)
                 edges += [(g["node"][x], y) for y in g["node"][rest[near & ~same]]]
                 rest = rest[~near & ~same]
             a = [g["node"][x] for x in lead] + [e[0] for e in edges]
             m, none = len(lead), [None] * len(edges)
             cols = [pa.array(a, pa.int64()), pa.array([None] * m + [e[1] for e in edges], pa.int64())]
             cols += [pa.array([*(int(g[k][x]) for x in lead), *none], kind) for k, kind in (("token", pa.int64()), ("n", pa.int32()), ("comp", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([*(g["sketch"][x].tobytes() for x in lead), *none], pa.binary())], ["a", "b", "token", "n", "comp", "sketch"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([*(g["whole"][x] for x in lead), *none], pa.binary())], ["a", "b", "token", "n", "comp", "sketch"])
 
     return run
 
@@ -614,8 +628,8 @@ def _crossed(similarity: float):
         for g in _groups(batches, ["node", "n", "comp", "asks"]):
             asked, left, right = np.flatnonzero(g["asks"] == 0), [], []
             for x in np.flatnonzero(g["asks"] == 1):
-                near = (g["comp"][asked] != g["comp"][x]) & (np.bitwise_count(g["sketch"][asked] ^ g["sketch"][x]).sum(axis=1) <= _near(g["n"][asked], g["n"][x], similarity))
-                y = g["node"][asked[near]]
+                other = asked[g["comp"][asked] != g["comp"][x]]
+                y = g["node"][other[_alike(g, x, other, similarity)]]
                 left.append(np.minimum(y, g["node"][x])), right.append(np.maximum(y, g["node"][x]))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
