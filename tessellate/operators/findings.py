@@ -107,8 +107,9 @@ def findings_client(d):
 @relation
 def rewritten(d):
     """Rewritten sentences with the source that they retell: one may stand only if each number in it is, whole, one of the source's."""
-    known = d.exta("source", r"[0-9]+(?:[.,][0-9]+)*", 0)
-    return f"SELECT site, finding, rewrite, {d.size(d.filt(d.exta('rewrite', r'[0-9]+(?:[.,][0-9]+)*', 0), 'n', f'NOT {d.has(known, chr(110))}'))} = 0 AS stands FROM narration"
+    number = r"[0-9]+(?:[.,][0-9]+)*"
+    foreign = d.filt(d.exta("rewrite", number, 0), "n", f"NOT {d.has(d.exta('source', number, 0), 'n')}")
+    return f"SELECT site, finding, rewrite, {d.size(foreign)} = 0 AS stands FROM narration"
 
 
 @query

@@ -114,7 +114,8 @@ def name_fits(d: Dialect, name: str, hay: str) -> str:
     """Does a telling word of a company's name stand in the site's address or title?"""
     words = d.filt(d.split(d.sub(f"lower({name})", "[^a-z0-9]+", " "), " "), "w", f"length(w) >= 4 AND w NOT IN ({d.strings(fixed.GENERIC_NAME_WORDS)})")
     clean, tight = d.sub(f"lower({hay})", "[^a-z0-9]+", " "), d.sub(f"lower({hay})", "[^a-z0-9]+")
-    return f"{d.size(d.filt(words, 'w', f'{d.contains(clean, chr(119))} OR {d.contains(tight, chr(119))}'))} > 0"
+    fitting = d.filt(words, "w", f"{d.contains(clean, 'w')} OR {d.contains(tight, 'w')}")
+    return f"{d.size(fitting)} > 0"
 
 
 @query

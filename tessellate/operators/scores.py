@@ -158,10 +158,10 @@ def graded(d):
     """Everything of a site's score. DuckDB's form joins the categories."""
     if d.spark:
         return "SELECT site, host, blocked_at_root AS blocked, insufficient, supply_score AS content_supply, sharing_score AS shareability, culture_score AS employee_culture, ai_score AS ai_discoverability, scorable, confidence, gradeable, withheld_reason, overall, grade FROM graded_evidence"
-    w = fixed.CATEGORY_WEIGHTS
+    w, overall = fixed.CATEGORY_WEIGHTS, f"CASE WHEN gradeable THEN {d.r1('total')} END"
     total = f"s.score * {w['content_supply']}e0 + h.score * {w['shareability']}e0 + c.score * {w['employee_culture']}e0 + a.score * {w['ai_discoverability']}e0"
     return f"""
-SELECT *, CASE WHEN gradeable THEN {d.r1('total')} END AS overall, {numbers.grade(f'CASE WHEN gradeable THEN {d.r1(chr(116) + "otal")} END', fixed.GRADES)} AS grade FROM (
+SELECT *, {overall} AS overall, {numbers.grade(overall, fixed.GRADES)} AS grade FROM (
   SELECT *, NOT blocked AND NOT insufficient AND scorable = 4 AS gradeable, CASE WHEN blocked THEN 'blocked at the root' WHEN insufficient THEN 'structure not readable' WHEN scorable < 4 THEN 'categories not observed' END AS withheld_reason FROM (
     SELECT e.site, e.host, e.blocked_at_root AS blocked, e.total_urls > 0 AND (e.unclassified_pct >= 50 OR (coalesce(e.pool, 0) < {fixed.LEAST_POOL} AND e.unclassified_pct >= 30)) AS insufficient,
       s.score AS content_supply, h.score AS shareability, c.score AS employee_culture, a.score AS ai_discoverability, {total} AS total,
