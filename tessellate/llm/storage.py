@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 ARROW_ROWS = 4096
 
 _written: list[tuple[SparkSession, str]] = []
@@ -78,6 +78,7 @@ def appended(docs: DataFrame, text: str, new: dict[str, str], compute: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *compute(b.column(at).to_pylist())], names)
+        pa.default_memory_pool().release_unused()
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields])
     return docs.mapInArrow(run, schema)

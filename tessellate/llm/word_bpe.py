@@ -21,7 +21,7 @@ import numpy as np
 from .token_count import WHITE
 
 #: A worker keeps the ids of this many words, half of them from before its last clearing.
-MEMO, MEMO_CHARS, AT_ONCE = 3 << 17, 48, 4096
+MEMO, MEMO_CHARS, AT_ONCE = 1 << 18, 48, 4096
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile(f"[^{WHITE}]+")
 # Letters that are one code point in NFC and lower case letter by letter; the tokenizer's pattern, and what it is for such letters and ASCII.
