@@ -39,7 +39,7 @@ TRAINING_ROWS = 40_000
 FOLDS, LEAST_FOLD = 4, 20
 DRIFT, STRENGTH, LEAST_DOCS, LEAST_ODDS, LEAST_SCORE, SURE, SIGNIFICANT = 0.05, 4.0, 3, 3.0, 1.5, 2.0, 0.01
 _TOKEN = re.compile(r"[^\W\d_]+")
-_CACHED = 1 << 16
+_CACHED, _COUNTED = 1 << 16, 1 << 17
 
 
 class Scores(dict):
@@ -149,22 +149,26 @@ def _weighed(training: DataFrame) -> Model:
     """The scores of tokens and stems, and lambda."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean, tokens = Counter(), Counter(), Counter()
+        held: dict[str, list[int]] = {}  # feature -> toxic documents, clean documents, tokens in clean ones
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held)), *(pa.array([c[k] for c in held.values()], pa.int64()) for k in range(3))], ["feature", "toxic", "clean", "tokens"])
+
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = Counter(_TOKEN.findall((text or "").lower()))
-                into = toxic if label else clean
-                into.update("w" + w for w in found)
-                into.update({"5" + w[:5] for w in found if len(w) > 3})
-                into.update({"4" + w[:4] for w in found if len(w) > 3})
-                into["#"] += 1
-                if not label:
-                    for w, n in found.items():
-                        tokens["w" + w] += n
-                    tokens["#"] += found.total()
-        names = list(toxic.keys() | clean.keys())
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([c[x] for x in names], pa.int64()) for c in (toxic, clean, tokens))], ["feature", "toxic", "clean", "tokens"])
+                features = {"w" + w: n for w, n in found.items()}
+                features.update(dict.fromkeys((f"{k}{w[:k]}" for w in found if len(w) > 3 for k in (4, 5)), 0))
+                features["#"] = found.total()
+                for f, n in features.items():
+                    c = held.setdefault(f, [0, 0, 0])
+                    c[not label] += 1
+                    c[2] += 0 if label else n
+                if len(held) > _COUNTED:
+                    yield rows()
+                    held.clear()
+        if held:
+            yield rows()
 
     counted = training.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long, tokens long").groupBy("feature").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "tokens")))
     counted = stored(counted, "features")
