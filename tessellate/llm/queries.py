@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, simhash, site_tree, token_count, toxicity
+from . import language_id, mpeg_audio, packing, piece_bpe, quality, sharding, simhash, site_tree, token_count, token_files, toxicity
 from .storage import table
 
 
@@ -87,6 +87,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op12_re_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents from Re-Pair shards: (doc_id, start, n_tokens, ids_crc32). A null or empty text is the end id alone; null ids come first; repeated rows stay."""
+    return token_files.read(token_files.written(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=1), digest=True)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op12_re_pair": op12_re_pair,
 }
 ORACLE: dict[str, str] = {
     "op7_quality": r"""

@@ -56,11 +56,11 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -104,7 +104,7 @@ class WordIds:
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        held = [_WORD.findall(t) if _ODD.search(t) else t.split() for t in texts]
+        held = [self.words(t) for t in texts]
         for w in self.passing:  # long words are known for their own batch only
             self.memo.pop(w, None)
         if len(self.memo) > MEMO // 2:
@@ -120,6 +120,10 @@ class WordIds:
             memo.update(zip(part, self.encoded(part)))
         return (b"".join(map(memo.__getitem__, words)) for words in held)
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return _WORD.findall(text) if _ODD.search(text) else text.split()
+
     def encoded(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w] if self.plain else []
