@@ -71,7 +71,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 def rate(n: Column, total: Column, kept: Column) -> Column:
     """1 + floor(SCALE (n + PRIOR) / (total + PRIOR kept)), exact up to totals of 9e15: SCALE is 1,000 cubed, and the fraction is at most 1."""
     over = lambda a, b: F.call_function("div", a, b)
-    below, rest, whole = total + PRIOR * kept, n + PRIOR, F.lit(0).cast("long")
+    below, rest, whole = F.greatest(total + PRIOR * kept, F.lit(1)), n + PRIOR, F.lit(0).cast("long")  # 1: no terms, nothing to rate
     for _ in range(3):
         whole, rest = whole * 1000 + over(rest * 1000, below), rest * 1000 % below
     return whole + 1

@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, ShortType, LongType, StringType, Struct
 from .storage import bound_batches, fresh, released, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
-_FAR, _MOST = np.int64(2**62), 2**63 - 1
+_FAR, _MOST = np.int64(2**60), 2**63 - 1  # two bounds of _FAR can be added
 
 
 def whole(x: float) -> int:
@@ -162,7 +162,7 @@ def coded(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
     The dimension is that of the kept vector with the smallest vec_id; vectors of another one are dropped. Where it is no multiple of
     ``parts``, part p begins at floor(p dimension / parts). Entries begin as the parts of the ``entries`` smallest distinct vec_ids, of
     repeated ones the smallest vector; a null vec_id is never among them. With fewer vectors there are fewer entries; with none
-    (or only null vec_ids) the result is empty. Repeated rows count as often as they stand. An error beyond 2^63 - 1 is given as this number.
+    (or only null vec_ids) the result is empty. Repeated rows count as often as they stand. An error, or a sum of errors, beyond 2^63 - 1 is given as this number.
     """
     spark = table.sparkSession
     bound_batches(spark)
@@ -243,7 +243,7 @@ def digests(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     found = coded(table, vec_id=vec_id, vector=vector, label=label)
     rows = stored(found.rows, "coded")
     name = lambda c, of: F.col(c).eqNullSafe(F.col(of))
-    sums = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    sums = rows.groupBy(F.col("label").alias("of")).agg(F.least(F.sum(F.col("error").cast("decimal(19,0)")), F.lit(_MOST)).cast("long").alias("label_error"))
     code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))))
     return rows.join(sums, name("label", "of")).select("vec_id", code.alias("code"), "error", "label_error", F.lit(found.books.digest()).alias("codebooks_sha256"))
 
