@@ -1,6 +1,6 @@
 """The operators. Importing the package registers their relations and queries."""
 
 from ..plans import adapters
-from . import findings, hiring, incumbents, lifecycle, pages, reports, robots, scores, sitemaps, sites
+from . import assembly, findings, hiring, incumbents, lifecycle, pages, reports, robots, scores, sitemaps, sites
 
-__all__ = ["adapters", "findings", "hiring", "incumbents", "lifecycle", "pages", "reports", "robots", "scores", "sitemaps", "sites"]
+__all__ = ["adapters", "assembly", "findings", "hiring", "incumbents", "lifecycle", "pages", "reports", "robots", "scores", "sitemaps", "sites"]

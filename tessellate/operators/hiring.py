@@ -91,7 +91,7 @@ def counts_since(d: Dialect, days: int = 90, now: str = NOW_ACTIVITY) -> str:
     since = f"{d.seconds('ts')} >= {d.idiv(f'{d.seconds(f"TIMESTAMP {chr(39)}{now}{chr(39)}")} - {days} * 86400', 86400)} * 86400"
     return f"""
 SELECT company, CAST(count(DISTINCT employee) AS BIGINT) AS employees_indexed, CAST(count(DISTINCT CASE WHEN is_post AND {since} THEN employee END) AS BIGINT) AS employees_posted, CAST(count(DISTINCT CASE WHEN is_post AND is_decision_maker AND {since} THEN employee END) AS BIGINT) AS makers_posted,
-  {d.count_if("event_type = 'purchase'")} AS company_posts_all, {d.count_if(f"event_type = 'purchase' AND {since}")} AS company_posts, {d.count_if(f"event_type = 'click' AND {since}")} AS reshares FROM company_post GROUP BY company"""
+  {d.count_if("kind = 'company'")} AS company_posts_all, {d.count_if(f"kind = 'company' AND {since}")} AS company_posts, {d.count_if(f"kind = 'reshare' AND {since}")} AS reshares FROM company_post GROUP BY company"""
 
 
 @relation

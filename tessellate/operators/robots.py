@@ -102,7 +102,7 @@ def robots_rule(d):
     return f"SELECT site, grp, field AS kind, value AS path, {rule_pattern(d, 'value')} AS pattern, NOT {d.rx('value', '[*$]')} AS plain, length({d.sub('value', '[$]$')}) AS weight FROM robots_line WHERE field IN ('allow', 'disallow') AND value <> ''"
 
 
-def _allowed(d: Dialect, cases: str, keys: str, path: str) -> str:
+def allowed(d: Dialect, cases: str, keys: str, path: str) -> str:
     """Of each case (site, agent, path ...): the longest rule that matches decides, allow wins a tie."""
     hit = f"regexp_matches({path}, r.pattern)" if not d.spark else f"CASE WHEN r.plain THEN startswith({path}, r.path) ELSE {path} RLIKE r.pattern END"
     return f"""
@@ -113,13 +113,13 @@ FROM {cases} LEFT JOIN robots_rule r ON c.site = r.site AND c.grp = r.grp AND {h
 @query
 def robots_allowed(d):
     paths = d.explode("site, agent, grp", "agent_group", d.array(*(d.lit(p) for p in PATHS)), "path", "idx")
-    return _allowed(d, f"({paths}) c", "c.site, c.agent, c.path", "c.path")
+    return allowed(d, f"({paths}) c", "c.site, c.agent, c.path", "c.path")
 
 
 @relation
 def agent_access(d):
     """Of every site with a robots file and every agent: may it read the root?"""
-    known = _allowed(d, "(SELECT *, '/' AS path FROM agent_group) c", "c.site, c.agent", "c.path")
+    known = allowed(d, "(SELECT *, '/' AS path FROM agent_group) c", "c.site, c.agent", "c.path")
     return f"""
 SELECT s.site, g.ord, g.agent, g.kind, coalesce(k.allowed, true) AS root_allowed, n.token IS NOT NULL AS named
 FROM (SELECT site FROM robots_txt WHERE body IS NOT NULL) s CROSS JOIN ai_agent g LEFT JOIN ({known}) k ON k.site = s.site AND k.agent = g.agent
@@ -135,7 +135,7 @@ def ai_posture(d):
 def robots_by_host(d):
     """May a page be fetched, by the robots file of its own host? Without a file it may."""
     pages = "(SELECT page_id, site, path FROM wanted_page)"
-    known = _allowed(d, f"(SELECT p.page_id, p.path, g.site, g.grp FROM {pages} p JOIN (SELECT site, grp FROM agent_group WHERE ord = 8) g ON p.site = g.site) c", "c.page_id", "c.path")
+    known = allowed(d, f"(SELECT p.page_id, p.path, g.site, g.grp FROM {pages} p JOIN (SELECT site, grp FROM agent_group WHERE ord = 8) g ON p.site = g.site) c", "c.page_id", "c.path")
     return f"SELECT p.page_id, p.path, coalesce(k.allowed, true) AS allowed FROM {pages} p LEFT JOIN ({known}) k ON p.page_id = k.page_id"
 
 

@@ -35,13 +35,17 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     A draw needs a stratum's size and quota only, so places are drawn from one row a stratum; pages
     are then numbered and joined to the places. No stratum's pages meet in a Python task.
     """
-    quota = registry.run("quota_alloc", spark, sf_dir).filter("quota > 0")
+    places = drawn_places(registry.run("quota_alloc", spark, sf_dir))
+    pool = registry.run("sample_pool", spark, sf_dir)
+    return pool.join(places, ["host", "section", "place"]).select("host", "section", "url")
+
+
+def drawn_places(quota: DataFrame) -> DataFrame:
+    """(host, section, place) of quota(host, section, n, quota): the places drawn of each stratum, from 1."""
 
     def draw(frames):
         for f in frames:
             rows = [(r.host, r.section, p + 1) for r in f.itertuples() for p in drawn(r.n, r.quota, f"{r.host}::{r.section}")]
             yield pd.DataFrame(rows, columns=["host", "section", "place"])
 
-    places = quota.mapInPandas(draw, "host string, section string, place long")
-    pool = registry.run("sample_pool", spark, sf_dir)
-    return pool.join(places, ["host", "section", "place"]).select("host", "section", "url")
+    return quota.filter("quota > 0").select("host", "section", "n", "quota").mapInPandas(draw, "host string, section string, place long")

@@ -61,7 +61,7 @@ def activity_score(d: Dialect) -> dict[str, str]:
 
 
 def ai_score(d: Dialect) -> dict[str, str]:
-    total = f"access * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'home_types', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
+    total = f"access * 45 + CASE WHEN signals = 0 THEN 9 WHEN contradicted THEN 3 ELSE 15 END + {piecewise(d, 'coalesce(home_types, 0)', fixed.HOME_SCHEMA)} + coalesce({d.dbl('article_schema')}, 0) / 100 * 25"
     return {"score": f"CASE WHEN robots_present THEN {d.r1(numbers.clamp(total))} END", "confidence": "CASE WHEN article_schema IS NULL THEN 'reduced' ELSE 'full' END"}
 
 

@@ -77,14 +77,14 @@ def url_paths(d):
     """Paths without suffix, and what follows a wrapping first segment. Built in steps, so that each expression reads columns and stays small."""
     return f"""
 SELECT *, {urls.unwrapped(d, 'bare')} AS inner_path FROM (
-  SELECT u.pos, u.loc, u.lastmod, u.host, u.path, {urls.bare_path(d, 'u.path')} AS bare, p.langs
+  SELECT u.pos, u.site_host, u.loc, u.lastmod, u.host, u.path, {urls.bare_path(d, 'u.path')} AS bare, p.langs
   FROM url_parsed u LEFT JOIN (SELECT host, {d.lists('lang', 'lang')} AS langs FROM promoted_locales GROUP BY host) p ON u.host = p.host)"""
 
 
 @relation
 def url_located(d):
     return f"""
-SELECT pos, loc, lastmod, host, path, coalesce(inner_locale, bare_locale) AS locale,
+SELECT pos, site_host, loc, lastmod, host, path, coalesce(inner_locale, bare_locale) AS locale,
   CASE WHEN inner_locale IS NOT NULL THEN {urls.after_locale(d, 'inner_path')} WHEN bare_locale IS NOT NULL THEN {urls.after_locale(d, 'bare')} ELSE bare END AS norm_path
 FROM (SELECT *, {urls.locale_of(d, 'inner_lang', 'inner_region', 'langs')} AS inner_locale, {urls.locale_of(d, 'bare_lang', 'bare_region', 'langs')} AS bare_locale FROM (
   SELECT *, {urls.locale_lang(d, 'inner_path')} AS inner_lang, {urls.locale_region(d, 'inner_path')} AS inner_region, {urls.locale_lang(d, 'bare')} AS bare_lang, {urls.locale_region(d, 'bare')} AS bare_region FROM url_paths))"""
@@ -93,7 +93,7 @@ FROM (SELECT *, {urls.locale_of(d, 'inner_lang', 'inner_region', 'langs')} AS in
 @relation
 def classified_url(d):
     """Located URLs with section and canonical key."""
-    return f"SELECT pos, loc, lastmod, host, path, locale, norm_path, {urls.section(d, 'norm_path')} AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM url_located"
+    return f"SELECT pos, site_host, loc, lastmod, host, path, locale, norm_path, {urls.section(d, 'norm_path')} AS section, concat({d.sub('host', r'^www[.]')}, {d.sub('norm_path', r'/\z')}) AS canon_key FROM url_located"
 
 
 @query

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions import urls
 from .dialect import Dialect
-from .registry import relation
+from .registry import relation, written
 
 WORDS = (
     "blog/ customers/ recipes/r library/ guides/ news/ about/news/ events/ podcasts/ careers/ life-at-acme team about-us docs/ locations product/ solutions pricing integrations legal tag/ contact "
@@ -42,9 +42,8 @@ SELECT o_orderkey AS pos, {host_name(d, 'o_orderkey % 40')} AS site_host,
 FROM orders"""
 
 
-@relation
-def page_html(d):
-    """Pages with share, author and structured markup put in after the head opens."""
+def marked_up(d: Dialect, source: str) -> str:
+    """Pages (page_id, url, html) with share, author and structured markup put in after the head opens."""
     k = "page_id"
     parts = [
         f"CASE WHEN {k} % 3 <> 0 THEN concat('<meta property=\"og:title\" content=\"Page &amp; ', {d.text(k)}, '\">') ELSE '' END",
@@ -64,7 +63,19 @@ def page_html(d):
     ]
     fragment = "concat(" + ", ".join(p.replace("{{", "{").replace("}}", "}") for p in parts) + ")"
     return f"""
-SELECT page_id, url, concat(substring(html, 1, {d.at_head()}), {fragment}, substring(html, {d.at_head()} + 1)) AS html FROM pages"""
+SELECT page_id, url, concat(substring(html, 1, {d.at_head()}), {fragment}, substring(html, {d.at_head()} + 1)) AS html FROM {source}"""
+
+
+@relation
+def page_html(d):
+    return marked_up(d, "pages")
+
+
+@written
+def site_page_html(d):
+    """What was read of the sites that have sitemaps: most of the sampled addresses, their homepages and careers pages, each with the text of one of the pages."""
+    own = " UNION ALL ".join(f"SELECT DISTINCT concat('https://', site_host, '{path}') AS url FROM sitemap_url" for path in ("/", "/careers"))
+    return marked_up(d, f"(SELECT u.page_id, u.url, p.html FROM (SELECT {d.number('url')} AS page_id, url FROM (SELECT url FROM site_sample UNION ALL {own})) u JOIN pages p ON p.page_id = u.page_id % 50 WHERE u.page_id % 9 <> 0)")
 
 
 ROBOTS = [
@@ -121,8 +132,8 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey =
 
 @relation
 def company_post(d):
-    """Posts of a company's employees; a company is a block of users."""
-    return f"SELECT {d.idiv('user_id', 10)} AS company, user_id AS employee, event_id AS post_id, event_type, ts, user_id % 7 = 0 AS is_decision_maker, event_type IN ('view', 'click', 'purchase') AS is_post FROM events"
+    """Posts of a company's employees and of its page; a company is a block of users."""
+    return f"SELECT {d.idiv('user_id', 10)} AS company, user_id AS employee, event_id AS post_id, CASE event_type WHEN 'purchase' THEN 'company' WHEN 'click' THEN 'reshare' ELSE 'own' END AS kind, ts, user_id % 7 = 0 AS is_decision_maker, event_type IN ('view', 'click', 'purchase') AS is_post FROM events"
 
 
 @relation

@@ -119,6 +119,10 @@ class Dialect:
     def text(self, x: str) -> str:
         return f"CAST({x} AS VARCHAR)"
 
+    def number(self, x: str) -> str:
+        """A number of 60 bits made from a text."""
+        return f"CAST(concat('0x', substring(md5({x}), 1, 15)) AS BIGINT)"
+
     def at_head(self) -> str:
         """Where the head of a page opens: the place of the last character of <head>."""
         return "(strpos(html, '<head>') + 5)"
@@ -214,6 +218,9 @@ class SparkDialect(Dialect):
     def text(self, x: str) -> str:
         return f"CAST({x} AS STRING)"
 
+    def number(self, x: str) -> str:
+        return f"CAST(conv(substring(md5({x}), 1, 15), 16, 10) AS BIGINT)"
+
     def at_head(self) -> str:
         return "(instr(html, '<head>') + 5)"
 

@@ -29,10 +29,10 @@ def duck():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.names()))
 def test_both_engines_agree(spark, duck, name):
     got = registry.run(name, spark, SF)
-    rel = duck.sql(registry.text(name, registry.DUCK)[0])
+    rel = duck.sql(registry.check(name))
     assert sorted(got.columns) == sorted(rel.columns)
     order = [rel.columns.index(c) for c in sorted(rel.columns)]
     mine = sorted([plain(r[c]) for c in sorted(got.columns)] for r in got.collect())

@@ -54,7 +54,7 @@ def test_contradicted_signals_name_the_agents(spark):
 
 def test_activity_window_is_ninety_days(spark):
     posts = [(1, 10, "2024-01-14 23:59:59"), (1, 11, "2024-01-16 00:00:00"), (1, 12, "2024-04-01 00:00:00"), (1, 13, "2023-01-01 00:00:00")]
-    table = spark.createDataFrame([(c, e, k, "view", t, True, True) for k, (c, e, t) in enumerate(posts)], "company long, employee long, post_id long, event_type string, ts string, is_decision_maker boolean, is_post boolean").selectExpr("* except(ts)", "cast(ts as timestamp_ntz) as ts")
+    table = spark.createDataFrame([(c, e, k, "own", t, True, True) for k, (c, e, t) in enumerate(posts)], "company long, employee long, post_id long, kind string, ts string, is_decision_maker boolean, is_post boolean").selectExpr("* except(ts)", "cast(ts as timestamp_ntz) as ts")
     (r,) = registry.over(spark, "company_counts", company_post=table).collect()
     assert (r.employees_indexed, r.employees_posted, r.makers_posted) == (4, 2, 2)
     assert "- 30 * 86400" in hiring.counts_since(SPARK, days=30)
