@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans.dialect import Dialect
+from . import urls
 
 
 def attribute(d: Dialect, tag: str, name: str, dots: bool = True) -> str:
@@ -45,4 +46,4 @@ def image_class(d: Dialect, u: str) -> str:
 
 def absolute(d: Dialect, href: str, base: str) -> str:
     """href against the page it stands on."""
-    return f"CASE WHEN {d.rx(href, '(?i)^[a-z][a-z0-9+.-]*:')} THEN {href} WHEN {d.rx(href, '^//')} THEN concat('https:', {href}) WHEN {d.rx(href, '^/')} THEN concat({d.ext(base, '^(https?://[^/?#]+)')}, {href}) ELSE concat({d.ext(base, '^(https?://[^?#]*/)')}, {href}) END"
+    return urls.resolved(d, base, href)

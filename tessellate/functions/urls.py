@@ -17,6 +17,68 @@ def path(d: Dialect, url: str) -> str:
     return f"CASE WHEN {p} = '' THEN '/' ELSE {p} END"
 
 
+def without_dots(d: Dialect, p: str) -> str:
+    """A path without its segments . and .. (RFC 3986, 5.2.4); a leading slash stays."""
+    rest = d.sub(p, "^/")
+    parts = d.split(rest, "/")
+    up = lambda kept: d.slice(kept, 1, f"greatest({d.size(kept)} - 1, 0)")
+    folded = d.join(d.fold(parts, lambda kept, x: f"CASE WHEN {x} = '.' THEN {kept} WHEN {x} = '..' THEN {up(kept)} ELSE {d.append(kept, x)} END"), "/")
+    end = f"CASE WHEN {d.rx(rest, r'(^|/)[.][.]?\z')} AND {folded} <> '' THEN '/' ELSE '' END"
+    return f"concat(CASE WHEN {d.rx(p, '^/')} THEN '/' ELSE '' END, {folded}, {end})"
+
+
+def resolved(d: Dialect, base: str, href: str) -> str:
+    """The address that a reference on a page names (RFC 3986, 5.2): relative, with .. or without, a query or a fragment alone, without a scheme. A web address without a path gets /."""
+    scheme, mine = d.ext(href, "^([A-Za-z][A-Za-z0-9+.-]*):"), d.ext(base, "^([A-Za-z][A-Za-z0-9+.-]*):")
+    rest, own = d.sub(href, "^[A-Za-z][A-Za-z0-9+.-]*:"), d.sub(base, "^[A-Za-z][A-Za-z0-9+.-]*:")
+    host_part = "^(//[^/?#]*)"
+    authority, at = d.ext(rest, host_part), d.ext(own, host_part)
+    path_of = lambda x: d.ext(x, r"^(?://[^/?#]*)?([^?#]*)")
+    p, b = path_of(rest), path_of(own)
+    query_, fragment = d.ext(rest, r"^[^?#]*(\?[^#]*)"), d.ext(rest, "(#.*)$")
+    merged = f"CASE WHEN {at} <> '' AND {b} = '' THEN concat('/', {p}) ELSE concat({d.ext(b, '^(.*/)')}, {p}) END"
+    full = (
+        f"CASE WHEN {scheme} <> '' THEN concat({scheme}, ':', {authority}, CASE WHEN {authority} <> '' OR {d.rx(p, '^/')} THEN {without_dots(d, p)} ELSE {p} END, {query_}, {fragment}) "
+        f"WHEN {authority} <> '' THEN concat({mine}, ':', {authority}, {without_dots(d, p)}, {query_}, {fragment}) "
+        f"WHEN {p} = '' THEN concat({mine}, ':', {at}, {b}, CASE WHEN {query_} <> '' THEN {query_} ELSE {d.ext(own, r'^[^?#]*(\?[^#]*)')} END, {fragment}) "
+        f"WHEN {d.rx(p, '^/')} THEN concat({mine}, ':', {at}, {without_dots(d, p)}, {query_}, {fragment}) ELSE concat({mine}, ':', {at}, {without_dots(d, merged)}, {query_}, {fragment}) END"
+    )
+    rooted = d.sub(full, r"(?i)^(https?://[^/?#]+)([?#].*)?\z", f"{d.group(1)}/{d.group(2)}")
+    plain = f"{d.rx(href, '(?i)^https?://[^/?#]+/')} AND NOT {d.rx(href, r'/[.][.]?(/|[?#]|\z)')}"  # most links
+    return f"CASE WHEN {plain} THEN {href} ELSE {rooted} END"
+
+
+def with_ipv6_words(d: Dialect, source: str, columns: str, x: str) -> str:
+    """source with w1 to w4: the IPv6 address x as four words of 32 bits, high first; null where it is none. :: stands for the zeros that are missing, a dotted end for two groups."""
+    octet = lambda k: f"CAST(nullif({d.ext('four', r'^([0-9]+)[.]([0-9]+)[.]([0-9]+)[.]([0-9]+)$', k)}, '') AS BIGINT)"
+    pair = lambda a, b: d.hexdigits(f"{octet(a)} * 256 + {octet(b)}")
+    dotted = r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+\z"
+    flat = f"CASE WHEN four = '' THEN six ELSE concat({d.sub('six', dotted)}, {pair(1, 2)}, ':', {pair(3, 4)}) END"
+    groups = lambda part: d.filt(d.split(part, ":"), "g", "g <> ''")
+    tail = groups(f"CASE WHEN {d.contains('flat', d.lit('::'))} THEN {d.sub('flat', '^.*?::')} ELSE '' END")
+    n = f"({d.size('head')} + {d.size('tail')})"
+    valid = (
+        f"{d.rx('six', r'^[0-9a-f:]*:[0-9a-f:]*([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)?\z')} AND NOT {d.rx('six', ':::|::.*::|^:[^:]|[^:]:$')} AND NOT {d.rx('flat', '[0-9a-f]{5}')} "
+        f"AND CASE WHEN {d.contains('flat', d.lit('::'))} THEN {n} <= 7 ELSE {n} = 8 END AND (four = '' OR greatest({', '.join(octet(k) for k in range(1, 5))}) <= 255)"
+    )
+    at = lambda i: f"CASE WHEN {i} <= {d.size('head')} THEN {d.hexed(d.at('head', i))} WHEN {i} > 8 - {d.size('tail')} THEN {d.hexed(d.at('tail', f'greatest({i} - 8 + {d.size('tail')}, 1)'))} ELSE 0 END"
+    words = ", ".join(f"CASE WHEN valid THEN ({at(2 * k + 1)}) * 65536 + ({at(2 * k + 2)}) END AS w{k + 1}" for k in range(4))
+    return f"""
+SELECT {columns}, {words} FROM (SELECT *, {valid} AS valid FROM (SELECT *, {groups(d.sub('flat', '::.*'))} AS head, {tail} AS tail FROM (
+  SELECT *, {flat} AS flat FROM (SELECT *, {d.ext('six', f'({dotted})')} AS four FROM (SELECT *, lower({x}) AS six FROM {source})))))"""
+
+
+def ipv6_blocked(d: Dialect, w: tuple[str, ...] = ("w1", "w2", "w3", "w4")) -> str:
+    """Are the four words of an address unspecified, loopback, link-local, unique-local, multicast, for documentation, or those of an IPv4 address that is kept out? What is no address is."""
+    a, b, c, e = w
+    octets = [f"({d.idiv(e, 1 << s)}) % 256" for s in (24, 16, 8, 0)]
+    inner = ipv4_octets_blocked(*octets)
+    return (
+        f"CASE WHEN {a} IS NULL THEN true WHEN {a} = 0 AND {b} = 0 AND {c} = 0 AND {e} IN (0, 1) THEN true WHEN {a} = 0 AND {b} = 0 AND {c} IN (0, 65535) THEN {inner} "
+        f"WHEN {d.idiv(a, 1 << 22)} = {0xFE80 >> 6} THEN true WHEN {d.idiv(a, 1 << 25)} = {0xFC >> 1} THEN true WHEN {d.idiv(a, 1 << 24)} = {0xFF} THEN true WHEN {a} = {0x20010DB8} THEN true ELSE false END"
+    )
+
+
 def normalized_domain(d: Dialect, x: str) -> str:
     """The host of what a visitor typed, or null: numbers, empty labels and reserved names are no domains."""
     s = d.trim(x)
@@ -48,12 +110,14 @@ def registrable_domain(d: Dialect, x: str) -> str:
 def ipv4_blocked(d: Dialect, x: str) -> str:
     """Is a dotted address private, local, reserved or for documentation? What is no address is blocked, too."""
     octet = [f"CAST(nullif({d.ext(x, r'^([0-9]+)[.]([0-9]+)[.]([0-9]+)[.]([0-9]+)\z', k)}, '') AS BIGINT)" for k in (1, 2, 3, 4)]
-    a, b, c, _ = octet
+    return f"coalesce(CASE WHEN NOT {d.rx(x, r'^[0-9]{1,3}([.][0-9]{1,3}){3}\z')} THEN true WHEN greatest({', '.join(octet)}) > 255 THEN true ELSE {ipv4_octets_blocked(*octet)} END, true)"
+
+
+def ipv4_octets_blocked(a: str, b: str, c: str, _: str) -> str:
     return (
-        f"coalesce(CASE WHEN NOT {d.rx(x, r'^[0-9]{1,3}([.][0-9]{1,3}){3}\z')} THEN true WHEN greatest({', '.join(octet)}) > 255 THEN true "
-        f"WHEN {a} IN (0, 10, 127) OR {a} >= 224 THEN true WHEN {a} = 100 AND {b} BETWEEN 64 AND 127 THEN true WHEN {a} = 169 AND {b} = 254 THEN true "
+        f"CASE WHEN {a} IN (0, 10, 127) OR {a} >= 224 THEN true WHEN {a} = 100 AND {b} BETWEEN 64 AND 127 THEN true WHEN {a} = 169 AND {b} = 254 THEN true "
         f"WHEN {a} = 172 AND {b} BETWEEN 16 AND 31 THEN true WHEN {a} = 192 AND {b} = 168 THEN true WHEN {a} = 192 AND {b} = 0 AND {c} IN (0, 2) THEN true "
-        f"WHEN {a} = 198 AND ({b} IN (18, 19) OR {b} = 51 AND {c} = 100) THEN true WHEN {a} = 203 AND {b} = 0 AND {c} = 113 THEN true ELSE false END, true)"
+        f"WHEN {a} = 198 AND ({b} IN (18, 19) OR {b} = 51 AND {c} = 100) THEN true WHEN {a} = 203 AND {b} = 0 AND {c} = 113 THEN true ELSE false END"
     )
 
 

@@ -152,6 +152,27 @@ def attach_activity(d):
     return "SELECT e.site, coalesce(a.confidence, 'not_looked_up') AS status, a.coverage, CASE WHEN a.confidence IN ('high', 'medium') THEN a.indexed END AS indexed FROM evidence e LEFT JOIN (SELECT * FROM assessed WHERE looked_up) a ON e.site = a.site"
 
 
+def replaced(d: Dialect, notes: str, prefix: str, note: str) -> str:
+    """A list of notes, each once, without those of a prefix and with another one at its end, if there is one."""
+    kept = d.filt(d.distinct(notes), "x", f"NOT {d.starts('x', d.lit(prefix))}")
+    return f"CASE WHEN {note} IS NULL THEN {kept} ELSE {d.append(kept, note)} END"
+
+
+ACTIVITY_NOTE = "Employee posting activity:"
+
+
+@relation
+def noted_evidence(d):
+    """What was not observed of a site, after its activity was attached: earlier notes on activity go, and one says why there is none."""
+    why = f"CASE WHEN a.status = 'not_looked_up' THEN {d.lit(ACTIVITY_NOTE + ' not looked up, so the category rests on the website alone.')} WHEN a.status NOT IN ('high', 'medium') THEN concat({d.lit(ACTIVITY_NOTE + ' no company matched (')}, coalesce(r.reason, a.status), ').') END"
+    return f"SELECT site, {replaced(d, 'not_observed', ACTIVITY_NOTE, 'why')} AS notes FROM (SELECT e.site, e.not_observed, {why} AS why FROM evidence_note e JOIN attach_activity a ON e.site = a.site LEFT JOIN rejection_reason r ON e.site = r.site)"
+
+
+@query
+def not_observed_list(d):
+    return f"SELECT site, {d.join('notes', ' | ')} AS not_observed, {d.size('notes')} AS n FROM noted_evidence"
+
+
 @query
 def evidence_block(d):
     """What is kept of a matched company: a summary without the record, with at most eight competitors."""

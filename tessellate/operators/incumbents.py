@@ -9,7 +9,10 @@ from ..plans.registry import query, relation
 
 
 def title_cased(d: Dialect, x: str) -> str:
-    return f"initcap({x})" if d.spark else f"array_to_string(list_transform(string_split({x}, ' '), lambda w: concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))), ' ')"
+    """Every letter that opens a word is a capital: after a blank, and after any other sign (o'neil, e.on)."""
+    letter = f"CASE WHEN {{w}} = '' THEN '' ELSE concat(upper(substring({{w}}, 1, 1)), substring({{w}}, 2)) END"
+    words = d.exta(x, "[A-Za-z0-9_]+|[^A-Za-z0-9_]+", 0)
+    return d.join(d.each(words, "w", letter.format(w="w")), "")
 
 
 def normalized_company(d: Dialect, x: str) -> str:
@@ -100,13 +103,32 @@ SELECT a.vendor, a.bundle, coalesce(max_by(substring(a.bundle, length(p.prefix)
 FROM (SELECT DISTINCT vendor, bundle FROM app) a LEFT JOIN vendor_prefix p ON a.vendor = p.vendor AND {d.starts('a.bundle', 'p.prefix')} GROUP BY a.vendor, a.bundle"""
 
 
+#: A vendor's name counts inside another one from five letters.
+LEAST_NAME = 4
+
+
+def parts(d: Dialect, source: str, columns: str, x: str, wanted: str, anywhere: bool = True) -> str:
+    """columns and ``part``: what stands in x, or opens it, of the lengths that wanted(part) has. A text gives a row a length (and place), not one a pair of places; the lengths are one row."""
+    lengths = f"(SELECT sort_array(collect_set(length(part))) AS ns FROM {wanted} WHERE part <> '')"
+    fits = f"filter(ns, n -> n <= length({x}))"
+    each = f"flatten(transform({fits}, n -> transform(sequence(1, length({x}) - n + 1), i -> substring({x}, i, n))))" if anywhere else f"transform({fits}, n -> substring({x}, 1, n))"
+    return f"SELECT DISTINCT {columns}, part FROM (SELECT {columns}, {each} AS found FROM {source} CROSS JOIN {lengths}) LATERAL VIEW explode(found) _p AS part"
+
+
 @query
 def vendor_match(d):
-    """Apps that a vendor's prefix or, where it is given, its seller name claims."""
+    """Apps, and the vendors that claim them: by a prefix of the app's id, or by a name of over four letters within the seller's. Upper and lower case are one.
+
+    An app is told no vendor. Spark cuts ids and sellers into the parts of the lengths that prefixes and names have, and joins those parts by equality.
+    """
     squashed = d.sub("lower(a.seller)", "[^a-z0-9]")
+    if not d.spark:
+        return f"SELECT DISTINCT a.bundle, v.vendor FROM (SELECT DISTINCT bundle, seller FROM app) a JOIN vendor_rule v ON {d.starts('lower(a.bundle)', 'lower(v.prefix)')} OR length(v.seller_part) > {LEAST_NAME} AND {d.contains(squashed, 'v.seller_part')}"
+    apps = f"(SELECT DISTINCT lower(a.bundle) AS id, a.bundle, {squashed} AS seller FROM app a)"
     return f"""
-SELECT DISTINCT a.bundle, v.vendor FROM (SELECT DISTINCT vendor, bundle, seller FROM app) a JOIN vendor_rule v ON a.vendor = v.vendor
-WHERE {d.starts('a.bundle', 'v.prefix')} OR {d.contains(squashed, 'v.seller_part')}"""
+SELECT DISTINCT bundle, vendor FROM (
+  SELECT p.bundle, v.vendor FROM ({parts(d, apps, 'bundle', 'id', "(SELECT lower(prefix) AS part FROM vendor_rule)", anywhere=False)}) p JOIN vendor_rule v ON p.part = lower(v.prefix)
+  UNION ALL SELECT p.bundle, v.vendor FROM ({parts(d, apps, 'bundle', 'seller', f"(SELECT seller_part AS part FROM vendor_rule WHERE length(seller_part) > {LEAST_NAME})")}) p JOIN vendor_rule v ON p.part = v.seller_part AND length(v.seller_part) > {LEAST_NAME})"""
 
 
 @query
@@ -169,8 +191,8 @@ def drop_vendor_names(d):
     names = f"SELECT id, name, {normalized_company(d, 'name')} AS company_key FROM cleaned_name WHERE name IS NOT NULL"
     if d.spark:  # each distinct name once against the vendors; every part of five letters or more of it that a vendor's name could be
         vendors = f"SELECT DISTINCT vk FROM (SELECT {vendor} AS vk FROM vendor_name v) WHERE vk <> ''"
-        parts = "flatten(transform(sequence(1, length(company_key)), i -> transform(sequence(1, length(company_key) - i + 1), n -> substring(company_key, i, n))))"
-        hit = f"SELECT DISTINCT company_key AS k FROM (SELECT company_key, part FROM (SELECT DISTINCT company_key FROM ({names}) WHERE company_key <> '') LATERAL VIEW explode({parts}) _p AS part) JOIN ({vendors}) ON part = vk WHERE part = company_key OR length(part) >= 5"
+        held = parts(d, f"(SELECT DISTINCT company_key FROM ({names}) WHERE company_key <> '')", "company_key", "company_key", f"(SELECT vk AS part FROM ({vendors}))")
+        hit = f"SELECT DISTINCT company_key AS k FROM ({held}) JOIN ({vendors}) ON part = vk WHERE part = company_key OR length(part) > {LEAST_NAME}"
         return f"SELECT c.id, c.name FROM ({names}) c LEFT ANTI JOIN ({hit}) h ON c.company_key = h.k WHERE {keep}"
     return f"""
 SELECT c.id, c.name FROM ({names}) c WHERE {keep}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers
+from ..functions import numbers, urls
 from ..plans.adapters import NOW_ORDERS
 from ..plans.registry import frame, query, relation
 from ..sources.scratch import kept
@@ -18,9 +18,8 @@ def sitemap_entry(d):
     parts = d.explode(f"site_host, url, doc_ord, {index} AS is_index", "sitemap_doc", blocks, "block", "idx")
     raw = d.trim(d.ext("block", r"(?is)<loc>\s*(.*?)\s*</loc>"))
     plain = f"replace(replace(replace(replace(replace(raw, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', {d.lit(chr(39))})"
-    absolute = f"CASE WHEN {d.rx('plain', r'(?i)^https?://[^/?#]+\z')} THEN concat(plain, '/') WHEN {d.rx('plain', '(?i)^https?://')} THEN plain WHEN {d.rx('plain', '^/')} THEN concat({d.ext('url', '^(https?://[^/]+)')}, plain) ELSE concat({d.ext('url', '^(https?://.*/)')}, plain) END"
     return f"""
-SELECT site_host, url, doc_ord, is_index, idx, {absolute} AS loc, lastmod FROM (
+SELECT site_host, url, doc_ord, is_index, idx, {urls.resolved(d, 'url', 'plain')} AS loc, lastmod FROM (
   SELECT site_host, url, doc_ord, is_index, idx, {plain} AS plain, nullif(lastmod, '') AS lastmod FROM (
     SELECT site_host, url, doc_ord, is_index, idx, {raw} AS raw, {d.trim(d.ext('block', r'(?is)<lastmod>\s*(.*?)\s*</lastmod>'))} AS lastmod FROM ({parts})) WHERE raw <> '')"""
 

@@ -31,7 +31,14 @@ SELECT id, {urls.host_check(d, 'h', 'bare', 'four')} AS reason FROM (
 
 @query
 def ip_is_blocked(d):
-    return f"SELECT id, ip, {urls.ipv4_blocked(d, 'ip')} AS blocked FROM address"
+    """May a socket be opened to an address? Not to one that is private, local or reserved, of either family, nor to what is none."""
+    return f"SELECT id, ip, CASE WHEN {d.contains('ip', d.lit(':'))} THEN {urls.ipv6_blocked(d)} ELSE {urls.ipv4_blocked(d, 'ip')} END AS blocked FROM ({urls.with_ipv6_words(d, 'address', 'id, ip', 'ip')})"
+
+
+@query
+def url_resolution(d):
+    """References of many kinds against the page that they stand on."""
+    return f"SELECT id, base, href, {urls.resolved(d, 'base', 'href')} AS url FROM reference"
 
 
 @query

@@ -165,7 +165,8 @@ TYPED = [
 ]
 
 
-ADDRESSES = ["10.1.2.{n}", "8.8.8.{n}", "172.20.0.{n}", "172.40.0.{n}", "192.168.{n}.1", "100.64.0.{n}", "169.254.0.{n}", "203.0.113.{n}", "198.51.100.{n}", "224.0.0.{n}", "1.2.3", "999.1.1.{n}", "192.0.2.{n}", "198.18.1.{n}", "text{n}", "0.0.0.{n}"]
+ADDRESSES = ["10.1.2.{n}", "8.8.8.{n}", "172.20.0.{n}", "172.40.0.{n}", "192.168.{n}.1", "100.64.0.{n}", "169.254.0.{n}", "203.0.113.{n}", "198.51.100.{n}", "224.0.0.{n}", "1.2.3", "999.1.1.{n}", "192.0.2.{n}", "198.18.1.{n}", "text{n}", "0.0.0.{n}", "::", "::1", "::ffff:10.0.0.{n}", "::ffff:8.8.8.{n}", "FE80::{n}", "febf:1::{n}", "fec0::{n}", "fd00::{n}:1", "ff02::{n}", "2001:db8:{n}::1", "2001:0DB8::8.8.8.{n}", "2001:4860:4860::{n}", "::10.0.0.{n}", "::8.8.4.{n}", "1:2:3:4:5:6:7:{n}", "1:2:3:4:5:6:7", "1::2::{n}", "0:0:0:0:0:0:0:1", "0:0:0:0:0:ffff:a00:{n}", "64:ff9b::8.8.8.{n}", ":1:2", "12345::{n}"]
+REFERENCES = ["/a/../b/{n}", "../x/{n}", "../../../{n}", "?q={n}", "#s{n}", "", "./y/{n}", ".", "..", "g;x=1/../{n}", "//cdn.example.com/i/{n}.png", "//cdn.example.com?{n}", "https://other.example/{n}/./z/..", "mailto:a{n}@b.co", "javascript:void(0)", "tel:{n}", "page-{n}.html#top", "HTTP://Other.example", "a//b/../{n}", "/?x=../{n}"]
 
 
 def _filled(d: Dialect, items: list[str], key: str) -> str:
@@ -182,6 +183,11 @@ def address(d):
     return f"SELECT c_custkey AS id, {_filled(d, ADDRESSES, 'c_custkey')} AS ip FROM customer"
 
 
+@relation
+def reference(d):
+    return f"SELECT page_id AS id, url AS base, {_filled(d, REFERENCES, 'page_id')} AS href FROM pages"
+
+
 @relation
 def domain_line(d):
     """Lines of a domain file, some of them comments."""
@@ -311,6 +317,14 @@ def evidence_bundle(d):
     return "SELECT *, concat('score of ', host) AS scoring, c.site * 2 AS lead_score FROM evidence c"
 
 
+@relation
+def evidence_note(d):
+    """What a run could not observe of a site, as it noted it: with no, one or two notes on activity, some twice."""
+    note = lambda *texts: d.array(*map(d.lit, texts))
+    cases = [note("Homepage HTML: not retrievable.", "ATS: none."), note("ATS: none.", "Employee posting activity: not looked up.", "ATS: none.", "Sitemap: none."), note("Employee posting activity: error.", "Homepage HTML: not retrievable.", "Employee posting activity: not looked up."), note("Employee posting activity: error.")]
+    return f"SELECT c_custkey AS site, CASE c_custkey % 5 {' '.join(f'WHEN {k} THEN {c}' for k, c in enumerate(cases))} ELSE {d.filt(cases[0], 'x', 'false')} END AS not_observed FROM customer"
+
+
 @relation
 def narration(d):
     """Sentences of findings, and how a model retold them."""

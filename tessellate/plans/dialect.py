@@ -56,8 +56,8 @@ class Dialect:
     def join(self, a: str, by: str) -> str:
         return f"array_to_string({a}, {self.lit(by)})"
 
-    def slice(self, a: str, start: int, n: int) -> str:
-        return f"list_slice({a}, {start}, {start + n - 1})"
+    def slice(self, a: str, start: int, n: int | str) -> str:
+        return f"list_slice({a}, {start}, {start} + {n} - 1)"
 
     def last(self, a: str, n: int) -> str:
         return f"list_slice({a}, -{n}, -1)"
@@ -74,6 +74,24 @@ class Dialect:
     def distinct_sorted(self, a: str) -> str:
         return f"list_sort(list_distinct({a}))"
 
+    def distinct(self, a: str) -> str:
+        """The elements of an array, each where it stands first."""
+        return f"list_filter({a}, lambda x, i: list_position({a}, x) = i)"
+
+    def append(self, a: str, x: str) -> str:
+        return f"list_append({a}, {x})"
+
+    def fold(self, a: str, step) -> str:
+        """An array of texts folded into another one, from the left: step(kept, x) is the new one."""
+        return f"list_reduce(list_transform({a}, lambda x: [x]), lambda kept, x: {step('kept', 'x[1]')}, CAST([] AS VARCHAR[]))"
+
+    def hexdigits(self, x: str) -> str:
+        return f"lower(to_hex({x}))"
+
+    def hexed(self, x: str) -> str:
+        """The number that hexadecimal digits are."""
+        return f"CAST(concat('0x', {x}) AS BIGINT)"
+
     def explode(self, columns: str, source: str, array: str, value: str, at: str = "idx") -> str:
         """columns, value and its place from 0, of the array's elements."""
         return f"SELECT {columns}, unnest({array}) AS {value}, CAST(unnest(range(0, len({array}))) AS INTEGER) AS {at} FROM {source}"
@@ -167,7 +185,7 @@ class SparkDialect(Dialect):
     def join(self, a: str, by: str) -> str:
         return f"array_join({a}, {self.lit(by)})"
 
-    def slice(self, a: str, start: int, n: int) -> str:
+    def slice(self, a: str, start: int, n: int | str) -> str:
         return f"slice({a}, {start}, {n})"
 
     def last(self, a: str, n: int) -> str:
@@ -185,6 +203,21 @@ class SparkDialect(Dialect):
     def distinct_sorted(self, a: str) -> str:
         return f"sort_array(array_distinct({a}))"
 
+    def distinct(self, a: str) -> str:
+        return f"array_distinct({a})"
+
+    def append(self, a: str, x: str) -> str:
+        return f"array_append({a}, {x})"
+
+    def fold(self, a: str, step) -> str:
+        return f"aggregate({a}, CAST(array() AS ARRAY<STRING>), (kept, x) -> {step('kept', 'x')})"
+
+    def hexdigits(self, x: str) -> str:
+        return f"lower(hex({x}))"
+
+    def hexed(self, x: str) -> str:
+        return f"CAST(conv({x}, 16, 10) AS BIGINT)"
+
     def explode(self, columns: str, source: str, array: str, value: str, at: str = "idx") -> str:
         return f"SELECT {columns}, {value}, {at} FROM {source} LATERAL VIEW posexplode({array}) _e AS {at}, {value}"
 
