@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked
 from .storage import bound_batches, stored
-from .word_bpe import word_ids
+from .word_bpe import blocks, encoded, word_ids
 
 CAPACITY = 4096
 
@@ -35,23 +35,24 @@ def pieces(docs: DataFrame, path: str, separator: int = 2, capacity: int = CAPAC
     Null and empty texts are the separator alone.
     """
     bound_batches(docs.sparkSession)
-    end = separator.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = word_ids(path)
-        for b in batches:
+        for b in blocks(batches):
             row, start, length, crc, tokens = [], [], [], [], []
-            for i, ids in enumerate(w.packed([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
-                n = len(ids) // 4
+            ids, ends = encoded(w, b.column(1), separator)
+            raw, first = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 0
+            for i, last in enumerate(ends.tolist()):
+                n = last - first
                 for s in range(0, n, capacity):
                     size = min(capacity, n - s)
                     row.append(i), start.append(s), length.append(size), tokens.append(n)
-                    crc.append(zlib.crc32(memoryview(ids)[4 * s : 4 * (s + size)]))
+                    crc.append(zlib.crc32(raw[4 * (first + s) : 4 * (first + s + size)]))
+                first = last
             cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

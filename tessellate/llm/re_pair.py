@@ -21,17 +21,13 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
+from .word_bpe import spread
+
 LEAST = 16
 _MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIIB")  # magic, documents, symbols, rules, rounds, first nonterminal, bytes a symbol
 
 
-def spread(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indices offsets[0] .. offsets[0] + lengths[0] - 1, then those of the next, and so on."""
-    ends = np.cumsum(lengths)
-    return np.repeat(offsets - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _size(symbols: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarray:
     """How many ids each symbol stands for."""
     rule = symbols >= first

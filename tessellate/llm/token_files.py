@@ -2,7 +2,7 @@
 
 1. Rows are dealt by ranges of (doc_id, hash of the text, place), so that equal ids can
    be split, and sorted within a range.  There are at most RANGES of them, at any size.
-2. A task walks its range in blocks of some BLOCK bytes of text: the distinct words of a
+2. A task walks its range in blocks of text (word_bpe): the distinct words of a
    block are encoded once, its ids are cut between documents into shards of some
    SHARD_IDS ids, and every shard is compressed by itself (re_pair).  A row of the written
    table is a shard: the ids of its documents, how many ids of its range come before it, and
@@ -18,36 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from . import re_pair
-from .re_pair import Shard, compressed, spread
+from .re_pair import Shard, compressed
 from .storage import bound_batches, stored
-from .word_bpe import AT_ONCE, WordIds, word_ids
-
-RANGES, RANGE_BYTES, BLOCK, SHARD_IDS = 10_000, 32 << 20, 8 << 20, 1 << 20
-
-
-def encoded(w: WordIds, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the ids of all texts, each with the id ``end`` after it; where each ends). Distinct words are encoded once."""
-    odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
-    if pc.any(odd).as_py():  # no white space for the tokenizer, but for Arrow
-        words = pa.array([w.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-    else:
-        words = pc.utf8_split_whitespace(texts)
-    coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    known = [ids for low in range(0, len(distinct), AT_ONCE) for ids in w.encoded(distinct[low : low + AT_ONCE])]
-    flat = np.concatenate([np.frombuffer(b"".join(known), "<u4"), np.array([end], "<u4")])
-    sizes = np.append(np.fromiter(map(len, known), np.int64, len(known)) // 4, 1)
-    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-    which = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(known))
-    lengths = sizes.take(which)
-    ends = np.concatenate([[0], np.cumsum(lengths)])[bounds[1:] + np.arange(1, len(bounds))]
-    return flat.take(spread((np.cumsum(sizes) - sizes).take(which), lengths)), ends
+from .word_bpe import blocks, encoded, word_ids
+
+RANGES, RANGE_BYTES, SHARD_IDS = 10_000, 32 << 20, 1 << 20
 
 
 def _cuts(ends: np.ndarray) -> list[int]:
@@ -97,19 +77,6 @@ def written(docs: DataFrame, path: str, end: int, text: str = "text", doc_id: st
     return stored(made, "shards", **{"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"})
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they have BLOCK bytes."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= BLOCK:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _starts(shards: DataFrame) -> dict[int, int]:
     """Ids before each range: at most RANGES rows."""
     totals = shards.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect()

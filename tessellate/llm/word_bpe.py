@@ -17,11 +17,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .token_count import WHITE
 
-#: A worker keeps the ids of this many words, half of them from before its last clearing.
-MEMO, MEMO_CHARS, AT_ONCE = 1 << 18, 48, 4096
+#: Texts are encoded in blocks of so many bytes, and their distinct words so many at once.
+BLOCK, AT_ONCE = 4 << 20, 4096
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile(f"[^{WHITE}]+")
 # Letters that are one code point in NFC and lower case letter by letter; the tokenizer's pattern, and what it is for such letters and ASCII.
@@ -98,27 +100,6 @@ class WordIds:
         bpe, steps = said["model"], said["pre_tokenizer"]["pretokenizers"]
         known = bpe["type"] == "BPE" and bpe.get("end_of_word_suffix") == _END and not bpe.get("continuing_subword_prefix") and steps[0].get("pattern", {}).get("Regex") == _PATTERN and [n["type"] for n in said["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.plain = PlainWords(bpe["vocab"], bpe["merges"]) if known else None
-        self.memo: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.passing: list[str] = []
-
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        held = [self.words(t) for t in texts]
-        for w in self.passing:  # long words are known for their own batch only
-            self.memo.pop(w, None)
-        if len(self.memo) > MEMO // 2:
-            self.memo, self.before = {}, self.memo
-        memo, before = self.memo, self.before
-        new = set().union(*held) - memo.keys()
-        again = new & before.keys()
-        memo.update((w, before[w]) for w in again)
-        new = list(new - again)
-        self.passing = [w for w in new if len(w) > MEMO_CHARS]
-        for low in range(0, len(new), AT_ONCE):
-            part = new[low : low + AT_ONCE]
-            memo.update(zip(part, self.encoded(part)))
-        return (b"".join(map(memo.__getitem__, words)) for words in held)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -136,3 +117,41 @@ class WordIds:
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+def spread(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices offsets[0] .. offsets[0] + lengths[0] - 1, then those of the next, and so on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(offsets - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def encoded(w: WordIds, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all texts, each with the id ``end`` after it; where each ends). Distinct words are encoded once, and nothing is kept for other blocks."""
+    odd = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+    if pc.any(odd).as_py():  # no white space for the tokenizer, but for Arrow
+        words = pa.array([w.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        words = pc.utf8_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    known = [ids for low in range(0, len(distinct), AT_ONCE) for ids in w.encoded(distinct[low : low + AT_ONCE])]
+    flat = np.concatenate([np.frombuffer(b"".join(known), "<u4"), np.array([end], "<u4")])
+    sizes = np.append(np.fromiter(map(len, known), np.int64, len(known)) // 4, 1)
+    bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+    which = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(known))
+    lengths = sizes.take(which)
+    ends = np.concatenate([[0], np.cumsum(lengths)])[bounds[1:] + np.arange(1, len(bounds))]
+    return flat.take(spread((np.cumsum(sizes) - sizes).take(which), lengths)), ends
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have BLOCK bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tessellate.llm import divergence, queries, re_pair, token_files, vector_codes  # noqa: E402
+from tessellate.llm import divergence, queries, re_pair, token_files, vector_codes, word_bpe  # noqa: E402
 
 from .test_operators import odd_texts, table  # noqa: E402
 
@@ -190,7 +190,7 @@ def test_many_shards_of_a_range(spark, monkeypatch):
     rnd = random.Random(5)
     words = [chr(97 + i % 26) * (1 + i % 4) for i in range(300)]
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 400)))) for i in range(200)]
-    ids, ends = token_files.encoded(token_files.word_ids(public_tokenizers.path(WORDS)), __import__("pyarrow").array([t for _, t in rows]), 1)
+    ids, ends = word_bpe.encoded(word_bpe.word_ids(public_tokenizers.path(WORDS)), __import__("pyarrow").array([t for _, t in rows]), 1)
     monkeypatch.setattr(token_files, "SHARD_IDS", 1000)
     cuts = token_files._cuts(ends)
     assert len(cuts) > 20 and cuts[0] == 0 and cuts[-1] == len(rows)

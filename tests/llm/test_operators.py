@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,12 +75,11 @@ def test_token_counts(spark, name):
     assert [got[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
 
 
-def test_word_ids_are_the_librarys(monkeypatch):
+def test_word_ids_are_the_librarys():
     from tokenizers import Tokenizer
 
     path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(41)
     lib, own = Tokenizer.from_file(path), word_bpe.WordIds(path)
-    monkeypatch.setattr(word_bpe, "MEMO", 400)
     letters = "aaeeinrstthoüéñÇßİĀſµª0129.,;!?<>|-_&''"
     entries = [t.removesuffix("</w>") for t in lib.get_vocab()]
     words = ["".join(rnd.choices(letters, k=rnd.randint(1, 12))) for _ in range(3000)] + [rnd.choice(entries) + rnd.choice(entries) for _ in range(3000)]
@@ -88,7 +88,9 @@ def test_word_ids_are_the_librarys(monkeypatch):
     texts = [" ".join(rnd.choices(words, k=200)) for _ in range(40)] + odd_texts(100)
     for low in range(0, len(texts), 7):
         part = texts[low : low + 7]
-        assert list(own.packed([t or "" for t in part])) == [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        ids, ends = word_bpe.encoded(own, pa.array([t or "" for t in part]), 7)
+        got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert got == [[*lib.encode(t or "", add_special_tokens=False).ids, 7] for t in part] and ends[-1] == len(ids)
     assert not word_bpe.reached(["a", "b"], {}) and word_bpe.reached(["a", "b", "c"], {("b", "c"): 0, ("a", "bc"): 1})
     with pytest.raises(ValueError):
         word_bpe.PlainWords({"a": 0}, [])
