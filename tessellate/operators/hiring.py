@@ -57,7 +57,8 @@ def competitor_mentions(d):
     """
     if not d.spark:
         word = "concat('(?i)(^|[^A-Za-z0-9_])', replace(v.name, '#', '[#]'), '([^A-Za-z0-9_]|$)')"
-        hits = f"SELECT j.site, v.name AS vendor, j.ord, j.title FROM job j JOIN competitor v ON regexp_matches(j.description, {word}) OR regexp_matches(j.title, {word})"
+        texts = f"SELECT t.title, t.description, v.name AS vendor FROM (SELECT DISTINCT title, description FROM job) t JOIN competitor v ON regexp_matches(t.description, {word}) OR regexp_matches(t.title, {word})"
+        hits = f"SELECT j.site, h.vendor, j.ord, j.title FROM job j JOIN ({texts}) h ON j.title IS NOT DISTINCT FROM h.title AND j.description IS NOT DISTINCT FROM h.description"
     else:
         words = "array_distinct(regexp_extract_all(lower(concat(title, ' ', description)), '[a-z0-9_]+', 0))"
         longest = "max_by(w, length(w)) AS word"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import numbers, urls
 from ..plans.adapters import NOW_EVENTS
-from ..plans.registry import query, relation
+from ..plans.registry import frame, query, relation
 
 NOW = f"TIMESTAMP '{NOW_EVENTS}'"
 
@@ -55,14 +58,14 @@ LEFT JOIN (SELECT l.cache_key, e.failure FROM cache_lookup l JOIN cache_entry e
 @query
 def job_state_latest(d):
     """A host's run as it stands: ready or error if it ended, running or queued else; what ran too long has failed."""
-    state = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ready' ELSE 'error' END"
-    return f"SELECT host, CASE WHEN state = 'running' AND {d.seconds(NOW)} - t > 150 THEN 'error' ELSE state END AS state, id FROM (SELECT host, {state} AS state, t, id, row_number() OVER (PARTITION BY host ORDER BY t DESC, id DESC) AS nth FROM request) WHERE nth = 1"
+    last = "max(struct(t, id, state))" if d.spark else "max({'t': t, 'id': id, 'state': state})"
+    return f"SELECT host, CASE WHEN s.state = 'running' AND {d.seconds(NOW)} - s.t > 150 THEN 'error' ELSE s.state END AS state, s.id AS id FROM (SELECT host, {last} AS s FROM job_event GROUP BY host)"
 
 
 @query
 def leads_append(d):
     """Leads as they are kept: the newest fields of each, cut to length, with the time they came."""
-    return f"SELECT id, host AS domain, substring(concat('Visitor ', {d.text('client')}), 1, 200) AS name, {d.day('ts')} AS received, event_type AS challenge FROM request WHERE event_type IN ('signup', 'purchase')"
+    return f"SELECT id, host AS domain, substring(name, 1, 200) AS name, {d.day('ts')} AS received, challenge FROM lead_form"
 
 
 @query
@@ -79,10 +82,34 @@ SELECT host, how, candidate FROM (SELECT host, how, candidate, row_number() OVER
   SELECT host, id, status, how, candidate, row_number() OVER (PARTITION BY host ORDER BY id) AS tried FROM language_try) WHERE tried <= 8 AND status = 200) WHERE nth = 1"""
 
 
+@frame("scanned_file", "evidence_file")
+def scanned(files: DataFrame) -> DataFrame:
+    """files(path, body) -> (path, readable, site, host, canonical_urls, robots_fetched, not_observed): what the JSON of each says; one that cannot be read has its path alone."""
+    schema = "meta struct<site: long, normalized_host: string>, canonical_urls long, robots struct<present: boolean>, not_observed array<string>, _corrupt_record string"
+    read = files.select("path", F.from_json("body", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
+    good = F.col("e").isNotNull() & F.col("e._corrupt_record").isNull()
+    kept = lambda c: F.when(good, F.col(c))
+    return read.select("path", good.alias("readable"), kept("e.meta.site").alias("site"), kept("e.meta.normalized_host").alias("host"), kept("e.canonical_urls").alias("canonical_urls"), kept("e.robots.present").alias("robots_fetched"), kept("e.not_observed").alias("not_observed"))
+
+
+@relation
+def scanned_file(d):
+    get = lambda p: f"CASE WHEN ok THEN json_extract_string(body, '{p}') END"
+    return f"""
+SELECT path, ok AS readable, CAST({get('$.meta.site')} AS BIGINT) AS site, {get('$.meta.normalized_host')} AS host, CAST({get('$.canonical_urls')} AS BIGINT) AS canonical_urls, CAST({get('$.robots.present')} AS BOOLEAN) AS robots_fetched, CASE WHEN ok THEN json_extract_string(body, '$.not_observed[*]') END AS not_observed
+FROM (SELECT path, body, json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body ELSE '{{}}' END) = 'OBJECT' AS ok FROM evidence_file)"""
+
+
 @query
 def evidence_scan(d):
-    """What a scan of evidence finds: one record a site, files that cannot be read left out and counted."""
-    return f"SELECT segment, CAST(count(*) AS BIGINT) AS files, {d.count_if('canonical_urls IS NULL')} AS unreadable, {d.count_if('robots_fetched')} AS with_robots FROM evidence GROUP BY segment"
+    """What a scan of evidence files finds, a row a file that can be read."""
+    return f"SELECT site, host, canonical_urls, robots_fetched, {d.size('not_observed')} AS notes FROM scanned_file WHERE readable"
+
+
+@query
+def evidence_rejects(d):
+    """Files of a scan that cannot be read: they stop nothing, and are named."""
+    return "SELECT path FROM scanned_file WHERE NOT readable"
 
 
 @query

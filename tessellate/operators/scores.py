@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import fixed, numbers
 from ..functions.numbers import piecewise
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation
+from ..plans.registry import frame, over, query, relation
 
 
 @relation
 def robots_facts(d):
+    return "SELECT * FROM robots_facts_each"
+
+
+@frame("robots_facts", "robots_txt")
+def robots_facts_once(files: DataFrame) -> DataFrame:
+    """robots_facts_each of every distinct file, for all sites that have it: most sites share a few files."""
+    known = files.filter("body IS NOT NULL").withColumn("said", F.sha2("body", 256))
+    distinct = known.groupBy("said").agg(F.min("site").alias("site"), F.min_by("host", "site").alias("host"), F.min("body").alias("body"))
+    facts = over(files.sparkSession, "robots_facts_each", robots_txt=distinct.select("site", "host", "body")).withColumnRenamed("site", "like")
+    return known.select("site", "said").join(distinct.select("said", F.col("site").alias("like")), "said").join(facts, "like").drop("like", "said")
+
+
+@relation
+def robots_facts_each(d):
     """What a site's robots file says to agents, for the scores: the weighted share let in, agents kept out, signals, and whether they contradict that."""
     weight = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in fixed.ACCESS_WEIGHTS.items()) + " END"
     return f"""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import fixed, numbers, urls
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation
+from ..plans.registry import frame, query, relation
+from .ordered import running
 
 
 @query
@@ -175,11 +179,23 @@ SELECT host, section, {d.join(d.lists('loc', 'pos'), ' ')} AS samples FROM (
   SELECT host, section, loc, pos, row_number() OVER (PARTITION BY host, section ORDER BY pos) AS nth FROM classified_url) WHERE nth <= 3 GROUP BY host, section"""
 
 
+@frame("ordered_url", "url_parsed")
+def ordered_urls(parsed: DataFrame) -> DataFrame:
+    """(host, loc, nth, n): the place of each address among its host's, from 0, and how many there are. No task holds a host."""
+    placed = running(parsed.select("host", "loc", "pos").withColumn("one", F.lit(1).cast("long")), "host", ["loc", "pos"], "one", "nth")
+    return placed.join(parsed.groupBy("host").agg(F.count("*").alias("n")), "host").select("host", "loc", "nth", "n")
+
+
+@relation
+def ordered_url(d):
+    return "SELECT host, loc, row_number() OVER (PARTITION BY host ORDER BY loc, pos) - 1 AS nth, count(*) OVER (PARTITION BY host) AS n FROM url_parsed"
+
+
 @query
 def stride_sample(d):
     """At most 20 URLs a host, at a fixed stride over their order."""
     return f"""
-SELECT host, loc FROM (SELECT host, loc, row_number() OVER (PARTITION BY host ORDER BY loc, pos) - 1 AS nth, count(*) OVER (PARTITION BY host) AS n FROM url_parsed)
+SELECT host, loc FROM ordered_url
 WHERE nth % greatest(1, CAST(ceil(n / 20.0) AS BIGINT)) = 0 AND {d.idiv('nth', 'greatest(1, CAST(ceil(n / 20.0) AS BIGINT))')} < 20"""
 
 

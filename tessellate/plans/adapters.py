@@ -300,6 +300,24 @@ SELECT event_id AS id, ts, {d.seconds('ts')} AS t, user_id AS client, concat('si
   CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, CAST(floor(value * 100) AS BIGINT) AS bytes, (event_id * 37) % 4000 AS ms, event_type FROM events"""
 
 
+@relation
+def budget_call(d):
+    """Requests as calls that cost credits: a run is a client's day; what a call is expected to cost is no less than it does."""
+    return f"SELECT {d.month('ts')} AS month, concat({d.text('client')}, ' ', {d.day('ts')}) AS run, id, t, CASE cost WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 25 END AS projected, cost FROM request"
+
+
+@relation
+def job_event(d):
+    """What became of a host's run, as it was told: asked for, ended, failed; and the state that a poll shows."""
+    return "SELECT id, host, t, ts, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'error' ELSE 'request' END AS kind, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ready' ELSE 'error' END AS state FROM request"
+
+
+@relation
+def lead_form(d):
+    """Forms that visitors sent, and the challenge that let them in."""
+    return f"SELECT id, host, concat('Visitor ', {d.text('client')}) AS name, ts, event_type AS challenge FROM request WHERE event_type IN ('signup', 'purchase')"
+
+
 @relation
 def cache_entry(d):
     """Evidence files: a writable cache (0) and seeds (1, 2), written at some time, some of them failures."""
@@ -325,6 +343,15 @@ def evidence_note(d):
     return f"SELECT c_custkey AS site, CASE c_custkey % 5 {' '.join(f'WHEN {k} THEN {c}' for k, c in enumerate(cases))} ELSE {d.filt(cases[0], 'x', 'false')} END AS not_observed FROM customer"
 
 
+@relation
+def evidence_file(d):
+    """Files of a folder of evidence: JSON documents, now and then one that was cut off, is empty, or is no object."""
+    notes = f"concat('[', {d.join(d.each('n.not_observed', 'x', "concat('" + chr(34) + "', x, '" + chr(34) + "')"), ',')}, ']')"
+    urls_ = f"CASE WHEN e.canonical_urls IS NULL THEN 'null' ELSE {d.text('e.canonical_urls')} END"
+    body = f"concat('{{\"meta\":{{\"site\":', {d.text('e.site')}, ',\"normalized_host\":\"', e.host, '\"}},\"canonical_urls\":', {urls_}, ',\"robots\":{{\"present\":', CASE WHEN e.robots_fetched THEN 'true' ELSE 'false' END, '}},\"not_observed\":', {notes}, '}}')".replace("{{", "{").replace("}}", "}")
+    return f"SELECT concat('calib/', e.host, '.json') AS path, CASE WHEN e.site % 13 = 5 THEN substring({body}, 1, 40) WHEN e.site % 101 = 7 THEN '' WHEN e.site % 103 = 8 THEN '[1]' ELSE {body} END AS body FROM evidence e JOIN evidence_note n ON e.site = n.site"
+
+
 @relation
 def narration(d):
     """Sentences of findings, and how a model retold them."""

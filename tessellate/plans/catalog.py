@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return registry.oracles() | sources.CHECKS
+    return registry.oracles() | sampling.checks() | sources.CHECKS | states.CHECKS

@@ -120,6 +120,12 @@ def queue_stream(events: DataFrame, slots: int = SLOTS, watchdog_ms: int = WATCH
     return timed.groupBy("pool").transformWithStateInPandas(QueueProcessor(slots, watchdog_ms), OUT, "Append", "EventTime")
 
 
-def state_store(spark) -> None:
-    """Sets the session's state store to the one that timers and maps need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_store(spark, provider: str | None = STORE) -> str | None:
+    """Sets the session's state store, to the one that timers and maps need, and gives the one before."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider) if provider else spark.conf.unset(key)
+    return before

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir
+from .budget import within_budgets
+from .job_queue import OUT as QUEUE_ROW
+from .job_queue import queue_stream, state_store
 
-WINDOW_S, MOST = 3600, 10
+WINDOW_S, MOST, LIMIT = 3600, 10, 2
+RUN_CAP, MONTH_CAP, POOLS = 60, 2000, 4
 
 
 def admit(times: list[int], taken: list[int], most: int = MOST, window: int = WINDOW_S) -> tuple[list[tuple[bool, int]], list[int]]:
@@ -50,21 +54,8 @@ def rate_limited(requests: DataFrame, most: int = MOST) -> DataFrame:
 
 def within_budget(calls: DataFrame, cap: int) -> DataFrame:
     """calls(month, id, t, cost) -> those that a monthly cap let through: a call that would go over it is skipped and costs nothing."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        month, used = None, 0
-        for f in frames:
-            spent, totals = [], []
-            for m, cost in zip(f["month"].tolist(), f["cost"].tolist()):
-                if m != month:
-                    month, used = m, 0
-                ok = used + cost <= cap
-                used += cost if ok else 0
-                spent.append(ok), totals.append(used)
-            yield pd.DataFrame({"month": f["month"], "id": f["id"], "made": spent, "used": totals})
-
-    ordered = calls.select("month", "id", "t", "cost").repartition("month").sortWithinPartitions("month", "t", "id")
-    return ordered.mapInPandas(run, "month string, id long, made boolean, used long")
+    each = calls.select("month", F.col("id").cast("string").alias("run"), "id", "t", F.col("cost").alias("projected"), "cost")
+    return within_budgets(each, month_cap=cap).select("month", "id", "made", "used")
 
 
 def limiter_stream(requests: DataFrame, most: int = MOST) -> DataFrame:
@@ -118,26 +109,68 @@ def append_leads(leads: DataFrame, path: str, checkpoint: str):
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans import registry
 
-    return rate_limited(registry.run("request", spark, sf_dir), most=2)
+    return rate_limited(registry.run("request", spark, sf_dir), most=LIMIT)
 
 
 def credit_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans import registry
 
-    calls = registry.run("request", spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return within_budget(calls, 2000)
+    return within_budgets(registry.run("budget_call", spark, sf_dir), RUN_CAP, MONTH_CAP)
+
+
+def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of runs that are asked for and end gives, two at a time in each of POOLS pools: (pool, host, state, at)."""
+    from ..plans import registry
+
+    place = f"{shared_dir(spark)}/job-queue-{uuid.uuid4().hex}"
+    events = registry.run("job_event", spark, sf_dir).select(F.concat(F.lit("pool "), F.pmod(F.xxhash64("host"), F.lit(POOLS))).alias("pool"), "id", "host", "kind", "ts")
+    events.write.parquet(f"{place}/in")
+    before = state_store(spark)
+    out = queue_stream(spark.readStream.schema(events.schema).parquet(f"{place}/in")).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    state_store(spark, before)
+    return spark.read.schema(QUEUE_ROW).parquet(f"{place}/out")
 
 
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job states that the stream of events gives, run to its end: (host, state), a row a change."""
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: the stream source takes no single file
-    state = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ready' ELSE 'error' END")
-    changes = events.select(F.concat(F.lit("site"), F.col("user_id") % 40, F.lit(".com")).alias("host"), state.alias("state"), "ts")
+    from ..plans import registry
+
     place = f"{shared_dir(spark)}/job-states-{uuid.uuid4().hex}"
+    events = registry.run("job_event", spark, sf_dir).select("host", "state", "ts")
+    events.write.parquet(f"{place}/in")
+    changes = spark.readStream.schema(events.schema).parquet(f"{place}/in")
     out = job_stream(changes).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.read.schema("host string, state string").parquet(f"{place}/out")
 
 
-QUERIES = {"rate_limit": rate_limit, "credit_budget": credit_budget, "job_state_stream": job_state_stream}
+QUERIES = {"rate_limit": rate_limit, "credit_budget": credit_budget, "job_queue": job_queue, "job_state_stream": job_state_stream}
+
+
+def _checks() -> dict[str, str]:
+    """The replays as recursive SQL: a call, or a request of every client, a step."""
+    from ..plans import registry
+
+    calls, requests = registry.text("budget_call", registry.DUCK)[0], registry.text("request", registry.DUCK)[0]
+    room = f"CASE WHEN held + c.projected > {RUN_CAP} THEN 'run' WHEN c.projected > 0 AND w.spent + c.projected > {MONTH_CAP} THEN 'month' END"
+    budget = f"""
+WITH RECURSIVE calls AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY month ORDER BY t, id) AS n FROM ({calls})),
+walk AS (
+  SELECT DISTINCT month, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS spent, MAP {{'': CAST(0 AS BIGINT)}} AS runs, CAST(NULL AS BIGINT) AS id, '' AS run, CAST(NULL AS VARCHAR) AS why FROM calls
+  UNION ALL
+  SELECT month, n, spent + CASE WHEN why IS NULL THEN cost ELSE 0 END, CASE WHEN why IS NULL THEN map_concat(runs, MAP {{run: held + cost}}) ELSE runs END, id, run, why FROM (
+    SELECT w.month, c.n, w.spent, w.runs, c.id, c.run, CAST(c.cost AS BIGINT) AS cost, coalesce(w.runs[c.run], 0) AS held, {room} AS why FROM walk w JOIN calls c ON c.month = w.month AND c.n = w.n + 1))
+SELECT month, run, id, why IS NULL AS made, why, spent AS used FROM walk WHERE id IS NOT NULL"""
+    limit = f"""
+WITH RECURSIVE asked AS MATERIALIZED (SELECT client, id, t, row_number() OVER (PARTITION BY client ORDER BY t, id) AS n FROM ({requests})),
+walk AS (
+  SELECT DISTINCT client, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS id, false AS allowed, CAST(0 AS BIGINT) AS wait FROM asked
+  UNION ALL
+  SELECT client, n, CASE WHEN len(held) < {LIMIT} THEN list_append(held, t) ELSE held END, id, len(held) < {LIMIT}, CASE WHEN len(held) < {LIMIT} THEN 0 ELSE {WINDOW_S} - (t - held[1]) END FROM (
+    SELECT a.client, a.n, a.t, a.id, list_filter(w.taken, lambda x: a.t - x < {WINDOW_S}) AS held FROM walk w JOIN asked a ON a.client = w.client AND a.n = w.n + 1))
+SELECT client, id, allowed, wait AS retry_after_s FROM walk WHERE id IS NOT NULL"""
+    return {"credit_budget": budget, "rate_limit": limit}
+
+
+CHECKS = _checks()
