@@ -27,7 +27,8 @@ unless the host has hardly any text elsewhere, and then those that vary stay.
 The tree is an aggregate: values are counted by (host, node, value) before any host's
 rows meet, so a host with a third of all pages is no hot key.  What goes back to a page is
 its host's list of removed nodes, each seen on LEAST_PAGES pages or more, by a join that
-Spark may broadcast by size.
+Spark may broadcast by size.  Of low prior, a host that keeps such branches lists those that
+do not vary; one that is seen less often counts as varying.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ from .storage import bound_batches, stored
 # Fixed values of HTML: elements without content, elements whose content is no markup, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg math iframe object select".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # The prior: elements, and parts of a class, id or role, that seldom hold a page's own text. Parts after a layout word describe the page, not the element.
 PLAIN_LOW = frozenset("nav footer aside form dialog menu button fieldset head".split())
@@ -57,7 +59,7 @@ MARKED_LOW = frozenset(
 )
 LAYOUT = frozenset("has have with without no is layout page template single one two three".split())
 MAIN = frozenset("article main".split())
-#: GAMMA damps a level; elements nested deeper than DEPTH count as the element at that depth.
+#: GAMMA damps a level. An element tells its DEPTH nearest ancestors what it holds; to those further away that would count under 1 %.
 GAMMA, DEPTH = 0.9, 48
 LEAST, LEAST_MAIN, VARIES, LEAST_PAGES, ELSEWHERE = 0.3, 0.1, 0.5, 3, 0.1
 
@@ -82,7 +84,7 @@ class Node:
     name: str
     path: str
     id: int
-    chain: tuple[int, ...]  # from the root to this node
+    chain: tuple[int, ...]  # the nearest elements around this node, and itself
     main: int | None  # the outermost article or main around it
     low: bool  # of low prior, by itself or by what is around it
     cut: bool
@@ -107,10 +109,10 @@ class Block:
 
 
 class Reader:
-    """Reads pages of one host. Nodes are made once, with what is known to be removed or, of low prior, kept there."""
+    """Reads pages of one host. Nodes are made once, with what is known to be removed there. turned: does a branch of low prior stay, unless it is one of ``alike``?"""
 
-    def __init__(self, cut: frozenset[int] = frozenset(), keep: frozenset[int] = frozenset()):
-        self.cut, self.keep = cut, keep
+    def __init__(self, cut: frozenset[int] = frozenset(), turned: bool = False, alike: frozenset[int] = frozenset()):
+        self.cut, self.turned, self.alike = cut, turned, alike
         self.root = Node("", "", 0, (), None, False, False)
         self.nodes: dict[tuple[int, str], Node] = {}
 
@@ -119,20 +121,20 @@ class Reader:
         found = self.nodes.get(key)
         if found is not None:
             return found
-        if len(parent.chain) >= DEPTH:
-            return parent
         values = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
         tokens = [_PART.findall(x) for k in ("class", "id", "role") for x in values.get(k, "").lower().split()]
         hidden, role = bool(attrs and _HIDDEN.search(attrs)), values.get("role") == "main"
-        path = f"{parent.path}/{name}" + "".join(f".{x}" for x in sorted({p for t in tokens for p in t})) + "!" * hidden + "@" * role
-        number = _hash(path)
+        label = f"/{name}" + "".join(f".{x}" for x in sorted({p for t in tokens for p in t})) + "!" * hidden + "@" * role
+        deep = len(parent.chain) >= DEPTH  # a path is written out to DEPTH; below, a hash stands for what is between
+        path = f"{parent.path.split('/~')[0]}/~{parent.id & 0xFFFFFFFF:x}{label}" if deep else parent.path + label
+        number = _hash(f"{parent.id}{label}" if deep else path)
         marked = name not in ("html", "body") and any(p in MARKED_LOW for t in tokens if t and t[0] not in LAYOUT for p in t)
         low = parent.low and not (name == "main" or role) or name in PLAIN_LOW or (name == "header" and parent.main is None) or marked or hidden
         main = number if parent.main is None and (name in MAIN or role) else parent.main
-        gone = parent.cut or number in self.cut or hidden or low and number not in self.keep
-        if name == "main" or role:  # no notice or menu holds the main part
-            gone = number in self.cut or hidden or low and number not in self.keep
-        found = Node(name, path, number, (*parent.chain, number), main, low, gone)
+        gone = number in self.cut or hidden or low and (not self.turned or number in self.alike)
+        if not (name == "main" or role):  # no notice or menu holds the main part
+            gone = gone or parent.cut
+        found = Node(name, path, number, (*parent.chain[1 - DEPTH :], number), main, low, gone)
         if len(self.nodes) < 1 << 16:
             self.nodes[key] = found
         return found
@@ -173,7 +175,7 @@ class Reader:
                 continue
             closing = bool(m["close"])
             if name in RAW and not closing:
-                if m["attrs"].endswith("/"):
+                if name in FOREIGN and m["attrs"].endswith("/"):
                     continue
                 end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
@@ -194,9 +196,7 @@ class Reader:
                 continue
             if name in _SEPARATED and stack[-1].name == name:
                 stack.pop()
-            attrs = m["attrs"]
-            if attrs.endswith("/"):
-                continue
+            attrs = m["attrs"]  # a slash at their end closes nothing in HTML
             element = Element(name, self._node(stack[-1].node, name, attrs))
             stack[-1].children.append(element.node.path.rsplit("/", 1)[-1])
             stack.append(element), elements.append(element)
@@ -280,7 +280,7 @@ def site_trees(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
-    """(host, cut array<long>, keep array<long>): the branches that go, and those of low prior that stay. Hosts without either have no row."""
+    """(host, cut array<long>, turned, alike array<long>): the branches that go, whether those of low prior stay, and which of them do not even so. Hosts where nothing differs from the prior have no row."""
     varied = F.col("importance") >= VARIES
     text = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("chars"))), F.lit(0))
     roots = tree.filter("node = main").select("host", "main", F.col("importance").alias("root_importance"))
@@ -296,17 +296,17 @@ def verdicts(tree: DataFrame) -> DataFrame:
         F.col("node") == F.col("main"), below(LEAST_MAIN) & (F.col("outside") > F.col("inside"))
     ).otherwise(below(LEAST_MAIN) & (F.col("root_importance") >= VARIES))
     found = tree.filter(F.col("node") != 0).select(
-        "host", F.when(~F.col("low") & seen & alike, F.col("node")).alias("cut"), F.when(F.col("low") & F.col("turned") & varied, F.col("node")).alias("keep")
-    ).filter("cut is not null or keep is not null")
-    return found.groupBy("host").agg(F.collect_set("cut").alias("cut"), F.collect_set("keep").alias("keep"))
+        "host", "turned", F.when(~F.col("low") & seen & alike, F.col("node")).alias("cut"), F.when(F.col("low") & F.col("turned") & seen & ~varied, F.col("node")).alias("alike")
+    ).filter("cut is not null or turned")
+    return found.groupBy("host").agg(F.collect_set("cut").alias("cut"), F.first("turned").alias("turned"), F.collect_set("alike").alias("alike"))
 
 
 def main_text(reader: Reader, page: str | None) -> str:
-    """The text of a page without what its reader removes; of a page with an article or main part, of that part."""
+    """The text of a page without what its reader removes; of a page most of whose text is in an article or main part, of that part. A teaser in an article does not take the place of the story beside it."""
     found = [x for x in reader.read(page)[1] if not x.node.cut]
-    if any(x.node.main is not None for x in found):
-        found = [x for x in found if x.node.main is not None]
-    return " ".join(x.text for x in found)
+    part = [x for x in found if x.node.main is not None]
+    size = lambda blocks: sum(len(x.text) for x in blocks)
+    return " ".join(x.text for x in (part if 2 * size(part) >= size(found) else found))
 
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -317,15 +317,15 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     bound_batches(pages.sparkSession)
     lists = stored(verdicts(site_trees(pages, html, url)), "verdicts")
     rows = pages.select(_host(url).alias("host"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "cut", "keep")
+    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "cut", "turned", "alike")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             readers: dict[str, Reader] = {}
-            texts, cut, keep = [], b.column(4), b.column(5)
+            texts, cut, turned, alike = [], b.column(4), b.column(5), b.column(6)
             for k, (page, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if host not in readers:
-                    readers[host] = Reader(frozenset(cut[k].as_py() or ()), frozenset(keep[k].as_py() or ()))
+                    readers[host] = Reader(frozenset(cut[k].as_py() or ()), bool(turned[k].as_py()), frozenset(alike[k].as_py() or ()))
                 texts.append(main_text(readers[host], page))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tessellate.llm import divergence, queries, re_pair, token_files, vector_codes, word_bpe  # noqa: E402
+from tessellate.llm import divergence, queries, re_pair, site_tree, token_files, vector_codes, word_bpe  # noqa: E402
 
 from .test_operators import odd_texts, table  # noqa: E402
 
@@ -237,3 +237,70 @@ def test_rates_are_exact(spark):
     cases = [(0, 0, 1), (5, 9, 3), (10**14, 10**15, 7), (123456789012, 987654321098765, 10**6), (9 * 10**14, 9 * 10**14, 1)]
     rows = spark.createDataFrame(cases, "n long, total long, kept long").select("*", divergence.rate(F.col("n"), F.col("total"), F.col("kept")).alias("p")).collect()
     assert all(r.p == 1 + 10**9 * (r.n + 5) // (r.total + 5 * r.kept) for r in rows)
+
+
+def pages_of_hosts(spark, hosts):
+    rows = [(10 * h + k, f"https://h{h}.com/{k}", page) for h, pages in enumerate(hosts) for k, page in enumerate(pages)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), rows
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div>" * 50 + "<article>text</article><nav>menu</nav><div class=comments>spam</div><p hidden>secret</p>", "text"),
+    ("<div class=x>" * 300 + "<p>deep</p><div class=sidebar>side</div>", "deep"),
+    ("<script src=/a/>var a=1;</script><p>body</p>", "body"), ("<nav data-x=/menu/>menu</nav><p>body</p>", "body"), ("<style media=/x/>p{}</style>y", "y"), ("<p>a</p><svg/><p>b</p>", "a b"),
+    ("<article>teaser</article><p>long real story outside</p>", "teaser long real story outside"), ("<article>the long story itself</article><p>outside</p>", "the long story itself"),
+])
+def test_markup_of_a_page(page, text):
+    assert site_tree.main_text(site_tree.Reader(), page) == text
+
+
+def removal(rows):
+    """(cut, turned, alike) of one host from its tree, in plain Python."""
+    by = {r.node: r for r in rows}
+    inside, outside = sum(r.chars for r in rows if r.main is not None), sum(r.chars for r in rows if not r.low and r.main is None and r.importance >= site_tree.VARIES)
+    plain = sum(r.chars for r in rows if not r.low and (r.main is not None or r.importance >= site_tree.LEAST))
+    lowly = sum(r.chars for r in rows if r.low and r.importance >= site_tree.VARIES)
+    turned, cut, alike = plain < site_tree.ELSEWHERE * (plain + lowly), set(), set()
+    for r in rows:
+        if r.node == 0 or r.pages < site_tree.LEAST_PAGES:
+            continue
+        most = max(r.importance, r.best)
+        if r.low:
+            if turned and r.importance < site_tree.VARIES:
+                alike.add(r.node)
+        elif r.main is None:
+            if most < site_tree.LEAST:
+                cut.add(r.node)
+        elif r.node == r.main:
+            if most < site_tree.LEAST_MAIN and outside > inside:
+                cut.add(r.node)
+        elif most < site_tree.LEAST_MAIN and by[r.main].importance >= site_tree.VARIES:
+            cut.add(r.node)
+    return cut, turned, alike
+
+
+def test_removed_branches_are_those_of_the_rules(spark):
+    rnd, hosts = random.Random(11), []
+    for h in range(7):
+        fixed, parts = [f"same {k} words here" for k in range(4)], ["div", "section", "p", "ul", "article" if h % 2 else "main"]
+        pages = []
+        for k in range(8):
+            body = "".join(f"<{t} class=c{rnd.randrange(3)}>{rnd.choice(fixed) if rnd.random() < 0.6 else f'own {k} {rnd.random()}'}<p>{rnd.choice(fixed)}</p></{t}>" for t in rnd.choices(parts, k=4))
+            side = f"<div class=sidebar><p>{'side ' + str(rnd.random()) * (h > 3)}</p></div><footer>foot</footer>"
+            pages.append(f"<html><body>{'' if h == 5 else body}{side}</body></html>")
+        hosts.append(pages)
+    pages, rows = pages_of_hosts(spark, hosts)
+    tree = {}
+    for r in site_tree.site_trees(pages).collect():
+        tree.setdefault(r.host, []).append(r)
+    said = {r.host: (set(r.cut), r.turned, set(r.alike)) for r in site_tree.verdicts(site_tree.site_trees(pages)).collect()}
+    want = {h: removal(rs) for h, rs in tree.items()}
+    assert {h: v for h, v in want.items() if v[0] or v[1]} == {h: v for h, v in said.items()}
+    assert any(v[0] for v in want.values()) and any(v[1] for v in want.values())
+    texts = {r.page_id: r.text for r in site_tree.extracted(pages).collect()}
+    for i, url, html in rows:
+        cut, turned, alike = want[url[8 : url.index("/", 8)]]
+        kept = [b for b in site_tree.Reader().read(html)[1] if not any(n in cut for n in b.node.chain) and not (b.node.low and (not turned or any(n in alike for n in b.node.chain)))]
+        part = [b for b in kept if b.node.main is not None]
+        part = part if 2 * sum(len(b.text) for b in part) >= sum(len(b.text) for b in kept) else kept
+        assert texts[i] == " ".join(b.text for b in part)
