@@ -115,7 +115,6 @@ JOB_BOARDS = [
     ("greenhouse", r"(?i)(?:boards|job-boards)\.greenhouse\.io/(?:embed/job_board\?for=)?([a-z0-9_-]+)"),
     ("lever", r"(?i)jobs\.lever\.co/([a-z0-9_-]+)"),
     ("ashby", r"(?i)jobs\.ashbyhq\.com/([a-z0-9_-]+)"),
-    ("workday", r"(?i)([a-z0-9-]+)\.wd[0-9]+\.myworkdayjobs\.com/"),
     ("smartrecruiters", r"(?i)careers\.smartrecruiters\.com/([a-z0-9_-]+)"),
     ("workable", r"(?i)apply\.workable\.com/([a-z0-9_-]+)"),
     ("eightfold", r"(?i)([a-z0-9-]+)\.eightfold\.ai"),
@@ -123,6 +122,7 @@ JOB_BOARDS = [
     ("icims", r"(?i)([a-z0-9-]+)\.icims\.com"),
     ("jobvite", r"(?i)jobs\.jobvite\.com/([a-z0-9_-]+)"),
 ]
+WORKDAY = r"(?i)([a-z0-9-]+)\.(wd[0-9]+)\.myworkdayjobs\.com/([a-z0-9_-]+)?"
 BOARD_NOISE = "embed job_board www jobs careers search api v1 boards app static cdn assets vs-errors errors help docs support go try my".split()
 BUYER_TITLES = [
     ("employer_brand", r"(?i)\b(employer|talent)[\s-]?brand"),

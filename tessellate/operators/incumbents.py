@@ -97,10 +97,11 @@ def bundle_token(d):
 @query
 def prefix_token(d):
     """What follows the longest prefix of the vendor in an app's id, else what follows its name there."""
-    after = d.ext("a.bundle", r"[.]vendor[0-9]+[.](.+)\z")
+    at = d.pos("a.bundle", "concat('.', k.vendor_key, '.')")
+    after = f"CASE WHEN {at} > 0 THEN substring(a.bundle, {at} + length(k.vendor_key) + 2) END"
     return f"""
-SELECT a.vendor, a.bundle, coalesce(max_by(substring(a.bundle, length(p.prefix) + 1), CASE WHEN p.prefix IS NOT NULL THEN length(p.prefix) END), nullif({after}, '')) AS token
-FROM (SELECT DISTINCT vendor, bundle FROM app) a LEFT JOIN vendor_prefix p ON a.vendor = p.vendor AND {d.starts('a.bundle', 'p.prefix')} GROUP BY a.vendor, a.bundle"""
+SELECT a.vendor, a.bundle, coalesce(max_by(substring(a.bundle, length(p.prefix) + 1), CASE WHEN p.prefix IS NOT NULL THEN length(p.prefix) END), nullif(min({after}), '')) AS token
+FROM (SELECT DISTINCT vendor, bundle FROM app) a LEFT JOIN (SELECT vendor, vendor_key FROM vendor_rule) k ON a.vendor = k.vendor LEFT JOIN vendor_prefix p ON a.vendor = p.vendor AND {d.starts('a.bundle', 'p.prefix')} GROUP BY a.vendor, a.bundle"""
 
 
 #: A vendor's name counts inside another one from five letters.
@@ -135,7 +136,7 @@ SELECT DISTINCT bundle, vendor FROM (
 def customer_rows(d):
     """Apps whose seller is the customer's own site."""
     dom = urls.registrable_domain(d, "seller_url")
-    return f"SELECT vendor, bundle, dom FROM (SELECT DISTINCT vendor, bundle, {dom} AS dom FROM app) WHERE dom IS NOT NULL AND dom NOT IN ({d.strings([*fixed.NON_CUSTOMER_HOSTS, 'freshservice.com', 'freshworks.com', 'sharepoint.com', 'microsoft.com', 'salesforce.com', 'site7.com'])})"
+    return f"SELECT vendor, bundle, dom FROM (SELECT DISTINCT vendor, bundle, {dom} AS dom FROM app) WHERE dom IS NOT NULL AND dom NOT IN ({d.strings([*fixed.NON_CUSTOMER_HOSTS, 'freshservice.com', 'freshworks.com', 'sharepoint.com', 'microsoft.com', 'salesforce.com'])})"
 
 
 @query
@@ -223,7 +224,7 @@ def incumbent_lookup(d):
     score = "CASE c.confidence " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CONFIDENCE.items()) + " ELSE 0 END"
     return f"""
 SELECT q.domain, c.vendor_name, c.vendor_tier, c.confidence, {score} AS confidence_score, CAST(row_number() OVER (PARTITION BY q.domain ORDER BY {score} DESC, c.vendor_name, c.claim_id) AS INTEGER) AS nth, c.claim_id IS NOT NULL AS found
-FROM (SELECT concat('site', {d.text('c_custkey')}, '.com') AS domain FROM customer) q LEFT JOIN (SELECT * FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) c ON q.domain = c.domain"""
+FROM asked_domain q LEFT JOIN (SELECT * FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) c ON q.domain = c.domain"""
 
 
 @query

@@ -253,9 +253,12 @@ def career_links(d):
 
 @query
 def ats_detect(d):
-    """Job boards that a page names, by the board's token."""
-    each = [d.explode(f"page_id, '{name}' AS ats", "page_html", d.exta("html", pattern, 1), "raw", "idx") for name, pattern in fixed.JOB_BOARDS]
-    return f"SELECT DISTINCT page_id, ats, lower(raw) AS token FROM ({' UNION ALL '.join(each)}) WHERE raw <> '' AND lower(raw) NOT IN ({d.strings(fixed.BOARD_NOISE)})"
+    """Job boards that a page names, by the board's token; of a tenant of Workday also the data centre and the board's name, which its address needs."""
+    each = [f"SELECT page_id, '{name}' AS ats, lower(raw) AS token, NULL AS datacenter, NULL AS board, idx FROM ({d.explode('page_id', 'page_html', d.exta('html', pattern, 1), 'raw', 'idx')})" for name, pattern in fixed.JOB_BOARDS]
+    part = lambda k: d.ext("raw", fixed.WORKDAY, k)
+    each.append(f"SELECT page_id, 'workday' AS ats, lower({part(1)}) AS token, {part(2)} AS datacenter, nullif({part(3)}, '') AS board, idx FROM ({d.explode('page_id', 'page_html', d.exta('html', fixed.WORKDAY, 0), 'raw', 'idx')})")
+    first = lambda c: f"min_by({c}, CASE WHEN ats = 'workday' THEN idx END)"
+    return f"SELECT page_id, ats, token, {d.text('datacenter_')} AS datacenter, {d.text('board_')} AS board FROM (SELECT page_id, ats, token, {first('datacenter')} AS datacenter_, {first(f"coalesce(board, '')")} AS board_ FROM ({' UNION ALL '.join(each)}) WHERE token <> '' AND token NOT IN ({d.strings(fixed.BOARD_NOISE)}) GROUP BY page_id, ats, token)"
 
 
 @query
@@ -306,12 +309,15 @@ FROM page_html p LEFT JOIN (SELECT page_id, CAST(count(*) AS BIGINT) AS boards F
 def company_shorthands(d):
     """Company pages that a page links, the most linked first."""
     hits = d.explode("page_id", "page_html", d.exta("html", r"(?i)https?://(?:[a-z]{2,3}\.)?linkedin\.com/company/([A-Za-z0-9][A-Za-z0-9._%-]*?)(?:[/?#\x22\x27\s<]|\z)", 1), "raw", "idx")
-    return f"SELECT page_id, shorthand, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first_idx) AS INTEGER) AS nth FROM (SELECT page_id, {d.sub('lower(raw)', r'[.]\z')} AS shorthand, CAST(count(*) AS BIGINT) AS n, min(idx) AS first_idx FROM ({hits}) WHERE lower(raw) NOT IN ('about', 'login', 'signup') GROUP BY page_id, {d.sub('lower(raw)', r'[.]\z')})"
+    plain = f"CASE WHEN {d.rx('raw', '%(?![0-9A-Fa-f]{2})')} OR NOT {d.contains('raw', d.lit('%'))} THEN raw ELSE {d.percent_decoded('raw')} END" if d.spark else f"CASE WHEN {d.rx('raw', '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')} OR NOT {d.contains('raw', d.lit('%'))} THEN raw ELSE {d.percent_decoded('raw')} END"
+    return f"SELECT page_id, shorthand, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first_idx) AS INTEGER) AS nth FROM (SELECT page_id, shorthand, CAST(count(*) AS BIGINT) AS n, min(idx) AS first_idx FROM (SELECT page_id, idx, {d.sub(f'lower({plain})', r'[.]\z')} AS shorthand FROM ({hits})) WHERE shorthand NOT IN ('about', 'login', 'signup') GROUP BY page_id, shorthand)"
 
 
 @query
 def site_title(d):
-    t, s = d.ext("html", r"(?i)<title[^>]*>([^<]{1,300})</title>"), d.ext("html", r"(?i)property=[\x22\x27]og:site_name[\x22\x27][^>]*content=[\x22\x27]([^\x22\x27]{1,200})[\x22\x27]")
+    """A site's title, and the name that its head gives it, in either order of attributes."""
+    t, one, two = d.ext("html", r"(?i)<title[^>]*>([^<]{1,300})</title>"), d.ext("html", r"(?i)property=[\x22\x27]og:site_name[\x22\x27][^>]*content=[\x22\x27]([^\x22\x27]{1,200})[\x22\x27]"), d.ext("html", r"(?i)content=[\x22\x27]([^\x22\x27]{1,200})[\x22\x27][^>]*property=[\x22\x27]og:site_name[\x22\x27]")
+    s = f"CASE WHEN {one} <> '' THEN {one} ELSE {two} END"
     return f"SELECT page_id, {d.trim(f'concat({t}, {d.lit(chr(32))}, {s})')} AS site_title FROM page_html"
 
 

@@ -256,16 +256,16 @@ def lead_intel_row(d):
 SELECT c.site, {held} AS evidence_available, coalesce({held} AND g.gradeable, false) AS gradeable, CASE WHEN {held} THEN g.grade END AS grade, CASE WHEN {held} THEN g.overall END AS public_score, CASE WHEN {held} AND NOT g.gradeable THEN g.withheld_reason END AS withheld_reason,
   CASE WHEN {held} THEN l.tier END AS lead_tier, CASE WHEN {held} THEN l.gap END AS opportunity_gap, CASE WHEN {held} THEN l.pressure END AS hiring_pressure,
   CASE WHEN NOT {held} THEN NULL WHEN l.reqs IS NULL THEN 'no hiring data' WHEN l.self_hosted THEN 'self-hosted board: no job text to search' END AS lead_signal_note,
-  CASE WHEN {held} THEN CASE WHEN i.domain IS NULL THEN 'no_evidence_in_index' ELSE 'evidence_found' END END AS incumbent_status,
+  CASE WHEN {held} THEN CASE WHEN x.claims = 0 THEN 'no_index_loaded' WHEN i.domain IS NULL THEN 'no_evidence_in_index' ELSE 'evidence_found' END END AS incumbent_status,
   CASE WHEN {held} THEN b.status END AS advocacy_baseline_status, CASE WHEN {held} THEN b.rate_pct END AS advocacy_baseline_rate_pct, CASE WHEN {held} THEN b.indexed END AS advocacy_baseline_indexed, CASE WHEN {held} THEN b.reading END AS advocacy_baseline_note,
   CASE WHEN {held} THEN t.finding END AS top_fix_id, CASE WHEN {held} THEN t.severity END AS top_fix_severity, concat('https://reports.example/report/', c.domain) AS report_url, CASE WHEN NOT {held} THEN 'no evidence in the cache: nothing here is estimated' END AS intel_note
-FROM captured_lead c LEFT JOIN lead l ON c.site = l.site LEFT JOIN graded g ON c.site = g.site LEFT JOIN advocacy_baseline b ON c.site = b.site
+FROM captured_lead c CROSS JOIN (SELECT count(*) AS claims FROM claim) x LEFT JOIN lead l ON c.site = l.site LEFT JOIN graded g ON c.site = g.site LEFT JOIN advocacy_baseline b ON c.site = b.site
 LEFT JOIN (SELECT DISTINCT domain FROM claim WHERE NOT is_client_vendor AND domain IS NOT NULL) i ON c.domain = i.domain LEFT JOIN (SELECT * FROM ranked_finding WHERE kind = 'action' AND nth = 1) t ON c.site = t.site"""
 
 
 @query
 def lead_validate(d):
-    return f"SELECT id, mail, {d.rx('mail', r'^[^\s@]+@[^\s@]+[.][^\s@]+\z')} AS valid, substring(name, 1, 12) AS kept_name FROM (SELECT id, {d.trim('mail')} AS mail, name FROM contact_form)"
+    return f"SELECT id, mail, {d.rx('mail', r'^[^\s@]+@[^\s@]+[.][^\s@]+\z')} AS valid, substring(name, 1, 200) AS kept_name FROM (SELECT id, substring({d.trim('mail')}, 1, 200) AS mail, name FROM contact_form)"
 
 
 @query
@@ -282,8 +282,8 @@ def strip_derived(d):
 
 @query
 def private_leaks(d):
-    """Findings that give away what only the lead score may know: there must be none."""
-    return f"SELECT site, finding FROM finding WHERE {d.rx('finding', 'hiring_pressure|opportunity_gap|buyer_in_seat|approximate_open_reqs')}"
+    """Findings that, as a client sees them, give away what only the lead score may know."""
+    return f"SELECT site, finding FROM findings_client WHERE {d.rx('concat(finding, shown)', 'hiring_pressure|opportunity_gap|buyer_in_seat|approximate_open_reqs')}"
 
 
 @query

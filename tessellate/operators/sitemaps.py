@@ -41,7 +41,7 @@ def walked(seeds: DataFrame, documents: DataFrame, entries: DataFrame, denied: D
 
     seeds(site_host, url, ord), documents(url, kind), entries(url, is_index, idx, loc), denied(url). A document is visited
     once, however many indexes name it, so cycles end. One that robots rules deny is skipped and does not count; one without
-    a body is an error. A host's walk ends after ``most`` documents or once it has ``most_urls`` URLs; what is left has no row
+    a body is an error. A host's walk ends after ``most`` documents or once it has ``most_urls`` URLs, which may be within a document; what is left has no row
     but the kind ``left``. Each level is a join of the level before and an anti-join with all that was seen; its size is that of the level.
     """
     kinds = documents.select("url", "kind").join(denied.select("url").distinct().withColumn("no", F.lit(True)), "url", "full").select("url", F.when(F.col("no"), "skipped").otherwise(F.col("kind")).alias("kind"))
@@ -70,7 +70,21 @@ def walked(seeds: DataFrame, documents: DataFrame, entries: DataFrame, denied: D
     fresh = first.groupBy("site_host", "loc").agg(F.min_by("url", "place").alias("url")).groupBy("site_host", "url").agg(F.count("*").alias("new_urls"))
     counted = inside.join(fresh, ["site_host", "url"], "left").withColumn("new_urls", F.coalesce("new_urls", F.lit(0)))
     so_far = F.coalesce(F.sum("new_urls").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("kind", F.when(so_far < most_urls, F.col("kind")).otherwise("left")).select("site_host", "url", "place", "kind", F.when(F.col("kind") == "left", 0).otherwise(F.col("new_urls")).alias("new_urls"))
+    taken = F.when(F.col("kind") == "left", 0).otherwise(F.least("new_urls", most_urls - F.col("so_far")))
+    return counted.withColumn("so_far", so_far).withColumn("kind", F.when(F.col("so_far") < most_urls, F.col("kind")).otherwise("left")).select("site_host", "url", "place", "kind", taken.alias("new_urls"))
+
+
+@frame("sitemap_collected", "sitemap_walk", "sitemap_entry")
+def collected(walk: DataFrame, entries: DataFrame) -> DataFrame:
+    """(site_host, loc, url): what a walk collects. Each address once, under the first document that names it; of the document at which a host reaches its cap, the first ones."""
+    read = walk.filter("kind = 'urlset'").select("site_host", "url", "place", "new_urls")
+    each = read.join(entries.filter("not is_index").select("url", "idx", F.regexp_replace("loc", "#.*", "").alias("loc")), "url")
+    first = each.groupBy("site_host", "loc").agg(F.min(F.struct("place", "idx", "url", "new_urls")).alias("f")).select("site_host", "loc", "f.*")
+    # Only a document at the cap has more addresses than it may give: its rows are numbered, no other's.
+    sizes = first.groupBy("site_host", "url").agg(F.count("*").alias("n"))
+    first = first.join(sizes, ["site_host", "url"])
+    cut = first.filter("n > new_urls").withColumn("nth", F.row_number().over(Window.partitionBy("site_host", "url").orderBy("idx"))).filter("nth <= new_urls")
+    return first.filter("n <= new_urls").select("site_host", "loc", "url").unionByName(cut.select("site_host", "loc", "url"))
 
 
 @relation
@@ -92,6 +106,19 @@ def sitemap_traverse(d):
     return "SELECT site_host, url, place, kind, new_urls FROM sitemap_walk"
 
 
+@relation
+def sitemap_collected(d):
+    return """
+SELECT site_host, loc, url FROM (SELECT w.site_host, w.url, regexp_replace(e.loc, '#.*', '') AS loc, row_number() OVER (PARTITION BY w.site_host, regexp_replace(e.loc, '#.*', '') ORDER BY w.place, e.idx) AS nth
+  FROM sitemap_walk w JOIN sitemap_entry e ON e.url = w.url WHERE w.kind = 'urlset' AND NOT e.is_index) WHERE nth = 1"""
+
+
+@query
+def sitemap_inventory(d):
+    """Addresses that a host's walk collected, by its documents."""
+    return "SELECT site_host, url, CAST(count(*) AS BIGINT) AS urls, min(loc) AS first_loc FROM sitemap_collected GROUP BY site_host, url"
+
+
 @query
 def sitemap_notes(d):
     """What a walk has to say of itself: documents read, skipped, failed and left, and the URLs that came of it."""

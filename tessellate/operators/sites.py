@@ -47,11 +47,21 @@ def url_resolution(d):
 
 @query
 def domain_list(d):
-    """Lines of a domain file: comments go, names are normalised, the first of each cache key stays, the rest is rejected."""
+    """Lines of a domain file: comments go, names are normalised, the first of each cache key stays; what is no domain is among domain_rejects."""
     return f"""
 SELECT cache_key, min(id) AS line, CAST(count(*) AS BIGINT) AS repeats FROM (
-  SELECT id, {urls.cache_key(d, 'domain')} AS cache_key FROM (SELECT id, {urls.normalized_domain(d, 'line')} AS domain FROM domain_line WHERE NOT {d.rx('line', r'^\s*#')} AND {d.trim('line')} <> '')
-) GROUP BY cache_key"""
+  SELECT id, {urls.cache_key(d, 'domain')} AS cache_key FROM (SELECT id, domain FROM listed_domain WHERE domain IS NOT NULL)) GROUP BY cache_key"""
+
+
+@relation
+def listed_domain(d):
+    return f"SELECT id, line, {urls.normalized_domain(d, 'line')} AS domain FROM domain_line WHERE NOT {d.rx('line', r'^\s*#')} AND {d.trim('line')} <> ''"
+
+
+@query
+def domain_rejects(d):
+    """Lines of a domain file that are no domain, as they stand."""
+    return "SELECT id, line FROM listed_domain WHERE domain IS NULL"
 
 
 @query

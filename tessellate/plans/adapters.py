@@ -59,6 +59,7 @@ def marked_up(d: Dialect, source: str) -> str:
         f"CASE {k} % 8 WHEN 0 THEN '<a href=\"https://twitter.com/intent/tweet?x\">t</a>' WHEN 1 THEN '<a href=\"https://www.linkedin.com/sharing/share-offsite/?u\">l</a>' WHEN 2 THEN '<div class=\"box share\"></div>' WHEN 3 THEN '<a href=\"mailto:?subject=hi\">m</a>' ELSE '' END",
         f"CASE WHEN {k} % 3 = 1 THEN '<a href=\"/careers/open\">Careers</a><a href=\"https://jobs.lever.co/acme\">Jobs</a><a href=\"https://boards.greenhouse.io/embed/job_board?for=acme\">G</a>' ELSE '' END",
         f"CASE WHEN {k} % 4 = 2 THEN concat('<a href=\"https://www.linkedin.com/company/acme-', {d.text(k + ' % 3')}, '/\">in</a><a href=\"https://www.linkedin.com/company/acme-0/about\">in</a><a href=\"https://jobs.site.com/x/\">j</a><a href=\"https://careers.', {d.sub(d.ext('url', '^https?://([^/?#:]+)'), '^www[.]')}, '/open/\">c</a>') ELSE '' END",
+        f"CASE WHEN {k} % 8 = 5 THEN '<a href=\"https://Acme.wd5.myworkdayjobs.com/External\">w</a><a href=\"https://acme.wd3.myworkdayjobs.com/Other\">w</a><a href=\"https://www.linkedin.com/company/caf%C3%A9-co%20x/\">in</a><meta content=\"Site Name\" property=\"og:site_name\">' ELSE '' END",
         f"CASE WHEN {k} % 6 = 0 THEN '<h2>Senior Software Engineer</h2><h3>Head of Employer Brand</h3><a href=\"/jobs/social-media-manager\">Social Media Manager</a><h3>Our privacy manager policy</h3>' ELSE '' END",
     ]
     fragment = "concat(" + ", ".join(p.replace("{{", "{").replace("}}", "}") for p in parts) + ")"
@@ -355,7 +356,7 @@ def evidence_file(d):
 @relation
 def narration(d):
     """Sentences of findings, and how a model retold them."""
-    return f"SELECT site, 'llms_txt' AS finding, concat('Of 506 pages, ', {d.text('site % 50')}, ' had 1,200 links') AS source, concat('Only ', {d.text('site % 60')}, ' of 506 pages had 1,200 links') AS rewrite FROM evidence"
+    return f"SELECT site, 'llms_txt' AS finding, concat('Of 506 pages, ', {d.text('site % 50')}, ' had 1,200 links') AS source, concat('Only ', {d.text('site % 60')}, ' of 506 pages had 1,200 links', CASE WHEN site % 17 = 3 THEN ', by hiring_pressure' ELSE '' END) AS rewrite FROM evidence"
 
 
 @relation
@@ -386,6 +387,12 @@ def competitor(d):
     return "SELECT s_name AS name FROM supplier"
 
 
+@relation
+def asked_domain(d):
+    """Domains that somebody asks the index for."""
+    return f"SELECT concat('site', {d.text('c_custkey')}, '.com') AS domain FROM customer"
+
+
 @relation
 def rival(d):
     """The competitors that a company's record names, in order."""
@@ -410,7 +417,7 @@ def vendor_prefix(d):
 def vendor_rule(d):
     """By what a vendor's apps are known: the prefix of their ids, for some also a part of the seller's name."""
     n = d.text("s_suppkey")
-    return f"SELECT s_suppkey AS vendor, concat('com.vendor', {n}, '.') AS prefix, CASE WHEN s_suppkey % 3 = 0 THEN concat('seller', {n}) END AS seller_part FROM supplier"
+    return f"SELECT s_suppkey AS vendor, concat('vendor', {n}) AS vendor_key, concat('com.vendor', {n}, '.') AS prefix, CASE WHEN s_suppkey % 3 = 0 THEN concat('seller', {n}) END AS seller_part FROM supplier"
 
 
 @relation

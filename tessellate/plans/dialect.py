@@ -88,6 +88,13 @@ class Dialect:
     def hexdigits(self, x: str) -> str:
         return f"lower(to_hex({x}))"
 
+    def pos(self, x: str, part: str) -> str:
+        """Where a part stands in x, from 1; 0 without it."""
+        return f"strpos({x}, {part})"
+
+    def percent_decoded(self, x: str) -> str:
+        return f"url_decode({x})"
+
     def hexed(self, x: str) -> str:
         """The number that hexadecimal digits are."""
         return f"CAST(concat('0x', {x}) AS BIGINT)"
@@ -215,6 +222,12 @@ class SparkDialect(Dialect):
     def hexdigits(self, x: str) -> str:
         return f"lower(hex({x}))"
 
+    def pos(self, x: str, part: str) -> str:
+        return f"instr({x}, {part})"
+
+    def percent_decoded(self, x: str) -> str:
+        return f"url_decode(replace({x}, '+', '%2B'))"
+
     def hexed(self, x: str) -> str:
         return f"CAST(conv({x}, 16, 10) AS BIGINT)"
 
