@@ -13,8 +13,7 @@ def host(d: Dialect, url: str) -> str:
 
 
 def path(d: Dialect, url: str) -> str:
-    p = d.ext(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)")
-    return f"CASE WHEN {p} = '' THEN '/' ELSE {p} END"
+    return f"greatest({d.ext(url, r'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)')}, '/')"  # '' or something after a slash
 
 
 def without_dots(d: Dialect, p: str) -> str:

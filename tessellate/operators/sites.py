@@ -78,19 +78,16 @@ def url_parsed(d):
 
 @query
 def promoted_locales(d):
-    """Look-alike languages (it, no, ...) that a host's other paths or its country suffix prove to be locales."""
+    """Look-alike languages (it, no, ...) that a host's other paths or its country suffix prove to be locales. Addresses are first reduced to the locales of a host."""
     lang, region = urls.locale_lang(d, "path"), urls.locale_region(d, "path")
     iso = f"lang IN ({d.strings(fixed.LANGUAGES)})"
     alike = f"lang IN ({d.strings(fixed.LOOKALIKES)})"
+    number = lambda cond: f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END) OVER (PARTITION BY host)"
+    definite = number(f"region <> '' AND ({iso} OR region = lang) OR region = '' AND {iso} AND NOT {alike}")
     return f"""
-SELECT bare.host, bare.lang FROM (
-  SELECT DISTINCT host, lang FROM (SELECT host, {lang} AS lang, {region} AS region FROM url_parsed) WHERE region = '' AND {iso} AND {alike}
-) bare JOIN (
-  SELECT host, count(DISTINCT CASE WHEN region <> '' AND ({iso} OR region = lang) THEN concat(lang, '-', region) WHEN region = '' AND {iso} AND NOT {alike} THEN lang END) AS definite,
-    count(DISTINCT CASE WHEN region = '' AND {iso} THEN lang END) AS bare_langs
-  FROM (SELECT host, {lang} AS lang, {region} AS region FROM url_parsed) GROUP BY host
-) seen ON bare.host = seen.host
-WHERE seen.definite >= 2 OR seen.bare_langs >= 3 OR {d.ext('bare.host', r'([^.]+)\z')} = bare.lang"""
+SELECT host, lang FROM (SELECT host, lang, region, {definite} AS definite, {number(f"region = '' AND {iso}")} AS bare_langs FROM (
+  SELECT host, lang, region FROM (SELECT host, {lang} AS lang, {region} AS region FROM url_parsed) WHERE lang <> '' GROUP BY host, lang, region))
+WHERE region = '' AND {iso} AND {alike} AND (definite >= 2 OR bare_langs >= 3 OR {d.ext('host', r'([^.]+)\z')} = lang)"""
 
 
 @relation
