@@ -1,7 +1,8 @@
-"""Tables that a job writes on its way, in the folder that driver and executors share."""
+"""Tables that a job writes on its way, in the folder that driver and executors share. They go when the interpreter ends."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import lru_cache
@@ -24,8 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new folder's name, which is deleted in the end."""
+    _made.append((spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"))
+    return _made[-1][1]
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back: its lineage is cut, and lost executors cost nothing that is done."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from ..sources.scratch import place
 from .budget import within_budgets
 from .job_queue import OUT as QUEUE_ROW
 from .job_queue import queue_stream, state_store
@@ -122,27 +121,27 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream of runs that are asked for and end gives, two at a time in each of POOLS pools: (pool, host, state, at)."""
     from ..plans import registry
 
-    place = f"{shared_dir(spark)}/job-queue-{uuid.uuid4().hex}"
+    at = place(spark, "job-queue")
     events = registry.run("job_event", spark, sf_dir).select(F.concat(F.lit("pool "), F.pmod(F.xxhash64("host"), F.lit(POOLS))).alias("pool"), "id", "host", "kind", "ts")
-    events.write.parquet(f"{place}/in")
+    events.write.parquet(f"{at}/in")
     before = state_store(spark)
-    out = queue_stream(spark.readStream.schema(events.schema).parquet(f"{place}/in")).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
+    out = queue_stream(spark.readStream.schema(events.schema).parquet(f"{at}/in")).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination()
     state_store(spark, before)
-    return spark.read.schema(QUEUE_ROW).parquet(f"{place}/out")
+    return spark.read.schema(QUEUE_ROW).parquet(f"{at}/out")
 
 
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job states that the stream of events gives, run to its end: (host, state), a row a change."""
     from ..plans import registry
 
-    place = f"{shared_dir(spark)}/job-states-{uuid.uuid4().hex}"
+    at = place(spark, "job-states")
     events = registry.run("job_event", spark, sf_dir).select("host", "state", "ts")
-    events.write.parquet(f"{place}/in")
-    changes = spark.readStream.schema(events.schema).parquet(f"{place}/in")
-    out = job_stream(changes).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").outputMode("append").trigger(availableNow=True).start()
+    events.write.parquet(f"{at}/in")
+    changes = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    out = job_stream(changes).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode("append").trigger(availableNow=True).start()
     out.awaitTermination()
-    return spark.read.schema("host string, state string").parquet(f"{place}/out")
+    return spark.read.schema("host string, state string").parquet(f"{at}/out")
 
 
 QUERIES = {"rate_limit": rate_limit, "credit_budget": credit_budget, "job_queue": job_queue, "job_state_stream": job_state_stream}
