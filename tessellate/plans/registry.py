@@ -105,13 +105,15 @@ def over(spark: SparkSession, name: str, sf_dir: str | None = None, instead: dic
         instead = {k: v for k, v in ASSEMBLED.items() if k not in tables}
     if name in tables:
         return tables[name]
+    missing = INPUTS.keys() - tables.keys() if sf_dir is None and instead else set()
+    if name in missing:
+        return spark.createDataFrame([], INPUTS[name])
     made = {} if _made is None else _made
     if name in made:
         return made[name]
     if name in FRAMES:
         reads, build = FRAMES[name]
         return build(*(over(spark, r, sf_dir, instead, made, **tables) for r in reads))
-    missing = INPUTS.keys() - tables.keys() if sf_dir is None and instead else set()
     statement, outside = text(name, SPARK, frozenset(tables) | missing, instead)
     views = {}
     for t in sorted(outside):
