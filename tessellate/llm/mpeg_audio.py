@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bound_batches
+from .storage import bound_batches, fresh
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by version and layer, sampling rates in Hz, samples a frame.
 KBITS = {
@@ -260,8 +260,9 @@ INDEX = "version string, layer int, rate int, mono boolean, kbits array<int>, n_
 
 
 def indexed(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with ``index``: struct of header fields, exact duration and seek offsets. Null media: an index without frames."""
+    """media with ``index`` (or, where media has such a column, index_): struct of header fields, exact duration and seek offsets. Null media: an index without frames."""
     bound_batches(media.sparkSession)
+    name = fresh(media, "index")
     kind = pa.struct([
         ("version", pa.string()), ("layer", pa.int32()), ("rate", pa.int32()), ("mono", pa.bool_()), ("kbits", pa.list_(pa.int32())), ("n_frames", pa.int64()), ("samples", pa.int64()),
         ("duration_us", pa.int64()), ("seek", pa.list_(pa.int64())), ("checked", pa.int64()), ("broken", pa.int64()), ("skipped", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())),
@@ -274,10 +275,9 @@ def indexed(media: DataFrame, column: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(column)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([row(x) for x in b.column(at).to_pylist()], kind)], [*b.schema.names, "index"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([row(x) for x in b.column(at).to_pylist()], kind)], [*b.schema.names, name])
 
-    rows = media.drop("index") if column != "index" else media
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", index struct<{', '.join(x.replace(' ', ': ', 1) for x in INDEX.split(', '))}>")
+    return media.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + f", {name} struct<{', '.join(x.replace(' ', ': ', 1) for x in INDEX.split(', '))}>")
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

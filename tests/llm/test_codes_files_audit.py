@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from tessellate.llm import divergence, queries, re_pair, site_tree, token_files, vector_codes, word_bpe  # noqa: E402
+from tessellate.llm import divergence, mpeg_audio, queries, re_pair, site_tree, token_files, vector_codes, word_bpe  # noqa: E402
 
 from .test_operators import odd_texts, table  # noqa: E402
 
@@ -304,3 +304,10 @@ def test_removed_branches_are_those_of_the_rules(spark):
         part = [b for b in kept if b.node.main is not None]
         part = part if 2 * sum(len(b.text) for b in part) >= sum(len(b.text) for b in kept) else kept
         assert texts[i] == " ".join(b.text for b in part)
+
+
+def test_a_column_of_the_name_stays(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    media = mpeg_audio.stored_texts(docs, "text", "doc_id").withColumn("index", F.lit("mine"))
+    got = mpeg_audio.indexed(media).collect()
+    assert [r["index"] for r in got] == ["mine", "mine"] and all(r["index_"].n_frames > 0 for r in got)
