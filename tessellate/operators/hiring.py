@@ -28,13 +28,19 @@ SELECT site, ord, ats, nullif(CASE ats WHEN 'lever' THEN {g('text')} ELSE {g('ti
   CASE ats WHEN 'greenhouse' THEN {g('absolute_url')} WHEN 'lever' THEN {g('hostedUrl')} ELSE {g('jobUrl')} END AS url FROM board_reply"""
 
 
+@relation
+def board_once(d):
+    """Each board of a site once, where it was named first: pages name one more than once."""
+    return "SELECT site, ats, token, min(ord) AS ord, min_by(jobs, ord) AS jobs FROM board_hint GROUP BY site, ats, token"
+
+
 @query
 def jobs_first_source(d):
     """The first board with an adapter that answers with a job; boards without one are named, not read as no hiring."""
     usable = "ats IN ('greenhouse', 'lever', 'ashby')"
     return f"""
-SELECT h.site, f.ats AS used, f.jobs, h.attempts, h.unread FROM (SELECT site, CAST(count(*) AS BIGINT) AS attempts, {d.count_if(f'NOT {usable}')} AS unread FROM board_hint GROUP BY site) h
-LEFT JOIN (SELECT site, ats, jobs FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS nth FROM board_hint WHERE {usable} AND jobs > 0) WHERE nth = 1) f ON h.site = f.site"""
+SELECT h.site, f.ats AS used, f.jobs, h.attempts, h.unread FROM (SELECT site, CAST(count(*) AS BIGINT) AS attempts, {d.count_if(f'NOT {usable}')} AS unread FROM board_once GROUP BY site) h
+LEFT JOIN (SELECT site, ats, jobs FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord) AS nth FROM board_once WHERE {usable} AND jobs > 0) WHERE nth = 1) f ON h.site = f.site"""
 
 
 @query

@@ -243,8 +243,8 @@ def board_reply(d):
 def board_hint(d):
     """Boards that a site's pages point to, in order; a board answers with some jobs or none."""
     return f"""
-SELECT c_custkey AS site, idx AS ord, {picked(d, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'], '(c_custkey + idx) % 5')} AS ats, CASE WHEN (c_custkey + idx) % 3 = 0 THEN 0 ELSE (c_custkey * 7 + idx) % 40 END AS jobs
-FROM ({d.explode('c_custkey', 'customer', d.array("'a'", "'b'", "'c'"), 'hint', 'idx')})"""
+SELECT c_custkey AS site, idx AS ord, {picked(d, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'], '(c_custkey + idx % 3) % 5')} AS ats, concat('board', {d.text('c_custkey + idx % 3')}) AS token, CASE WHEN (c_custkey + idx) % 3 = 0 THEN 0 ELSE (c_custkey * 7 + idx) % 40 END AS jobs
+FROM ({d.explode('c_custkey', 'customer', d.array("'a'", "'b'", "'c'", "'a'"), 'hint', 'idx')})"""
 
 
 @relation

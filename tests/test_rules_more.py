@@ -119,6 +119,11 @@ def test_no_window_over_a_whole_host(spark):
     assert windows and all(w.startswith("windowspecdefinition(_range#") for w in windows if "loc#" in w)  # the other one is over a row a range
 
 
+def test_a_board_counts_once(spark):
+    hints = spark.createDataFrame([(1, 0, "icims", "a", 9), (1, 1, "lever", "x", 0), (1, 2, "icims", "a", 9), (1, 3, "lever", "x", 7), (1, 4, "lever", "y", 3)], "site long, ord int, ats string, token string, jobs int")
+    assert [tuple(r) for r in registry.over(spark, "jobs_first_source", board_hint=hints).collect()] == [(1, "lever", 3, 3, 1)]
+
+
 def test_broken_evidence_files_are_named(spark):
     files = spark.createDataFrame([("a", '{"meta":{"site":1,"normalized_host":"x.com"},"robots":{"present":true},"not_observed":["n"]}'), ("b", '{"meta":{"si'), ("c", ""), ("d", None)], "path string, body string")
     assert [(r.site, r.host, r.canonical_urls, r.robots_fetched, r.notes) for r in registry.over(spark, "evidence_scan", evidence_file=files).collect()] == [(1, "x.com", None, True, 1)]
