@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import fixed, numbers
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation
+from ..plans.registry import frame, query, relation
 
 PATHS = ["/", "/private/x", "/private/open/y", "/a", "/doc.pdf", "/doc.pdf?x", "/search", "/search/about/us"]
 
@@ -20,6 +23,13 @@ def robots_lines(d):
     return d.explode("site, host", "robots_txt" if d.spark else "robots_txt", d.split("coalesce(body, '')", "\n"), "raw", "idx")
 
 
+@frame("robots_lines", "robots_txt")
+def lines(files: DataFrame) -> DataFrame:
+    """Spark's form: files are dealt out by site before they are cut, as few bytes of a table may be many lines; all that goes by site then needs no other shuffle."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n, "site").select("site", "host", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n", -1)).alias("idx", "raw")).select("site", "host", "raw", "idx")
+
+
 @relation
 def robots_line(d):
     """Lines that say something, each in the group it belongs to: an agent line after anything else opens a group; rules before any agent are everyone's."""
@@ -73,16 +83,45 @@ def crawl_delay(d):
     return f"SELECT site, least(min_by(crawl_delay, grp) * 1000, 2000) AS delay_ms FROM robots_group WHERE {d.has(d.split('agents', ' '), d.lit('*'))} AND crawl_delay IS NOT NULL GROUP BY site"
 
 
+@relation
+def robots_site(d):
+    """Spark's form of a file: one row a site with its agents, each with its group, and its rules that say something."""
+    rule = f"struct(grp, field = 'allow' AS allow, value AS path, {rule_pattern(d, 'value')} AS pattern, NOT {d.rx('value', '[*$]')} AS plain, length({d.sub('value', '[$]$')}) AS weight)"
+    return f"""
+SELECT site, CASE WHEN opened THEN concat(named, array(struct('*' AS token, 0 AS grp))) ELSE named END AS tokens, rules FROM (
+  SELECT site, collect_list(CASE WHEN field = 'user-agent' THEN struct(lower(value) AS token, grp) END) AS named, max(grp = 0 AND field <> 'sitemap') AS opened,
+    collect_list(CASE WHEN field IN ('allow', 'disallow') AND value <> '' THEN {rule} END) AS rules FROM robots_line GROUP BY site)"""
+
+
+@relation
+def robots_agents(d):
+    """Spark's form: a row a site with every agent, whether the file names it, and the groups whose rules hold for it. So sites are multiplied by agents (and paths) only as rows leave, behind all shuffles."""
+    hits = "filter(tokens, t -> t.token <> '*' AND contains(lower(a.agent), t.token))"
+    own = f"array_max(transform({hits}, t -> struct(length(t.token) * 1000000 - t.grp AS weight, t.grp AS grp))).grp"
+    return f"""
+SELECT site, rules, transform(owned, a -> struct(a.ord AS ord, a.agent AS agent, a.kind AS kind, a.named AS named, CASE WHEN a.own IS NULL THEN everyones ELSE array(a.own) END AS grps)) AS agents FROM (
+  SELECT site, rules, array_sort(array_distinct(transform(filter(tokens, t -> t.token = '*'), t -> t.grp))) AS everyones,
+    transform(known, a -> struct(a.ord AS ord, a.agent AS agent, a.kind AS kind, exists(tokens, t -> t.token = lower(a.agent)) AS named, {own} AS own)) AS owned
+  FROM robots_site CROSS JOIN (SELECT collect_list(struct(ord, agent, kind)) AS known FROM ai_agent))"""
+
+
+def matching(path: str) -> str:
+    """Spark's form: the rules of a site that match a path."""
+    return f"filter(rules, r -> CASE WHEN r.plain THEN startswith({path}, r.path) ELSE {path} RLIKE r.pattern END)"
+
+
+def verdict(matches: str, grps: str) -> str:
+    """Spark's form of allowed(): what the matching rules of some groups say."""
+    longest = lambda kind: f"coalesce(array_max(transform(filter({matches}, r -> {kind} AND array_contains({grps}, r.grp)), r -> r.weight)), -1)"
+    return f"({longest('NOT r.allow')} = -1 OR {longest('r.allow')} >= {longest('NOT r.allow')})"
+
+
 @relation
 def agent_group(d):
     """The groups whose rules hold for an agent: the one with its longest token, else all of everyone's."""
     hit = f"a.token <> '*' AND {d.contains('lower(g.agent)', 'a.token')}"
-    if d.spark:  # one aggregate over a site's tokens and the agents
-        return f"""
-SELECT site, agent, kind, ord, grp FROM (
-  SELECT a.site, g.agent, g.kind, g.ord, max_by(a.grp, CASE WHEN {hit} THEN length(a.token) * 1000000 - a.grp END) AS own, collect_set(CASE WHEN a.token = '*' THEN a.grp END) AS everyones
-  FROM robots_agent a CROSS JOIN ai_agent g WHERE a.token = '*' OR {hit} GROUP BY a.site, g.agent, g.kind, g.ord)
-LATERAL VIEW explode(CASE WHEN own IS NULL THEN everyones ELSE array(own) END) _g AS grp"""
+    if d.spark:
+        return "SELECT site, a.agent, a.kind, a.ord, grp FROM robots_agents LATERAL VIEW explode(agents) _a AS a LATERAL VIEW explode(a.grps) _g AS grp"
     return f"""
 SELECT site, agent, kind, ord, grp FROM (
   SELECT a.site, g.agent, g.kind, g.ord, a.grp, row_number() OVER (PARTITION BY a.site, g.agent ORDER BY length(a.token) DESC, a.grp) AS nth FROM robots_agent a CROSS JOIN ai_agent g WHERE {hit}) WHERE nth = 1
@@ -112,13 +151,33 @@ FROM {cases} LEFT JOIN robots_rule r ON c.site = r.site AND c.grp = r.grp AND {h
 
 @query
 def robots_allowed(d):
+    """Spark decides once for each path and each set of groups that holds for some agent of a site."""
+    if d.spark:
+        cells = f"transform({d.array(*(d.lit(p) for p in PATHS))}, p -> struct(p AS path, {matching('p')} AS matches))"
+        return f"""
+SELECT site, a.agent, v.path, v.allowed FROM (
+  SELECT site, agents, transform(array_distinct(transform(agents, a -> a.grps)), g -> struct(g AS grps, transform(cells, c -> struct(c.path AS path, {verdict('c.matches', 'g')} AS allowed)) AS verdicts)) AS cases FROM (SELECT site, agents, {cells} AS cells FROM robots_agents))
+LATERAL VIEW explode(filter(agents, x -> size(x.grps) > 0)) _a AS a LATERAL VIEW explode(try_element_at(filter(cases, x -> x.grps = a.grps), 1).verdicts) _v AS v"""
     paths = d.explode("site, agent, grp", "agent_group", d.array(*(d.lit(p) for p in PATHS)), "path", "idx")
     return allowed(d, f"({paths}) c", "c.site, c.agent, c.path", "c.path")
 
 
+@relation
+def robots_access(d):
+    """Spark's form of agent_access: a row a site with a robots file, and how many files it has."""
+    return f"""
+SELECT s.site, s.files, transform(coalesce(k.agents, n.everyone), a -> struct(a.ord AS ord, a.agent AS agent, a.kind AS kind, a.named AS named, a.allowed AS allowed)) AS agents
+FROM (SELECT site, CAST(count(*) AS INTEGER) AS files FROM robots_txt WHERE body IS NOT NULL GROUP BY site) s
+LEFT JOIN (SELECT site, transform(agents, a -> struct(a.ord AS ord, a.agent AS agent, a.kind AS kind, a.named AS named, {verdict('matches', 'a.grps')} AS allowed)) AS agents FROM (
+  SELECT site, agents, {matching("'/'")} AS matches FROM robots_agents)) k ON s.site = k.site
+CROSS JOIN (SELECT collect_list(struct(ord, agent, kind, false AS named, true AS allowed)) AS everyone FROM ai_agent) n"""
+
+
 @relation
 def agent_access(d):
     """Of every site with a robots file and every agent: may it read the root?"""
+    if d.spark:
+        return "SELECT site, a.ord, a.agent, a.kind, a.allowed AS root_allowed, a.named FROM robots_access LATERAL VIEW explode(flatten(array_repeat(agents, files))) _a AS a"
     known = allowed(d, "(SELECT *, '/' AS path FROM agent_group) c", "c.site, c.agent", "c.path")
     return f"""
 SELECT s.site, g.ord, g.agent, g.kind, coalesce(k.allowed, true) AS root_allowed, n.token IS NOT NULL AS named
@@ -139,9 +198,15 @@ def robots_by_host(d):
     return f"SELECT p.page_id, p.path, coalesce(k.allowed, true) AS allowed FROM {pages} p LEFT JOIN ({known}) k ON p.page_id = k.page_id"
 
 
+@relation
+def robots_signal(d):
+    """Spark's form of the groups' content signals, of the lines that hold them alone."""
+    return "SELECT site, grp, max_by(value, idx) AS content_signal FROM robots_line WHERE field = 'content-signal' GROUP BY site, grp"
+
+
 @relation
 def content_signal(d):
-    parts = d.explode("site, grp, content_signal", "(SELECT * FROM robots_group WHERE content_signal IS NOT NULL AND content_signal <> '')", d.split("content_signal", ","), "part", "idx")
+    parts = d.explode("site, grp, content_signal", f"(SELECT * FROM {'robots_signal' if d.spark else 'robots_group'} WHERE content_signal IS NOT NULL AND content_signal <> '')", d.split("content_signal", ","), "part", "idx")
     key, value = f"lower({d.trim(d.ext('part', '^([^=]*)'))})", f"lower({d.trim(d.ext('part', '^[^=]*=([^=]*)'))})"
     return f"SELECT site, grp, content_signal, name, max_by(setting, idx) AS setting FROM (SELECT site, grp, content_signal, {key} AS name, {value} AS setting, idx FROM ({parts})) WHERE name <> '' GROUP BY site, grp, content_signal, name"
 
@@ -151,12 +216,16 @@ def content_signal_map(d):
     return "SELECT site, grp, name, setting FROM content_signal"
 
 
+#: The kinds of agents that serve what a group's signals grant.
+GRANTS = "SELECT DISTINCT site, grp, content_signal, k.kind FROM content_signal JOIN (SELECT * FROM (VALUES ('search', 'yes', 'search'), ('ai-input', 'yes', 'search'), ('ai-input', 'yes', 'user-fetch'), ('use', 'reference', 'search'), ('use', 'reference', 'user-fetch'), ('use', 'excerpt', 'search'), ('use', 'excerpt', 'user-fetch'), ('use', 'full', 'search'), ('use', 'full', 'user-fetch')) AS _g(grant_name, grant_value, kind)) k ON name = k.grant_name AND setting = k.grant_value"
+
+
 @query
 def signal_contradictions(d):
     """Signals that grant a use while agents of just the kind that serves it are blocked."""
     return f"""
 SELECT s.site, s.grp, s.content_signal, {d.join(d.lists('a.agent', 'a.ord'), ', ')} AS blocked_agents, CAST(count(*) AS BIGINT) AS n_blocked FROM (
-  SELECT DISTINCT site, grp, content_signal, k.kind FROM content_signal JOIN (SELECT * FROM (VALUES ('search', 'yes', 'search'), ('ai-input', 'yes', 'search'), ('ai-input', 'yes', 'user-fetch'), ('use', 'reference', 'search'), ('use', 'reference', 'user-fetch'), ('use', 'excerpt', 'search'), ('use', 'excerpt', 'user-fetch'), ('use', 'full', 'search'), ('use', 'full', 'user-fetch')) AS _g(grant_name, grant_value, kind)) k ON name = k.grant_name AND setting = k.grant_value) s
+  {GRANTS}) s
 JOIN agent_access a ON a.site = s.site AND a.kind = s.kind AND NOT a.root_allowed GROUP BY s.site, s.grp, s.content_signal"""
 
 

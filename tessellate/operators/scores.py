@@ -5,13 +5,22 @@ from __future__ import annotations
 from ..functions import fixed, numbers
 from ..functions.numbers import piecewise
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation
+from ..plans.registry import query, relation, written
+from .robots import GRANTS
 
 
-@relation
+@written
 def robots_facts(d):
     """What a site's robots file says to agents, for the scores: the weighted share let in, agents kept out, signals, and whether they contradict that."""
     weight = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in fixed.ACCESS_WEIGHTS.items()) + " END"
+    if d.spark:  # a row a site all the way
+        sums = lambda x, of: f"aggregate({of}, 0L, (n, a) -> n + {x})"
+        weigh = weight.replace("CASE kind", "CASE a.kind")
+        return f"""
+SELECT a.site, {d.dbl(sums(weigh, "filter(a.agents, a -> a.allowed)"))} / {d.dbl(sums(weigh, "a.agents"))} AS access, CAST(size(filter(a.agents, a -> NOT a.allowed)) * a.files AS BIGINT) AS agents_blocked, coalesce(s.signals, 0) AS signals,
+  coalesce(exists(a.agents, x -> NOT x.allowed AND array_contains(g.kinds, x.kind)), false) AS contradicted FROM robots_access a
+LEFT JOIN (SELECT site, CAST(count(*) AS BIGINT) AS signals FROM robots_signal WHERE content_signal <> '' GROUP BY site) s ON a.site = s.site
+LEFT JOIN (SELECT site, collect_set(kind) AS kinds FROM ({GRANTS}) GROUP BY site) g ON a.site = g.site"""
     return f"""
 SELECT a.site, a.access, a.agents_blocked, coalesce(s.signals, 0) AS signals, c.site IS NOT NULL AS contradicted
 FROM (SELECT site, {d.dbl(f'sum(CASE WHEN root_allowed THEN {weight} ELSE 0 END)')} / {d.dbl(f'sum({weight})')} AS access, {d.count_if('NOT root_allowed')} AS agents_blocked FROM agent_access GROUP BY site) a
@@ -72,7 +81,7 @@ def _named(columns: dict[str, str]) -> str:
 INSUFFICIENT = f"(total_urls > 0 AND (unclassified_pct >= 50 OR (coalesce(pool, 0) < {fixed.LEAST_POOL} AND unclassified_pct >= 30)))"
 
 
-@relation
+@written
 def graded_evidence(d):
     """Evidence with everything of a site's score, in one pass. Scores are derived on reading, never stored with evidence."""
     w = fixed.CATEGORY_WEIGHTS

@@ -8,6 +8,8 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @lru_cache(maxsize=8)
@@ -37,8 +39,10 @@ def place(spark: SparkSession, label: str) -> str:
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back: its lineage is cut, and lost executors cost nothing that is done."""
     path = place(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    void = {f.name for f in df.schema if f.dataType.typeName() == "void"}  # Parquet has no such column
+    df.drop(*void).write.parquet(path)
+    found = df.sparkSession.read.schema(StructType([f for f in df.schema if f.name not in void])).parquet(path)
+    return found.select(*(F.lit(None).alias(f.name) if f.name in void else F.col(f"`{f.name}`") for f in df.schema)) if void else found
 
 
 @atexit.register
