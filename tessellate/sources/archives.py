@@ -35,23 +35,28 @@ def compressed(name: str = "path", content: str = "content"):
     return F.col(name).rlike(r"(?i)\.gz($|\?)") | (F.hex(F.substring(content, 1, 2)) == "1F8B")
 
 
+def by_bytes(rows: Iterator[tuple], most: int = BATCH) -> Iterator[list[tuple]]:
+    """Rows in lists that end once their texts and bytes come to more than most."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += sum(len(x) for x in r if isinstance(x, (bytes, str)))
+        if size > most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _per_file(files: DataFrame, schema: str, rows) -> DataFrame:
-    """A row for each that rows(path, content) gives, in batches of about BATCH bytes of input."""
+    """A row for each that rows(path, content) gives, in batches of about BATCH bytes of output: what is unpacked may be far more than what is read."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, size = [], 0
-            for path, data in zip(b.column(0), b.column(1)):
-                data = data.as_py() or b""
-                out += rows(path.as_py(), data)
-                size += len(data)
-                if size > BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
-                    out, size = [], 0
-            if out:
+            for out in by_bytes(r for path, data in zip(b.column(0), b.column(1)) for r in rows(path.as_py(), data.as_py() or b"")):
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     return files.select("path", "content").mapInArrow(run, schema)

@@ -18,8 +18,8 @@ from . import archives
 def _packed(pages: DataFrame, pack) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [pack(k, t or "") for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.binary())], ["path", "content"])
+            for made in archives.by_bytes(pack(k.as_py(), t.as_py() or "") for k, t in zip(b.column(0), b.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], pa.binary())], ["path", "content"])
 
     return pages.select("page_id", "html").mapInArrow(run, "path string, content binary")
 
