@@ -6,8 +6,9 @@ charged its real one.  A call without room is skipped, and a cheaper one after i
 1. Runs are replayed by themselves, each in its order, under their own bound.
 2. Running sums over the months (no task holds a month) show the first call that the month has no room for.  Up to
    there the replay was right.
-3. From there on a month has less room than one call may need, so few more are made: each round finds the next one of
-   every month that fits, until none does.  Rounds are bounded by the dearest call's expected cost over the cheapest real one.
+3. From there on a month has less room than one call may need, so few more are made.  Those that had room at that point
+   are set aside once; each round takes the next NEXT of every month that still have room and replays them, until a month
+   has no more.  A round makes at least one call, and mostly all.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running
 from ..sources.scratch import kept
 
 UNBOUNDED = 1 << 60
+NEXT = 4096
 
 
 def by_run(calls: DataFrame, run_cap: int) -> DataFrame:
@@ -62,31 +64,40 @@ def within_budgets(calls: DataFrame, run_cap: int = UNBOUNDED, month_cap: int =
     base = replayed.join(ended({}).select("month", "end"), "month").filter("key >= end").groupBy("month", "run").agg(F.min_by("run_before", "key").alias("run_base"))
     tail = kept(replayed.join(ended({}).select("month", "end"), "month").filter("key >= end").drop("end").join(base, ["month", "run"]), "budget-tail") if ends else None
 
-    def judged(found: dict) -> DataFrame:
-        """The tail with what its months and runs have spent before each call, given the calls that were made since."""
+    def judged(found: dict, calls: DataFrame) -> DataFrame:
+        """Calls of the tail with what its months and runs have spent before each call, given the calls that were made since."""
         before = "filter(later, x -> x.t < t OR x.t = t AND x.id < id)"
-        rows = tail.join(ended(found), "month")
+        rows = calls.join(ended(found), "month")
         rows = rows.withColumn("month_spent", F.expr(f"spent + aggregate({before}, 0L, (a, x) -> a + x.cost)"))
         rows = rows.withColumn("run_spent", F.expr(f"run_base + aggregate(filter({before}, x -> x.run = run), 0L, (a, x) -> a + x.cost)"))
         run_fits, month_fits = F.col("run_spent") + F.col("projected") <= run_cap, (F.col("projected") == 0) | (F.col("month_spent") + F.col("projected") <= month_cap)
         return rows.withColumn("made", run_fits & month_fits).withColumn("why", F.when(~run_fits, "run").when(~month_fits, "month"))
 
+    # Calls that cost something and that month and run had room for at the end of the replay: no other can be made later, as what is spent only grows.
+    could = (F.col("cost") > 0) & (F.col("run_base") + F.col("projected") <= run_cap) & ((F.col("projected") == 0) | (F.col("spent") + F.col("projected") <= month_cap))
+    possible = kept(tail.join(ended({}), "month").filter(could).select(tail.columns), "budget-possible") if ends else None
     found: dict[str, list] = {}
-    while ends:
-        last = {m: v[-1][:2] for m, v in found.items()}
-        rows = judged(found).filter("made AND cost > 0")
-        if last:
-            rows = rows.join(spark.createDataFrame([(m, *k) for m, k in last.items()], "month string, last_t long, last_id long"), "month", "left").filter("last_t IS NULL OR t > last_t OR t = last_t AND id > last_id")
-        # The next call of every month that is made and costs something: a row a month.
-        following = rows.groupBy("month").agg(F.min(F.struct("t", "id", "run", "cost")).alias("n")).collect()
-        if not following:
-            break
+    seen: dict[str, tuple | None] = dict.fromkeys(ends)  # months that may have more calls, with the last one looked at
+    while seen:
+        reached = spark.createDataFrame([(m, *(k or (None, None))) for m, k in seen.items()], "month string, last_t long, last_id long")
+        rows = judged(found, possible).filter("made AND cost > 0").join(reached, "month").filter("last_t IS NULL OR t > last_t OR t = last_t AND id > last_id")
+        # The next calls of every month, NEXT at most: so many rows a month reach the driver.
+        following = rows.withColumn("nth", F.row_number().over(Window.partitionBy("month").orderBy("t", "id"))).filter(F.col("nth") <= NEXT).select("month", "t", "id", "run", "cost", "projected", "month_spent", "run_spent").collect()
+        by_month: dict[str, list] = {}
         for r in following:
-            found.setdefault(r["month"], []).append(tuple(r["n"]))
+            by_month.setdefault(r["month"], []).append(r)
+        for month, calls_ in by_month.items():
+            spent, runs = 0, {}
+            for r in sorted(calls_, key=lambda r: (r["t"], r["id"])):
+                if r["run_spent"] + runs.get(r["run"], 0) + r["projected"] <= run_cap and (r["projected"] == 0 or r["month_spent"] + spent + r["projected"] <= month_cap):
+                    found.setdefault(month, []).append((r["t"], r["id"], r["run"], r["cost"]))
+                    spent, runs[r["run"]] = spent + r["cost"], runs.get(r["run"], 0) + r["cost"]
+                seen[month] = (r["t"], r["id"])
+        seen = {m: k for m, k in seen.items() if len(by_month.get(m, [])) == NEXT}
     out = ["month", "run", "id", "made", "why", "used"]
     early = replayed.withColumn("made", F.col("fits")).withColumn("why", F.when(~F.col("fits"), "run")).withColumn("used", F.col("month_before") + F.col("charged"))
     if not ends:
         return early.select(out)
     early = early.join(ended({}).select("month", "end"), "month", "left").filter("end IS NULL OR key < end")
-    late = judged(found).withColumn("used", F.col("month_spent") + F.when(F.col("made"), F.col("cost")).otherwise(0))
+    late = judged(found, tail).withColumn("used", F.col("month_spent") + F.when(F.col("made"), F.col("cost")).otherwise(0))
     return early.select(out).unionByName(late.select(out))
