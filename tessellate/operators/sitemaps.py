@@ -7,29 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, urls
 from ..plans.adapters import NOW_ORDERS
-from ..plans.registry import frame, query, relation
+from ..plans.dialect import Dialect
+from ..plans.registry import frame, query, relation, written
 from ..sources.scratch import kept
 
 
-@relation
-def sitemap_entry(d):
-    index = d.rx("xml", r"(?i)<sitemapindex[\s>]")
-    blocks = f"CASE WHEN {index} THEN {d.exta('xml', r'(?is)<sitemap[\s>].*?</sitemap>', 0)} WHEN {d.rx('xml', r'(?is)<url[\s>].*?</url>')} THEN {d.exta('xml', r'(?is)<url[\s>].*?</url>', 0)} ELSE {d.exta('xml', r'(?is)<loc>.*?</loc>', 0)} END"
-    parts = d.explode(f"site_host, url, doc_ord, {index} AS is_index", "sitemap_doc", blocks, "block", "idx")
+def entries(d: Dialect, parts: str, also: str = "") -> str:
+    """What the blocks of documents say: parts(site_host, url, doc_ord, is_index, block, idx), those without an address only if ``also`` holds."""
     raw = d.trim(d.ext("block", r"(?is)<loc>\s*(.*?)\s*</loc>"))
     plain = f"replace(replace(replace(replace(replace(raw, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', {d.lit(chr(39))})"
     return f"""
 SELECT site_host, url, doc_ord, is_index, idx, {urls.resolved(d, 'url', 'plain')} AS loc, lastmod FROM (
   SELECT site_host, url, doc_ord, is_index, idx, {plain} AS plain, nullif(lastmod, '') AS lastmod FROM (
-    SELECT site_host, url, doc_ord, is_index, idx, {raw} AS raw, {d.trim(d.ext('block', r'(?is)<lastmod>\s*(.*?)\s*</lastmod>'))} AS lastmod FROM ({parts})) WHERE raw <> '')"""
+    SELECT site_host, url, doc_ord, is_index, idx, {raw} AS raw, {d.trim(d.ext('block', r'(?is)<lastmod>\s*(.*?)\s*</lastmod>'))} AS lastmod FROM ({parts})) WHERE {also}raw <> '')"""
+
+
+def blocks(d: Dialect) -> tuple[str, str]:
+    """Is a document an index, and the parts of it that name an address."""
+    index = d.rx("xml", r"(?i)<sitemapindex[\s>]")
+    return index, f"CASE WHEN {index} THEN {d.exta('xml', r'(?is)<sitemap[\s>].*?</sitemap>', 0)} WHEN {d.rx('xml', r'(?is)<url[\s>].*?</url>')} THEN {d.exta('xml', r'(?is)<url[\s>].*?</url>', 0)} ELSE {d.exta('xml', r'(?is)<loc>.*?</loc>', 0)} END"
+
+
+@written
+def sitemap_read(d):
+    """Spark's form of all documents, read once: their entries, and of each document a row of place -1. What a document is is told before it is cut: told behind that it would be looked up in the whole document for every entry."""
+    index, parts = blocks(d)
+    documents = f"(SELECT site_host, url, doc_ord, xml, {index} AS is_index FROM sitemap_doc)"
+    each = d.explode("site_host, url, doc_ord, is_index", documents, f"concat(array(CAST(NULL AS STRING)), coalesce({parts.replace(index, 'is_index', 1)}, CAST(array() AS ARRAY<STRING>)))", "block", "at")
+    return entries(d, f"SELECT site_host, url, doc_ord, is_index, block, at - 1 AS idx FROM ({each})", "idx < 0 OR ")
+
+
+@relation
+def sitemap_entry(d):
+    if d.spark:
+        return "SELECT site_host, url, doc_ord, is_index, idx, loc, lastmod FROM sitemap_read WHERE idx >= 0"
+    index, parts = blocks(d)
+    return entries(d, d.explode(f"site_host, url, doc_ord, {index} AS is_index", "sitemap_doc", parts, "block", "idx"))
 
 
 @query
 def sitemap_parse(d):
     """Documents by what they are: an index, a set of URLs, or neither if nothing can be read from them."""
+    index, documents = ("x.is_index", "(SELECT url, is_index FROM sitemap_read WHERE idx < 0)") if d.spark else (d.rx("x.xml", r"(?i)<sitemapindex[\s>]"), "sitemap_doc")
     return f"""
-SELECT x.url, CASE WHEN {d.rx('x.xml', r'(?i)<sitemapindex[\s>]')} THEN 'index' WHEN e.entries > 0 THEN 'urlset' ELSE 'unknown' END AS kind, coalesce(e.entries, 0) AS entries, coalesce(e.entries_with_lastmod, 0) AS entries_with_lastmod
-FROM sitemap_doc x LEFT JOIN (SELECT url, CAST(count(*) AS BIGINT) AS entries, CAST(count(lastmod) AS BIGINT) AS entries_with_lastmod FROM sitemap_entry GROUP BY url) e ON x.url = e.url"""
+SELECT x.url, CASE WHEN {index} THEN 'index' WHEN e.entries > 0 THEN 'urlset' ELSE 'unknown' END AS kind, coalesce(e.entries, 0) AS entries, coalesce(e.entries_with_lastmod, 0) AS entries_with_lastmod
+FROM {documents} x LEFT JOIN (SELECT url, CAST(count(*) AS BIGINT) AS entries, CAST(count(lastmod) AS BIGINT) AS entries_with_lastmod FROM sitemap_entry GROUP BY url) e ON x.url = e.url"""
 
 
 MOST_DOCUMENTS, MOST_URLS = 60, 60_000
@@ -45,6 +67,7 @@ def walked(seeds: DataFrame, documents: DataFrame, entries: DataFrame, denied: D
     but the kind ``left``. Each level is a join of the level before and an anti-join with all that was seen; its size is that of the level.
     """
     kinds = documents.select("url", "kind").join(denied.select("url").distinct().withColumn("no", F.lit(True)), "url", "full").select("url", F.when(F.col("no"), "skipped").otherwise(F.col("kind")).alias("kind"))
+    kinds = kept(kinds, "sitemap-kinds")
     links = entries.filter("is_index").select(F.col("url").alias("parent"), "loc", "idx")
     by = Window.partitionBy("site_host")
     level = seeds.groupBy("site_host", "url").agg(F.min(F.struct(F.col("ord").cast("long").alias("a"), F.lit(0).alias("b"))).alias("key"))
@@ -138,8 +161,18 @@ def sitemap_dedupe(d):
     return "SELECT loc, first_in, lastmod, repeats, found_in FROM sitemap_unique"
 
 
-@relation
+@written
 def dated_host(d):
+    """Spark's form counts by day first, in one pass."""
+    if d.spark:
+        age = f"{d.seconds(f"TIMESTAMP '{NOW_ORDERS}'")} - t"
+        return f"""
+SELECT host, urls_total, dated, newest, oldest, distinct_days, span_days, fresh_30d, fresh_90d, fresh_365d, CASE WHEN dated > 0 THEN top.day END AS top_day, CASE WHEN dated > 0 THEN top.n END AS top_n, {numbers.pct(d, 'CASE WHEN dated > 0 THEN top.n END', 'dated')} AS top_pct FROM (
+  SELECT host, sum(n) AS urls_total, coalesce(sum(CASE WHEN day IS NOT NULL THEN n END), 0L) AS dated, max(day) AS newest, min(day) AS oldest, count(day) AS distinct_days, CAST(floor((max(latest) - min(earliest)) / 86400.0 + 0.5) AS BIGINT) AS span_days,
+    sum(fresh_30d) AS fresh_30d, sum(fresh_90d) AS fresh_90d, sum(fresh_365d) AS fresh_365d, min_by(struct(day, n), CASE WHEN day IS NOT NULL THEN struct(-n AS fewer, first_pos) END) AS top FROM (
+    SELECT host, {d.day('date')} AS day, n, latest, earliest, first_pos, fresh_30d, fresh_90d, fresh_365d FROM (
+      SELECT host, date, count(*) AS n, max(t) AS latest, min(t) AS earliest, min(pos) AS first_pos, {d.count_if(f'{age} <= 30 * 86400')} AS fresh_30d, {d.count_if(f'{age} <= 90 * 86400')} AS fresh_90d, {d.count_if(f'{age} <= 365 * 86400')} AS fresh_365d
+      FROM (SELECT site_host AS host, CAST(lastmod AS DATE) AS date, {d.seconds('lastmod')} AS t, pos FROM sitemap_url) GROUP BY host, date)) GROUP BY host)"""
     now = d.seconds(f"TIMESTAMP '{NOW_ORDERS}'")
     age = f"{now} - t"
     return f"""

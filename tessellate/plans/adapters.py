@@ -42,6 +42,16 @@ SELECT o_orderkey AS pos, {host_name(d, 'o_orderkey % 40')} AS site_host,
 FROM orders"""
 
 
+@written
+def sitemap_host(d):
+    """Spark's form of the hosts that have sitemaps: all that is made a host is made of these few rows, not of every address."""
+    return "SELECT DISTINCT site_host FROM sitemap_url"
+
+
+def hosts(d: Dialect) -> str:
+    return "sitemap_host" if d.spark else "sitemap_url"
+
+
 def marked_up(d: Dialect, source: str) -> str:
     """Pages (page_id, url, html) with share, author and structured markup put in after the head opens."""
     k = "page_id"
@@ -75,7 +85,7 @@ def page_html(d):
 @written
 def site_page_html(d):
     """What was read of the sites that have sitemaps: most of the sampled addresses, their homepages and careers pages, each with the text of one of the pages."""
-    own = " UNION ALL ".join(f"SELECT DISTINCT concat('https://', site_host, '{path}') AS url FROM sitemap_url" for path in ("/", "/careers"))
+    own = " UNION ALL ".join(f"SELECT DISTINCT concat('https://', site_host, '{path}') AS url FROM {hosts(d)}" for path in ("/", "/careers"))
     return marked_up(d, f"(SELECT u.page_id, u.url, p.html FROM (SELECT {d.number('url')} AS page_id, url FROM (SELECT url FROM site_sample UNION ALL {own})) u JOIN pages p ON p.page_id = u.page_id % 50 WHERE u.page_id % 9 <> 0)")
 
 
@@ -213,19 +223,19 @@ FROM (SELECT * FROM sitemap_url UNION ALL SELECT pos, site_host, loc, NULL AS la
 UNION ALL
 SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS doc_ord,
   concat('<sitemapindex><sitemap><loc>https://', site_host, '/sitemap-0.xml</loc></sitemap><sitemap><loc>/sitemap-1.xml</loc></sitemap><sitemap><loc>https://', site_host, '/sitemap-2.xml</loc></sitemap><sitemap><loc>https://', site_host, '/gone.xml</loc></sitemap><sitemap><loc>/empty.xml</loc></sitemap></sitemapindex>') AS xml
-FROM sitemap_url
-UNION ALL SELECT DISTINCT site_host, concat('https://', site_host, '/empty.xml') AS url, 9 AS doc_ord, '<urlset></urlset>' AS xml FROM sitemap_url"""
+FROM {hosts(d)}
+UNION ALL SELECT DISTINCT site_host, concat('https://', site_host, '/empty.xml') AS url, 9 AS doc_ord, '<urlset></urlset>' AS xml FROM {hosts(d)}"""
 
 
 @relation
 def sitemap_seed(d):
-    return "SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS ord FROM sitemap_url"
+    return f"SELECT DISTINCT site_host, concat('https://', site_host, '/sitemap.xml') AS url, 0 AS ord FROM {hosts(d)}"
 
 
 @relation
 def sitemap_denied(d):
     """Documents that a host's robots rules deny to our agent."""
-    return f"SELECT DISTINCT concat('https://', site_host, '/sitemap-1.xml') AS url FROM sitemap_url WHERE {d.rx('site_host', '[.]it$')}"
+    return f"SELECT DISTINCT concat('https://', site_host, '/sitemap-1.xml') AS url FROM {hosts(d)} WHERE {d.rx('site_host', '[.]it$')}"
 
 
 @relation
