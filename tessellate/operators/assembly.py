@@ -14,28 +14,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import fixed, markup, numbers, urls
+from ..plans.adapters import hosts
 from ..plans.dialect import Dialect
 from ..plans.registry import VARIANTS, frame, relation, written
 from .hiring import triggers
-from .robots import allowed
+from .robots import allowed, by_file
 from .sampling import drawn_places
 from .sites import quotas
 
 OWN_AGENT, SLOTS = "tessellatebot", 8
 
 
-@relation
+@written
 def site_list(d):
     """The sites to grade: those whose robots file was asked for, and those that only a sitemap names (their number is made from the host's name)."""
     key = lambda h: urls.cache_key(d, h)
     return f"""
 SELECT site, host, {key('host')} AS key FROM robots_txt
 UNION ALL
-SELECT {d.number('u.key')} AS site, u.host, u.key FROM (SELECT {key('site_host')} AS key, min(site_host) AS host FROM sitemap_url GROUP BY {key('site_host')}) u LEFT JOIN (SELECT DISTINCT {key('host')} AS key FROM robots_txt) r ON u.key = r.key WHERE r.key IS NULL"""
+SELECT {d.number('u.key')} AS site, u.host, u.key FROM (SELECT {key('site_host')} AS key, min(site_host) AS host FROM {hosts(d)} GROUP BY {key('site_host')}) u LEFT JOIN (SELECT DISTINCT {key('host')} AS key FROM robots_txt) r ON u.key = r.key WHERE r.key IS NULL"""
+
+
+@frame("site_blocked", "robots_txt")
+def blocked(files: DataFrame) -> DataFrame:
+    return by_file(files, "robots_blocked")
 
 
 @relation
 def site_blocked(d):
+    return robots_blocked(d)
+
+
+@relation
+def robots_blocked(d):
     """Sites that keep our own agent from the root: by its own group, else by everyone's."""
     named = f"a.token <> '*' AND {d.contains(d.lit(OWN_AGENT), 'a.token')}"
     own = f"""

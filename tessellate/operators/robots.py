@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, numbers
 from ..plans.dialect import Dialect
-from ..plans.registry import frame, query, relation
+from ..plans.registry import frame, over, query, relation
+from ..sources.scratch import kept
 
 PATHS = ["/", "/private/x", "/private/open/y", "/a", "/doc.pdf", "/doc.pdf?x", "/search", "/search/about/us"]
 
@@ -30,6 +31,19 @@ def lines(files: DataFrame) -> DataFrame:
     return files.repartition(n, "site").select("site", "host", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n", -1)).alias("idx", "raw")).select("site", "host", "raw", "idx")
 
 
+def by_file(files: DataFrame, relation: str) -> DataFrame:
+    """A relation of one row a site that hangs on what its robots file says: files that say the same are read once, and every site gets the row of its file. A site with several files is read by itself."""
+    sites = files.groupBy("site").agg(F.count("*").alias("n"), F.first("body").alias("body"))
+    alone = sites.filter("n = 1 AND body IS NOT NULL").select("site", "body")
+    texts = kept(alone.groupBy("body").agg(F.min("site").alias("twin")), "robots-texts")
+    several = files.join(sites.filter("n > 1").select("site"), "site", "left_semi").select("site", "host", "body")
+    read = texts.select(F.col("twin").alias("site"), F.lit(None).cast("string").alias("host"), "body").unionByName(several)
+    found = kept(over(files.sparkSession, relation, robots_txt=read), relation)
+    said = texts.join(found.withColumnRenamed("site", "twin"), "twin").drop("twin")
+    own = found.join(sites.filter("n > 1").select("site"), "site", "left_semi")
+    return alone.join(said, "body").select(found.columns).unionByName(own)
+
+
 @relation
 def robots_line(d):
     """Lines that say something, each in the group it belongs to: an agent line after anything else opens a group; rules before any agent are everyone's."""

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..functions import fixed, numbers
 from ..functions.numbers import piecewise
 from ..plans.dialect import Dialect
-from ..plans.registry import query, relation, written
-from .robots import GRANTS
+from ..plans.registry import frame, query, relation, written
+from .robots import GRANTS, by_file
 
 
-@written
-def robots_facts(d):
-    """What a site's robots file says to agents, for the scores: the weighted share let in, agents kept out, signals, and whether they contradict that."""
-    weight = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in fixed.ACCESS_WEIGHTS.items()) + " END"
-    if d.spark:  # a row a site all the way
-        sums = lambda x, of: f"aggregate({of}, 0L, (n, a) -> n + {x})"
-        weigh = weight.replace("CASE kind", "CASE a.kind")
-        return f"""
+WEIGHT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in fixed.ACCESS_WEIGHTS.items()) + " END"
+
+
+@relation
+def robots_fact(d):
+    """Spark's form of robots_facts for the files that it is given, a row a site all the way."""
+    sums = lambda x, of: f"aggregate({of}, 0L, (n, a) -> n + {x})"
+    weigh = WEIGHT.replace("CASE kind", "CASE a.kind")
+    return f"""
 SELECT a.site, {d.dbl(sums(weigh, "filter(a.agents, a -> a.allowed)"))} / {d.dbl(sums(weigh, "a.agents"))} AS access, CAST(size(filter(a.agents, a -> NOT a.allowed)) * a.files AS BIGINT) AS agents_blocked, coalesce(s.signals, 0) AS signals,
   coalesce(exists(a.agents, x -> NOT x.allowed AND array_contains(g.kinds, x.kind)), false) AS contradicted FROM robots_access a
 LEFT JOIN (SELECT site, CAST(count(*) AS BIGINT) AS signals FROM robots_signal WHERE content_signal <> '' GROUP BY site) s ON a.site = s.site
 LEFT JOIN (SELECT site, collect_set(kind) AS kinds FROM ({GRANTS}) GROUP BY site) g ON a.site = g.site"""
+
+
+@frame("robots_facts", "robots_txt")
+def facts(files: DataFrame) -> DataFrame:
+    return by_file(files, "robots_fact")
+
+
+@written
+def robots_facts(d):
+    """What a site's robots file says to agents, for the scores: the weighted share let in, agents kept out, signals, and whether they contradict that."""
+    weight = WEIGHT
     return f"""
 SELECT a.site, a.access, a.agents_blocked, coalesce(s.signals, 0) AS signals, c.site IS NOT NULL AS contradicted
 FROM (SELECT site, {d.dbl(f'sum(CASE WHEN root_allowed THEN {weight} ELSE 0 END)')} / {d.dbl(f'sum({weight})')} AS access, {d.count_if('NOT root_allowed')} AS agents_blocked FROM agent_access GROUP BY site) a
@@ -28,6 +42,17 @@ LEFT JOIN (SELECT site, CAST(count(*) AS BIGINT) AS signals FROM robots_group WH
 LEFT JOIN (SELECT DISTINCT site FROM signal_contradictions) c ON a.site = c.site"""
 
 
+@frame("evidence_dealt", "evidence")
+def dealt(evidence: DataFrame) -> DataFrame:
+    """Evidence dealt out by site: few bytes of a table may be many sites, and grading one takes long."""
+    return evidence.repartition(int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site")
+
+
+@relation
+def evidence_dealt(d):
+    return "SELECT * FROM evidence"
+
+
 @relation
 def evidence_wide(d):
     """evidence with its counts made consistent, and what the robots file adds; without one, robots_present is false."""
@@ -36,7 +61,7 @@ SELECT w.*, r.site IS NOT NULL AS robots_present, r.access, r.agents_blocked, r.
 SELECT *, CASE WHEN sampler_pool IS NULL THEN shareable ELSE least(shareable, sampler_pool) END AS pool, {numbers.pct(d, 'shareable', 'canonical_urls')} AS share_pct, {numbers.pct(d, 'unclassified', 'total_urls')} AS unclassified_pct,
   {numbers.pct(d, 'employees_posted', 'employees_indexed')} AS posting_rate, {numbers.pct(d, 'makers_posted', 'employees_indexed')} AS maker_rate, CASE WHEN pages_retrieved > pages_attempted_raw THEN pages_retrieved ELSE pages_attempted_raw END AS pages_attempted,
   coalesce(ats_reqs, board_reqs) AS reqs FROM (
-  SELECT *, CASE WHEN canonical_urls IS NULL THEN NULL ELSE least(CAST(floor(shareable_raw) AS BIGINT), canonical_urls) END AS shareable, CAST(floor(unclassified_raw) AS BIGINT) AS unclassified FROM evidence)) w LEFT JOIN robots_facts r ON w.site = r.site"""
+  SELECT *, CASE WHEN canonical_urls IS NULL THEN NULL ELSE least(CAST(floor(shareable_raw) AS BIGINT), canonical_urls) END AS shareable, CAST(floor(unclassified_raw) AS BIGINT) AS unclassified FROM {'evidence_dealt' if d.spark else 'evidence'})) w LEFT JOIN robots_facts r ON w.site = r.site"""
 
 
 @query
