@@ -11,12 +11,14 @@ import json
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SLOTS, WATCHDOG_MS = 2, 150_000
+CHUNK = 65_536
 OUT = "pool string, host string, state string, at timestamp"
 
 
@@ -65,6 +67,27 @@ class Pool:
         self._fill(at)
 
 
+def in_order(frames: Iterator[pd.DataFrame], chunk: int = CHUNK) -> Iterator[tuple[str, str, int]]:
+    """(host, kind, ms) of all frames by time and id. Events are held as numbers, 21 bytes each and 8 for their order; only a chunk of them stands as objects."""
+    hosts: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    held = {"ms": [], "id": [], "host": [], "kind": []}
+    for f in frames:
+        held["ms"].append(f["ms"].to_numpy())
+        held["id"].append(f["id"].to_numpy())
+        held["host"].append(np.array([hosts.setdefault(h, len(hosts)) for h in f["host"].tolist()], np.int32))
+        held["kind"].append(np.array([kinds.setdefault(k, len(kinds)) for k in f["kind"].tolist()], np.int8))
+    if not held["ms"]:
+        return
+    ms, ids, of, what = (np.concatenate(held.pop(c)) for c in ("ms", "id", "host", "kind"))
+    order = np.lexsort((ids, ms))
+    del ids
+    named, told = list(hosts), list(kinds)
+    for k in range(0, len(order), chunk):
+        at = order[k : k + chunk]
+        yield from ((named[h], told[w], t) for h, w, t in zip(of[at].tolist(), what[at].tolist(), ms[at].tolist()))
+
+
 class QueueProcessor(StatefulProcessor):
     """Pool as Spark's state: one value for who waits and runs, a map for how hosts stand. A host's state is read when it is named."""
 
@@ -82,8 +105,18 @@ class QueueProcessor(StatefulProcessor):
         states = {h: "queued" for h in held["waiting"]} | {h: "running" for h, _ in held["running"]}
         return Pool(held["waiting"], held["running"], states, self.slots, self.watchdog), timer
 
-    def _done(self, key, pool: Pool, timer: int) -> Iterator[pd.DataFrame]:
-        for host in dict.fromkeys(h for h, _, _ in pool.changes):
+    @staticmethod
+    def _changed(key, pool: Pool, touched: dict[str, None]) -> Iterator[pd.DataFrame]:
+        """What changed since the last call leaves."""
+        if pool.changes:
+            hosts, states, times = zip(*pool.changes)
+            pool.changes = []
+            touched.update(dict.fromkeys(hosts))
+            yield pd.DataFrame({"pool": key[0], "host": hosts, "state": states, "at": pd.to_datetime(list(times), unit="ms")})
+
+    def _done(self, key, pool: Pool, timer: int, touched: dict[str, None]) -> Iterator[pd.DataFrame]:
+        yield from self._changed(key, pool, touched)
+        for host in touched:
             self.hosts.updateValue((host,), (pool.state[host],))
         following = min(pool.running.values(), default=0)
         if following != timer:
@@ -92,23 +125,22 @@ class QueueProcessor(StatefulProcessor):
             if following:
                 self.handle.registerTimer(following)
         self.line.update((json.dumps({"waiting": list(pool.waiting), "running": list(pool.running.items())}), following))
-        if pool.changes:
-            hosts, states, times = zip(*pool.changes)
-            yield pd.DataFrame({"pool": key[0], "host": hosts, "state": states, "at": pd.to_datetime(list(times), unit="ms")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pool, timer = self._pool()
-        events = pd.concat(list(rows)).sort_values(["ms", "id"])
-        for host, kind, ms in zip(events["host"].tolist(), events["kind"].tolist(), events["ms"].tolist()):
+        touched: dict[str, None] = {}
+        for host, kind, ms in in_order(rows):
+            if len(pool.changes) >= CHUNK:
+                yield from self._changed(key, pool, touched)
             if host not in pool.state and self.hosts.containsKey((host,)):
                 pool.state[host] = self.hosts.getValue((host,))[0]
             pool.event(host, kind, ms)
-        yield from self._done(key, pool, timer)
+        yield from self._done(key, pool, timer, touched)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         pool, timer = self._pool()
         pool.until(expiredTimerInfo.getExpiryTimeInMs())
-        yield from self._done(key, pool, 0)
+        yield from self._done(key, pool, 0, {})
 
     def close(self) -> None:
         pass
