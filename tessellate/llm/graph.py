@@ -32,6 +32,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def edges_of(parts: DataFrame) -> DataFrame:
+    """components(node, root) as edges again, which link the same nodes in fewer rounds than those that they come from."""
+    return parts.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): root is the smallest node reachable; nodes without an edge have no row.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, edges_of
 from .storage import appended, bound_batches, fresh, stored
 
 SHINGLE, DISTANCE, BUCKET, PAIRWISE = 5, 3, 4096, 16
@@ -665,7 +665,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, si
     leaders = led.filter("b is null").select("token", F.lit(0).alias("salt"), F.col("a").alias("node"), "n", "comp", "sketch")
     again = leaders.repartition("token").sortWithinPartitions("token").mapInArrow(_led(similarity), kind)
     early = small.unionByName(_apart(led.unionByName(again).filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), parts)).distinct()
-    linked = stored(sure.unionByName(_similar(early, texts, nodes, shingle, similarity)), "linked")
+    linked = stored(edges_of(parts).unionByName(_similar(early, texts, nodes, shingle, similarity)), "linked")
     now = stored(components(linked), "parts")
     grouped = stored(hot.drop("comp").join(now, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "grouped")
     largest = grouped.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
@@ -674,7 +674,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, si
     asks = open_.filter("comp <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(1))
     both = open_.withColumn("asks", F.lit(0)).select(columns).unionByName(asks.select(columns))
     crossed = both.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_crossed(similarity), "a long, b long").distinct()
-    return components(linked.unionByName(_similar(crossed, texts, nodes, shingle, similarity)))
+    return components(edges_of(now).unionByName(_similar(crossed, texts, nodes, shingle, similarity)))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

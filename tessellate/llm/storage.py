@@ -42,11 +42,16 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. options: of the Parquet writer."""
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. options: of the Parquet writer.
+
+    What the driver held for the plan so far, its broadcast tables and shuffles, is garbage from here on. Spark lets go of them
+    only when the driver collects, and an operator of many rounds would fill the driver's whole heap before it does so by itself.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
